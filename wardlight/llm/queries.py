@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality
+from . import bpe, chat, matroska, mixing, quality
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -26,5 +30,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"), WEIGHTS, seed=SEED)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_byte_bpe, op5_source_mixing)}
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.conversation_digest(rows, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_matroska, op4_byte_bpe, op5_source_mixing, op7_chat_format)}
 ORACLES = {"op1_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle(WEIGHTS, 1.0, SEED)}
