@@ -5,13 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, matroska, mixing, quality
+from . import bpe, chat, matroska, mixing, quality, urls, urls_sql
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Production weights of the mixture; every other source weighs 1.
 WEIGHTS = {"src0": 4.0}
 SEED = 17
+#: The rules of the contract.
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,5 +39,9 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(rows, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_matroska, op4_byte_bpe, op5_source_mixing, op7_chat_format)}
-ORACLES = {"op1_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle(WEIGHTS, 1.0, SEED)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_matroska, op4_byte_bpe, op5_source_mixing, op7_chat_format, op10_url_filter)}
+ORACLES = {"op1_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle(WEIGHTS, 1.0, SEED), "op10_url_filter": urls_sql.oracle(RULES)}
