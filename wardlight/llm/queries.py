@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, bpe, chat, matroska, mixing, quality, urls, urls_sql
+from . import backoff, bpe, chat, langid, matroska, mixing, quality, urls, urls_sql
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"), WEIGHTS, seed=SEED)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -47,5 +51,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_matroska, op4_byte_bpe, op5_source_mixing, op7_chat_format, op9_backoff_score, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_matroska, op4_byte_bpe, op5_source_mixing, op6_language_id, op7_chat_format, op9_backoff_score, op10_url_filter)}
 ORACLES = {"op1_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle(WEIGHTS, 1.0, SEED), "op9_backoff_score": backoff.oracle(), "op10_url_filter": urls_sql.oracle(RULES)}
