@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, bpe, chat, langid, matroska, mixing, quality, urls, urls_sql
+from . import backoff, bpe, chat, jaccard, jaccard_sql, langid, matroska, mixing, quality, urls, urls_sql
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -43,6 +43,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(rows, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_backoff_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.score_texts(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_matroska, op4_byte_bpe, op5_source_mixing, op6_language_id, op7_chat_format, op9_backoff_score, op10_url_filter)}
-ORACLES = {"op1_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle(WEIGHTS, 1.0, SEED), "op9_backoff_score": backoff.oracle(), "op10_url_filter": urls_sql.oracle(RULES)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_matroska, op4_byte_bpe, op5_source_mixing, op6_language_id, op7_chat_format, op8_jaccard_join, op9_backoff_score, op10_url_filter)}
+ORACLES = {"op1_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle(WEIGHTS, 1.0, SEED), "op8_jaccard_join": jaccard_sql.oracle(), "op9_backoff_score": backoff.oracle(), "op10_url_filter": urls_sql.oracle(RULES)}
