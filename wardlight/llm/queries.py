@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, bpe, chat, jaccard, jaccard_sql, langid, matroska, mixing, quality, urls, urls_sql
+from . import backoff, bpe, chat, jaccard, jaccard_sql, langid, matroska, mixing, quality, suffixes, urls, urls_sql
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,10 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -55,5 +59,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_matroska, op4_byte_bpe, op5_source_mixing, op6_language_id, op7_chat_format, op8_jaccard_join, op9_backoff_score, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_matroska, op3_suffix_dedup, op4_byte_bpe, op5_source_mixing, op6_language_id, op7_chat_format, op8_jaccard_join, op9_backoff_score, op10_url_filter)}
 ORACLES = {"op1_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle(WEIGHTS, 1.0, SEED), "op8_jaccard_join": jaccard_sql.oracle(), "op9_backoff_score": backoff.oracle(), "op10_url_filter": urls_sql.oracle(RULES)}
