@@ -1,8 +1,64 @@
 """The corpus pipeline: stages that each apply one operator to all that the stage before kept."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardlight.llm import bpe, jaccard, langid, mixing, suffixes
+from wardlight.llm.common import materialize, table, training_rest
+from wardlight.llm.queries import RANKS, SEED, WEIGHTS
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents whose best language gets less than this mean probability are in none of them.
+LEAST_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; a missing lang is filled by the prediction. Null texts and texts without letters go."""
+    net = langid.fit(docs.where(training_rest("doc_id", 4) != 2))
+    found = langid.identify(docs.select(COLUMNS), net)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document of the smallest id; of equal rows one."""
+    found = jaccard.near_duplicates(docs)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    rows = docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows.withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key"]).select(COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 400 bytes that occur again anywhere; documents of nothing else go."""
+    rows = docs.select(F.struct("doc_id", "lang", "source").alias("row"), "text")
+    left = suffixes.remove_repeats(rows, "text", "row")
+    left = left.select("row.doc_id", F.col("clean_text").alias("text"), "row.lang", "row.source", F.length("clean_text").cast("long").alias("n_chars"))
+    return left.where(F.col("text").rlike(r"[^ \t-\r]"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that the sources reach their weights, in random order."""
+    return mixing.poisson_mix(docs, WEIGHTS, seed=SEED).select(COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids: every copy encoded."""
+    encoded = bpe.encode_column(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids")
+
+
+STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeats), ("mixing sources to target weights", mixture), ("byte-level BPE encoding", tokens)]
+#: A trained network decides in the first stage; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, f"stage-{k}")
+    return docs
