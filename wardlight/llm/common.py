@@ -41,6 +41,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, tag: str, key: str, parts: int) -> DataFrame:
+    """As materialize, but bucketed by key into `parts`: what is grouped or joined by key later isn't shuffled again."""
+    name = f"{tag}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.bucketBy(parts, key).option("path", f"{shared_dir(df.sparkSession)}/{name}").format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def parts_for(spark: SparkSession, size: int) -> int:
+    """Partitions for `size` bytes of text: as many as shuffles have, more where these would exceed 64 MB."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
+
+
 def training_rest(id_col: str, modulus: int):
     """crc32 of the id as text, modulo `modulus`; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(modulus))

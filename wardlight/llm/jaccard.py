@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, materialize_by, parts_for
 from .graph import components
 from .packing import bounds, mix, pack, pack_sorted, unpack, unpack_sorted
 
 #: Two sets link when PERCENT * union <= 100 * intersection.
 PERCENT, SHINGLE = 90, 3
-BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 16 << 20, 64
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 6 << 20, 16 << 20, 64
 #: Cost of verifying a candidate, against reading one entry of a list; the most matches that are asked for.
 VERIFY_COST, MOST_MATCHES = 8.0, 8
 #: Rounds of comparing each list's first node with the others before the remaining pairs are made.
@@ -78,13 +78,10 @@ def choose_matches(frequency: np.ndarray, n: int, percent: int = PERCENT) -> int
     return int(matches[np.argmin(entries + VERIFY_COST * entries / matches)])
 
 
-KEYS = "block string, bucket int, keys binary, counts binary"
-
-
-def blocks(df: DataFrame, text_col: str, id_col: str, buckets: int, size: int, block_bytes: int) -> DataFrame:
-    """Rows of two kinds, as in backoff.blocks: a block's documents (ids, digests, sizes) and sets, and its keys for each bucket."""
+def blocks(df: DataFrame, text_col: str, id_col: str, size: int, block_bytes: int) -> DataFrame:
+    """A row per block: its name, its documents (ids, digests, sizes of sets), their distinct keys and the sets by places in these."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("keys", "counts", "all_keys", "sets")], T.StructField("ids", T.ArrayType(df.schema[id_col].dataType)), T.StructField("digests", T.ArrayType(T.StringType())), T.StructField("sizes", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("keys", T.BinaryType()), T.StructField("sets", T.BinaryType()), T.StructField("ids", T.ArrayType(df.schema[id_col].dataType)), T.StructField("digests", T.ArrayType(T.StringType())), T.StructField("sizes", T.ArrayType(T.LongType()))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
@@ -92,17 +89,12 @@ def blocks(df: DataFrame, text_col: str, id_col: str, buckets: int, size: int, b
     def flush(name: str, ids: list, texts: list) -> pa.RecordBatch:
         sets = shingle_keys(word_keys(texts), size)
         digests = [hashlib.blake2b(s.tobytes(), digest_size=12).hexdigest() if len(s) else None for s in sets]
-        first = {d: s for d, s in zip(digests, sets, strict=True) if d}
-        own = list(first.values())
-        keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_counts=True)
+        own = list({d: s for d, s in zip(digests, sets, strict=True) if d}.values())
+        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]))
         places = [np.searchsorted(keys, s) for s in own]  # rising within a set: differences are small
         jumps = np.concatenate([np.zeros(0, np.int64), *[np.diff(p, prepend=0) for p in places]])
-        edges = np.append(np.searchsorted(keys, bounds(buckets) >> np.uint64(64 - KEY_BITS)), len(keys))
-        out = [(name, None, None, None, pack_sorted(keys), pack(jumps), ids, digests, [len(s) for s in sets])]
-        for i in range(buckets):
-            a, b = edges[i], edges[i + 1]
-            out.append((name, i, pack_sorted(keys[a:b]), pack(counts[a:b]), None, None, None, None, None))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), arrow.field(k).type) for k, c in enumerate(zip(*out, strict=True))], schema=arrow)
+        row = (name, pack_sorted(keys), pack(jumps), ids, digests, [len(s) for s in sets])
+        return pa.RecordBatch.from_arrays([pa.array([c], arrow.field(k).type) for k, c in enumerate(row)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -123,6 +115,33 @@ def blocks(df: DataFrame, text_col: str, id_col: str, buckets: int, size: int, b
     return rows.mapInArrow(run, schema)
 
 
+def sets_of(jumps: np.ndarray, digests: list, sizes: list) -> Iterator[tuple[str, np.ndarray]]:
+    """(digest, places of the keys) of a block's distinct sets."""
+    at = 0
+    for digest, n in {d: n for d, n in zip(digests, sizes, strict=True) if d}.items():
+        yield digest, np.cumsum(jumps[at : at + n])
+        at += n
+
+
+def ask(sent: DataFrame, buckets: int) -> DataFrame:
+    """Each block's distinct keys, with how many of its sets have them, dealt to buckets by ranges of the keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                name, keys, jumps, digests, sizes = (batch.column(c)[k].as_py() for c in range(5))
+                keys = unpack_sorted(keys)
+                counts = np.zeros(len(keys), np.int64)
+                for _, own in sets_of(unpack(jumps).astype(np.int64), digests, sizes):
+                    np.add.at(counts, own, 1)
+                edges = np.append(np.searchsorted(keys, bounds(buckets) >> np.uint64(64 - KEY_BITS)), len(keys))
+                parts = list(zip(edges, edges[1:], strict=False))
+                columns = [pa.array([name] * buckets), pa.array(range(buckets), pa.int32()), pa.array([pack_sorted(keys[a:b]) for a, b in parts], pa.binary()), pa.array([pack(counts[a:b]) for a, b in parts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "keys", "counts"])
+
+    return sent.select("block", "keys", "sets", "digests", "sizes").mapInArrow(run, "block string, bucket int, keys binary, counts binary")
+
+
 def add_up(keys: DataFrame) -> DataFrame:
     """For each block and bucket, in its order, the number of nodes of all blocks that have each key (copies in other blocks count again)."""
 
@@ -145,14 +164,12 @@ def prefixes(sent: DataFrame, totals: DataFrame, percent: int) -> DataFrame:
     arrow = pa.schema([("digest", pa.string()), ("n", pa.int64()), ("matches", pa.int32()), ("odd", pa.int64()), ("tokens", pa.list_(pa.int64())), ("keys", pa.binary())])
 
     def run(block: pa.Table, totals: pa.Table) -> pa.Table:
-        keys = unpack_sorted(block.column("all_keys")[0].as_py())
+        keys = unpack_sorted(block.column("keys")[0].as_py())
         jumps = unpack(block.column("sets")[0].as_py()).astype(np.int64)
         frequency = np.concatenate([unpack(t) for t in totals.sort_by("bucket").column("totals").to_pylist()]).astype(np.int64)
-        sizes = {d: n for d, n in zip(block.column("digests")[0].as_py(), block.column("sizes")[0].as_py(), strict=True) if d}
-        out, at = [], 0
-        for digest, n in sizes.items():
-            own = np.cumsum(jumps[at : at + n])
-            at += n
+        out = []
+        for digest, own in sets_of(jumps, block.column("digests")[0].as_py(), block.column("sizes")[0].as_py()):
+            n = len(own)
             common = frequency[own]
             order = np.lexsort((own, common))
             ranked = common[order]
@@ -166,7 +183,7 @@ def prefixes(sent: DataFrame, totals: DataFrame, percent: int) -> DataFrame:
         columns = list(zip(*out, strict=True)) if out else [[]] * 6
         return pa.table([pa.array(list(c), arrow.field(k).type) for k, c in enumerate(columns)], schema=arrow)
 
-    own = sent.where("bucket is null").select("block", "all_keys", "sets", "digests", "sizes")
+    own = sent.select("block", "keys", "sets", "digests", "sizes")
     return own.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(run, PREFIX)
 
 
@@ -231,13 +248,13 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """
     total = df.agg(F.sum(F.octet_length(F.col(text_col))).alias("bytes")).first()["bytes"] or 0
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
-    sent = materialize(blocks(df, text_col, id_col, buckets, size, block_bytes), "join-blocks")
-    totals = add_up(sent.where("bucket is not null").select("block", "bucket", "keys", "counts"))
+    sent = materialize_by(blocks(df, text_col, id_col, size, block_bytes), "join_blocks", "block", parts_for(df.sparkSession, total))
+    totals = add_up(ask(sent, buckets))
     found = prefixes(sent, totals, percent)
     # copies of a set in several blocks are one node
     nodes = materialize(found.dropDuplicates(["digest"]), "join-nodes")
     labels = link(nodes, percent)
-    docs = sent.where("bucket is null").select(F.explode(F.arrays_zip("ids", "digests", "sizes")).alias("d")).select(F.col("d.ids").alias("id"), F.col("d.digests").alias("digest"), F.col("d.sizes").alias("n_shingles"))
+    docs = sent.select(F.explode(F.arrays_zip("ids", "digests", "sizes")).alias("d")).select(F.col("d.ids").alias("id"), F.col("d.digests").alias("digest"), F.col("d.sizes").alias("n_shingles"))
     lowest = docs.where("digest is not null").groupBy("digest").agg(F.min("id").alias("low"))
     classes = lowest.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     least = classes.groupBy("label").agg(F.min("low").alias("component_id"))

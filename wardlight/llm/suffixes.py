@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, materialize_by, parts_for
 from .packing import bounds, mix, pack, pack_sorted, unpack, unpack_sorted
 
 #: A repeat is a string of LENGTH bytes; anchors are strings of GRAM bytes.
@@ -381,7 +381,7 @@ def repeats(df: DataFrame, text_col: str, id_col: str, length: int = LENGTH, gra
     """The shards and all answers of the merge and of the exact check."""
     total = df.agg(F.sum(F.octet_length(F.col(text_col))).alias("bytes")).first()["bytes"] or 0
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
-    sent = materialize(shards(df, text_col, id_col, length, gram, shard_bytes), "suffix-shards")
+    sent = materialize_by(shards(df, text_col, id_col, length, gram, shard_bytes), "suffix_shards", "shard", parts_for(df.sparkSession, total))
     answers = df.sparkSession.createDataFrame([], ANSWER)
     for kinds in (["s0", "x1"], *[[f"x{h}"] for h in range(2, LEVELS + 1)], ["u"], ["w"]):
         answers = answers.union(materialize(add_up(ask(sent, answers, kinds, buckets, length, gram)), f"suffix-{kinds[-1]}"))
