@@ -7,6 +7,7 @@ candidate, nearly all, never pay for offsets, and both forms come from one defin
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -18,10 +19,10 @@ from . import tables as t
 
 @dataclass(frozen=True)
 class Step:
-    """Replaces each match of pattern by make(match); keep: output character i stems from input character start + i, else all from start."""
+    """Replaces each match of pattern by make, a function of it or a template; keep: output character i stems from input character start + i, else all from start."""
 
-    pattern: regex.Pattern
-    make: Callable[[regex.Match], str] | str
+    pattern: re.Pattern
+    make: Callable[[re.Match], str] | str
     keep: bool = False
 
     def value(self, text: str) -> str:
@@ -30,7 +31,7 @@ class Step:
     def offsets(self, text: str, at: list[int]) -> tuple[str, list[int]]:
         out, places, end = [], [], 0
         for m in self.pattern.finditer(text):
-            made = self.make if isinstance(self.make, str) else self.make(m)
+            made = m.expand(self.make) if isinstance(self.make, str) else self.make(m)
             out += [text[end : m.start()], made]
             places += at[end : m.start()]
             places += at[m.start() : m.start() + len(made)] if self.keep else [at[m.start()]] * len(made) if made else []
@@ -101,8 +102,8 @@ CLUSTERS = clusters()
 ASCII_LOWER = [Swap({c: c + 32 for c in range(65, 91)})]
 
 CONFUSABLES = [Swap({ord(a): ord(b) for a, b in t.confusables().items()})]
-MARKS = [Step(regex.compile(r"(?<=[A-Za-z])[̀-ͯ]+"), "")]
-DIGIT_TOKEN = regex.compile(r"(?<![a-z0-9])(?=[a-z]*[0-9])[a-z0-9]+")
+MARKS = [Step(re.compile(r"(?<=[A-Za-z])[̀-ͯ]+"), "")]
+DIGIT_TOKEN = re.compile(r"(?<![a-z0-9])(?=[a-z]*[0-9])[a-z0-9]+")
 
 
 def digit_token(w: str) -> str:
@@ -115,7 +116,7 @@ def digit_token(w: str) -> str:
     return w
 
 
-def leet(m: regex.Match) -> str:
+def leet(m: re.Match) -> str:
     w = m[0]
     return t.LEET_SIGNS[w] if w in t.LEET_SIGNS else digit_token(w)
 
@@ -123,8 +124,8 @@ def leet(m: regex.Match) -> str:
 class Leet:
     """ph becomes f; signs beside a letter and digits by their token become letters, all judged on the input."""
 
-    signs = Step(regex.compile(DIGIT_TOKEN.pattern + r"|(?<=[a-z])[@!|$]|[@!|$](?=[a-z])"), leet, keep=True)
-    ph = regex.compile("ph")
+    signs = Step(re.compile(DIGIT_TOKEN.pattern + r"|(?<=[a-z])[@!|$]|[@!|$](?=[a-z])"), leet, keep=True)
+    ph = re.compile("ph")
 
     def value(self, text: str) -> str:
         return self.offsets(text, None)[0]
@@ -141,18 +142,18 @@ class Leet:
         return "".join(out), None if at is None else places + at[end:]
 
 
-PAIRS = [Step(regex.compile("(?s)(.)\\1{2,}"), lambda m: m[1] * 2, keep=True)]
-SINGLES = [Step(regex.compile("(?s)(.)\\1+"), lambda m: m[1])]
+PAIRS = [Step(re.compile(r"(?s)(.)\1{2,}"), r"\1\1", keep=True)]
+SINGLES = [Step(re.compile(r"(?s)(.)\1+"), r"\1")]
 LATIN = [*CONFUSABLES, *MARKS, Leet(), *PAIRS]
 SKELETON = [
-    Step(regex.compile("|".join(t.SOUNDS)), lambda m: t.SOUNDS[m[0]]),
-    Step(regex.compile("x"), "ks"),
+    Step(re.compile("|".join(t.SOUNDS)), lambda m: t.SOUNDS[m[0]]),
+    Step(re.compile("x"), "ks"),
     Swap({ord(a): ord(b) for a, b in t.LETTERS.items() if len(b) == 1}),
-    Step(regex.compile("(?<=[a-z])h+"), ""),
-    Step(regex.compile("(?<=[a-z])[aeiou]+"), ""),
+    Step(re.compile("(?<=[a-z])h+"), ""),
+    Step(re.compile("(?<=[a-z])[aeiou]+"), ""),
     *SINGLES,
-    Step(regex.compile(f"[^a-z{t.SPACES}]+"), ""),
-    Step(regex.compile(f"[{t.SPACES}]+"), " "),
+    Step(re.compile(f"[^a-z{t.SPACES}]+"), ""),
+    Step(re.compile(f"[{t.SPACES}]+"), " "),
 ]
 
 

@@ -24,6 +24,8 @@ MASKED = regex.compile(r"[\p{L}\p{M}*#@$%]+")
 DIGIT_MASKED = regex.compile(r"[\p{L}\p{M}\p{N}*#@$%]*[0-9][\p{L}\p{M}\p{N}*#@$%]*")
 PICTURE = regex.compile(r"\p{Extended_Pictographic}")
 PICTURED = regex.compile(r"(?:[\p{L}\p{M}]|\p{Extended_Pictographic})+")
+DIGIT = regex.compile("[0-9]")
+BOUND = regex.compile(r"[\p{L}\p{M}\p{N}][.\-][\p{L}\p{M}\p{N}]")
 TAGGED = regex.compile(r"(?<![\p{L}\p{M}\p{N}])[#@][\p{L}\p{N}_]+")
 SEAM = regex.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 SPELLED = regex.compile(r"(?s)(?=\p{L}[ \t.\-_\n/].[ \t.\-_\n/].[ \t.\-_\n/])")
@@ -238,9 +240,9 @@ class Scanner:
         words = [m.span() for m in WORDS.finditer(p.text)]
         gaps = [p.text[b:c] if c - b == 1 else "" for (_, b), (c, _) in zip(words, words[1:], strict=False)]
         for joins, longest in ((t.BINDING + t.LOOSE, 4), (t.BINDING, 5)):
-            if joins == t.BINDING and not any(c in p.text for c in t.BINDING):
+            if joins == t.BINDING and not BOUND.search(p.text):
                 continue
-            piece = [b - a <= longest and not regex.search("[0-9]", p.text[a:b]) for a, b in words]
+            piece = [b - a <= longest and not DIGIT.search(p.text, a, b) for a, b in words]
             k = 0
             while k < len(words):
                 last = k

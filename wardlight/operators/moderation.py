@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import texts
 from ..sources.lexicon import PACKS, Options
@@ -128,6 +127,3 @@ def register(spark: SparkSession, options: Options = Options()) -> None:
                 yield c.entry.lemma, text[c.start : c.end], c.tier, c.entry.severity, c.start, c.end
 
     spark.udtf.register("scan_rows", Rows)
-
-
-MATCH_TYPE = T._parse_datatype_string(MATCH)

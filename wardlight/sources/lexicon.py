@@ -71,7 +71,7 @@ PACKS = (
         (
             Entry("en", "frobnicate", 3, ("general", "gendered"), variants=("frobnicated", "frobnicator")),
             Entry("en", "thing", 1, casual_use=True, variants=("things",)),
-            Entry("en", "thtion", 2, ("slur",), romanizations=("thtion",)),
+            Entry("en", "thtion", 2, ("slur",), romanizations=("thtion",), skeleton_safe=False),
             Entry("en", "ering", 3, ("sexual",), allowlist=("ering the",)),
             Entry("en", "erble", 4, ("violence",), variants=("erble of",)),
             Entry("en", "zorp", 2, ("general",), skeleton_safe=False),
@@ -80,7 +80,7 @@ PACKS = (
     ),
     Pack("fr", "French (neutral)", (Entry("fr", "tion", 2, ("general",)), Entry("fr", "eauoi", 1, ("religious",)), Entry("fr", "thing", 2, ("gendered",)))),
     Pack("de", "German (neutral)", (Entry("de", "keit", 3, ("ableist",), match_mode="prefix", allowlist=("keiteinä",)), Entry("de", "ungie", 2, ("general",)))),
-    Pack("hi", "Hindi (neutral)", (Entry("hi", "झम्पूड़", 3, ("general",), "Deva", romanizations=("jhampood", "jhampur", "jham pood")), Entry("hi", "टिंबक", 4, ("slur",), "Deva", romanizations=("timbaktu",)))),
+    Pack("hi", "Hindi (neutral)", (Entry("hi", "झम्पूड़", 3, ("general",), "Deva", romanizations=("jhampood", "jhampur", "jham pood")), Entry("hi", "टिंबक", 4, ("slur",), "Deva", romanizations=("timbaktu", "instan")))),
     Pack("ta", "Tamil (neutral)", (Entry("ta", "பிம்பில", 2, ("general",), "Taml", romanizations=("pimbila",), match_mode="prefix", allowlist=("பிம்பிலக்",)),)),
 )
 
