@@ -57,9 +57,11 @@ class Swap:
     """Replaces characters one for one, so offsets stay."""
 
     table: dict
+    #: Whether ASCII characters can be among those replaced.
+    ascii: bool = True
 
     def value(self, text: str) -> str:
-        return text.translate(self.table)
+        return text if not self.ascii and text.isascii() else text.translate(self.table)
 
     def offsets(self, text: str, at: list[int]) -> tuple[str, list[int]]:
         return self.value(text), at
@@ -95,13 +97,14 @@ def clusters() -> list[Step]:
 LONGER = regex.compile("[" + t.INVISIBLE + "".join(c for c, r in INDIC.items() if len(r) != 1) + "İ]")
 SEGMENT = regex.compile(r"(?s).\p{M}+")
 LOOSE_SEGMENT = regex.compile(r"(?s)[^\x00-\x7f]\p{M}*|.\p{M}+")
+MARK = regex.compile(r"\p{M}")
 NFC = [Step(SEGMENT, lambda m: unicodedata.normalize("NFC", m[0]))]
 LOOSE_NFC = [Step(LOOSE_SEGMENT, lambda m: unicodedata.normalize("NFC", m[0]))]
 POINTS = [Step(LONGER, lambda m: point(m[0])), Swap(Table(point))]
 CLUSTERS = clusters()
 ASCII_LOWER = [Swap({c: c + 32 for c in range(65, 91)})]
 
-CONFUSABLES = [Swap({ord(a): ord(b) for a, b in t.confusables().items()})]
+CONFUSABLES = [Swap({ord(a): ord(b) for a, b in t.confusables().items()}, ascii=False)]
 MARKS = [Step(re.compile(r"(?<=[A-Za-z])[̀-ͯ]+"), "")]
 DIGIT_TOKEN = re.compile(r"(?<![a-z0-9])(?=[a-z]*[0-9])[a-z0-9]+")
 
@@ -161,7 +164,9 @@ def base_steps(text: str) -> list:
     """The steps of the base fold for this text: ASCII texts are only put into lower case."""
     if text.isascii():
         return ASCII_LOWER
-    return [*(NFC if unicodedata.is_normalized("NFC", text) else LOOSE_NFC), *POINTS, *CLUSTERS]
+    if not unicodedata.is_normalized("NFC", text):
+        return [*LOOSE_NFC, *POINTS, *CLUSTERS]
+    return [*NFC, *POINTS, *CLUSTERS] if MARK.search(text) else POINTS
 
 
 def run(steps: list, text: str) -> str:

@@ -25,7 +25,9 @@ DIGIT_MASKED = regex.compile(r"[\p{L}\p{M}\p{N}*#@$%]*[0-9][\p{L}\p{M}\p{N}*#@$%
 PICTURE = regex.compile(r"\p{Extended_Pictographic}")
 PICTURED = regex.compile(r"(?:[\p{L}\p{M}]|\p{Extended_Pictographic})+")
 DIGIT = regex.compile("[0-9]")
-BOUND = regex.compile(r"[\p{L}\p{M}\p{N}][.\-][\p{L}\p{M}\p{N}]")
+PIECE = r"(?:(?![\U00010000-\U0010ffff])[\p{L}\p{M}\p{N}])"
+CHUNKS = regex.compile(rf"(?<!{PIECE}){PIECE}{{1,5}}+(?:[.\- \t]{PIECE}{{1,5}}+)+(?!{PIECE})")
+WORD_END = regex.compile(PIECE)
 TAGGED = regex.compile(r"(?<![\p{L}\p{M}\p{N}])[#@][\p{L}\p{N}_]+")
 SEAM = regex.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 SPELLED = regex.compile(r"(?s)(?=\p{L}[ \t.\-_\n/].[ \t.\-_\n/].[ \t.\-_\n/])")
@@ -123,6 +125,7 @@ class Scanner:
         self.find_exact, self.find_collapsed, self.find_sounds = Finder(list(self.exact)), Finder(list(self.collapsed)), Finder(list(self.sounds))
         self.find_allowed = Finder(options.allowed)
         self.find_allowed_collapsed = Finder(list(dict.fromkeys(texts.run(texts.SINGLES, f) for f in options.allowed)))
+        self.heads = {f[:n] for f in self.exact for n in range(1, 6)}
         self.by_length: dict[int, list[tuple[str, list[Entry]]]] = {}
         for form, entries in self.exact.items():
             if " " not in form:
@@ -237,27 +240,34 @@ class Scanner:
 
     def chunk_hits(self, p: Pass) -> Iterator[Found]:
         """Words written as two to four short pieces."""
-        words = [m.span() for m in WORDS.finditer(p.text)]
-        gaps = [p.text[b:c] if c - b == 1 else "" for (_, b), (c, _) in zip(words, words[1:], strict=False)]
-        for joins, longest in ((t.BINDING + t.LOOSE, 4), (t.BINDING, 5)):
-            if joins == t.BINDING and not BOUND.search(p.text):
-                continue
-            piece = [b - a <= longest and not DIGIT.search(p.text, a, b) for a, b in words]
-            k = 0
-            while k < len(words):
-                last = k
-                if piece[k]:
-                    while last < len(gaps) and gaps[last] and gaps[last] in joins and piece[last + 1]:
+        found: list[tuple[int, Found]] = []
+        for m in CHUNKS.finditer(p.text):
+            a, b = m.span()
+            words = [w.span() for w in WORDS.finditer(p.text, a, b)]
+            # what joins the run's ends to a word before or after, which is longer
+            before = p.text[a - 1] if a > 1 and WORD_END.match(p.text, a - 2) else ""
+            after = p.text[b] if b < len(p.text) and WORDS.match(p.text, b + 1) else ""
+            gaps = [before, *(p.text[y] for _, y in words[:-1]), after]
+            for walk, (joins, longest) in enumerate(((t.BINDING + t.LOOSE, 4), (t.BINDING, 5))):
+                if walk and not any(c in t.BINDING for c in gaps[1:-1]):
+                    continue
+                piece = [y - x <= longest and not DIGIT.search(p.text, x, y) for x, y in words]
+                k = 0
+                while k < len(words):
+                    last = k
+                    while piece[k] and last + 1 < len(words) and gaps[last + 1] in joins and piece[last + 1]:
                         last += 1
-                bound = (k and gaps[k - 1] and gaps[k - 1] in t.BINDING) or (last < len(gaps) and gaps[last] and gaps[last] in t.BINDING)
-                if last > k and last - k < CHUNKS_MOST and not bound:
-                    parts = [p.text[a:b] for a, b in words[k : last + 1]]
-                    loose = any(g in t.LOOSE for g in gaps[k:last])
-                    word = "".join(parts)
-                    fair = len(word) >= SPELLED_LEAST and max(map(len, parts)) > 1 and not (loose and (len(parts) < 3 or min(map(len, parts)) < 2))
-                    if fair and word in self.exact and not self.allowed.intersection((word, " ".join(parts))):
-                        yield Found(*p.span(words[k][0], words[last][1]), "separated", severest(self.exact[word]))
-                k = last + 1
+                    bound = (gaps[k] and gaps[k] in t.BINDING) or (gaps[last + 1] and gaps[last + 1] in t.BINDING)
+                    x, y = words[k][0], words[last][1]
+                    if last > k and last - k < CHUNKS_MOST and not bound and p.text[x : words[k][1]] in self.heads:
+                        parts = [p.text[i:j] for i, j in words[k : last + 1]]
+                        loose = any(g in t.LOOSE for g in gaps[k + 1 : last + 1])
+                        word = "".join(parts)
+                        fair = len(word) >= SPELLED_LEAST and max(map(len, parts)) > 1 and not (loose and (len(parts) < 3 or min(map(len, parts)) < 2))
+                        if fair and word in self.exact and not self.allowed.intersection((word, " ".join(parts))):
+                            found.append((walk, Found(*p.span(x, y), "separated", severest(self.exact[word]))))
+                    k = last + 1
+        return (f for _, f in sorted(found, key=lambda f: f[0]))  # those of the first walk come first
 
     def sound_hits(self, p: Pass | None) -> Iterator[Found]:
         """Words that begin with a key and have little after it."""
