@@ -3,14 +3,16 @@
 Sets. A document's set are the keys of its distinct 3-word shingles; documents of equal sets are
 one node. Counting. Blocks of documents exchange their distinct keys for exact document
 frequencies, packed (see packing). Prefixes. Each set is ordered from rare to frequent; two sets
-of the threshold share l keys of their prefixes of n - ceil(t * n) + l keys. Each node takes the l
+that link and share t keys share l of their prefixes of n - t + l keys. Each node takes the l
 of least estimated cost, known from the frequencies: what reading the prefix's lists costs, and
 what verifying its candidates costs, of which there are fewer the more matches are asked for.
 A pair must share min(l, l') prefix keys. Keys of frequency 1 match nothing and aren't sent.
 
 Linking. A list of m nodes isn't expanded into m * m pairs: first each list's least unusual node
 is compared with the others, those that link become one class, and only nodes of different classes
-are still paired. That loses no link between classes, so the components are exact.
+are still paired. That loses no link between classes, so the components are exact. Keys that no
+other node has bound what a pair can share; many copies of one text that differ from each other
+too much are told apart by that bound before they are paired.
 """
 
 from __future__ import annotations
@@ -70,11 +72,14 @@ def overlap_needed(n: int, percent: int = PERCENT) -> int:
 
 
 def choose_matches(frequency: np.ndarray, n: int, percent: int = PERCENT) -> int:
-    """The number of matches of least estimated cost; frequency: of the set's keys from rare to frequent."""
-    base = n - overlap_needed(n, percent)
-    most = min(MOST_MATCHES, n - base)
+    """The number of matches of least estimated cost; frequency: of the set's keys from rare to frequent.
+
+    Estimated for partners of the same size, which share 2 * percent * n / (100 + percent) keys.
+    """
+    most = min(MOST_MATCHES, overlap_needed(n, percent))
+    base = n - -(-2 * percent * n // (100 + percent))
     entries = np.cumsum(frequency - 1)[base : base + most]
-    matches = np.arange(1, most + 1)
+    matches = np.arange(1, len(entries) + 1)
     return int(matches[np.argmin(entries + VERIFY_COST * entries / matches)])
 
 
@@ -156,12 +161,14 @@ def add_up(keys: DataFrame) -> DataFrame:
     return keys.groupBy("bucket").applyInArrow(run, "block string, bucket int, totals binary")
 
 
-PREFIX = "digest string, n long, matches int, odd long, tokens array<long>, keys binary"
+#: Own keys are told from others up to so many blocks that hold copies of a node; beyond, none counts as own.
+MOST_COPIES = 64
+PREFIX = "digest string, n long, matches int, rare array<int>, tokens array<long>, spots array<int>, keys binary"
 
 
 def prefixes(sent: DataFrame, totals: DataFrame, percent: int) -> DataFrame:
-    """Nodes with prefix keys that others have: digest, n, matches (l), odd (keys no other node has), tokens, keys (the whole set, packed)."""
-    arrow = pa.schema([("digest", pa.string()), ("n", pa.int64()), ("matches", pa.int32()), ("odd", pa.int64()), ("tokens", pa.list_(pa.int64())), ("keys", pa.binary())])
+    """Nodes with prefix keys that others have, once for each block: digest, n, matches (l), rare (how many of its keys have frequency 1, 2, ...), tokens (of the prefix) and their spots (places in the order), keys (the whole set, packed)."""
+    arrow = pa.schema([("digest", pa.string()), ("n", pa.int64()), ("matches", pa.int32()), ("rare", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int64())), ("spots", pa.list_(pa.int32())), ("keys", pa.binary())])
 
     def run(block: pa.Table, totals: pa.Table) -> pa.Table:
         keys = unpack_sorted(block.column("keys")[0].as_py())
@@ -178,15 +185,36 @@ def prefixes(sent: DataFrame, totals: DataFrame, percent: int) -> DataFrame:
                 continue  # a linked set would share a key of the shortest prefix, and all of those are its own
             matches = choose_matches(ranked, n, percent)
             prefix = own[order[: base + matches]]
-            shared = keys[prefix[frequency[prefix] > 1]]
-            out.append((digest, n, matches, int(np.count_nonzero(common == 1)), shared.astype(np.int64).tolist(), pack_sorted(keys[own])))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            spots = np.flatnonzero(frequency[prefix] > 1)
+            out.append((digest, n, matches, np.bincount(common[common <= MOST_COPIES], minlength=MOST_COPIES + 1)[1:].tolist(), keys[prefix[spots]].astype(np.int64).tolist(), spots.tolist(), pack_sorted(keys[own])))
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(arrow)
         return pa.table([pa.array(list(c), arrow.field(k).type) for k, c in enumerate(columns)], schema=arrow)
 
     own = sent.select("block", "keys", "sets", "digests", "sizes")
     return own.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(run, PREFIX)
 
 
+def one_node(found: DataFrame) -> DataFrame:
+    """Copies of a set in several blocks as one node. Keys whose frequency is the number of these blocks are in no other node: odd counts them."""
+    columns = ["n", "matches", "rare", "tokens", "spots", "keys"]
+    nodes = found.groupBy("digest").agg(F.count("*").alias("blocks"), *[F.first(c).alias(c) for c in columns])
+    return nodes.withColumn("odd", F.coalesce(F.get("rare", F.col("blocks").cast("int") - 1), F.lit(0)).cast("long")).drop("rare", "blocks")
+
+
+def may_link(percent: int):
+    """Whether a common key can count for a pair: the pair's sets can reach the threshold at all, and the key lies in both prefixes.
+
+    Sets of n and other_n keys that link share t = percent * (n + other_n) / (100 + percent) of them,
+    so the first l of these lie among the first n - t + l and other_n - t + l keys, l being the
+    smaller number of matches. Keys that no other set has (odd) are never shared.
+    """
+    both = F.col("n") + F.col("other_n")
+    shared = F.least(F.col("n") - F.col("odd"), F.col("other_n") - F.col("other_odd"))
+    t = F.ceil(both * percent / (100 + percent))
+    l = F.least("matches", "other_matches")  # noqa: E741
+    return (shared * 100 >= (both - shared) * percent) & (F.col("spot") < F.col("n") - t + l) & (F.col("other_spot") < F.col("other_n") - t + l)
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose sets reach the threshold."""
     sets = nodes.select("digest", "keys")
@@ -208,24 +236,24 @@ def verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def link(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Class of each node that has a link: node, label (see graph.components)."""
     spark = nodes.sparkSession
-    lists = materialize(nodes.select("digest", "n", "matches", "odd", F.explode("tokens").alias("token")), "join-lists")
+    lists = materialize(nodes.select("digest", "n", "matches", "odd", F.explode(F.arrays_zip("tokens", "spots")).alias("z")).select("digest", "n", "matches", "odd", F.col("z.tokens").alias("token"), F.col("z.spots").alias("spot")), "join-lists")
     links = spark.createDataFrame([], "a string, b string")
     labels = spark.createDataFrame([], "node string, label string")
-    fits = F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
+    fits = may_link(percent)
     for turn in range(STAR_ROUNDS + 1):
         now = lists.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         # first the nodes with the fewest keys of their own, which copies of a text have in common; then others by chance
-        order = F.struct("odd", "digest", "label", "n", "matches") if not turn else F.struct(F.xxhash64("digest", "token", F.lit(turn)).alias("odd"), "digest", "label", "n", "matches")
+        order = F.struct((F.col("odd") if not turn else F.xxhash64("digest", "token", F.lit(turn))).alias("by"), "digest", "label", "n", "matches", "odd", "spot")
         open_lists = now.groupBy("token").agg(F.min(order).alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         open_lists = materialize(open_lists.drop("low", "high"), "join-open")
         if not open_lists.limit(1).count():
             break
         if turn < STAR_ROUNDS:
-            heads = open_lists.select("token", F.col("first.digest").alias("other"), F.col("first.label").alias("other_label"), F.col("first.n").alias("other_n"), F.col("first.matches").alias("other_matches"))
+            heads = open_lists.select("token", F.col("first.digest").alias("other"), F.col("first.label").alias("other_label"), F.col("first.n").alias("other_n"), F.col("first.odd").alias("other_odd"), F.col("first.spot").alias("other_spot"), F.col("first.matches").alias("other_matches"))
             pairs = now.join(heads, "token").where((F.col("label") != F.col("other_label")) & fits)
         else:  # whatever is left between different classes
             left = materialize(now.join(open_lists.select("token"), "token"), "join-left")
-            others = left.select("token", F.col("digest").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"), F.col("matches").alias("other_matches"))
+            others = left.select("token", F.col("digest").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"), F.col("odd").alias("other_odd"), F.col("spot").alias("other_spot"), F.col("matches").alias("other_matches"))
             pairs = left.join(others, "token").where((F.col("label") < F.col("other_label")) & fits)
         found = pairs.groupBy(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("matches", "other_matches")).alias("least")).where("shared >= least").select("a", "b")
         new = materialize(verify(found, nodes, percent), "join-links")
@@ -251,8 +279,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     sent = materialize_by(blocks(df, text_col, id_col, size, block_bytes), "join_blocks", "block", parts_for(df.sparkSession, total))
     totals = add_up(ask(sent, buckets))
     found = prefixes(sent, totals, percent)
-    # copies of a set in several blocks are one node
-    nodes = materialize(found.dropDuplicates(["digest"]), "join-nodes")
+    nodes = materialize(one_node(found), "join-nodes")
     labels = link(nodes, percent)
     docs = sent.select(F.explode(F.arrays_zip("ids", "digests", "sizes")).alias("d")).select(F.col("d.ids").alias("id"), F.col("d.digests").alias("digest"), F.col("d.sizes").alias("n_shingles"))
     lowest = docs.where("digest is not null").groupBy("digest").agg(F.min("id").alias("low"))
