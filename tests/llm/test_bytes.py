@@ -113,6 +113,12 @@ def test_round_trip(spark):
     assert found[0].n_tokens == found[1].n_tokens == 0
 
 
+def test_columns_of_the_same_name_are_replaced(spark):
+    df = spark.createDataFrame([(1, "ab ab", 7, "x")], "doc_id long, text string, n_tokens int, ids string")
+    row = bpe.encode_column(df, RANKS, public_tokenizers.PATTERN).first()
+    assert row.doc_id == 1 and row.n_tokens == len(row.ids) and bpe.decode(row.ids, RANKS, public_tokenizers.PATTERN) == b"ab ab"
+
+
 def test_escape_is_reversible_and_hides_names():
     rng = random.Random(2)
     for _ in range(500):

@@ -59,7 +59,7 @@ def training_rest(id_col: str, modulus: int):
 
 
 def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str, fn: Callable[[str | None], tuple]) -> DataFrame:
-    """One output row per input row: the columns `keep`, then what fn makes of the text.
+    """One output row per input row: the columns `keep`, then what fn makes of the text, which replaces columns of the same names.
 
     Arrow batches are taken apart into small ones, so memory holds ROWS_AT_ONCE results and one
     batch of input. schema: DDL of fn's columns.
@@ -68,6 +68,7 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str, fn: Ca
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     made = _parse_datatype_string(schema)
+    keep = [c for c in keep if c not in made.names]
     rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("t"))
     out = StructType([*rows.schema.fields[:-1], *made.fields])
     arrow = to_arrow_schema(out)
