@@ -13,6 +13,8 @@ from wardlight.llm.queries import RANKS, SEED, WEIGHTS
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose best language gets less than this mean probability are in none of them.
 LEAST_SCORE = 0.4
+#: Near duplicates share 80 % of their 5-word shingles.
+NEAR_PERCENT, NEAR_WORDS = 80, 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document of the smallest id; of equal rows one."""
-    found = jaccard.near_duplicates(docs)
+    found = jaccard.near_duplicates(docs, percent=NEAR_PERCENT, size=NEAR_WORDS)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
     rows = docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     return rows.withColumn("text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "text_key"]).select(COLUMNS)

@@ -10,13 +10,13 @@ import pytest
 from wardlight.llm import graph, jaccard, suffixes
 
 
-def shingles(text):
+def shingles(text, size=3):
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
-    return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def plain_components(rows):
-    sets = [shingles(t) for _, t in rows]
+def plain_components(rows, size=3, percent=90):
+    sets = [shingles(t, size) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(i):
@@ -26,7 +26,7 @@ def plain_components(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 parent[find(i)] = find(j)
     lowest = {}
     for i, (d, _) in enumerate(rows):
@@ -53,14 +53,15 @@ def family_rows(seed):
     return [(i, t) for i, t in enumerate(rows)] + [(3, rows[3]), (None, rows[4]), (None, "alone here now")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_jaccard(spark, seed, monkeypatch):
+    size, percent = (5, 80) if seed == 3 else (3, 90)
     if seed == 2:
         monkeypatch.setattr(jaccard, "STAR_ROUNDS", 0)  # all by the last, exhaustive round
     rows = family_rows(seed)
     df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, digest string").repartition(3)
-    found = jaccard.near_duplicates(df, block_bytes=4000).collect()
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == plain_components(rows)
+    found = jaccard.near_duplicates(df, percent=percent, size=size, block_bytes=4000).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == plain_components(rows, size, percent)
 
 
 def test_jaccard_empty(spark):
@@ -180,7 +181,7 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == corpus_pipeline.COLUMNS
     langs, near, cut, mixed, ids = states
     assert {r.doc_id for r in langs} == {d for d, *_ in rows} - {950, 951} and all(r.lang for r in langs)
-    components = {d: c for d, _, c in plain_components([(r.doc_id, r.text) for r in langs])}
+    components = {d: c for d, _, c in plain_components([(r.doc_id, r.text) for r in langs], 5, 80)}
     assert {r.doc_id for r in near} == {d for d, c in components.items() if d == c}
     raw = [r.text.encode() for r in near]
     left = {r.doc_id: np.frombuffer(b, np.uint8)[~m].tobytes().decode("utf-8", "ignore") for r, b, m in zip(near, raw, plain_removed(raw, 400))}
