@@ -25,6 +25,16 @@ def test_offsets_give_the_same_text(text):
         assert len(at) == len(out) and at == sorted(at) and all(0 <= i < len(text) for i in at)
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.one_of(POOL, st.sampled_from([" ", "  ", "\t\n", "   ", "b-l", "12"])), max_size=6).map("".join))
+def test_words_fold_as_whole_texts(text):
+    base = texts.base_fold(text)
+    latin, single, sound, _ = texts.Words(lambda w: 0).fold(base)
+    assert latin == texts.latin_fold(base)
+    assert single == texts.run(texts.SINGLES, latin)
+    assert sound == texts.skeleton_key(latin)
+
+
 @settings(max_examples=200, deadline=None)
 @given(POOL)
 def test_base_fold_is_stable(text):

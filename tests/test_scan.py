@@ -104,6 +104,17 @@ def test_spans_lie_in_the_text_and_clean_agrees():
         assert bool(got) == bool(s.surviving(text))
 
 
+def test_notes_skip_nothing():
+    """Tiers that a word's notes rule out would have found nothing."""
+    s = kernel.Scanner(OPTIONS)
+    for text in [*random_texts(), *(t for t, *_ in HITS), *CLEAN, "b.l o.r t", "x.b l", "b l\to\nr/t", "bl.or t", "(bl ort) fr-ob nic ate"]:
+        plain, _, _, notes = s.passes(text) if text else ([], None, None, 0)
+        if plain and not notes & kernel.SPELL:
+            assert not [*s.spelled_hits(plain[-1])], text
+        if plain and not notes & kernel.CHUNK:
+            assert not [*s.chunk_hits(plain[-1])], text
+
+
 def test_without_the_automaton_library(monkeypatch):
     import sys
 

@@ -196,6 +196,57 @@ def skeleton_key(word: str) -> str:
     return run(SKELETON, word)
 
 
+BLANK = re.compile(f"([{t.SPACES}]+)")
+
+
+class Words:
+    """latin, single and sounding forms of whole texts from those of their words, which are kept.
+
+    No step of these folds looks over white space, so a text's fold is that of its words with the
+    white space between; runs of it are shortened as the steps would. Texts repeat their words, so
+    most cost a lookup. note(word) adds what else is to be known of a word.
+    """
+
+    def __init__(self, note: Callable[[str], int], most: int = 200_000):
+        self.note, self.most = note, most
+        self.kept: dict[str, tuple[str, str, str, int]] = {}
+
+    def learn(self, words: list[str]) -> None:
+        """Folds new words together, a line each: no step looks over a line's end, and none but the last joins lines."""
+        lines = run(LATIN, "\n".join(words))
+        single, sound = run(SINGLES, lines), run(SKELETON[:-1], lines)
+        for word, *made in zip(words, lines.split("\n"), single.split("\n"), sound.split("\n"), strict=True):
+            self.kept[word] = (*made, self.note(made[0]))
+
+    def fold(self, base: str) -> tuple[str, str, str, int]:
+        """(latin, single, sound, union of the notes) of a base text."""
+        parts = BLANK.split(base)
+        kept = self.kept
+        if len(kept) > self.most:
+            kept.clear()
+        if new := [w for w in dict.fromkeys(parts[::2]) if w not in kept]:
+            self.learn(new)
+        made = [kept[w] for w in parts[::2]]
+        notes = 0
+        for m in made:
+            notes |= m[3]
+        blanks = parts[1::2]
+        if max(map(len, blanks), default=0) < 2:
+            pairs = singles = blanks
+        else:
+            pairs, singles = [run(PAIRS, b) for b in blanks], [run(SINGLES, b) for b in blanks]
+        latin = [x for pair in zip([m[0] for m in made], [*pairs, ""], strict=True) for x in pair]
+        single = [x for pair in zip([m[1] for m in made], [*singles, ""], strict=True) for x in pair]
+        sounds = [m[2] for m in made]
+        said = " ".join(filter(None, sounds))
+        if said and blanks:
+            first, last = not sounds[0], not sounds[-1]
+            said = " " * first + said + " " * last
+        elif blanks:
+            said = " "
+        return "".join(latin), "".join(single), said, notes
+
+
 def forms(term: str) -> list[str]:
     """A dictionary term's base and latin forms, each once, empty ones left out."""
     base = base_fold(term)

@@ -6,6 +6,7 @@ how words sound. Passes are folded without offsets; offsets are made for passes
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property, lru_cache
@@ -21,12 +22,14 @@ WORDS = regex.compile(r"(?:(?![\U00010000-\U0010ffff])[\p{L}\p{M}\p{N}])+")
 LETTER = regex.compile(r"\p{L}")
 STRETCH = regex.compile(r"(?s)(.)\1\1")
 MASKED = regex.compile(r"[\p{L}\p{M}*#@$%]+")
-DIGIT_MASKED = regex.compile(r"[\p{L}\p{M}\p{N}*#@$%]*[0-9][\p{L}\p{M}\p{N}*#@$%]*")
+DIGIT_MASKED = regex.compile(r"(?<![\p{L}\p{M}\p{N}*#@$%])(?=(?:(?![0-9])[\p{L}\p{M}\p{N}*#@$%])*+[0-9])[\p{L}\p{M}\p{N}*#@$%]+")
 PICTURE = regex.compile(r"\p{Extended_Pictographic}")
 PICTURED = regex.compile(r"(?:[\p{L}\p{M}]|\p{Extended_Pictographic})+")
 DIGIT = regex.compile("[0-9]")
 PIECE = r"(?:(?![\U00010000-\U0010ffff])[\p{L}\p{M}\p{N}])"
 CHUNKS = regex.compile(rf"(?<!{PIECE}){PIECE}{{1,5}}+(?:[.\- \t]{PIECE}{{1,5}}+)+(?!{PIECE})")
+ASCII_CHUNKS = re.compile(r"(?<![a-z0-9])[a-z0-9]{1,5}+(?:[.\- \t][a-z0-9]{1,5}+)+(?![a-z0-9])")
+FIRST_PIECES = re.compile(r"[^.\- \t]+")
 WORD_END = regex.compile(PIECE)
 TAGGED = regex.compile(r"(?<![\p{L}\p{M}\p{N}])[#@][\p{L}\p{N}_]+")
 SEAM = regex.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
@@ -35,6 +38,9 @@ SPELLED = regex.compile(r"(?s)(?=\p{L}[ \t.\-_\n/].[ \t.\-_\n/].[ \t.\-_\n/])")
 RANK = {"exact": 2, "masked": 2, "separated": 2, "skeleton": 0}
 ARTICLES = "aio"
 SPELLED_LEAST, CHUNKS_MOST, TAIL_MOST = 4, 4, 3
+#: Notes on words: may begin a chunked word; may be part of a spelled-out one.
+CHUNK, SPELL = 1, 2
+SPELL_SHAPE = regex.compile(r"(?s)^.$|.[.\-_/].[.\-_/]|^.?[.\-_/].[.\-_/]|[.\-_/].[.\-_/]?$|^[.\-_/].$")
 
 
 @dataclass
@@ -126,23 +132,30 @@ class Scanner:
         self.find_allowed = Finder(options.allowed)
         self.find_allowed_collapsed = Finder(list(dict.fromkeys(texts.run(texts.SINGLES, f) for f in options.allowed)))
         self.heads = {f[:n] for f in self.exact for n in range(1, 6)}
+        self.words = texts.Words(self.note)
         self.by_length: dict[int, list[tuple[str, list[Entry]]]] = {}
         for form, entries in self.exact.items():
             if " " not in form:
                 self.by_length.setdefault(len(form), []).append((form, entries))
 
-    def passes(self, text: str) -> tuple[list[Pass], Pass | None, Pass | None]:
-        """Uncollapsed passes, the collapsed one, the sounds; those equal to the pass before are left out."""
+    def note(self, word: str) -> int:
+        """CHUNK if a piece of a latin word begins a form, SPELL if single letters and separators alternate in it or at its ends."""
+        if word.isalpha():  # by itself a piece between blanks, which has two to four letters
+            return CHUNK * (2 <= len(word) <= 4 and word in self.heads) | SPELL * (len(word) == 1)
+        pieces = WORDS.findall(word)
+        return CHUNK * any(len(w) <= 5 and w in self.heads for w in pieces) | SPELL * bool(SPELL_SHAPE.search(word))
+
+    def passes(self, text: str) -> tuple[list[Pass], Pass | None, Pass | None, int]:
+        """Uncollapsed passes, the collapsed one, the sounds; those equal to the pass before are left out. Then the words' notes."""
         steps = texts.base_steps(text)
         plain = [Pass(text, texts.run(steps, text), steps)]
         steps = [*steps, *texts.LATIN]
-        latin = texts.latin_fold(plain[0].text)
+        latin, single, sound, notes = self.words.fold(plain[0].text)
         if latin != plain[0].text:
             plain.append(Pass(text, latin, steps))
-        single = texts.run(texts.SINGLES, latin)
         collapsed = Pass(text, single, [*steps, *texts.SINGLES]) if single != latin else None
-        sounds = Pass(text, texts.skeleton_key(latin), [*steps, *texts.SKELETON]) if self.options.skeleton and self.sounds else None
-        return plain, collapsed, sounds
+        sounds = Pass(text, sound, [*steps, *texts.SKELETON]) if self.options.skeleton and self.sounds else None
+        return plain, collapsed, sounds, notes
 
     def exact_hits(self, text: str, plain: list[Pass], collapsed: Pass | None) -> list[Found]:
         out: list[Found] = []
@@ -198,7 +211,7 @@ class Scanner:
                 token, n = m[0], sum(c in masks for c in m[0])
                 if 1 <= n <= 3 and token[0] not in masks and token[-1] not in masks and len(token) - n >= 2 and (entry := self.fitting(token, masks)):
                     yield Found(*p.span(*m.span()), "masked", entry)
-        for m in DIGIT_MASKED.finditer(p.text):
+        for m in DIGIT_MASKED.finditer(p.text) if DIGIT.search(p.text) else ():
             token, n = m[0], sum(c in digits for c in m[0])
             fair = len(token) >= 4 and 1 <= n <= 2 and token[-1] not in digits and token[0] not in masks and (token[0] not in digits or n == 2)
             if fair and sum(bool(LETTER.match(c)) for c in token) >= 2 and (entry := self.fitting(token, digits)):
@@ -241,8 +254,10 @@ class Scanner:
     def chunk_hits(self, p: Pass) -> Iterator[Found]:
         """Words written as two to four short pieces."""
         found: list[tuple[int, Found]] = []
-        for m in CHUNKS.finditer(p.text):
+        for m in (ASCII_CHUNKS if p.text.isascii() else CHUNKS).finditer(p.text):
             a, b = m.span()
+            if not self.heads.intersection(FIRST_PIECES.findall(m[0])):
+                continue
             words = [w.span() for w in WORDS.finditer(p.text, a, b)]
             # what joins the run's ends to a word before or after, which is longer
             before = p.text[a - 1] if a > 1 and WORD_END.match(p.text, a - 2) else ""
@@ -283,11 +298,13 @@ class Scanner:
 
     def surviving(self, text: str) -> list[Found]:
         """Candidates in the order of the tiers, without those that an allow phrase covers or a filter drops."""
-        plain, collapsed, sounds = self.passes(text)
+        plain, collapsed, sounds, notes = self.passes(text)
         found = self.exact_hits(text, plain, collapsed) + self.tagged_hits(text)
         for p in plain if self.options.masked else ():
             found += self.masked_hits(p)
-        found += [*self.spelled_hits(plain[-1]), *self.chunk_hits(plain[-1]), *self.sound_hits(sounds)]
+        found += [*self.spelled_hits(plain[-1])] if notes & SPELL else []
+        found += [*self.chunk_hits(plain[-1])] if notes & CHUNK else []
+        found += self.sound_hits(sounds)
         if not found:
             return []
         allowed, o = self.allow_spans(text, plain, collapsed), self.options
