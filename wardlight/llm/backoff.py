@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, training_rest
+from .common import materialize, materialize_by, parts_for, training_rest
 from .packing import bounds, mix, pack, pack_sorted, unpack, unpack_sorted
 
 #: Bytes of text in a block, and of text for each bucket of keys.
-BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 16 << 20, 64
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 16 << 20, 64
 #: Weight of the unigram in a pair's probability.
 MU = 8.0
 #: The end of a text; no word is empty.
@@ -106,24 +106,16 @@ class Block:
         return block
 
 
-def blocks(df: DataFrame, text_col: str, id_col: str, held: F.Column, buckets: int, block_bytes: int) -> DataFrame:
-    """Rows of two kinds: a block with ids, held and its texts as numbers (bucket null), and its keys for each bucket."""
+def blocks(df: DataFrame, text_col: str, id_col: str, held: F.Column, block_bytes: int) -> DataFrame:
+    """A row per block: its name, ids, held and its texts as numbers."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("t"))
-    kind = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("words", "word_counts", "pairs", "pair_counts", "texts")], T.StructField("ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType()))])
+    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("texts", T.BinaryType()), T.StructField("ids", T.ArrayType(df.schema[id_col].dataType)), T.StructField("held", T.ArrayType(T.BooleanType()))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
 
-    def flush(name: str, ids: list, held: list, texts: list) -> Iterator[pa.RecordBatch]:
-        block, weight = Block(texts), 1.0 - np.array(held, float)
-        word_counts, (pairs, _, pair_counts) = block.words(weight), block.pairs(weight)
-        edges = bounds(buckets)
-        a, b = np.append(np.searchsorted(block.keys, edges), len(block.keys)), np.append(np.searchsorted(pairs, edges), len(pairs))
-        out = [(name, None, None, None, None, None, block.dump(), ids, held)]
-        for i in range(buckets):
-            out.append((name, i, pack_sorted(block.keys[a[i] : a[i + 1]]), pack(word_counts[a[i] : a[i + 1]]), pack_sorted(pairs[b[i] : b[i + 1]]), pack(pair_counts[b[i] : b[i + 1]]), None, None, None))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), arrow.field(k).type) for k, c in enumerate(zip(*out, strict=True))], schema=arrow)
+    def flush(name: str, ids: list, held: list, texts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([c], arrow.field(k).type) for k, c in enumerate((name, Block(texts).dump(), ids, held))], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -138,14 +130,33 @@ def blocks(df: DataFrame, text_col: str, id_col: str, held: F.Column, buckets: i
                 texts.append(text)
                 size += len(text or "") + 16
                 if size >= block_bytes:
-                    yield from flush(f"{part}-{n}", ids, held, texts)
+                    yield flush(f"{part}-{n}", ids, held, texts)
                     ids, held, texts, size, n = [], [], [], 0, n + 1
         if ids:
-            yield from flush(f"{part}-{n}", ids, held, texts)
+            yield flush(f"{part}-{n}", ids, held, texts)
 
     return rows.mapInArrow(run, schema)
 
 
+def ask(sent: DataFrame, buckets: int) -> DataFrame:
+    """Each block's distinct words and pairs, with their counts in training texts, dealt to buckets by ranges of the keys."""
+    names = ["block", "bucket", "words", "word_counts", "pairs", "pair_counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, weight = Block.load(batch.column(1)[k].as_py()), 1.0 - np.array(batch.column(2)[k].as_py(), float)
+                word_counts, (pairs, _, pair_counts) = block.words(weight), block.pairs(weight)
+                edges, name = bounds(buckets), batch.column(0)[k].as_py()
+                a, b = np.append(np.searchsorted(block.keys, edges), len(block.keys)), np.append(np.searchsorted(pairs, edges), len(pairs))
+                columns = [[name] * buckets, list(range(buckets))]
+                columns += [[f(v[x:y]) for x, y in zip(e, e[1:], strict=False)] for f, v, e in ((pack_sorted, block.keys, a), (pack, word_counts, a), (pack_sorted, pairs, b), (pack, pair_counts, b))]
+                kinds = [pa.string(), pa.int32(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    return sent.select("block", "texts", "held").mapInArrow(run, "block string, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary")
+
+
 ANSWER = "block string, bucket int, word_totals binary, pair_totals binary, tokens long, distinct long"
 
 
@@ -191,11 +202,10 @@ def score_texts(df: DataFrame, held: F.Column | None = None, text_col: str = "te
     held = training_rest(id_col, 7) == 2 if held is None else held
     size = df.agg(F.sum(F.octet_length(F.col(text_col))).alias("bytes")).first()["bytes"] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
-    sent = materialize(blocks(df, text_col, id_col, held, buckets, block_bytes), "lm-blocks")
-    answers = materialize(add_up(sent.where("bucket is not null").select("block", "bucket", "words", "word_counts", "pairs", "pair_counts")), "lm-totals")
+    sent = materialize_by(blocks(df, text_col, id_col, held, block_bytes), "lm_blocks", "block", parts_for(df.sparkSession, size))
+    answers = materialize(add_up(ask(sent, buckets)), "lm-totals")
     whole = answers.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
     tokens, distinct = whole["tokens"] or 0, whole["distinct"] or 0
-    own = sent.where("bucket is null").select("block", "texts", "ids", "held")
     kind = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -217,7 +227,7 @@ def score_texts(df: DataFrame, held: F.Column | None = None, text_col: str = "te
         n = len(scores)
         return pa.table([texts.column("ids").combine_chunks().flatten().cast(arrow.field(0).type), texts.column("held").combine_chunks().flatten(), pa.array(block.lengths), pa.array(known), pa.array([tokens] * n, pa.int64()), pa.array(np.round(base, 6)), pa.array(np.round(scores, 6))], schema=arrow)
 
-    return own.groupBy("block").cogroup(answers.select("block", "bucket", "word_totals", "pair_totals").groupBy("block")).applyInArrow(run, schema)
+    return sent.groupBy("block").cogroup(answers.select("block", "bucket", "word_totals", "pair_totals").groupBy("block")).applyInArrow(run, schema)
 
 
 def oracle(docs: str = "documents") -> str:
