@@ -97,7 +97,7 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
         found = smallest((grams & ~low) | np.arange(len(grams), dtype=np.uint64), width) & low
         turns = np.flatnonzero(np.diff(found, prepend=found[:1] + np.uint64(1)))
         own = found[turns].astype(np.int64)
-        keys.append(grams[own])
+        keys.append(mix(grams[own], np.uint64(1)))  # smallest hashes lie close together; as keys they are to be spread
         places.append(own + start)
         firsts.append(turns + start)
     places, firsts, keys = np.concatenate(places), np.concatenate(firsts), np.concatenate(keys)
