@@ -160,7 +160,8 @@ def fit(df: DataFrame, settings: Settings = Settings(), text_col: str = "text",
     The driver receives no more than the pieces. None where no row is labelled.
     """
     rows = df.where(F.col(lang_col).isNotNull() & (F.octet_length(F.col(text_col)) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("order"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
-    labels = sorted(r["lang"] for r in rows.groupBy("lang").count().select("lang").collect())
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    labels = sorted(counts)
     if not labels:
         return None
     size, n = settings.train_piece, settings.sample_pieces
@@ -168,7 +169,14 @@ def fit(df: DataFrame, settings: Settings = Settings(), text_col: str = "text",
     cut = rows.select("lang", "order", F.array(*spots).alias("pieces"))
     pieces, target = [], []
     for k, label in enumerate(labels):
-        for r in cut.where(F.col("lang") == label).orderBy("order").limit(settings.sample_docs).select("pieces").collect():
+        own = cut.where(F.col("lang") == label)
+        share = 3 * settings.sample_docs / counts[label]
+        # a bound that leaves about three times the sample, so that tasks send few rows; without it should that fall short
+        some = own.where(F.col("order") < int(-(1 << 63) + share * (1 << 64))) if share < 1 else own
+        found = some.orderBy("order").limit(settings.sample_docs).select("pieces").collect()
+        if len(found) < min(settings.sample_docs, counts[label]):
+            found = own.orderBy("order").limit(settings.sample_docs).select("pieces").collect()
+        for r in found:
             for raw in r["pieces"]:
                 pieces.append((bytes(raw) * (size // max(1, len(raw)) + 1))[:size])
                 target.append(k)
