@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, materialize_by, parts_for, training_rest
+from .common import materialize, materialize_by, parts_for, tidy, training_rest
 from .packing import bounds, mix, pack, pack_sorted, unpack, unpack_sorted
 
 #: Bytes of text in a block, and of text for each bucket of keys.
@@ -134,6 +134,7 @@ def blocks(df: DataFrame, text_col: str, id_col: str, held: F.Column, block_byte
                     ids, held, texts, size, n = [], [], [], 0, n + 1
         if ids:
             yield flush(f"{part}-{n}", ids, held, texts)
+        tidy()
 
     return rows.mapInArrow(run, schema)
 
@@ -153,6 +154,7 @@ def ask(sent: DataFrame, buckets: int) -> DataFrame:
                 columns += [[f(v[x:y]) for x, y in zip(e, e[1:], strict=False)] for f, v, e in ((pack_sorted, block.keys, a), (pack, word_counts, a), (pack_sorted, pairs, b), (pack, pair_counts, b))]
                 kinds = [pa.string(), pa.int32(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        tidy()
 
     return sent.select("block", "texts", "held").mapInArrow(run, "block string, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary")
 
@@ -176,6 +178,7 @@ def add_up(keys: DataFrame) -> DataFrame:
         words, tokens, distinct = totals(get("words"), get("word_counts"))
         pairs, _, _ = totals(get("pairs"), get("pair_counts"))
         n = len(words)
+        tidy()
         return pa.table([pa.array(get("block")), pa.array(get("bucket"), pa.int32()), pa.array(words, pa.binary()), pa.array(pairs, pa.binary()), pa.array([tokens] + [0] * (n - 1), pa.int64()), pa.array([distinct] + [0] * (n - 1), pa.int64())], schema=arrow)
 
     return keys.groupBy("bucket").applyInArrow(run, ANSWER)
@@ -225,6 +228,7 @@ def score_texts(df: DataFrame, held: F.Column | None = None, text_col: str = "te
         base = np.add.reduceat(root[block.tokens], starts)
         scores = [model.score(block.tokens[a:b].tolist(), block.end) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         n = len(scores)
+        tidy()
         return pa.table([texts.column("ids").combine_chunks().flatten().cast(arrow.field(0).type), texts.column("held").combine_chunks().flatten(), pa.array(block.lengths), pa.array(known), pa.array([tokens] * n, pa.int64()), pa.array(np.round(base, 6)), pa.array(np.round(scores, 6))], schema=arrow)
 
     return sent.groupBy("block").cogroup(answers.select("block", "bucket", "word_totals", "pair_totals").groupBy("block")).applyInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import uuid
@@ -26,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy() -> None:
+    """Gives memory that a Python worker has freed back to the system; workers are kept, and others need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only glibc has it
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; only where none is named, a local one (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -82,6 +92,7 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str, fn: Ca
                 columns = [batch.column(i).cast(arrow.field(i).type) for i in range(n)]
                 columns += [pa.array(list(c), type=arrow.field(n + i).type) for i, c in enumerate(zip(*found, strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        tidy()
 
     return rows.mapInArrow(run, out).toDF(*keep, *made.names)
 

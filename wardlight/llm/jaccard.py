@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, materialize_by, parts_for
+from .common import materialize, materialize_by, parts_for, tidy
 from .graph import components
 from .packing import bounds, mix, pack, pack_sorted, unpack, unpack_sorted
 
 #: Two sets link when PERCENT * union <= 100 * intersection.
 PERCENT, SHINGLE = 90, 3
-BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 6 << 20, 16 << 20, 64
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 16 << 20, 64
 #: Cost of verifying a candidate, against reading one entry of a list; the most matches that are asked for.
 VERIFY_COST, MOST_MATCHES = 8.0, 8
 #: Rounds of comparing each list's first node with the others before the remaining pairs are made.
@@ -116,6 +116,7 @@ def blocks(df: DataFrame, text_col: str, id_col: str, size: int, block_bytes: in
                     ids, texts, total, n = [], [], 0, n + 1
         if ids:
             yield flush(f"{part}-{n}", ids, texts)
+        tidy()
 
     return rows.mapInArrow(run, schema)
 
@@ -143,6 +144,7 @@ def ask(sent: DataFrame, buckets: int) -> DataFrame:
                 parts = list(zip(edges, edges[1:], strict=False))
                 columns = [pa.array([name] * buckets), pa.array(range(buckets), pa.int32()), pa.array([pack_sorted(keys[a:b]) for a, b in parts], pa.binary()), pa.array([pack(counts[a:b]) for a, b in parts], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "keys", "counts"])
+        tidy()
 
     return sent.select("block", "keys", "sets", "digests", "sizes").mapInArrow(run, "block string, bucket int, keys binary, counts binary")
 
@@ -156,6 +158,7 @@ def add_up(keys: DataFrame) -> DataFrame:
         added = np.bincount(at, np.concatenate([unpack(c) for c in group.column("counts").to_pylist()]).astype(float), len(found)).astype(np.uint64)
         ends = np.cumsum([len(p) for p in parts])
         totals = [pack(added[at[e - len(p) : e]]) for p, e in zip(parts, ends, strict=True)]
+        tidy()
         return pa.table([group.column("block"), group.column("bucket"), pa.array(totals, pa.binary())], names=["block", "bucket", "totals"])
 
     return keys.groupBy("bucket").applyInArrow(run, "block string, bucket int, totals binary")
@@ -187,6 +190,7 @@ def prefixes(sent: DataFrame, totals: DataFrame, percent: int) -> DataFrame:
             prefix = own[order[: base + matches]]
             spots = np.flatnonzero(frequency[prefix] > 1)
             out.append((digest, n, matches, np.bincount(common[common <= MOST_COPIES], minlength=MOST_COPIES + 1)[1:].tolist(), keys[prefix[spots]].astype(np.int64).tolist(), spots.tolist(), pack_sorted(keys[own])))
+        tidy()
         columns = list(zip(*out, strict=True)) if out else [[]] * len(arrow)
         return pa.table([pa.array(list(c), arrow.field(k).type) for k, c in enumerate(columns)], schema=arrow)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import training_rest
+from .common import tidy, training_rest
 
 LETTER = regex.compile(r"\p{L}")
 
@@ -244,6 +244,7 @@ def identify(df: DataFrame, net: Network | None, text_col: str = "text", keep: l
                 columns = [part.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(np.clip(scores, 0.0, 1.0), pa.float64())], schema=arrow)
                 at = stop
+        tidy()
 
     return rows.mapInArrow(run, schema)
 

@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, materialize_by, parts_for
+from .common import materialize, materialize_by, parts_for, tidy
 from .packing import bounds, mix, pack, pack_sorted, unpack, unpack_sorted
 
 #: A repeat is a string of LENGTH bytes; anchors are strings of GRAM bytes.
 LENGTH, GRAM = 400, 64
 #: Symbols that blocks are refined to; enough for windows with up to LEVELS - 1 anchors inside.
 LEVELS = 4
-SHARD_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 6 << 20, 32 << 20, 64
+SHARD_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 32 << 20, 64
 #: Window starts hashed at once.
 CHUNK = 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -320,6 +320,7 @@ def shards(df: DataFrame, text_col: str, id_col: str, length: int, gram: int, sh
                     ids, texts, total, n = [], [], 0, n + 1
         if ids:
             yield flush(f"{part}-{n}", ids, texts)
+        tidy()
 
     return rows.mapInArrow(run, schema)
 
@@ -339,6 +340,7 @@ def add_up(asked: DataFrame) -> DataFrame:
         answer[first] += np.uint64(1)
         ends = np.cumsum([len(p) for p in parts])
         packed = [pack(answer[e - len(p) : e]) for p, e in zip(parts, ends, strict=True)]
+        tidy()
         return pa.table([group.column("shard"), group.column("kind"), group.column("bucket"), pa.array(packed, pa.binary())], names=["shard", "kind", "bucket", "answer"])
 
     return asked.groupBy("kind", "bucket").applyInArrow(run, ANSWER)
@@ -370,6 +372,7 @@ def ask(sent: DataFrame, answers: DataFrame, kinds: list[str], buckets: int, len
             keys, numbers = shard.sends(kind, have, texts)
             edges = np.append(np.searchsorted(keys, bounds(buckets)), len(keys))
             rows += [(name, kind, i, pack_sorted(keys[a:b]), pack(numbers[a:b])) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+        tidy()
         fields = [("shard", pa.string()), ("kind", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary())]
         return pa.table([pa.array(list(c), t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
 
@@ -401,6 +404,7 @@ def per_text(df: DataFrame, text_col: str, id_col: str, made: T.StructType, fn,
         texts = texts_of(own.column("texts")[0].as_py(), shard.sizes)
         gone = shard.removed(known(so_far), texts)
         rows = [fn(raw, gone.get(k)) for k, raw in enumerate(texts)]
+        tidy()
         ids = own.column("ids").combine_chunks().flatten().cast(arrow.field(0).type)
         return pa.table([ids, *[pa.array(list(c), arrow.field(k + 1).type) for k, c in enumerate(zip(*rows, strict=True))]], schema=arrow)
 
