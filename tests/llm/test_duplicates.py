@@ -81,6 +81,13 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{f"p{i:02}": "p00" for i in range(31)}, **{f"s{i:02}": "s00" for i in range(9)}}
 
 
+def test_components_of_a_long_chain_of_random_names(spark):
+    names = [f"{i:04}" for i in range(1000)]
+    random.Random(7).shuffle(names)
+    links = spark.createDataFrame(list(zip(names, names[1:])), "a string, b string")
+    assert {r.node: r.label for r in graph.components(links).collect()} == dict.fromkeys(names, "0000")
+
+
 def plain_removed(texts, length):
     windows = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
