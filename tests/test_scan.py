@@ -195,6 +195,32 @@ def test_messages(spark, tmp_path):
     assert sorted(spark.table("answers").collect(), key=repr) == sorted(batch, key=repr)
 
 
+def test_message_arguments(spark):
+    from wardlight.streaming import messages
+
+    entries = (Entry("en", "blort", 1, skeleton_safe=False), Entry("en", "blaarta", 4, romanizations=("blaarta",)), Entry("en", "zonk", 2, skeleton_safe=False))
+    options = Options(packs=(Pack("en", "English", entries),))
+    assert [(c.entry.severity, c.tier) for c in kernel.scanner(options).surviving("a blort")] == [(1, "exact"), (4, "skeleton")]
+    asked = [
+        ("check_text", {"text": "a blort", "minSeverity": 3}),
+        ("check_text", {"text": "a blort"}),
+        ("scan_text", {"text": "a blort", "minSeverity": 3}),
+        ("censor_text", {"text": "a zonk", "mask": "#"}),
+        ("censor_text", {"text": "a zonk", "keepFirst": True}),
+        ("censor_text", {"text": "zonk blaarta", "minSeverity": 3, "mask": "-", "keepFirst": True}),
+        ("censor_text", {"text": "a zonk", "minSeverity": 3}),
+        ("censor_text", {"text": "", "mask": "#"}),
+        ("censor_text", {"text": "a zonk"}),
+    ]
+    lines = [(json.dumps({"jsonrpc": "2.0", "id": i, "method": m, "params": p}),) for i, (m, p) in enumerate(asked)]
+    got = {r.id: json.loads(r.result) for r in messages.answer(spark.createDataFrame(lines, "value string"), options).collect()}
+    assert (got[0]["clean"], got[0]["matchCount"], got[0]["maxSeverity"]) == (False, 1, 4)
+    assert (got[1]["matchCount"], got[1]["maxSeverity"]) == (1, 1)
+    assert [(m["severity"], m["tier"]) for m in got[2]["matches"]] == [(4, "skeleton")]
+    assert [got[i]["censored"] for i in range(3, 9)] == ["a ####", "a z***", "zonk b------", "a zonk", "", "a ****"]
+    assert [got[i]["matchCount"] for i in range(3, 9)] == [1, 1, 1, 0, 0, 1] and "censored" not in got[1]
+
+
 def test_severity_windows(spark):
     from pyspark.sql import functions as F
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..sources.lexicon import PACKS, Options
-from .kernel import Found, scanner
+from .kernel import Found, resolve, scanner
 
 # Offsets count UTF-16 units (start, end); char_start and char_end count characters, as SQL's substring does.
 MATCH = "struct<lemma:string,surface:string,tier:string,language:string,severity:int,categories:array<string>,casual_use:boolean,start:int,end:int,char_start:int,char_end:int>"
@@ -40,6 +40,26 @@ def scan(col: Column | str, options: Options = Options()) -> Column:
     return run(F.col(col) if isinstance(col, str) else col)
 
 
+def scan_each(text: Column, least: Column, mask: Column, keep_first: Column, hide: Column, options: Options = Options()) -> Column:
+    """As scan, with arguments of each row, and `censored`: the text masked at these same matches where hide holds.
+
+    Candidates of a severity under least go before overlaps are resolved, so they hide no others.
+    """
+
+    @F.pandas_udf(f"{RESULT}, censored string")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        find = scanner(options).surviving
+        for batch in batches:
+            found, censored = [], []
+            for x, low, m, first, wanted in zip(*batch, strict=True):
+                kept = resolve([c for c in find(x) if c.entry.severity >= low]) if x else []
+                found.append([as_dict(x, c) for c in kept])
+                censored.append(texts.censor_text(x, [(c.start, c.end) for c in kept], m, bool(first)) if wanted and x is not None else None)
+            yield pd.DataFrame({"matches": found, "max_severity": pd.array([max((m["severity"] for m in ms), default=None) for ms in found], dtype="Int32"), "censored": pd.Series(censored, dtype="object")})
+
+    return run(text, least, mask, keep_first, hide)
+
+
 def is_clean(col: Column | str, options: Options = Options()) -> Column:
     """Whether scan finds nothing; null texts are clean."""
 

@@ -32,12 +32,14 @@ def answer(lines: DataFrame, options: Options = Options()) -> DataFrame:
         .when(m["params"]["mask"] == "", INVALID_PARAMS)
         .when(~m["params"]["minSeverity"].between(0, 4), INVALID_PARAMS)
     )
-    rows = read.select(m["id"].alias("id"), m["method"].alias("method"), m["params"]["text"].alias("text"), F.coalesce(m["params"]["minSeverity"], F.lit(0)).alias("least"), code.alias("error"))
+    params = m["params"]
+    given = [F.coalesce(params["minSeverity"], F.lit(0)).alias("least"), F.coalesce(params["mask"], F.lit("*")).alias("mask"), F.coalesce(params["keepFirst"], F.lit(False)).alias("keep_first")]
+    rows = read.select(m["id"].alias("id"), m["method"].alias("method"), params["text"].alias("text"), *given, code.alias("error"))
     rows = rows.withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
-    found = rows.withColumn("scan_", moderation.scan("text", options)).withColumn("censored_", F.when(F.col("method") == "censor_text", moderation.censor("text", options)))
-    matches = F.filter("scan_.matches", lambda x: x["severity"] >= F.col("least"))
-    top = F.array_max(F.transform(matches, lambda x: x["severity"]))
-    result = F.struct((F.size(matches) == 0).alias("clean"), F.size(matches).alias("matchCount"), top.alias("maxSeverity"), F.when(F.col("method") == "scan_text", matches).alias("matches"), F.col("censored_").alias("censored"))
+    hide = F.coalesce(F.col("method") == "censor_text", F.lit(False))
+    found = rows.withColumn("scan_", moderation.scan_each(F.col("text"), F.col("least"), F.col("mask"), F.col("keep_first"), hide, options))
+    matches = F.col("scan_.matches")
+    result = F.struct((F.size(matches) == 0).alias("clean"), F.size(matches).alias("matchCount"), F.col("scan_.max_severity").alias("maxSeverity"), F.when(F.col("method") == "scan_text", matches).alias("matches"), F.col("scan_.censored").alias("censored"))
     return found.select("id", "method", F.when(F.col("error").isNull() & (F.col("method") != "ping"), F.to_json(result)).alias("result"), "error")
 
 
