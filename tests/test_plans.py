@@ -1,12 +1,14 @@
 """Relational plans: agreement with the kernel, overlaps against the kernel's, plan shapes, oracle queries at the smallest scale."""
 
 import random
+import re
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from wardlight.functions import evade
+from wardlight.functions import evade, texts
 from wardlight.operators import kernel
 from wardlight.plans import queries, relational, reports
 from wardlight.sources import lexicon
@@ -84,3 +86,19 @@ def test_evenly_spaced_sample(spark):
 def test_languages(spark):
     rows = {r.language: r for r in lexicon.list_languages(lexicon.to_frame(spark)).collect()}
     assert rows["hi"].lemma_count == 2 and rows["hi"].scripts == ["Deva"] and rows["en"].load_order == 0
+
+
+def test_folds_of_every_word(spark, tmp_path):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abehiopxzé0134579@!|$-.,'’ñ̈🔥мङ") for _ in range(rng.randrange(1, 9))) for _ in range(600)] + ["phooone", "s3lf-made", "don't", "café,", "4x4", "aaa!!!"]
+    spark.createDataFrame([(k, w, "en", "x") for k, w in enumerate([*words, *words[:50]])], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    folds = {
+        "fold_pairs_all": lambda w: texts.run(texts.PAIRS, w),
+        "fold_singles_all": lambda w: texts.run(texts.SINGLES, w),
+        "fold_marks_all": lambda w: texts.run(texts.MARKS, re.sub("([aeiou])", "\\1\u0308", w)),
+        "fold_leet_all": lambda w: texts.run([texts.Leet()], w.translate(str.maketrans("eio", "310"))),
+    }
+    many = Counter([*words, *words[:50]])
+    for name, fold in folds.items():
+        rows = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert {(r.token, r.folded, r.n) for r in rows} == {(w, fold(w), n) for w, n in many.items()} and len(rows) == len(many), name
