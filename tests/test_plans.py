@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import duckdb
@@ -102,3 +103,21 @@ def test_folds_of_every_word(spark, tmp_path):
     for name, fold in folds.items():
         rows = queries.QUERIES[name](spark, str(tmp_path)).collect()
         assert {(r.token, r.folded, r.n) for r in rows} == {(w, fold(w), n) for w, n in many.items()} and len(rows) == len(many), name
+
+
+def test_keep_first_over_every_document(spark, tmp_path):
+    rng = random.Random(8)
+    pieces = ["thing", "Thing", "things", "éthing", "thingé", "_thing", "thing2", "“thing”", "naïve", "🔥", "🔥thing🔥", "ङthing", "thing\u0308", "a", " ", " ", ", ", "\n"]
+    rows = [(k, None if k == 7 else "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))), rng.choice(["en", "de", "fr", "es", None]), "x") for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    letter = lambda c: c == "_" or unicodedata.category(c)[0] in "LMN"
+    want = {}
+    for k, text, _, _ in rows:
+        out = low = (text or "").lower()
+        for i in range(len(low) - 4):
+            if low[i : i + 5] == "thing" and not letter(low[i - 1 : i] or " ") and not letter(low[i + 5 : i + 6] or " "):
+                out = out[: i + 1] + "****" + out[i + 5 :]
+        if out != low:
+            want[k] = out
+    got = queries.QUERIES["censor_keep_first_all"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.censored for r in got} == want and len(got) == len(want) > 50

@@ -198,6 +198,7 @@ def picture_hits(spark, sf):
 # --- vetoes, merging, overlaps, spans ---------------------------------------------------------
 
 ALLOW = "ering the"
+WHOLE_WORD = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_]){WORD}(?![\p{{L}}\p{{M}}\p{{N}}_])"
 #: The one-word forms as whole words.
 ONE_OF = r"(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(f for f in DEFAULT.exact if " " not in f) + r")(?![\p{L}\p{M}\p{N}])"
 SPANS_SQL = rf"""placed AS (SELECT doc_id, lower(text) AS l, regexp_extract_all(lower(text), '{W}') AS ts, regexp_split_to_array(lower(text), '{W}') AS gs FROM documents),
@@ -257,6 +258,14 @@ def censor_keep_first(spark, sf):
     return found.join(at, "doc_id").select("doc_id", moderation.censor_spans("text", "spans", "*", True).alias("censored"))
 
 
+@query()
+def censor_keep_first_all(spark, sf):
+    """As censor_keep_first, over documents of every language and script."""
+    found = docs(spark, sf).withColumn("text", F.lower("text"))
+    at = r.spans(found, "text", WHOLE_WORD).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return found.join(at, "doc_id").select("doc_id", moderation.censor_spans("text", "spans", "*", True).alias("censored"))
+
+
 # --- folds ------------------------------------------------------------------------------------
 
 
