@@ -121,3 +121,20 @@ def test_keep_first_over_every_document(spark, tmp_path):
             want[k] = out
     got = queries.QUERIES["censor_keep_first_all"](spark, str(tmp_path)).collect()
     assert {r.doc_id: r.censored for r in got} == want and len(got) == len(want) > 50
+
+
+def test_hidden_hits_of_every_term(spark, tmp_path):
+    exact = queries.DEFAULT.exact
+    terms = sorted(f for f in exact if re.fullmatch("[a-z]{5,8}", f) and not re.search(r"(.)\1", f))
+    assert "thing" in terms and len(terms) > 3
+    hide = {"spelled_hits_all": ".".join, "chunked_hits_all": lambda f: f"{f[:3]}-{f[3:]}", "collapsed_hits_all": lambda f: f[:2] + f[2] * 3 + f[3:]}
+    for name, hidden in hide.items():
+        rows = [(k, f"so , {hidden(f)} , and {hidden(f)} ; plain", "en", "x") for k, f in enumerate(terms)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = queries.QUERIES[name](spark, str(tmp_path / name)).collect()
+        by = ["doc_id", "lemma", *(["language"] if "language" in got[0] else [])]
+        want = Counter()
+        for k, f in enumerate(terms):
+            for e in dict.fromkeys(exact[f]):
+                want[(k, e.lemma, e.language)[: len(by)]] += 2
+        assert {tuple(r[c] for c in by): r.n for r in got} == want, name

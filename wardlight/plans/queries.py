@@ -164,6 +164,27 @@ def chunked_hits(spark, sf):
     return r.token_hits(r.chunked_words(put), lexicon.form_table(spark)).where(F.col("token") == WORD).groupBy("doc_id", "lemma", "language").agg(F.count("*").alias("n"))
 
 
+@query()
+def collapsed_hits_all(spark, sf):
+    """As collapsed_hits, with those of every other term."""
+    put = docs(spark, sf).withColumn("text", F.regexp_replace("text", F.lit(rf"\b{WORD}\b"), F.expr(STRETCHED)))
+    return r.collapsed_hits(r.tokens(put), lexicon.form_table(spark)).groupBy("doc_id", "lemma").agg(F.count("*").alias("n"))
+
+
+@query()
+def spelled_hits_all(spark, sf):
+    """As spelled_hits, with those of every other term."""
+    put = docs(spark, sf).withColumn("text", F.regexp_replace("text", rf"\b{WORD}\b", ", t.h.i.n.g ,"))
+    return r.token_hits(r.spelled_words(put), lexicon.form_table(spark)).groupBy("doc_id", "lemma", "language").agg(F.count("*").alias("n"))
+
+
+@query()
+def chunked_hits_all(spark, sf):
+    """As chunked_hits, with those of every other term."""
+    put = docs(spark, sf).withColumn("text", F.regexp_replace("text", rf"\b{WORD}\b", ", th-ing ,"))
+    return r.token_hits(r.chunked_words(put), lexicon.form_table(spark)).groupBy("doc_id", "lemma", "language").agg(F.count("*").alias("n"))
+
+
 def sound_sql(w: str) -> str:
     """skeleton_key in SQL; RE2 has no backreferences, so doubles go letter by letter."""
     for group, sound in t.SOUNDS.items():
