@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -139,7 +140,88 @@ def test_conversations(spark):
         assert found[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
         loss = "".join(x for _, r, x in own if r == "assistant")
         assert (found[conv].loss_chars, found[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    whole = {r.conv_id: r for r in chat.assemble(chat.format_turns(df, RANKS, public_tokenizers.PATTERN)).collect()}
     template = chat.Template(RANKS, public_tokenizers.PATTERN)
-    assert template.read(whole[1].ids) == [("user", ""), ("assistant", "<|im_end|>"), ("assistant", "<|im_end|>")]
-    assert len(whole[2].mask) == len(whole[2].ids) == found[2].n_tokens
+    for piece in (1, 7, 1 << 16):
+        strings = {}
+        for r in sorted(chat.assemble(chat.format_turns(df, RANKS, public_tokenizers.PATTERN), piece).collect(), key=lambda r: r.piece):
+            ids, mask = strings.setdefault(r.conv_id, ([], []))
+            ids += np.frombuffer(r.ids, "<i4").tolist()
+            mask += list(r.mask)
+        assert template.read(strings[1][0]) == [("user", ""), ("assistant", "<|im_end|>"), ("assistant", "<|im_end|>")]
+        assert all(len(strings[c][0]) == len(strings[c][1]) == found[c].n_tokens for c in strings)
+        again = chat.conversation_digest(df, RANKS, public_tokenizers.PATTERN, piece)
+        assert sorted(again.collect(), key=str) == sorted(found.values(), key=str)
+    assert chat.conversation_digest(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_long_turn_and_a_long_conversation(spark):
+    rows = [(1, 0, "assistant", "long words " * 60_000)] + [(2, t, "user", f"turn {t}") for t in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat.conversation_digest(df, RANKS, public_tokenizers.PATTERN, 1000).collect()}
+    assert found[1].loss_sha256 == hashlib.sha256(rows[0][3].encode()).hexdigest() and found[2].n_turns == 3000
+
+
+def test_a_file_byte_by_byte():
+    """The file of 64 zero bytes, written out here from the format's description."""
+    vint = lambda n: bytes([0x80 | n]) if n < 127 else bytes([0x40 | n >> 8, n & 255])
+    made = lambda i, body: bytes.fromhex(i) + vint(len(body)) + body
+    head = made("1a45dfa3", bytes.fromhex("428681 01 42f781 01 42f281 04 42f381 08 428288") + b"matroska" + bytes.fromhex("428781 04 428581 02"))
+    info = made("1549a966", bytes.fromhex("2ad7b183 0f4240 4d8089") + b"wardlight" + bytes.fromhex("574189") + b"wardlight")
+    audio = made("e1", bytes.fromhex("b588 40bf400000000000 9f81 01 626481 08"))
+    track = made("ae", bytes.fromhex("d781 01 73c581 01 8381 02 9c81 01 23e38384 0f424000 868d") + b"A_PCM/INT/LIT" + audio)
+    tracks = made("1654ae6b", track)
+    cluster = made("1f43b675", bytes.fromhex("e781 00") + made("a3", bytes.fromhex("81 0000 80") + bytes(64)))
+    place = len(info) + len(tracks)
+    cues = made("1c53bb6b", made("bb", bytes.fromhex("b381 00") + made("b7", bytes.fromhex("f781 01 f181") + bytes([place]))))
+    assert matroska.mux(bytes(64)) == head + made("18538067", info + tracks + cluster + cues)
+
+
+def file_of(*blocks, duration=b"", cue=""):
+    tracks = bytes.fromhex("1654ae6b") + matroska.write_vint(5 + len(duration)) + b"\xae" + matroska.write_vint(3 + len(duration)) + bytes.fromhex("d78101") + duration
+    body = bytes.fromhex("e78105") + b"".join(blocks)
+    cluster = bytes.fromhex("1f43b675") + matroska.write_vint(len(body)) + body
+    return bytes.fromhex("1a45dfa380 18538067 01ffffffffffffff") + tracks + cluster + bytes.fromhex(cue)
+
+
+def test_key_frames_and_times():
+    """Block groups that refer to others are no key frames; laced frames follow each other by the default or the block's duration."""
+    simple = bytes.fromhex("a387 81 0002 00 616263")
+    key, other = bytes.fromhex("a088 a186 81 0003 00 6162"), bytes.fromhex("a08b a186 81 0004 00 6162 fb8101")
+    got = matroska.parse(file_of(simple, key, other)).packets
+    assert [(p[1], p[3], p[4]) for p in got] == [(7_000_000, 3, False), (8_000_000, 2, True), (9_000_000, 2, False)]
+    laced = bytes.fromhex("a08e a189 81 0006 04 01 61626364 9b8104")
+    assert [(p[1], p[3], p[5]) for p in matroska.parse(file_of(laced)).packets] == [(11_000_000, 2, 0), (13_000_000, 2, 1)]
+    timed = matroska.parse(file_of(laced, duration=bytes.fromhex("23e38383 0f4240"))).packets
+    assert [p[1] for p in timed] == [11_000_000, 12_000_000]
+
+
+def test_lacing_of_the_format_description():
+    """The sizes 800, 500 and 1000 of its example: 0x4320, 0x5ED3 in differences; runs of 255 in the older way."""
+    assert matroska.frame_sizes(b"\x02\x43\x20\x5e\xd3" + bytes(2300), 0, 2305, matroska.EBML_LACED) == ([800, 500, 1000], 5)
+    assert matroska.frame_sizes(b"\x02\xff\xff\xff\x23\xff\xf5" + bytes(2300), 0, 2307, matroska.XIPH) == ([800, 500, 1000], 7)
+    assert matroska.lace([bytes(800), bytes(500), bytes(1000)])[1][:5] == b"\x02\x43\x20\x5e\xd3"
+
+
+def test_cues_lead_to_clusters():
+    samples = bytes(range(256)) * 1500
+    parsed = matroska.parse(matroska.mux(samples))
+    assert len(parsed.cues) == len(parsed.clusters) == 2 and set(parsed.cued()) == {c[0] for c in parsed.cues}
+    assert [p[1] for p in parsed.packets[:9]] == [k * 256_000_000 for k in range(9)]
+    with pytest.raises(ValueError, match="leads to no cluster"):
+        matroska.parse(file_of(cue="1c53bb6b8d bb8b b38105 b786 f78101 f18107"))
+
+
+def test_packet_table_replaces_columns_of_its_names(spark):
+    df = spark.createDataFrame([(1, "x", [1], bytearray(matroska.mux(bytes(64))))], "k int, error string, packets array<int>, media binary")
+    row = matroska.packet_table(df, "media", ["k", "error", "packets"]).first()
+    assert (row.k, row.packets, row.track, row["size"], row.error, row.cue_ns) == (1, [1], 1, 64, None, 0)
+
+
+def test_long_texts(spark):
+    texts = ["word " * 200_000, "é" * 300_000, " " * 300_000]
+    media = {r.doc_id: r for r in matroska.media_digest(rows_of(spark, texts)).collect()}
+    ids = {r.doc_id: r for r in bpe.round_trip(rows_of(spark, texts), RANKS, public_tokenizers.PATTERN).collect()}
+    for k, text in enumerate(texts):
+        raw = text.encode()
+        assert media[k].payload_sha256 == hashlib.sha256(raw + bytes(-len(raw) % 64)).hexdigest()
+        assert ids[k].decoded_sha256 == hashlib.sha256(raw).hexdigest()

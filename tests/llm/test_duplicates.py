@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from wardlight.llm import graph, jaccard, suffixes
+from wardlight.llm import exchange, graph, jaccard, suffixes
 
 
 def shingles(text, size=3):
@@ -100,16 +100,18 @@ def plain_removed(texts, length):
     return out
 
 
-def merged(groups, length, gram):
+def merged(groups, length, gram, forget=""):
     shards = [suffixes.Shard.load(suffixes.Shard.of(g, length, gram).dump(), length, gram) for g in groups]
-    answers = [{} for _ in shards]
-    for kind in ["s0", *[f"x{h}" for h in range(1, suffixes.LEVELS + 1)], "u", "w"]:
-        sent = [s.sends(kind, a, g) for s, a, g in zip(shards, answers, groups)]
-        found, first, at = np.unique(np.concatenate([k for k, _ in sent]), return_index=True, return_inverse=True)
-        sums = np.bincount(at, np.concatenate([n for _, n in sent]).astype(float), len(found)).astype(np.int64)
-        answer, place = 2 * sums[at], 0
-        answer[first] += 1
-        for (keys, _), a in zip(sent, answers):
+    answers, most, kinds = [{} for _ in shards], max(s.most_touched() for s in shards), []
+    while suffixes.STEP ** len(kinds) <= most:
+        kinds.append(f"x{suffixes.STEP ** len(kinds)}")
+    for kind in [*kinds, "c", "u", "w"]:
+        sent = [s.sends(kind, a, lambda g=g: g) for s, a, g in zip(shards, answers, groups)]
+        first, at, _, _, sums = exchange.distinct(*map(np.concatenate, zip(*sent)))
+        if kind[0] == "x":
+            sums = np.where(sums > (1 << 62 if kind == forget else 1), np.arange(1, len(sums) + 1, dtype=np.uint64), np.uint64(0))
+        answer, place = (sums[at] << np.uint64(2)) | exchange.flags(first, at), 0
+        for (keys, _, _), a in zip(sent, answers):
             a[kind] = answer[place : place + len(keys)]
             place += len(keys)
     return [s.removed(a, g) for s, a, g in zip(shards, answers, groups)]
@@ -132,25 +134,42 @@ def test_merge_of_shards(seed, monkeypatch):
 
 
 def test_transform_and_order():
-    """The shard's order is that of its suffixes by LEVELS symbols, and the transform holds the symbols before."""
-    shard = suffixes.Shard.of([b"abcabcabdabc" * 30, b"xyzabcabcabd" * 30], 24, 4)
-    number = np.unique(shard.symbols, return_inverse=True)[1]
-    suffix = [tuple(number[i : min(i + suffixes.LEVELS, shard.last[i] + 1)]) for i in range(len(number))]
+    """The shard's order is that of its whole suffixes, common their common prefixes, and back steps to the symbol before."""
+    shard = suffixes.Shard.of([b"abcabcabdabc" * 30, b"xyzabcabcabd" * 30, b"abcabcabdabc" * 30], 24, 4)
+    number = exchange.distinct(*shard.keys, np.zeros(len(shard.order), np.uint64))[1]
+    suffix = [tuple(number[i : shard.last[i] + 1]) for i in range(len(number))]
     ordered = [suffix[i] for i in shard.order]
     assert ordered == sorted(ordered)
     for place, i in enumerate(shard.order):
         starts = i == 0 or shard.last[i - 1] != shard.last[i]
-        assert (shard.lf[place] == -1) == starts
-        assert starts or (shard.order[shard.lf[place]] == i - 1 and shard.before[place] == shard.symbols[i - 1])
-
-
-def test_dedup_digest(spark):
+        assert (shard.back[place] == -1) == starts and (starts or shard.order[shard.back[place]] == i - 1)
+        if place:
+            a, b = ordered[place - 1], ordered[place]
+            assert shard.common[place] == (suffixes.WHOLE if a == b else next(k for k in range(len(b)) if a[k : k + 1] != b[k : k + 1]))
+
+
+def test_nothing_is_found_without_the_merge():
+    """Forgetting the blocks of a level loses repeats: windows are found by blocks alone."""
+    rng = random.Random(3)
+    noise = lambda n: bytes(rng.choice(b"abcdefghij ") for _ in range(n))
+    passage = noise(900)
+    groups = [[noise(300) + passage + noise(200), noise(500)], [noise(350) + passage[100:700]]]
+    whole, want = merged(groups, 400, 32), plain_removed([t for g in groups for t in g], 400)
+    assert [whole[0][0].sum(), whole[1][0].sum()] == [want[0].sum(), want[2].sum()] == [600, 600]
+    assert merged(groups, 400, 32, "x1") == [{}, {}]
+    assert sum(m.sum() for found in merged(groups, 400, 32, "x4") for m in found.values()) < 1200
+
+
+@pytest.mark.parametrize("fan", [128, 3])
+def test_dedup_digest(spark, monkeypatch, fan):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdéß ") for _ in range(rng.randrange(1, 9)))
     passage = "".join(word() for _ in range(150))
     texts = [None, "", "x" * 399, "x" * 400, "y" * 401, passage, "a" + passage[:450] + "b", word() * 300]
     texts += ["".join(word() for _ in range(200)) for _ in range(10)] + [passage + "".join(word() for _ in range(50)) + passage]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "twin " + texts[9]), (None, "twin " + texts[9])]
+    monkeypatch.setattr(exchange, "FAN", fan)
+    monkeypatch.setattr(suffixes, "LEAST_RANGES", 9)
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_bytes int").repartition(3)
     raw = [(t or "").encode() for _, t in rows]
     want = Counter()
@@ -191,7 +210,7 @@ def test_pipeline_stages(spark, tmp_path):
     components = {d: c for d, _, c in plain_components([(r.doc_id, r.text) for r in langs], 5, 80)}
     assert {r.doc_id for r in near} == {d for d, c in components.items() if d == c}
     raw = [r.text.encode() for r in near]
-    left = {r.doc_id: np.frombuffer(b, np.uint8)[~m].tobytes().decode("utf-8", "ignore") for r, b, m in zip(near, raw, plain_removed(raw, 400))}
+    left = {r.doc_id: np.frombuffer(b, np.uint8)[~m].tobytes().decode("utf-8", "ignore") for r, b, m in zip(near, raw, plain_removed(raw, corpus_pipeline.REPEAT_BYTES))}
     assert {r.doc_id: r.text for r in cut} == {d: t for d, t in left.items() if t.split()}
     assert set(mixed) <= set(cut) and len(ids) == len(mixed) and all(len(r.ids) == r.n_tokens for r in ids)
     empty = corpus_pipeline.language(spark, df.limit(0), "")

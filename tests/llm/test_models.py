@@ -59,25 +59,48 @@ def test_language_id(spark):
     assert langid.identify(df.limit(0), net).count() == 0
 
 
-def test_pieces_of_one_text_count_alike():
-    net = langid.Network(["a", "b"], SMALL)
-    raw = b"abc" * 200
-    one = langid.predict_bytes(net, [raw, b"", b"x"], 128)
-    assert np.allclose(one[0], langid.predict_bytes(net, [raw], 128)[0], atol=1e-6) and not one[1].any() and abs(one[2].sum() - 1) < 1e-5
+def test_positions_and_documents_agree():
+    """Documents are the mean of their positions, each of which is labelled once, with the bytes around its piece."""
+    rng = random.Random(4)
+    words = {"a": ["the", "house", "is"], "b": ["das", "grüne", "haus"]}
+    raws = [" ".join(rng.choice(words["ab"[k % 2]]) for _ in range(30)).encode()[:32] for k in range(200)]
+    net = langid.train(np.frombuffer(b"".join(raws), np.uint8).reshape(-1, 32), np.arange(200) % 2, ["a", "b"], langid.Settings(steps=200, train_piece=32, batch=64))
+    parts = [" ".join(rng.choice(words["ab"[k % 2]]) for _ in range(40)) + " " for k in range(10)]
+    raw = "".join(parts).encode()
+    for settings in (SMALL, langid.Settings(piece=1, overlap=9), langid.Settings(piece=5000, overlap=3)):
+        plain = np.zeros((len(raw), 2))
+        for at in range(0, len(raw), settings.piece):  # each piece by itself
+            a, b = max(0, at - settings.overlap), min(len(raw), at + settings.piece + settings.overlap)
+            found = net.positions(np.frombuffer(raw[a:b], np.uint8)[None, :], np.array([b - a]))[:, :, 0]
+            stop = min(len(raw), at + settings.piece)
+            plain[at:stop] = found[at - a : stop - a]
+        assert langid.label_positions(net, raw.decode(), settings) == [net.labels[k] for k in plain.argmax(axis=1)]
+        mean = langid.predict_bytes(net, [b"", raw, b"x"], settings)
+        assert np.allclose(mean[1], plain.mean(axis=0), atol=1e-5) and not mean[0].any() and abs(mean[2].sum() - 1) < 1e-5
+
+
+def test_languages_of_long_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "the house " * 100_000, "en"), (2, None, None), (3, "", "en"), (4, "12 34", "de")], "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in langid.identify_documents(df, SMALL).collect()}
+    assert found[2].lang_pred == found[3].lang_pred == found[4].lang_pred == "und" and found[1].lang_pred in ("en", "de", "und")
+    assert langid.identify_documents(df.limit(0), SMALL).count() == 0
 
 
 def plain_scores(rows):
     tokens = {k: [*re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"] for k, (_, t) in enumerate(rows)}
     held = {k: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2 for k, (d, _) in enumerate(rows)}
-    uni, pairs = Counter(), Counter()
+    uni, pairs, triples = Counter(), Counter(), Counter()
     for k, ws in tokens.items():
         if not held[k]:
             uni.update(ws)
             pairs.update(zip(["\n", *ws], ws))
+            triples.update(zip(["\n", *ws], ws, ws[1:]))
     n, v = sum(uni.values()), len(uni)
     for k, ws in tokens.items():
         p = [(uni[w] + 1) / (n + v + 1) for w in ws]
-        full = [math.log10((pairs[a, w] + backoff.MU * q) / (uni[a] + backoff.MU)) for a, w, q in zip(["\n", *ws], ws, p)]
+        two = [(pairs[a, w] + backoff.PAIR_WEIGHT * q) / (uni[a] + backoff.PAIR_WEIGHT) for a, w, q in zip(["\n", *ws], ws, p)]
+        three = [(triples[a, b, w] + backoff.TRIPLE_WEIGHT * q) / (pairs[a, b] + backoff.TRIPLE_WEIGHT) for a, b, w, q in zip(["\n", *ws], ws, ws[1:], two[1:])]
+        full = [math.log10(q) for q in [two[0], *three]]
         yield rows[k][0], held[k], len(ws), sum(uni[w] > 0 for w in ws), n, sum(map(math.log10, p)), sum(full)
 
 
@@ -96,16 +119,60 @@ def test_backoff_scores(spark):
     assert (held.train_tokens, held.n_known, held.score) == (0, 0, 0.0)
 
 
+def model_of(texts, held):
+    block = backoff.Block.load(backoff.Block(texts).dump())
+    known = block.own(np.array(held))
+    return block, backoff.Automaton(block, known, int(known["words"].sum()), int(np.count_nonzero(known["words"])))
+
+
 def test_probabilities_sum_to_one():
-    block = backoff.Block(["a b a c", "b a"])
-    weight = np.ones(2)
-    totals, (keys, codes, counts) = block.words(weight).astype(float), block.pairs(weight)
-    model, root = backoff.automaton(block, codes, totals, counts.astype(float), int(totals.sum()), len(totals))
-    unseen = 1.0 / (totals.sum() + len(totals) + 1)
-    for v in range(len(totals)):
-        known = sum(10 ** model.score([w], v) for w in range(len(totals)))
-        assert abs(known + 10 ** model.failure[v] * unseen - 1) < 1e-9
-    assert abs((10**root).sum() + unseen - 1) < 1e-9
+    """After any two words, the probabilities of all next tokens and of one never seen add up to 1."""
+    train, names = ["a b a c", "b a", "a b a b"], ["a", "b", "c", ""]
+    for context in ([], ["a"], ["b", "a"], ["c", "c"], ["x", "a"], ["a", "x"]):
+        total = 0.0
+        for name in [*names, "never"]:
+            both = [" ".join([*context, name]), " ".join(context)]
+            _, model = model_of([*train, *both], [False] * 3 + [True] * 2)
+            # the text without the next token ends in its place
+            long, short = model.run()[3:]
+            block = model.block
+            end = np.searchsorted(block.keys, block.keys[block.end])
+            if name:
+                _, rest = model_of([*train, " ".join([*context, name])], [False] * 3 + [True])
+                last = rest.run()[3] - prefix_score(train, [*context, name])
+                total += 10 ** (long - last - prefix_score(train, context))
+            else:
+                total += 10 ** (short - prefix_score(train, context))
+            assert end == block.end
+        assert abs(total - 1) < 1e-9
+
+
+def prefix_score(train, words):
+    """log10 probability of words without an end, from the plain formulas."""
+    uni, pairs, triples = Counter(), Counter(), Counter()
+    for t in train:
+        ws = [*t.split(), "\n"]
+        uni.update(ws), pairs.update(zip(["\n", *ws], ws)), triples.update(zip(["\n", *ws], ws, ws[1:]))
+    n, v, out = sum(uni.values()), len(uni), 0.0
+    for i, w in enumerate(words):
+        a = words[i - 1] if i else "\n"
+        q = (uni[w] + 1) / (n + v + 1)
+        q = (pairs[a, w] + backoff.PAIR_WEIGHT * q) / (uni[a] + backoff.PAIR_WEIGHT)
+        if i:
+            u = words[i - 2] if i > 1 else "\n"
+            q = (triples[u, a, w] + backoff.TRIPLE_WEIGHT * q) / (pairs[u, a] + backoff.TRIPLE_WEIGHT)
+        out += math.log10(q)
+    return out
+
+
+def test_the_third_word_and_each_failure_count():
+    train = ["the red house is big", "a red car is fast", "the red house is old"] * 3
+    texts = ["the red house", "a red house", "the blue house", "zzz yyy house"]
+    block, model = model_of([*train, *texts], [False] * len(train) + [True] * len(texts))
+    scores = model.run()[len(train) :]
+    assert scores[0] > scores[1] > scores[3]  # `house` after `the red`, after `a red` by one failure, after nothing known by two
+    model.seen[2][:] = False
+    assert (model.run()[len(train) :][:2] != scores[:2]).any()
 
 
 def test_packing():

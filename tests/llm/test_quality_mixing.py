@@ -119,8 +119,34 @@ def test_template_tree(spark):
     """Pages with rare last segments share a template; a branch of blocked labels is rejected, its sibling isn't."""
     rows = [(i, f"http://h.net/bad/item{i}/x", 1 if i % 2 else None) for i in range(60)] + [(100 + i, f"http://h.net/good/item{i}/x", 0 if i % 2 else None) for i in range(60)]
     df = spark.createDataFrame(rows, "page_id long, url string, mark int")
-    for limits in (urls.TreeLimits(), urls.TreeLimits(broadcast_templates=0)):
+    for limits in (urls.TreeLimits(), urls.TreeLimits(broadcast_bytes=-1)):
         found = {r.page_id: r for r in urls.judge(df, [], label=df.mark, limits=limits).collect()}
         assert len(found) == 120
         assert all((r.verdict == "block") == (p < 100) for p, r in found.items())
         assert len({r.template for r in found.values()}) == 2
+
+
+def test_templates_decide_on_other_hosts(spark):
+    """A host without labels is judged by what its templates mean elsewhere, at any depth, and by wildcards alone."""
+    rows = [(i, f"http://h{i % 3}.net/en/shop/item{i}x/deals", 1) for i in range(120)] + [(120 + i, f"http://h{i % 3}.net/en/shop/item{i}x/about", 0) for i in range(120)]
+    rows += [(300 + i, f"http://new.net/en/shop/thing{i}x/{w}", None) for i, w in enumerate(["deals", "about"] * 30)]
+    deep = "/".join(["a"] * 400)
+    rows += [(500, f"http://new.net/{deep}", None), (501, "http://new.net/" + "b" * 200_000, None), (502, "http://new.net/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, mark int")
+    found = {r.page_id: r for r in urls.judge(df, [], label=df.mark).collect()}
+    assert len(found) == len(rows)
+    assert all(found[p].verdict == ("block" if "deals" in u else "allow") for p, u, _ in rows if 300 <= p < 500)
+    assert found[300].template == "/en/shop/*/deals" and found[500].template == f"/{deep}" and len(found[501].path) == 200_001
+    flat = {r.page_id: r for r in urls.judge(df, [], label=df.mark, limits=urls.TreeLimits(fanout=10**6)).collect()}
+    assert any(flat[p].verdict != found[p].verdict for p in range(300, 360))  # without wildcards nothing is shared
+    one = spark.createDataFrame([(p, "http://h.net/", m) for p, _, m in rows], df.schema)
+    assert len({r.verdict for r in urls.judge(one, [], label=one.mark).collect()}) == 1  # the tree gone, one verdict is left
+
+
+def test_like_branches_share_their_counts(spark):
+    """a and b are told apart from c, and not from each other: the few pages of b count like those of a."""
+    rows = [(i, f"http://h.net/a/x{'yz'[i % 2]}", int(i > 1)) for i in range(30)] + [(100 + i, "http://h.net/b/x", int(i > 0)) for i in range(4)] + [(200 + i, "http://h.net/c/x", 0) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, mark int")
+    found = {r.page_id: r for r in urls.judge(df, [], label=df.mark).collect()}
+    apart = {r.page_id: r for r in urls.judge(df, [], label=df.mark, limits=urls.TreeLimits(similar=-0.5)).collect()}
+    assert found[100].purity > apart[100].purity > 0.5 and found[100].verdict == "block" and found[200].verdict == "allow"

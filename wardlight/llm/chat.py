@@ -3,6 +3,10 @@
 A turn is START role \\n text END \\n. START and END are ids outside the rank file, so no text can
 produce them. For the rendered form their names must not occur in contents either: there
 backslashes are doubled and `<|` becomes `<\\|`, which unescape takes back.
+
+A conversation is one string of ids with a mask beside it, stored in pieces of PIECE ids that don't
+heed turns, so that a conversation of any length is many small rows; what is reported of it is read back from
+these alone.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from .bpe import encode, encoder
 
 #: Reserved ids, counted from the size of the rank file, and their names.
 START, END = "<|im_start|>", "<|im_end|>"
+#: Ids of a stored piece.
+PIECE = 1 << 16
 ESCAPED = re.compile(r"\\(.)", re.S)
 
 
@@ -113,17 +119,57 @@ def in_order(turns: DataFrame) -> DataFrame:
     return turns.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "tie")
 
 
-def assemble(turns: DataFrame) -> DataFrame:
-    """A row per conversation: conv_id, ids array<int>, mask array<int> of bounded conversations."""
-    out = pa.schema([("conv_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.int32()))])
+def assemble(turns: DataFrame, piece: int = PIECE) -> DataFrame:
+    """The ids of each conversation as one string, in rows of `piece` ids: conv_id, piece (0, 1 ...), ids, mask (binary, as of turns).
+
+    Rows of a conversation follow each other in order within a partition. An empty table gives an empty result.
+    """
+    out = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("ids", pa.binary()), ("mask", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready, size = [], 0
         for conv, rows in conversations(batches):
-            parts = [(np.frombuffer(i, "<i4"), np.frombuffer(m, np.int8)) for i, m in rows]
-            ids, mask = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([ids.tolist()], out.field(1).type), pa.array([mask.tolist()], out.field(2).type)], schema=out)
+            ids, mask, n = bytearray(), bytearray(), 0
+            for i, m in rows:
+                ids += i
+                mask += m
+                while len(mask) >= piece:
+                    ready.append((conv, n, bytes(ids[: 4 * piece]), bytes(mask[:piece])))
+                    del ids[: 4 * piece], mask[:piece]
+                    n, size = n + 1, size + piece
+                    if size >= PIECE:
+                        yield table_of(ready, out)
+                        ready, size = [], 0
+            if mask or not n:
+                ready.append((conv, n, bytes(ids), bytes(mask)))
+                size += len(mask)
+            if size >= PIECE or len(ready) >= 1024:
+                yield table_of(ready, out)
+                ready, size = [], 0
+        if ready:
+            yield table_of(ready, out)
+
+    return in_order(turns).mapInArrow(run, "conv_id long, piece long, ids binary, mask binary")
+
 
-    return in_order(turns).mapInArrow(run, "conv_id long, ids array<int>, mask array<int>")
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, schema.field(k).type) for k, c in enumerate(zip(*rows, strict=True))], schema=schema)
+
+
+def turns_of(pieces: Iterator[tuple[bytes, bytes]], start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, mask) of each turn of a conversation's pieces: turns begin at the reserved id `start`, which no text can hold."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for ids, mask in pieces:
+        ids, mask = np.frombuffer(ids, "<i4"), np.frombuffer(mask, np.int8)
+        edges = [0, *np.flatnonzero(ids == start).tolist(), len(ids)]
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            if k and held:  # a turn begins, so the one before is whole
+                yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                held = []
+            if b > a:
+                held.append((ids[a:b], mask[a:b]))
+    if held:
+        yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
 
 
 def conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Iterator[tuple[bytes, bytes]]]]:
@@ -139,26 +185,21 @@ def conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | Non
         yield conv, ((i, m) for _, i, m in own)
 
 
-def conversation_digest(df: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """Formats all conversations and reports what is read back from the ids and masks.
+def conversation_digest(df: DataFrame, rank_file: str, pattern: str, piece: int = PIECE) -> DataFrame:
+    """Formats all conversations into strings of ids and reports what is read back from these and their masks.
 
+    Null texts and roles count as empty, rows with a null conversation form one of their own, repeated rows
+    repeat, an empty table gives an empty result, and other columns, whatever their names, take no part.
     Result: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens.
-    Digests are fed turn by turn, so a conversation of any length takes little memory.
+    Digests are fed turn by turn, so a conversation of any length takes the memory of its longest turn.
     """
     out = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template, ready = Template(rank_file, pattern), []
-
-        def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, out.field(k).type) for k, c in enumerate(zip(*ready, strict=True))], schema=out)
-            ready.clear()
-            return made
-
-        for conv, rows in conversations(batches):
+        for conv, pieces in conversations(batches):
             turns, loss, n, chars, shown, tokens = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0
-            for ids, mask in rows:
-                ids, mask = np.frombuffer(ids, "<i4"), np.frombuffer(mask, np.int8)
+            for ids, mask in turns_of(pieces, template.start):
                 role, text = template.read_turn(ids.tolist())
                 turns.update(f"{role}\n{text}\n".encode())
                 counted = unescape(template.text_of(ids[mask == 1].tolist()))
@@ -166,9 +207,10 @@ def conversation_digest(df: DataFrame, rank_file: str, pattern: str) -> DataFram
                 n, chars, shown, tokens = n + 1, chars + len(counted), shown + len(template.render(ids.tolist())), tokens + len(ids)
             ready.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), shown, tokens))
             if len(ready) >= 512:
-                yield flush()
+                yield table_of(ready, out)
+                ready = []
         if ready:
-            yield flush()
+            yield table_of(ready, out)
 
-    turns = format_turns(df, rank_file, pattern)
-    return in_order(turns).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+    pieces = assemble(format_turns(df, rank_file, pattern), piece)
+    return pieces.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")

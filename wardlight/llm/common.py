@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import hashlib
+import os
 import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,25 +42,72 @@ def tidy() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where none is named, a local one (tests)."""
+    """The folder that all executors share. Where none is named, a local one serves a local master; on a cluster that would lose data, so it is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file:///tmp/wardlight-checkpoints"
+        if not re.fullmatch(r"local(\[[^-\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = f"file://{tempfile.gettempdir()}/wardlight-{os.getpid()}"
+        spark.conf.set("spark.checkpoint.dir", named)
+        atexit.register(shutil.rmtree, named.removeprefix("file://"), ignore_errors=True)
     return named.rstrip("/")
 
 
+#: Catalog database of the bucketed tables.
+DATABASE = "wardlight_work"
+#: What each open scratch() has written: (session, path, table or None).
+SCRATCH: list[list[tuple[SparkSession, str, str | None]]] = []
+
+
+def written(spark: SparkSession, path: str, name: str | None = None) -> None:
+    if SCRATCH:
+        SCRATCH[-1].append((spark, path, name))
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What is materialized inside is removed at its end, tables and folders.
+
+    Yields keep(df, tag), which writes df so that it outlives this scratch; an outer one removes it.
+    """
+    SCRATCH.append(own := [])
+    held: list[tuple[SparkSession, str, str | None]] = []
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        found = materialize(df, tag)
+        held.append(own.pop())
+        return found
+
+    try:
+        yield keep
+    finally:
+        SCRATCH.pop()
+        if SCRATCH:
+            SCRATCH[-1].extend(held)
+        for spark, path, name in own:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends, ids given stay as they are."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    written(df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize_by(df: DataFrame, tag: str, key: str, parts: int) -> DataFrame:
     """As materialize, but bucketed by key into `parts`: what is grouped or joined by key later isn't shuffled again."""
-    name = f"{tag}_{uuid.uuid4().hex}".replace("-", "_")
-    df.write.bucketBy(parts, key).option("path", f"{shared_dir(df.sparkSession)}/{name}").format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name)
+    spark = df.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
+    name = f"{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    written(spark, path, f"{DATABASE}.{name}")
+    df.write.bucketBy(parts, key).option("path", path).format("parquet").saveAsTable(f"{DATABASE}.{name}")
+    return spark.table(f"{DATABASE}.{name}")
 
 
 def parts_for(spark: SparkSession, size: int) -> int:
@@ -68,18 +120,18 @@ def training_rest(id_col: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(modulus))
 
 
-def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str, fn: Callable[[str | None], tuple]) -> DataFrame:
+def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str, fn: Callable, kind: str = "string") -> DataFrame:
     """One output row per input row: the columns `keep`, then what fn makes of the text, which replaces columns of the same names.
 
     Arrow batches are taken apart into small ones, so memory holds ROWS_AT_ONCE results and one
-    batch of input. schema: DDL of fn's columns.
+    batch of input. schema: DDL of fn's columns; kind: of what fn is given.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     made = _parse_datatype_string(schema)
     keep = [c for c in keep if c not in made.names]
-    rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("t"))
+    rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast(kind).alias("t"))
     out = StructType([*rows.schema.fields[:-1], *made.fields])
     arrow = to_arrow_schema(out)
     n = len(keep)

@@ -2,7 +2,7 @@
 
 Sets. A document's set are the keys of its distinct 3-word shingles; documents of equal sets are
 one node. Counting. Blocks of documents exchange their distinct keys for exact document
-frequencies, packed (see packing). Prefixes. Each set is ordered from rare to frequent; two sets
+frequencies (see exchange). Prefixes. Each set is ordered from rare to frequent; two sets
 that link and share t keys share l of their prefixes of n - t + l keys. Each node takes the l
 of least estimated cost, known from the frequencies: what reading the prefix's lists costs, and
 what verifying its candidates costs, of which there are fewer the more matches are asked for.
@@ -12,7 +12,10 @@ Linking. A list of m nodes isn't expanded into m * m pairs: first each list's le
 is compared with the others, those that link become one class, and only nodes of different classes
 are still paired. That loses no link between classes, so the components are exact. Keys that no
 other node has bound what a pair can share; many copies of one text that differ from each other
-too much are told apart by that bound before they are paired.
+too much are told apart by that bound before they are paired. What is left of a long list is paired
+in cells of CELL by CELL nodes. Sets stay in their blocks, and only those of candidates are fetched.
+
+Keys are 64 bits: of 10^12 pairs of sets of a thousand keys, one in twenty times one pair holds two keys that meet.
 """
 
 from __future__ import annotations
@@ -29,19 +32,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, materialize_by, parts_for, tidy
+from .common import materialize, materialize_by, parts_for, scratch, tidy
+from .exchange import ASKED, arrow, fans, joined, rows_of, totals, value
 from .graph import components
-from .packing import bounds, mix, pack, pack_sorted, unpack, unpack_sorted
+from .packing import mix, pack, pack_sorted, unpack, unpack_sorted
 
 #: Two sets link when PERCENT * union <= 100 * intersection.
 PERCENT, SHINGLE = 90, 3
-BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 16 << 20, 64
+BLOCK_BYTES, RANGE_BYTES, LEAST_RANGES = 4 << 20, 8 << 20, 8
 #: Cost of verifying a candidate, against reading one entry of a list; the most matches that are asked for.
 VERIFY_COST, MOST_MATCHES = 8.0, 8
 #: Rounds of comparing each list's first node with the others before the remaining pairs are made.
 STAR_ROUNDS = 3
-#: Bits of the keys kept: of two different sets of a thousand keys, one in 10^8 pairs has two that meet.
-KEY_BITS = 48
+#: Nodes on a side of the cells that the rest of a list is paired in.
+CELL = 256
 
 
 def shingle_keys(words: list[np.ndarray], size: int = SHINGLE) -> list[np.ndarray]:
@@ -55,7 +59,7 @@ def shingle_keys(words: list[np.ndarray], size: int = SHINGLE) -> list[np.ndarra
         key = np.full(len(w) - n + 1, n, np.uint64)
         for d in range(n):
             key = mix(key, w[d : len(w) - n + 1 + d])
-        out.append(np.unique(key) >> np.uint64(64 - KEY_BITS))
+        out.append(np.unique(key))
     return out
 
 
@@ -89,7 +93,7 @@ def blocks(df: DataFrame, text_col: str, id_col: str, size: int, block_bytes: in
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("keys", T.BinaryType()), T.StructField("sets", T.BinaryType()), T.StructField("ids", T.ArrayType(df.schema[id_col].dataType)), T.StructField("digests", T.ArrayType(T.StringType())), T.StructField("sizes", T.ArrayType(T.LongType()))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(schema)
+    out = to_arrow_schema(schema)
 
     def flush(name: str, ids: list, texts: list) -> pa.RecordBatch:
         sets = shingle_keys(word_keys(texts), size)
@@ -99,7 +103,7 @@ def blocks(df: DataFrame, text_col: str, id_col: str, size: int, block_bytes: in
         places = [np.searchsorted(keys, s) for s in own]  # rising within a set: differences are small
         jumps = np.concatenate([np.zeros(0, np.int64), *[np.diff(p, prepend=0) for p in places]])
         row = (name, pack_sorted(keys), pack(jumps), ids, digests, [len(s) for s in sets])
-        return pa.RecordBatch.from_arrays([pa.array([c], arrow.field(k).type) for k, c in enumerate(row)], schema=arrow)
+        return pa.RecordBatch.from_arrays([pa.array([c], out.field(k).type) for k, c in enumerate(row)], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -110,7 +114,7 @@ def blocks(df: DataFrame, text_col: str, id_col: str, size: int, block_bytes: in
             for k in range(batch.num_rows):
                 ids.append(batch.column(0)[k].as_py())
                 texts.append(batch.column(1)[k].as_py())
-                total += len(texts[-1] or "") + 16
+                total += len((texts[-1] or "").encode()) + 16
                 if total >= block_bytes:
                     yield flush(f"{part}-{n}", ids, texts)
                     ids, texts, total, n = [], [], 0, n + 1
@@ -129,54 +133,36 @@ def sets_of(jumps: np.ndarray, digests: list, sizes: list) -> Iterator[tuple[str
         at += n
 
 
-def ask(sent: DataFrame, buckets: int) -> DataFrame:
-    """Each block's distinct keys, with how many of its sets have them, dealt to buckets by ranges of the keys."""
+def ask(sent: DataFrame, ranges: int) -> DataFrame:
+    """Each block's distinct keys, with how many of its sets have them, dealt to ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 name, keys, jumps, digests, sizes = (batch.column(c)[k].as_py() for c in range(5))
                 keys = unpack_sorted(keys)
-                counts = np.zeros(len(keys), np.int64)
+                counts = np.zeros(len(keys), np.uint64)
                 for _, own in sets_of(unpack(jumps).astype(np.int64), digests, sizes):
-                    np.add.at(counts, own, 1)
-                edges = np.append(np.searchsorted(keys, bounds(buckets) >> np.uint64(64 - KEY_BITS)), len(keys))
-                parts = list(zip(edges, edges[1:], strict=False))
-                columns = [pa.array([name] * buckets), pa.array(range(buckets), pa.int32()), pa.array([pack_sorted(keys[a:b]) for a, b in parts], pa.binary()), pa.array([pack(counts[a:b]) for a, b in parts], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "keys", "counts"])
-        tidy()
-
-    return sent.select("block", "keys", "sets", "digests", "sizes").mapInArrow(run, "block string, bucket int, keys binary, counts binary")
-
-
-def add_up(keys: DataFrame) -> DataFrame:
-    """For each block and bucket, in its order, the number of nodes of all blocks that have each key (copies in other blocks count again)."""
-
-    def run(group: pa.Table) -> pa.Table:
-        parts = [unpack_sorted(p) for p in group.column("keys").to_pylist()]
-        found, at = np.unique(np.concatenate(parts), return_inverse=True)
-        added = np.bincount(at, np.concatenate([unpack(c) for c in group.column("counts").to_pylist()]).astype(float), len(found)).astype(np.uint64)
-        ends = np.cumsum([len(p) for p in parts])
-        totals = [pack(added[at[e - len(p) : e]]) for p, e in zip(parts, ends, strict=True)]
+                    counts[own] += np.uint64(1)  # a set has a key once
+                yield from arrow(rows_of(name, keys, None, counts, ranges), ASKED).to_batches()
         tidy()
-        return pa.table([group.column("block"), group.column("bucket"), pa.array(totals, pa.binary())], names=["block", "bucket", "totals"])
 
-    return keys.groupBy("bucket").applyInArrow(run, "block string, bucket int, totals binary")
+    return sent.select("block", "keys", "sets", "digests", "sizes").mapInArrow(run, ASKED)
 
 
 #: Own keys are told from others up to so many blocks that hold copies of a node; beyond, none counts as own.
 MOST_COPIES = 64
-PREFIX = "digest string, n long, matches int, rare array<int>, tokens array<long>, spots array<int>, keys binary"
+PREFIX = "block string, digest string, n long, matches int, rare array<int>, tokens array<long>, spots array<int>"
 
 
-def prefixes(sent: DataFrame, totals: DataFrame, percent: int) -> DataFrame:
-    """Nodes with prefix keys that others have, once for each block: digest, n, matches (l), rare (how many of its keys have frequency 1, 2, ...), tokens (of the prefix) and their spots (places in the order), keys (the whole set, packed)."""
-    arrow = pa.schema([("digest", pa.string()), ("n", pa.int64()), ("matches", pa.int32()), ("rare", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int64())), ("spots", pa.list_(pa.int32())), ("keys", pa.binary())])
+def prefixes(sent: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
+    """Nodes with prefix keys that others have, once for each block: block, digest, n, matches (l), rare (how many of its keys have frequency 1, 2, ...), tokens (of the prefix) and their spots (places in the order)."""
+    made = pa.schema([("block", pa.string()), ("digest", pa.string()), ("n", pa.int64()), ("matches", pa.int32()), ("rare", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int64())), ("spots", pa.list_(pa.int32()))])
 
-    def run(block: pa.Table, totals: pa.Table) -> pa.Table:
-        keys = unpack_sorted(block.column("keys")[0].as_py())
+    def run(block: pa.Table, got: pa.Table) -> pa.Table:
+        name, keys = block.column("block")[0].as_py(), unpack_sorted(block.column("keys")[0].as_py())
         jumps = unpack(block.column("sets")[0].as_py()).astype(np.int64)
-        frequency = np.concatenate([unpack(t) for t in totals.sort_by("bucket").column("totals").to_pylist()]).astype(np.int64)
+        frequency = value(joined(got)).astype(np.int64)  # of all blocks' nodes; copies in other blocks count again
         out = []
         for digest, own in sets_of(jumps, block.column("digests")[0].as_py(), block.column("sizes")[0].as_py()):
             n = len(own)
@@ -189,18 +175,18 @@ def prefixes(sent: DataFrame, totals: DataFrame, percent: int) -> DataFrame:
             matches = choose_matches(ranked, n, percent)
             prefix = own[order[: base + matches]]
             spots = np.flatnonzero(frequency[prefix] > 1)
-            out.append((digest, n, matches, np.bincount(common[common <= MOST_COPIES], minlength=MOST_COPIES + 1)[1:].tolist(), keys[prefix[spots]].astype(np.int64).tolist(), spots.tolist(), pack_sorted(keys[own])))
+            out.append((name, digest, n, matches, np.bincount(common[common <= MOST_COPIES], minlength=MOST_COPIES + 1)[1:].tolist(), keys[prefix[spots]].astype(np.int64).tolist(), spots.tolist()))
         tidy()
-        columns = list(zip(*out, strict=True)) if out else [[]] * len(arrow)
-        return pa.table([pa.array(list(c), arrow.field(k).type) for k, c in enumerate(columns)], schema=arrow)
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(made)
+        return pa.table([pa.array(list(c), made.field(k).type) for k, c in enumerate(columns)], schema=made)
 
     own = sent.select("block", "keys", "sets", "digests", "sizes")
-    return own.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(run, PREFIX)
+    return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, PREFIX)
 
 
 def one_node(found: DataFrame) -> DataFrame:
     """Copies of a set in several blocks as one node. Keys whose frequency is the number of these blocks are in no other node: odd counts them."""
-    columns = ["n", "matches", "rare", "tokens", "spots", "keys"]
+    columns = ["block", "n", "matches", "rare", "tokens", "spots"]
     nodes = found.groupBy("digest").agg(F.count("*").alias("blocks"), *[F.first(c).alias(c) for c in columns])
     return nodes.withColumn("odd", F.coalesce(F.get("rare", F.col("blocks").cast("int") - 1), F.lit(0)).cast("long")).drop("rare", "blocks")
 
@@ -219,9 +205,28 @@ def may_link(percent: int):
     return (shared * 100 >= (both - shared) * percent) & (F.col("spot") < F.col("n") - t + l) & (F.col("other_spot") < F.col("other_n") - t + l)
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def fetch(sent: DataFrame, wanted: DataFrame) -> DataFrame:
+    """digest, keys (packed) of the sets wanted: (block, digest)."""
+    made = pa.schema([("digest", pa.string()), ("keys", pa.binary())])
+
+    def run(block: pa.Table, wanted: pa.Table) -> pa.Table:
+        names, out = set(wanted.column("digest").to_pylist()), []
+        if names:
+            keys = unpack_sorted(block.column("keys")[0].as_py())
+            sets = sets_of(unpack(block.column("sets")[0].as_py()).astype(np.int64), block.column("digests")[0].as_py(), block.column("sizes")[0].as_py())
+            out = [(digest, pack_sorted(keys[own])) for digest, own in sets if digest in names]
+            tidy()
+        return pa.table([pa.array([r[k] for r in out], made.field(k).type) for k in range(2)], schema=made)
+
+    own = sent.select("block", "keys", "sets", "digests", "sizes")
+    return own.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, "digest string, keys binary")
+
+
+def verify(pairs: DataFrame, nodes: DataFrame, sent: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose sets reach the threshold."""
-    sets = nodes.select("digest", "keys")
+    pairs = materialize(pairs, "join-pairs")
+    named = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    sets = materialize(fetch(sent, nodes.select("digest", "block").join(named, "digest")), "join-sets")
     both = pairs.join(sets.withColumnsRenamed({"digest": "a", "keys": "ka"}), "a").join(sets.withColumnsRenamed({"digest": "b", "keys": "kb"}), "b").select("a", "b", "ka", "kb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,40 +238,48 @@ def verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                     shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                     keep.append(100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared))
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     return both.mapInArrow(run, "a string, b string")
 
 
-def link(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def cells(left: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two copies of the lists' entries, dealt so that those of a list meet in cells of about CELL entries of each."""
+    dealt = left.join(sizes, "token").withColumn("cells", F.ceil(F.col("size") / CELL).cast("int"))
+    own, every = F.pmod(F.xxhash64("digest"), F.col("cells")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    rows = dealt.withColumn("row", own).withColumn("column", every)
+    columns = dealt.withColumn("column", own).withColumn("row", every)
+    return rows, columns
+
+
+def link(nodes: DataFrame, sent: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Class of each node that has a link: node, label (see graph.components)."""
     spark = nodes.sparkSession
     lists = materialize(nodes.select("digest", "n", "matches", "odd", F.explode(F.arrays_zip("tokens", "spots")).alias("z")).select("digest", "n", "matches", "odd", F.col("z.tokens").alias("token"), F.col("z.spots").alias("spot")), "join-lists")
     links = spark.createDataFrame([], "a string, b string")
     labels = spark.createDataFrame([], "node string, label string")
     fits = may_link(percent)
+    seen = ["digest", "label", "n", "odd", "spot", "matches"]
     for turn in range(STAR_ROUNDS + 1):
         now = lists.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         # first the nodes with the fewest keys of their own, which copies of a text have in common; then others by chance
-        order = F.struct((F.col("odd") if not turn else F.xxhash64("digest", "token", F.lit(turn))).alias("by"), "digest", "label", "n", "matches", "odd", "spot")
-        open_lists = now.groupBy("token").agg(F.min(order).alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        order = F.struct((F.col("odd") if not turn else F.xxhash64("digest", "token", F.lit(turn))).alias("by"), *seen)
+        open_lists = now.groupBy("token").agg(F.min(order).alias("first"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high")
         open_lists = materialize(open_lists.drop("low", "high"), "join-open")
         if not open_lists.limit(1).count():
             break
-        if turn < STAR_ROUNDS:
-            heads = open_lists.select("token", F.col("first.digest").alias("other"), F.col("first.label").alias("other_label"), F.col("first.n").alias("other_n"), F.col("first.odd").alias("other_odd"), F.col("first.spot").alias("other_spot"), F.col("first.matches").alias("other_matches"))
+        if turn == STAR_ROUNDS:  # whatever is left between different classes
+            rows, columns = cells(now.join(open_lists.select("token"), "token", "left_semi"), open_lists.select("token", "size"))
+            others = columns.select("token", "row", "column", *[F.col(c).alias("other" if c == "digest" else f"other_{c}") for c in seen])
+            pairs = rows.join(others, ["token", "row", "column"]).where((F.col("label") < F.col("other_label")) & fits)
+        else:
+            heads = open_lists.select("token", *[F.col(f"first.{c}").alias("other" if c == "digest" else f"other_{c}") for c in seen])
             pairs = now.join(heads, "token").where((F.col("label") != F.col("other_label")) & fits)
-        else:  # whatever is left between different classes
-            left = materialize(now.join(open_lists.select("token"), "token"), "join-left")
-            others = left.select("token", F.col("digest").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"), F.col("odd").alias("other_odd"), F.col("spot").alias("other_spot"), F.col("matches").alias("other_matches"))
-            pairs = left.join(others, "token").where((F.col("label") < F.col("other_label")) & fits)
         found = pairs.groupBy(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("matches", "other_matches")).alias("least")).where("shared >= least").select("a", "b")
-        new = materialize(verify(found, nodes, percent), "join-links")
-        if not new.limit(1).count():
-            if turn < STAR_ROUNDS:
-                continue
-            break
-        links = links.union(new)
-        labels = components(links)
+        new = materialize(verify(found, nodes, sent, percent), "join-links")
+        if new.limit(1).count():
+            links = links.union(new)
+            labels = components(links)
     return labels
 
 
@@ -276,19 +289,22 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     Words are `[^\\x20\\x09-\\x0D]+` of the whole text with A-Z lower-cased; fewer than size words
     are one shingle; texts without words (null too) have an empty set and no link. Result, a row
     per row of df: id_col, n_shingles, component_id (the smallest id_col reachable; null ids are
-    passed over). Rows of equal sets, repeated rows included, are always linked.
+    passed over). Rows of equal sets, repeated rows included, are always linked. An empty table
+    gives an empty result; other columns of df, whatever their names, take no part. A block ends with
+    the text that reaches block_bytes, so memory follows the longest text.
     """
     total = df.agg(F.sum(F.octet_length(F.col(text_col))).alias("bytes")).first()["bytes"] or 0
-    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
-    sent = materialize_by(blocks(df, text_col, id_col, size, block_bytes), "join_blocks", "block", parts_for(df.sparkSession, total))
-    totals = add_up(ask(sent, buckets))
-    found = prefixes(sent, totals, percent)
-    nodes = materialize(one_node(found), "join-nodes")
-    labels = link(nodes, percent)
-    docs = sent.select(F.explode(F.arrays_zip("ids", "digests", "sizes")).alias("d")).select(F.col("d.ids").alias("id"), F.col("d.digests").alias("digest"), F.col("d.sizes").alias("n_shingles"))
-    lowest = docs.where("digest is not null").groupBy("digest").agg(F.min("id").alias("low"))
-    classes = lowest.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    least = classes.groupBy("label").agg(F.min("low").alias("component_id"))
-    of = classes.join(least, "label").select("digest", "component_id")
-    joined = docs.join(of, "digest", "left")
-    return joined.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    hops = fans(max(LEAST_RANGES, -(-total // RANGE_BYTES)))
+    with scratch() as keep:
+        sent = materialize_by(blocks(df, text_col, id_col, size, block_bytes), "join_blocks", "block", parts_for(df.sparkSession, total))
+        with scratch() as keep_nodes:
+            answers = totals(ask(sent, hops[0]), hops, sent.count(), tag="join")
+            nodes = keep_nodes(one_node(prefixes(sent, answers, percent)), "join-nodes")
+        labels = link(nodes, sent, percent)
+        docs = sent.select(F.explode(F.arrays_zip("ids", "digests", "sizes")).alias("d")).select(F.col("d.ids").alias("id"), F.col("d.digests").alias("digest"), F.col("d.sizes").alias("n_shingles"))
+        lowest = docs.where("digest is not null").groupBy("digest").agg(F.min("id").alias("low"))
+        classes = lowest.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        least = classes.groupBy("label").agg(F.min("low").alias("component_id"))
+        of = classes.join(least, "label").select("digest", "component_id")
+        joined_ = docs.join(of, "digest", "left")
+        return keep(joined_.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")), "join-result")

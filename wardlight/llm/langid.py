@@ -3,6 +3,10 @@
 Two gated recurrent layers read the bytes of a text, one from each end; every position gets
 probabilities of the languages from both states, and a document the mean over its positions.
 Gates and candidates are piecewise linear (hard sigmoid and hard tanh), in training and in use.
+
+A text is read in pieces side by side; each also reads `overlap` bytes before and behind it, from a zero
+state, whose own labels are left to the neighbours. So every position is labelled by states that have read that
+many bytes on either side (gates forget much sooner), and positions and documents are labelled by the same pass.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +30,11 @@ LETTER = regex.compile(r"\p{L}")
 @dataclass(frozen=True)
 class Settings:
     hidden: int = 8
-    #: Bytes that a pass reads from a zero state; texts are cut into pieces of so many.
+    #: Bytes of a piece, and bytes read before and behind it.
     piece: int = 128
+    overlap: int = 24
+    #: Languages learned: the most frequent ones, up to so many.
+    most_labels: int = 200
     #: The bound of the labelled sample that training sees: documents per language, and pieces per document.
     sample_docs: int = 400
     sample_pieces: int = 4
@@ -153,63 +160,90 @@ def train(pieces: np.ndarray, target: np.ndarray, labels: list[str], settings: S
     return net
 
 
+def sample(cut: DataFrame, shares: dict[str, float], most: int) -> dict[str, list]:
+    """The pieces of the first `most` documents of each language by their order. A share, about three times the
+    sample, bounds the order, so that tasks send few rows whatever the input's size."""
+    bound = F.lit(None).cast("boolean")
+    for label, share in shares.items():
+        fits = F.lit(True) if share >= 1 else F.col("order") < int(-(1 << 63) + share * (1 << 64))
+        bound = F.when(F.col("lang") == label, fits).otherwise(bound)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("order", "pieces"))
+    found: dict[str, list] = {}
+    for r in cut.where(bound).withColumn("n", first).where(F.col("n") <= most).select("lang", "pieces").collect():
+        found.setdefault(r["lang"], []).append(r["pieces"])
+    return found
+
+
 def fit(df: DataFrame, settings: Settings = Settings(), text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network | None:
     """Trains on a bounded sample of df's rows with a language: for each, settings.sample_docs documents by
     the smallest hash of id and text, of each settings.sample_pieces pieces of bytes evenly spread over the whole text.
 
-    The driver receives no more than the pieces. None where no row is labelled.
+    The driver receives no more than the pieces. None where no row is labelled, an empty table included;
+    rows with a null or empty text, or a null language, teach nothing; a null id counts as a name of its own.
     """
     rows = df.where(F.col(lang_col).isNotNull() & (F.octet_length(F.col(text_col)) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("order"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.most_labels).collect()}
     labels = sorted(counts)
     if not labels:
         return None
     size, n = settings.train_piece, settings.sample_pieces
     spots = [F.substring("raw", F.greatest(F.lit(1), F.floor((F.length("raw") - size) * (i + 0.5) / n) + 1).cast("int"), F.lit(size)) for i in range(n)]
     cut = rows.select("lang", "order", F.array(*spots).alias("pieces"))
+    found = sample(cut, {k: 3 * settings.sample_docs / counts[k] for k in labels}, settings.sample_docs)
+    short = [k for k in labels if len(found.get(k, ())) < min(settings.sample_docs, counts[k])]
+    if short:
+        found |= sample(cut, dict.fromkeys(short, 2.0), settings.sample_docs)
     pieces, target = [], []
     for k, label in enumerate(labels):
-        own = cut.where(F.col("lang") == label)
-        share = 3 * settings.sample_docs / counts[label]
-        # a bound that leaves about three times the sample, so that tasks send few rows; without it should that fall short
-        some = own.where(F.col("order") < int(-(1 << 63) + share * (1 << 64))) if share < 1 else own
-        found = some.orderBy("order").limit(settings.sample_docs).select("pieces").collect()
-        if len(found) < min(settings.sample_docs, counts[label]):
-            found = own.orderBy("order").limit(settings.sample_docs).select("pieces").collect()
-        for r in found:
-            for raw in r["pieces"]:
+        for raws in found[label]:
+            for raw in raws:
                 pieces.append((bytes(raw) * (size // max(1, len(raw)) + 1))[:size])
                 target.append(k)
     data = np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, size)
     return train(data, np.array(target), labels, settings)
 
 
-def predict_bytes(net: Network, texts: list[bytes], piece: int) -> np.ndarray:
-    """Mean probabilities (texts, labels) over all positions of each whole text; zeros for empty ones."""
-    out = np.zeros((len(texts), len(net.labels)), np.float64)
-    pieces, owner = [], []
+def middles(net: Network, texts: list[bytes], settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Every byte of all texts once: (text of each piece, first byte of each piece, probabilities of its bytes
+    as (steps, labels, pieces), 0 past its end)."""
+    cuts = []
     for k, raw in enumerate(texts):
-        for at in range(0, len(raw), piece):
-            pieces.append(raw[at : at + piece])
-            owner.append(k)
-    order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
-    for at in range(0, len(order), 4096):
-        own = order[at : at + 4096]
-        lengths = np.array([len(pieces[i]) for i in own])
+        for at in range(0, len(raw), settings.piece):
+            a, b = max(0, at - settings.overlap), min(len(raw), at + settings.piece + settings.overlap)
+            cuts.append((b - a, k, at, a, b))
+    cuts.sort(key=lambda c: -c[0])
+    for i in range(0, len(cuts), 4096):
+        own = cuts[i : i + 4096]
+        lengths, owner, at, a = (np.array([c[j] for c in own]) for j in range(4))
         steps = int(lengths[0])
-        data = np.frombuffer(b"".join([pieces[i].ljust(steps, b"\0") for i in own]), np.uint8).reshape(len(own), steps)
-        sums = net.positions(data, lengths).sum(axis=0, dtype=np.float64)
-        np.add.at(out, np.array([owner[i] for i in own]), sums.T)
+        data = np.frombuffer(b"".join([texts[k][x:y].ljust(steps, b"\0") for _, k, _, x, y in own]), np.uint8).reshape(len(own), steps)
+        found = net.positions(data, lengths)
+        before = at - a
+        inner = np.minimum(settings.piece, np.array([len(texts[k]) for k in owner.tolist()]) - at)
+        rows = before[None, :] + np.arange(settings.piece)[:, None]
+        held = np.take_along_axis(found, np.minimum(rows, steps - 1)[:, None, :], axis=0)
+        held *= (np.arange(settings.piece)[:, None] < inner[None, :])[:, None, :]
+        yield owner, at, held
+
+
+def predict_bytes(net: Network, texts: list[bytes], settings: Settings = Settings()) -> np.ndarray:
+    """Mean probabilities (texts, labels) over all positions of each whole text; zeros for empty ones."""
+    out = np.zeros((len(texts), len(net.labels)), np.float64)
+    for owner, _, held in middles(net, texts, settings):
+        np.add.at(out, owner, held.sum(axis=0, dtype=np.float64).T)
     return out / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
-def label_positions(net: Network, text: str) -> list[str]:
-    """The language of every byte of a text."""
+def label_positions(net: Network, text: str, settings: Settings = Settings()) -> list[str]:
+    """The language of every byte of a text; the document's probabilities are the mean of those behind them."""
     raw = text.encode()
-    if not raw:
-        return []
-    found = net.positions(np.frombuffer(raw, np.uint8)[None, :], np.array([len(raw)]))
-    return [net.labels[k] for k in found[:, :, 0].argmax(axis=1)]
+    found = np.zeros(len(raw), np.int64)
+    for _, at, held in middles(net, [raw], settings):
+        best = held.argmax(axis=1)
+        for k, start in enumerate(at.tolist()):
+            stop = min(len(raw), start + settings.piece)
+            found[start:stop] = best[: stop - start, k]
+    return [net.labels[k] for k in found.tolist()]
 
 
 def identify(df: DataFrame, net: Network | None, text_col: str = "text", keep: list[str] | None = None, settings: Settings = Settings()) -> DataFrame:
@@ -236,7 +270,7 @@ def identify(df: DataFrame, net: Network | None, text_col: str = "text", keep: l
                     text = batch.column(len(keep))[stop].as_py()
                     texts.append(text.encode() if net and text and LETTER.search(text) else b"")
                     size, stop = size + len(texts[-1]), stop + 1
-                found = predict_bytes(net, texts, settings.piece) if net else np.zeros((len(texts), 1))
+                found = predict_bytes(net, texts, settings) if net else np.zeros((len(texts), 1))
                 best = found.argmax(axis=1)
                 names = [net.labels[k] if t else "und" for k, t in zip(best, texts, strict=True)]
                 scores = np.where([len(t) > 0 for t in texts], found[np.arange(len(texts)), best], 0.0)
@@ -250,7 +284,11 @@ def identify(df: DataFrame, net: Network | None, text_col: str = "text", keep: l
 
 
 def identify_documents(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id") -> DataFrame:
-    """Learns from documents whose crc32 of the id modulo 4 is not 2, and predicts all: id_col, held_out, lang_pred, score."""
+    """Learns from documents whose crc32 of the id modulo 4 is not 2, and predicts all: id_col, held_out, lang_pred, score.
+
+    Null texts and texts without a letter are und with score 0, as is every row where nothing was learned; an
+    empty table gives an empty result. Repeated rows are predicted alike; other columns take no part.
+    """
     held = training_rest(id_col, 4) == 2
     net = fit(df.where(~held), settings, id_col=id_col)
     rows = df.select(F.col(id_col), held.alias("held_out"), F.col("text"))

@@ -2,7 +2,10 @@
 
 The parser knows variable-length ids and sizes (unknown sizes included), segments, tracks,
 clusters, block groups and simple blocks, the four lacings and cues. A packet is one frame:
-(track, time_ns, start, size, keyframe, lace), start and size being its byte range in the file.
+(track, time_ns, start, size, keyframe, lace), start and size being its byte range in the file. The
+frames of a lace follow each other by the track's default duration, else by the block's share of its own
+duration; without either all have the block's time. A frame of a block group is a key frame unless the
+group refers to another. Cues must lead to a cluster of the cue's time.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ EBML, VERSION, READ_VERSION, MAX_ID, MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_V
 SEGMENT, INFO, TIME_SCALE, MUXER, WRITER = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
 TRACKS, TRACK, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, LACING, CODEC = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86
 AUDIO, RATE, CHANNELS, DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
+DEFAULT_DURATION, REFERENCE, BLOCK_DURATION = 0x23E383, 0xFB, 0x9B
 CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE, CUE_TIME, CUE_PLACE, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = frozenset((EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE, CUE_PLACE))
@@ -76,7 +80,7 @@ def mux(samples: bytes) -> bytes:
     head = element(EBML, number(VERSION, 1) + number(READ_VERSION, 1) + number(MAX_ID, 4) + number(MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + number(DOC_VERSION, 4) + number(DOC_READ_VERSION, 2))
     info = element(INFO, number(TIME_SCALE, 1_000_000) + element(MUXER, b"wardlight") + element(WRITER, b"wardlight"))
     audio = element(AUDIO, element(RATE, struct.pack(">d", SAMPLE_RATE)) + number(CHANNELS, 1) + number(DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + number(LACING, 1) + element(CODEC, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + number(LACING, 1) + number(DEFAULT_DURATION, FRAME * 1_000_000_000 // SAMPLE_RATE) + element(CODEC, b"A_PCM/INT/LIT") + audio))
     parts, place, cues = [info, tracks], len(info) + len(tracks), []
     step = FRAME * LACED
     for start in range(0, len(samples), step * BLOCKS):
@@ -107,15 +111,15 @@ def read_vint(data: bytes, at: int, keep_mark: bool = False) -> tuple[int | None
     return (None if value == (1 << 7 * width) - 1 else value), at + width
 
 
-def elements(data: bytes, at: int, end: int, inside: int = 0) -> Iterator[tuple[int, int, int]]:
-    """(id, start of body, end of body) of the elements from at to end."""
+def elements(data: bytes, at: int, end: int, inside: int = 0) -> Iterator[tuple[int, int, int, int]]:
+    """(id, start of the element, start of its body, end of its body) of the elements from at to end."""
     while at < end:
         i, body = read_vint(data, at, keep_mark=True)
         size, body = read_vint(data, body)
         if size is None:
             stop = body
             if i == CLUSTER:  # up to the next element of the segment's own level
-                for j, _, after in elements(data, body, end, CLUSTER):
+                for j, _, _, after in elements(data, body, end, CLUSTER):
                     if j in TOP:
                         break
                     stop = after
@@ -125,7 +129,7 @@ def elements(data: bytes, at: int, end: int, inside: int = 0) -> Iterator[tuple[
             stop = body + size
             if stop > end:
                 raise ValueError(f"element {i:x} at {at} runs over its parent")
-        yield i, body, stop
+        yield i, at, body, stop
         if inside == CLUSTER and i in TOP:
             return
         at = stop
@@ -135,9 +139,21 @@ def elements(data: bytes, at: int, end: int, inside: int = 0) -> Iterator[tuple[
 class Parsed:
     scale: int = 1_000_000
     tracks: dict[int, dict] = field(default_factory=dict)
+    #: (track, time_ns, start, size, keyframe, lace)
     packets: list[tuple[int, int, int, int, bool, int]] = field(default_factory=list)
+    #: of each packet, the place of its cluster in the segment
+    inside: list[int] = field(default_factory=list)
+    #: (time_ns, track, place of the cluster)
     cues: list[tuple[int, int, int]] = field(default_factory=list)
-    clusters: list[int] = field(default_factory=list)
+    #: place -> time_ns
+    clusters: dict[int, int] = field(default_factory=dict)
+
+    def cued(self) -> list[int | None]:
+        """Of each packet the time of the latest cue of its track that leads to its cluster and isn't later than it."""
+        by: dict[tuple[int, int], list[int]] = {}
+        for time, track, place in self.cues:
+            by.setdefault((track, place), []).append(time)
+        return [max((c for c in by.get((p[0], place), ()) if c <= p[1]), default=None) for p, place in zip(self.packets, self.inside, strict=True)]
 
 
 def unsigned(data: bytes, start: int, end: int) -> int:
@@ -173,32 +189,41 @@ def frame_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[list[int], i
 
 
 def parse(data: bytes) -> Parsed:
-    """The packet table of a file; ValueError where it isn't well formed."""
+    """The packet table of a file; ValueError where it isn't well formed or a cue leads astray."""
     out = Parsed()
 
-    def block(start: int, end: int, time: int, simple: bool) -> None:
+    def block(start: int, end: int, cluster: dict, key: bool | None, lasting: int | None) -> None:
         track, at = read_vint(data, start)
         relative, flags = struct.unpack(">hB", data[at : at + 3])
         sizes, at = frame_sizes(data, at + 3, end, flags >> 1 & 3)
+        step = out.tracks.get(track, {}).get("duration") or (lasting * out.scale // len(sizes) if lasting else 0)
         for k, size in enumerate(sizes):
-            out.packets.append((track, (time + relative) * out.scale, at, size, bool(flags & 0x80) or not simple, k))
+            out.packets.append((track, (cluster["time"] + relative) * out.scale + k * step, at, size, bool(flags & 0x80) if key is None else key, k))
+            out.inside.append(cluster["place"])
             at += size
 
-    def walk(start: int, end: int, parent: int, state: dict) -> None:
-        for i, a, b in elements(data, start, end):
+    def walk(start: int, end: int, state: dict) -> None:
+        for i, head, a, b in elements(data, start, end):
             if i == CLUSTER:
-                out.clusters.append(a)
-                walk(a, b, i, {"time": 0})
+                walk(a, b, now := {"time": 0, "place": head - state.get("segment", 0)})
+                out.clusters[now["place"]] = now["time"] * out.scale
+            elif i == BLOCK_GROUP:
+                inner = {j: (x, y) for j, _, x, y in elements(data, a, b)}
+                if BLOCK in inner:
+                    lasting = unsigned(data, *inner[BLOCK_DURATION]) if BLOCK_DURATION in inner else None
+                    block(*inner[BLOCK], state, REFERENCE not in inner, lasting)
+            elif i == SIMPLE_BLOCK:
+                block(a, b, state, None, None)
             elif i == TRACK:
-                walk(a, b, i, now := {})
+                walk(a, b, now := {})
                 out.tracks[now.get("number", 0)] = now
             elif i == CUE:
-                walk(a, b, i, now := {})
+                walk(a, b, now := {})
                 out.cues.append((now.get("cue_time", 0) * out.scale, now.get("cue_track", 0), now.get("cue_cluster", 0)))
+            elif i == SEGMENT:
+                walk(a, b, {"segment": a, "time": 0, "place": 0})
             elif i in MASTERS:
-                walk(a, b, i, state)
-            elif i == SIMPLE_BLOCK or i == BLOCK:
-                block(a, b, state.get("time", 0), i == SIMPLE_BLOCK)
+                walk(a, b, state)
             elif i == TIME_SCALE:
                 out.scale = unsigned(data, a, b)
             elif i == CODEC:
@@ -208,11 +233,14 @@ def parse(data: bytes) -> Parsed:
             elif i in NUMBERS:
                 state[NUMBERS[i]] = unsigned(data, a, b)
 
-    walk(0, len(data), 0, {})
+    walk(0, len(data), {"time": 0, "place": 0})
+    for time, _, place in out.cues:
+        if out.clusters.get(place, time + 1) > time:
+            raise ValueError(f"the cue of {time} ns leads to no cluster of its time")
     return out
 
 
-NUMBERS = {CLUSTER_TIME: "time", TRACK_NUMBER: "number", TRACK_TYPE: "type", CHANNELS: "channels", DEPTH: "depth", CUE_TIME: "cue_time", CUE_TRACK: "cue_track", CUE_CLUSTER: "cue_cluster"}
+NUMBERS = {CLUSTER_TIME: "time", TRACK_NUMBER: "number", DEFAULT_DURATION: "duration", TRACK_TYPE: "type", CHANNELS: "channels", DEPTH: "depth", CUE_TIME: "cue_time", CUE_TRACK: "cue_track", CUE_CLUSTER: "cue_cluster"}
 
 
 def payload(data: bytes, parsed: Parsed, track: int = 1) -> bytes:
@@ -233,22 +261,30 @@ def pad(data: bytes, unit: int = 64) -> bytes:
     return data + bytes(unit - len(data) if len(data) < unit else -len(data) % unit)
 
 
+PACKETS = "array<struct<track:long,time_ns:long,start:long,size:long,keyframe:boolean,lace:int,cue_ns:long>>"
+
+
 def packet_table(df: DataFrame, media_col: str, keep: list[str]) -> DataFrame:
-    """A row per packet of each file: keep, track, time_ns, start, size, keyframe, lace, error.
+    """A row per packet of each file: keep, track, time_ns, start, size, keyframe, lace, cue_ns (see Parsed.cued), error.
 
-    A file that isn't well formed, or null, gives one row of nulls with the reason in error.
+    A file that isn't well formed, or null, gives one row of nulls with the reason in error, an empty
+    table an empty one. Columns of keep with those names are replaced. Repeated rows repeat.
     """
-    schema = "packets array<struct<track:long,time_ns:long,start:long,size:long,keyframe:boolean,lace:int>>, error string"
 
-    def fn(encoded: str | None) -> tuple:
+    def fn(media: bytes | None) -> tuple:
         try:
-            found = parse(bytes.fromhex(encoded or ""))
+            found = parse(media or b"")
         except (ValueError, IndexError, struct.error) as e:
             return None, str(e)
-        return [dict(zip(("track", "time_ns", "start", "size", "keyframe", "lace"), p, strict=True)) for p in found.packets], None if encoded is not None else "null"
-
-    rows = map_texts(df.withColumn("media_hex_", F.lower(F.hex(F.col(media_col)))), "media_hex_", keep, schema, fn)
-    return rows.select(*keep, F.explode_outer("packets").alias("p"), "error").select(*keep, "p.*", "error")
+        names = ("track", "time_ns", "start", "size", "keyframe", "lace", "cue_ns")
+        return [dict(zip(names, (*p, cue), strict=True)) for p, cue in zip(found.packets, found.cued(), strict=True)], None if media is not None else "null"
+
+    made = ["track", "time_ns", "start", "size", "keyframe", "lace", "cue_ns", "error"]
+    keep = [c for c in keep if c not in made]
+    inner = [f"kept_{k}" for k in range(len(keep))]
+    named = df.select(*[F.col(c).alias(i) for c, i in zip(keep, inner, strict=True)], F.col(media_col).cast("binary").alias("media"))
+    rows = map_texts(named, "media", inner, f"packets {PACKETS}, error string", fn, "binary")
+    return rows.select(*inner, F.explode_outer("packets").alias("p"), "error").select(*inner, "p.*", "error").toDF(*keep, *made)
 
 
 def media_column(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:

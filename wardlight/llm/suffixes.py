@@ -1,75 +1,94 @@
 """Suffix-array deduplication: repeated byte strings from Burrows-Wheeler transforms merged shard by shard.
 
-Symbols. A text is parsed at anchors: in every window of LENGTH bytes the GRAM-byte string of the
-smallest hash. Equal windows have their anchor at the same place, whatever surrounds them. The
-bytes between two anchors (with the second one's gram, so that neighbours overlap) are one symbol;
-a text is a string of about a symbol for 170 bytes.
-
-Merge. Each shard sorts its own suffixes once and keeps its transform. The shards' transforms are
-merged by interleave refinement: level h holds the blocks of suffixes that agree in h symbols, each
-block as one interval of every shard; level h + 1 comes from level h by stepping each interval
-backwards through the transform (LF mapping), block by block, in each shard alone. Only the sizes
-of the intervals are exchanged, summed over shards; blocks of one suffix are finished, and where a
-block splits, the common prefix of its neighbours is h symbols. No suffix is sorted again and no
-merged order is gathered in one place: an exchange carries each shard's distinct blocks of a level
-once, so thousands of copies are one interval.
-
-Repeats. A block of two or more suffixes is a repeated interval of the merged transform, and its
-symbols' bytes are a repeated string. Windows inside are decided. Windows that begin or end within
-a symbol are decided by an exact check of the windows themselves, for those anchors only that
-other places share; of decided windows one place of each block takes part.
+Symbols. A text is parsed at anchors: in each run of some places the gram of the smallest hash. A
+repeated string has the same anchors wherever it stands, but for those near its ends. The bytes
+between two anchors, with the second one's gram, are one symbol; the text is a string of symbols
+that begins with a head, and ends with a tail and END.
+
+Shards. Each shard sorts the suffixes of its strings once, to the end, and keeps that order, the
+common prefix of neighbours and the transform's step back to the suffix that begins a symbol before.
+
+Merge. The interleave of all shards is refined level by level: at level h its blocks hold the
+suffixes that agree in h symbols, each block an interval of every shard's order. Where a block
+splits, the neighbours' common prefix is shorter than the level. A level comes from the one before by
+STEP walks back through the transform: the block of a suffix is told by the blocks of its STEP
+parts. Shards exchange each interval once with its size; of the summed sizes, one of 1 ends a block, and
+any other gets a number that no other block has. No suffix is sorted again, no merged order is gathered
+in one place, and the merge goes on until no block is left or all lengths that windows need are there.
+
+Repeats. A window (the bytes of one string looked for) is covered by the symbols that it touches. If they
+are a block of the merged transform, it repeats. Else its edges stick out of its repeated block: windows
+are equal that have the same block, by its number, and the same bytes before and behind it. So
+edges are asked about only where the merge has a block, and without its blocks no window is found.
+
+Keys are 128 bits, so that among 10^14 strings two that differ meet with a chance below 10^-10.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, materialize_by, parts_for, tidy
-from .packing import bounds, mix, pack, pack_sorted, unpack, unpack_sorted
+from .common import materialize, materialize_by, parts_for, scratch, tidy
+from .exchange import ANSWER, ASKED, arrow, distinct, fans, joined, owner, rows_of, totals, value
+from .packing import mix, pack, unpack
 
 #: A repeat is a string of LENGTH bytes; anchors are strings of GRAM bytes.
-LENGTH, GRAM = 400, 64
-#: Symbols that blocks are refined to; enough for windows with up to LEVELS - 1 anchors inside.
-LEVELS = 4
-SHARD_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 32 << 20, 64
-#: Window starts hashed at once.
+LENGTH, GRAM = 400, 32
+#: A level's blocks are told by STEP blocks of the level before.
+STEP = 4
+#: Text of a shard, and of a range of keys.
+SHARD_BYTES, RANGE_BYTES, LEAST_RANGES = 2 << 20, 16 << 20, 8
+#: Places hashed at once.
 CHUNK = 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
+#: Beyond any common prefix: suffixes that agree to their end.
+WHOLE = 1 << 40
+END = np.uint64(1)  # even numbers are blocks
 
+u64 = np.uint64
 
-class Rolling:
-    """Hashes of all substrings of one size, by prefix sums of a polynomial modulo 2^64."""
 
-    def __init__(self) -> None:
-        self.power = np.ones(1, np.uint64)
-        self.inverse = self.power
-        self.value = mix(np.arange(256, dtype=np.uint64), np.full(256, 77, np.uint64)) | np.uint64(1)
+def width_of(length: int, gram: int) -> int:
+    """Places in a run: every window holds three runs, so at least three anchors and two whole symbols."""
+    return max(1, (length - gram + 1) // 3)
 
-    def grow(self, n: int) -> None:
-        if len(self.power) < n:
-            back = pow(BASE, -1, 1 << 64)
-            self.power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]), dtype=np.uint64)
-            self.inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, back, np.uint64)]), dtype=np.uint64)
 
-    def keys(self, data: np.ndarray, size: int) -> np.ndarray:
-        n = len(data)
-        self.grow(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.value[data] * self.power[:n], dtype=np.uint64, out=sums[1:])
-        raw = (sums[size:] - sums[: n - size + 1]) * self.inverse[: n - size + 1]
-        return mix(raw, np.uint64(size))
+class Hashes:
+    """Hashes of any substrings of some bytes, by prefix sums of two polynomials modulo 2^64."""
 
+    power = back = np.ones(1, np.uint64)
+    values = [mix(np.arange(256, dtype=np.uint64), np.full(256, seed, np.uint64)) | u64(1) for seed in (77, 78)]
 
-ROLLING = Rolling()
+    def __init__(self, data: np.ndarray):
+        n = len(data) + 1
+        if len(Hashes.power) < n:
+            for name, by in (("power", BASE), ("back", pow(BASE, -1, 1 << 64))):
+                steps = np.full(n, by, np.uint64)
+                steps[0] = 1
+                setattr(Hashes, name, np.cumprod(steps, dtype=np.uint64))
+        self.sums = []
+        for value in self.values:
+            sums = np.zeros(n, np.uint64)
+            np.multiply(value[data], Hashes.power[: n - 1], out=sums[1:])
+            self.sums.append(np.cumsum(sums, dtype=np.uint64, out=sums))
+
+    def of(self, which: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        s = self.sums[which]
+        return mix((s[b] - s[a]) * Hashes.back[a], (b - a).astype(np.uint64))
+
+    def grams(self, a: int, b: int, size: int) -> np.ndarray:
+        """Hashes of the strings of `size` bytes that start at a to b."""
+        s = self.sums[0]
+        return mix((s[a + size : b + size] - s[a:b]) * Hashes.back[a:b], u64(size))
 
 
 def smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -83,196 +102,113 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a text of at least length bytes: places, first window start of each, keys of their grams.
+def anchors(hashes: Hashes, starts: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of all texts of at least length bytes that lie one after the other: places, and the first run of each.
 
-    The windows of an anchor follow each other; equal hashes count by place, leftmost first.
+    A run is named by its first place; the runs of an anchor follow each other. Equal hashes count
+    by place, leftmost first.
     """
-    width, windows = length - gram + 1, len(data) - length + 1
-    places, firsts, keys = [], [], []
-    low = np.uint64((1 << 21) - 1)
-    for start in range(0, windows, CHUNK):
-        stop = min(windows, start + CHUNK)
-        grams = ROLLING.keys(data[start : stop + length - 1], gram)
-        found = smallest((grams & ~low) | np.arange(len(grams), dtype=np.uint64), width) & low
-        turns = np.flatnonzero(np.diff(found, prepend=found[:1] + np.uint64(1)))
-        own = found[turns].astype(np.int64)
-        keys.append(mix(grams[own], np.uint64(1)))  # smallest hashes lie close together; as keys they are to be spread
-        places.append(own + start)
-        firsts.append(turns + start)
-    places, firsts, keys = np.concatenate(places), np.concatenate(firsts), np.concatenate(keys)
+    width, n = width_of(length, gram), len(hashes.sums[0]) - 1
+    runs = n - gram - width + 2
+    if runs <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = np.zeros(runs + 1, np.int32)  # runs that lie within a text
+    long = sizes >= length
+    np.add.at(inside, starts[long], 1)
+    np.add.at(inside, np.minimum(runs, (starts + sizes - gram - width + 2)[long]), -1)
+    inside = np.cumsum(inside[:-1]) > 0
+    low, places, firsts = u64((1 << 21) - 1), [], []
+    for a in range(0, runs, CHUNK):
+        b = min(runs, a + CHUNK)
+        if not inside[a:b].any():
+            continue
+        found = hashes.grams(a, b + width - 1, gram)
+        found = (smallest((found & ~low) | np.arange(len(found), dtype=np.uint64), width) & low).astype(np.int64) + a
+        own = np.flatnonzero(inside[a:b])
+        found = found[own]
+        turns = np.flatnonzero(np.diff(found, prepend=-1))
+        places.append(found[turns])
+        firsts.append(own[turns] + a)
+    if not places:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    places, firsts = np.concatenate(places), np.concatenate(firsts)
     new = np.diff(places, prepend=-1) != 0  # an anchor of two chunks
-    return places[new], firsts[new], keys[new]
-
-
-class Parse:
-    """Of one text: cuts (its symbols lie between them), anchors' first windows and keys, symbols' keys."""
-
-    def __init__(self, raw: bytes, length: int, gram: int):
-        data = np.frombuffer(raw, np.uint8)
-        places, self.firsts, self.grams = anchors(data, length, gram)
-        self.cuts = np.concatenate([[0], places, [len(raw)]])
-        view, last = memoryview(raw), len(places)
-        ends = np.minimum(self.cuts[1:] + gram, len(raw)).tolist()
-        self.symbols = np.array([xxhash.xxh3_64_intdigest(view[a:b], seed=1 if not j else 2 if j == last else 0) for j, (a, b) in enumerate(zip(self.cuts.tolist(), ends, strict=False))], dtype=np.uint64)
+    return places[new], firsts[new]
 
 
 class Shard:
-    """Parses of a shard's texts, its suffix order and transform, and the levels of the merge."""
+    """Parse of a shard's texts, the order of their suffixes, and what the merge says about them.
 
-    def __init__(self, sizes: np.ndarray, counts: np.ndarray, cuts: np.ndarray, firsts: np.ndarray, grams: np.ndarray, symbols: np.ndarray, length: int, gram: int):
-        """counts: anchors of each text (0: too short, no symbols); the other arrays lie text after text."""
-        self.sizes, self.counts, self.firsts, self.grams, self.symbols, self.length, self.gram = sizes, counts, firsts, grams, symbols, length, gram
+    Texts lie one after the other. counts: anchors of each text (0: too short, no symbols). Of the
+    order: suffix (the symbol that begins it) and common (symbols that it shares with the one before).
+    """
+
+    def __init__(self, length: int, gram: int, sizes: np.ndarray, counts: np.ndarray, places: np.ndarray, firsts: np.ndarray, keys: list[np.ndarray], order: np.ndarray, common: np.ndarray):
+        self.length, self.gram, self.sizes, self.counts, self.places, self.firsts, self.keys, self.order, self.common = length, gram, sizes, counts, places, firsts, keys, order, common
+        self.starts = np.cumsum(sizes) - sizes
+        self.begin, self.end, self.last, self.of_anchor = self.symbols(sizes, counts, places, gram)
+        n = len(order)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.place = place
+        first = np.zeros(n, bool)
+        first[np.unique(self.last)[:-1] + 1 if n else []] = True
+        first[0:1] = True
+        #: The transform: place of the suffix that begins a symbol before, -1 at a text's start.
+        self.back = np.where(first[order], -1, place[order - 1]) if n else np.zeros(0, np.int64)
+
+    @staticmethod
+    def symbols(sizes: np.ndarray, counts: np.ndarray, places: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all symbols: begin, end, last symbol of the own text; and the symbol that begins at each anchor."""
         parsed = np.flatnonzero(counts)
+        starts = (np.cumsum(sizes) - sizes)[parsed]
         strings = counts[parsed] + 1
-        self.text = np.repeat(parsed, strings)  # of each symbol
-        self.last = np.repeat(np.cumsum(strings) - 1, strings)  # last symbol of the own text
-        self.cuts = cuts
-        at = np.arange(len(symbols)) + np.repeat(np.arange(len(parsed)), strings)  # cuts has one more for each text
-        self.begin, self.end = cuts[at], cuts[at + 1]
-        self.sort()
-
-    def sort(self) -> None:
-        """Suffix order by ranks of 1, 2, 4 ... symbols, as far as levels need; the text's end sorts first."""
-        n = len(self.symbols)
-        rank, step, at = np.unique(self.symbols, return_inverse=True)[1].astype(np.int64) + 1, 1, np.arange(n)
-        while step < LEVELS and n:
-            ahead = np.where(at + step <= self.last, rank[np.minimum(at + step, n - 1)], 0)
-            rank = np.unique(rank * (n + 2) + ahead, return_inverse=True)[1].astype(np.int64) + 1
-            step *= 2
-        self.order = np.argsort(rank, kind="stable")
-        place = np.empty(n, np.int64)
-        place[self.order] = np.arange(n)
-        starts = np.zeros(n, bool)
-        starts[0:1] = True
-        starts[1:] = self.last[1:] != self.last[:-1]
-        first = starts[self.order]
-        #: Of each place of the order: the symbol before (the transform), and the place of the suffix that begins there (-1 at a text's start).
-        self.before = np.where(first, np.uint64(0), self.symbols[self.order - 1]) if n else np.zeros(0, np.uint64)
-        self.lf = np.where(first, -1, place[self.order - 1]) if n else np.zeros(0, np.int64)
-
-    def refine(self, answers: dict[str, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray, list]:
-        """(level, key of each place of the order, whether it is in a block, levels before): the first level without an answer.
-
-        Levels before: (h, places in repeated blocks, places that are their block's owner).
-        """
-        n, done = len(self.order), []
-        keys, inside = self.symbols[self.order], np.ones(n, bool)
-        for h in range(1, LEVELS + 1):
-            answer = answers.get(f"x{h}")
-            if answer is None:
-                return h, keys, inside, done
-            places = np.flatnonzero(inside)
-            found, one, at = np.unique(keys[places], return_index=True, return_inverse=True)
-            live = answer[at] >= 4  # twice the number, and 1 for the owner
-            owner = np.zeros(n, bool)
-            owner[places[one[(answer & 1) == 1]]] = True
-            repeated = np.zeros(n, bool)
-            repeated[places[live]] = True
-            done.append((h, repeated, owner & repeated))
-            # a step back through the transform: block X of level h becomes cX of level h + 1
-            back = np.flatnonzero(repeated & (self.lf >= 0))
-            new_keys, new_inside = np.zeros(n, np.uint64), np.zeros(n, bool)
-            new_keys[self.lf[back]] = mix(keys[back], self.before[back])
-            new_inside[self.lf[back]] = True
-            keys, inside = new_keys, new_inside
-        return LEVELS + 1, keys, inside, done
-
-    def windows(self, answers: dict[str, np.ndarray]) -> Iterator[tuple[int, int, slice, np.ndarray, np.ndarray]]:
-        """For each parsed text: (text, window starts, its anchors, decided, owned), the last two as 0/1 per window start."""
-        done = self.refine(answers)[3]
-        marks: dict[int, list] = {}
-        for h, repeated, owner in done:
-            for places, kind in ((repeated, 0), (owner, 1)):
-                i = self.order[places]
-                j = i + h - 1
-                ok = j <= self.last[i]
-                i, j = i[ok], j[ok]
-                stop = np.minimum(self.end[j] + self.gram, self.sizes[self.text[i]]) - self.length + 1
-                long = stop > self.begin[i]
-                marks.setdefault(kind, []).append((self.text[i][long], self.begin[i][long], stop[long]))
-        joined = {}
-        for kind in (0, 1):
-            parts = [np.concatenate(c) for c in zip(*marks.get(kind, [(np.zeros(0, np.int64),) * 3]), strict=True)]
-            order = np.argsort(parts[0], kind="stable")
-            joined[kind] = [p[order] for p in parts]
-        at = 0
-        for text in np.flatnonzero(self.counts).tolist():
-            n = int(self.sizes[text]) - self.length + 1
-            masks = []
-            for kind in (0, 1):
-                texts, begin, stop = joined[kind]
-                a, b = np.searchsorted(texts, [text, text + 1])
-                edges = np.zeros(n + 1, np.int32)
-                np.add.at(edges, begin[a:b], 1)
-                np.add.at(edges, stop[a:b], -1)
-                masks.append(np.cumsum(edges)[:-1] > 0)
-            own = slice(at, at + int(self.counts[text]))
-            at = own.stop
-            yield text, n, own, masks[0], masks[1]
-
-    def undecided(self, answers: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(text, anchor of each window, undecided, owned, decided): undecided windows have an anchor found elsewhere and are in no repeat yet."""
-        shared = answers["s0"][np.unique(self.grams, return_inverse=True)[1]] >= 4 if len(self.grams) else np.zeros(0, bool)
-        for text, n, own, decided, owned in self.windows(answers):
-            anchor = np.repeat(np.arange(own.start, own.stop), np.diff(self.firsts[own], append=n))
-            yield text, anchor, shared[anchor] & ~decided, owned, decided
-
-    def sends(self, kind: str, answers: dict[str, np.ndarray], texts: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys in order, with numbers, that the shard asks about: grams s0, blocks x1 ..., anchors of undecided windows u, windows w."""
-        if kind == "s0":
-            return np.unique(self.grams, return_counts=True)
-        if kind[0] == "x":
-            _, keys, inside, _ = self.refine(answers)
-            return np.unique(keys[inside], return_counts=True)
-        if kind == "u":
-            keys, at = np.unique(self.grams, return_inverse=True)
-            numbers = np.zeros(len(keys), np.int64)
-            for _, anchor, undecided, _, _ in self.undecided(answers):
-                np.add.at(numbers, at[np.unique(anchor[undecided])], 1)
-            return keys, numbers
-        keys = [k for _, k in self.window_keys(answers, texts)]
-        return np.unique(np.concatenate([np.zeros(0, np.uint64), *[k[0] for k in keys]]), return_counts=True)
-
-    def window_keys(self, answers: dict[str, np.ndarray], texts: list[bytes]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """(text, (keys of the windows that take part in the exact check, their starts, decided of all windows))."""
-        open_ = answers["u"][np.unique(self.grams, return_inverse=True)[1]] >= 2 if len(self.grams) else np.zeros(0, bool)
-        for text, anchor, undecided, owned, decided in self.undecided(answers):
-            part = undecided | (owned & open_[anchor])
-            starts = np.flatnonzero(part)
-            keys = np.zeros(0, np.uint64)
-            if len(starts):
-                data = np.frombuffer(texts[text], np.uint8)
-                found = []
-                for a in range(0, len(part), CHUNK):
-                    b = min(len(part), a + CHUNK)
-                    if part[a:b].any():
-                        found.append(ROLLING.keys(data[a : b + self.length - 1], self.length)[part[a:b]])
-                keys = np.concatenate(found)
-            yield text, (keys, starts, decided)
+        heads = np.cumsum(strings) - strings
+        total = int(strings.sum())
+        of_anchor = np.arange(len(places)) + np.repeat(np.arange(len(parsed)), counts[parsed]) + 1
+        begin, end = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        begin[heads], begin[of_anchor] = starts, places
+        end[of_anchor - 1] = places + gram
+        end[heads + strings - 1] = starts + sizes[parsed]
+        return begin, end, np.repeat(heads + strings - 1, strings), of_anchor
 
-    def removed(self, answers: dict[str, np.ndarray], texts: list[bytes]) -> dict[int, np.ndarray]:
-        """For each text with repeats, 1 for every byte that a repeated window covers."""
-        all_keys, at = [], []
-        found = list(self.window_keys(answers, texts))
-        for _, (keys, _, _) in found:
-            all_keys.append(keys)
-        _, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *all_keys]), return_inverse=True)
-        out, place = {}, 0
-        for text, (keys, starts, decided) in found:
-            again = answers["w"][at[place : place + len(keys)]] >= 4
-            place += len(keys)
-            hit = decided.copy()
-            hit[starts[again]] = True
-            if hit.any():
-                edges = np.zeros(len(texts[text]) + 1, np.int32)
-                edges[: len(hit)] += hit
-                edges[self.length :] -= hit[: len(edges) - self.length]
-                out[text] = np.cumsum(edges)[:-1] > 0
-        return out
+    @classmethod
+    def of(cls, texts: list[bytes], length: int, gram: int) -> Shard:
+        sizes = np.array([len(t) for t in texts], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        hashes = Hashes(np.frombuffer(b"".join(texts), np.uint8))
+        places, firsts = anchors(hashes, starts, sizes, length, gram)
+        counts = np.bincount(np.searchsorted(starts + sizes, places, "right"), minlength=len(sizes))[: len(sizes)] if len(sizes) else sizes
+        begin, end, last, _ = cls.symbols(sizes, counts, places, gram)
+        kind = np.zeros(len(begin), np.uint64)
+        kind[last], kind[0:1] = 2, 1
+        kind[np.unique(last)[:-1] + 1 if len(last) else []] = 1
+        keys = [mix(hashes.of(w, begin, end), kind) for w in (0, 1)]
+        return cls(length, gram, sizes, counts, places, firsts, keys, *cls.sort(keys, last))
+
+    @staticmethod
+    def sort(keys: list[np.ndarray], last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of all suffixes to their ends, END first, and the common prefixes of neighbours."""
+        n, at = len(last), np.arange(len(last))
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ranks, longest = [distinct(*keys, np.zeros(n, np.uint64))[1] + 1], int((last - at).max()) + 1
+        while (step := 1 << len(ranks) - 1) < longest and int(ranks[-1].max()) < n:
+            ahead = np.where(at + step <= last, ranks[-1][np.minimum(at + step, n - 1)], 0)
+            ranks.append(np.unique(ranks[-1] * (n + 2) + ahead, return_inverse=True)[1] + 1)
+        order = np.argsort(ranks[-1], kind="stable")
+        a, b = order[:-1], order[1:]
+        same = np.zeros(n - 1, np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            x, y = a + same, b + same
+            agree = (x <= last[a]) & (y <= last[b])
+            agree[agree] = ranks[k][x[agree]] == ranks[k][y[agree]]
+            same[agree] += 1 << k
+        same[(a + same > last[a]) & (b + same > last[b])] = WHOLE
+        return order, np.concatenate([[0], same])
 
     def dump(self) -> bytes:
-        parts = [pack(self.sizes), pack(self.counts), pack(self.cuts), pack(self.firsts), pack(self.grams), pack(self.symbols)]
+        parts = [pack(self.sizes), pack(self.counts), pack(self.places), pack(self.firsts), *map(pack, self.keys), pack(self.order), pack(self.common)]
         return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
     @classmethod
@@ -282,28 +218,238 @@ class Shard:
             n = int.from_bytes(data[at : at + 8], "little")
             parts.append(unpack(data[at + 8 : at + 8 + n]))
             at += 8 + n
-        return cls(*[p.astype(np.int64) for p in parts[:4]], parts[4], parts[5], length, gram)
+        ints = [p.astype(np.int64) for p in (*parts[:4], *parts[6:])]
+        return cls(length, gram, *ints[:4], parts[4:6], *ints[4:])
+
+    # The merge
+
+    def intervals(self, h: int, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the order that agree in h symbols, where inside: their first places, and each place's interval (of all)."""
+        heads = self.common < h
+        number = np.cumsum(heads) - 1
+        at = np.flatnonzero(heads)
+        kept = inside[at]
+        renumber = np.cumsum(kept) - 1
+        return at[kept], np.where(inside, renumber[number], -1)
+
+    def ahead(self, back: np.ndarray) -> np.ndarray:
+        """Of each place the one that leads to it by `back`, -1 where none does."""
+        out = np.full(len(back), -1, np.int64)
+        ok = np.flatnonzero(back >= 0)
+        out[back[ok]] = ok
+        return out
 
-    @classmethod
-    def of(cls, texts: list[bytes], length: int, gram: int) -> Shard:
-        parses = [Parse(t, length, gram) if len(t) >= length else None for t in texts]
-        some = [p for p in parses if p]
-        join = lambda name, kind: np.concatenate([np.zeros(0, kind), *[getattr(p, name) for p in some]])
-        return cls(np.array([len(t) for t in texts], np.int64), np.array([len(p.grams) if p else 0 for p in parses], np.int64), join("cuts", np.int64), join("firsts", np.int64), join("grams", np.uint64), join("symbols", np.uint64), length, gram)
+    def level(self, h: int, block: np.ndarray | None, back: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+        """Level h from the level before, whose blocks these are and whose symbols a step of `back` walks:
+        (block where it doesn't change, first places of intervals asked about, interval of each place, their (keys, checks, counts))."""
+        n = len(self.order)
+        if block is None:
+            carried, asked = np.zeros(n, np.uint64), np.ones(n, bool)
+            parts = [self.keys[0][self.order], self.keys[1][self.order]]
+        else:
+            ahead, at = self.ahead(back), np.arange(n)
+            pieces = [block]
+            ended, alive = np.zeros(n, bool), block > 0
+            for k in range(1, STEP):
+                at = np.where(at >= 0, ahead[at], -1)
+                ended = at < 0
+                piece = np.where(ended, END, block[at])
+                alive &= piece > 0
+                pieces.append(piece)
+            over = ahead < 0  # the level before reaches END
+            carried, asked = np.where(over, block, u64(0)), alive & ~over
+            parts = [pieces[0], pieces[-1]]
+            for piece in pieces[1:]:
+                parts[0] = mix(parts[0], piece)
+            for piece in pieces[-2::-1]:
+                parts[1] = mix(parts[1] ^ u64(0x5DEECE66D), piece)
+        heads, number = self.intervals(h, asked)
+        sizes = np.bincount(number[number >= 0], minlength=len(heads)).astype(np.uint64)
+        return carried, heads, number, (parts[0][heads], parts[1][heads], sizes)
+
+    def merge(self, answers: dict[str, np.ndarray]) -> tuple[int, tuple | None, dict[int, np.ndarray]]:
+        """(the level to ask about, what to ask, blocks of each suffix by level): as far as answers go."""
+        h, block, back, done = 1, None, self.back, {}
+        while True:
+            carried, heads, number, asks = self.level(h, block, None if h == 1 else back)
+            if f"x{h}" not in answers:
+                return h, asks, done
+            _, at, _, _, _ = distinct(*asks)
+            found = value(answers[f"x{h}"])[at] << u64(1)
+            block = np.where(number >= 0, np.concatenate([found, np.zeros(1, np.uint64)])[number], carried)
+            done[h] = block[self.place]
+            if h > 1:
+                back = self.walk(back)
+            h *= STEP
+
+    def walk(self, back: np.ndarray) -> np.ndarray:
+        out = back
+        for _ in range(STEP - 1):
+            out = np.where(out >= 0, back[out], -1)
+        return out
+
+    @staticmethod
+    def told(blocks: dict[int, np.ndarray], first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Strings of `count` symbols from `first`: (whether all blocks that tell them are there, two keys)."""
+        alive = np.ones(len(first), bool)
+        keys = [count.astype(np.uint64), mix(count.astype(np.uint64), u64(5))]
+        levels = np.array(sorted(blocks), np.int64)
+        for k, h in enumerate(levels.tolist()):
+            own = np.flatnonzero((count >= h) & ((count < h * STEP) | (k == len(levels) - 1)))
+            for step in range(STEP):
+                # parts side by side, the last one moved back so that it ends with the string
+                offset = np.minimum(step * h, count[own] - h)
+                piece = blocks[h][first[own] + offset]
+                alive[own] &= piece > 0
+                keys[0][own] = mix(keys[0][own], piece)
+                keys[1][own] = mix(piece ^ u64(0x5DEECE66D), keys[1][own])
+        return alive, keys[0], keys[1]
+
+    # Windows
+
+    def segments(self, alive: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Runs of window starts alike in the symbols they touch and in their own first and last anchor:
+        (start, stop, first symbol, symbols, first anchor, last anchor). Only windows that hold two
+        whole symbols, one after the other, that are alive; no other can repeat."""
+        length, texts = self.length, np.flatnonzero(self.counts)
+        shift = length - self.gram - width_of(length, self.gram) + 1
+        two = np.flatnonzero(alive[:-1] & alive[1:] & (self.last[:-1] > np.arange(len(alive) - 1))) if len(alive) else np.zeros(0, np.int64)
+        lo, hi = self.starts[texts], (self.starts + self.sizes - length + 1)[texts]
+        if not len(two):
+            return (np.zeros(0, np.int64),) * 6
+        from_, to = self.end[two + 1] - length, self.begin[two] + 1
+        to = np.maximum.accumulate(to)
+        own = np.searchsorted(lo, self.begin[two], "right") - 1
+        marks = [np.maximum(from_, lo[own]), to]
+        for some in (self.begin, self.end - length + 1, self.firsts, self.firsts - shift):
+            at = np.searchsorted(from_, some, "right") - 1
+            marks.append(some[(at >= 0) & (some < to[at])])
+        marks = np.sort(np.concatenate(marks), kind="stable")
+        marks = marks[np.diff(marks, prepend=-1) != 0]
+        at, which = np.searchsorted(from_, marks, "right") - 1, np.searchsorted(lo, marks, "right") - 1
+        ok = (at >= 0) & (which >= 0)
+        ok &= (marks < to[at]) & (marks < hi[which])
+        stop = np.append(marks[1:], np.iinfo(np.int64).max)[ok]
+        marks, which = marks[ok], which[ok]
+        stop = np.minimum(stop, hi[which])
+        symbol = np.searchsorted(self.begin, marks, "right") - 1
+        touched = np.searchsorted(self.end, marks + length, "left") - symbol + 1
+        first = np.searchsorted(self.firsts, marks, "right") - 1
+        final = np.searchsorted(self.firsts, marks + shift, "right") - 1
+        return marks, stop, symbol, touched, first, final
+
+    def most_touched(self) -> int:
+        """Most symbols that a window touches."""
+        at = np.flatnonzero(self.last > np.arange(len(self.last)))
+        ends = np.minimum(self.begin[at + 1] - 1 + self.length, self.end[self.last[at]])
+        return int((np.searchsorted(self.end, ends, "left") - at + 1).max(initial=0))
+
+    def covers(self, blocks: dict[int, np.ndarray], symbol: np.ndarray, touched: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Strings of symbols that windows touch and that may repeat: (each segment's string or -1, first segment of each, what to ask)."""
+        pair = symbol * (1 << 20) + touched  # rises with the window's start
+        new = np.diff(pair, prepend=-1) != 0
+        one, at = np.flatnonzero(new), np.cumsum(new) - 1
+        alive, k1, k2 = self.told(blocks, symbol[one], touched[one])
+        number = np.where(alive, np.cumsum(alive) - 1, -1)[at]
+        return number, one[alive], (k1[alive], k2[alive], np.ones(int(alive.sum()), np.uint64))
+
+    def state(self, answers: dict[str, np.ndarray]) -> dict:
+        """Everything known of the segments, as far as answers go."""
+        _, _, blocks = self.merge(answers)
+        start, stop, symbol, touched, first, final = self.segments(blocks[1] > 0)
+        s = {"blocks": blocks, "start": start, "stop": stop, "first": first, "final": final}
+        number, _, s["asks"] = self.covers(blocks, symbol, touched)
+        if "c" not in answers:
+            return s
+        one, at, _, _, _ = distinct(*s["asks"])
+        answer, own = answers["c"][at], np.zeros(len(at), bool)
+        own[one] = True
+        fill = lambda x: np.where(number >= 0, np.append(x, False)[number], False).astype(bool)
+        s["decided"] = fill(value(answer) > 1)
+        owned = fill(own & owner(answer)) & s["decided"]
+        head, tail = self.of_anchor[first], self.of_anchor[final]
+        alive, s["mid1"], s["mid2"] = self.told(blocks, head, tail - head)
+        undecided = alive & ~s["decided"]
+        open_, closed = np.unique(head[undecided]), np.unique(head[owned & alive])
+        ask, places = np.unique(np.concatenate([open_, closed]), return_index=True)
+        one_block = blocks[1]
+        after = one_block[ask + 1]
+        s["asks"] = mix(one_block[ask], after), after, np.where(places < len(open_), u64(1), u64(1 << 31))
+        if "u" not in answers:
+            return s
+        _, at, _, _, _ = distinct(*s["asks"])
+        found = np.zeros(len(self.begin) + 1, np.uint64)
+        found[ask] = value(answers["u"])[at]
+        found = found[head]
+        several = (found & u64((1 << 31) - 1)) + (found >> u64(31)) > 1
+        s["part"] = (undecided & several) | (owned & alive & ((found & u64((1 << 31) - 1)) > 0))
+        return s
+
+    def edges(self, s: dict, texts: list[bytes]) -> tuple[np.ndarray, tuple]:
+        """Window starts of the segments that take part, and what to ask about them. Only the texts that they lie in are hashed."""
+        part = np.flatnonzero(s["part"])
+        which = np.searchsorted(self.starts + self.sizes, s["start"][part], "right")
+        used = np.unique(which)
+        hashes = Hashes(np.frombuffer(b"".join([texts[k] for k in used.tolist()]), np.uint8))
+        moved = np.zeros(len(self.sizes), np.int64)
+        moved[used] = self.starts[used] - (np.cumsum(self.sizes[used]) - self.sizes[used])
+        sizes = (s["stop"] - s["start"])[part]
+        seg, off = np.repeat(part, sizes), np.repeat(moved[which], sizes)
+        p = np.arange(len(seg)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + s["start"][seg]
+        a, b, c, d = p - off, self.places[s["first"][seg]] - off, self.places[s["final"][seg]] - off, p + self.length - off
+        k1 = mix(mix(s["mid1"][seg], hashes.of(0, a, b)), hashes.of(0, c, d))
+        k2 = mix(mix(s["mid2"][seg], hashes.of(1, c, d)), hashes.of(1, a, b))
+        return p, (k1, k2, np.ones(len(p), np.uint64))
+
+    def sends(self, kind: str, answers: dict[str, np.ndarray], texts: Callable[[], list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order, with checks and numbers, that the shard asks about: blocks x1 ..., covers c, open places u, edges w."""
+        if kind[0] == "x":
+            h, asks, _ = self.merge(answers)
+        else:
+            s = self.state(answers)
+            asks = s["asks"]
+            if kind == "w":
+                none = np.zeros(0, np.uint64)
+                asks = self.edges(s, texts())[1] if s["part"].any() else (none, none, none)
+        return distinct(*asks)[2:]
+
+    def removed(self, answers: dict[str, np.ndarray], texts: list[bytes]) -> dict[int, np.ndarray]:
+        """For each text with repeats, 1 for every byte that a repeated window covers."""
+        if not len(self.begin):
+            return {}
+        s = self.state(answers)
+        if not (s["decided"].any() or s["part"].any()):
+            return {}
+        edges = np.zeros(int(self.sizes.sum()) + 1, np.int32)
+        seg = np.flatnonzero(s["decided"])
+        np.add.at(edges, s["start"][seg], 1)
+        np.add.at(edges, s["stop"][seg] - 1 + self.length, -1)
+        if s["part"].any():
+            p, asks = self.edges(s, texts)
+            p = p[(value(answers["w"]) > 1)[distinct(*asks)[1]]]
+            np.add.at(edges, p, 1)
+            np.add.at(edges, p + self.length, -1)
+        mask = np.cumsum(edges[:-1], dtype=np.int32) > 0
+        touched = np.add.reduceat(np.append(mask, False), self.starts) > 0 if len(self.starts) else []
+        return {k: mask[self.starts[k] : self.starts[k] + self.sizes[k]] for k in np.flatnonzero(touched & (self.sizes > 0)).tolist()}
 
 
 def shards(df: DataFrame, text_col: str, id_col: str, length: int, gram: int, shard_bytes: int) -> DataFrame:
-    """A row per shard: parse, ids, texts (compressed, with their sizes in parse)."""
+    """A row per shard: parse, ids, texts (compressed, with their sizes in parse), most symbols that a window touches.
+
+    A shard ends with the text that reaches shard_bytes, so memory follows the longest text.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("t"))
-    schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("parse", T.BinaryType()), T.StructField("texts", T.BinaryType()), T.StructField("ids", T.ArrayType(df.schema[id_col].dataType))])
+    schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("parse", T.BinaryType()), T.StructField("texts", T.BinaryType()), T.StructField("ids", T.ArrayType(df.schema[id_col].dataType)), T.StructField("most", T.LongType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(schema)
+    out = to_arrow_schema(schema)
 
     def flush(name: str, ids: list, texts: list[bytes]) -> pa.RecordBatch:
         packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-        row = (name, Shard.of(texts, length, gram).dump(), packed, ids)
-        return pa.RecordBatch.from_arrays([pa.array([c], arrow.field(k).type) for k, c in enumerate(row)], schema=arrow)
+        shard = Shard.of(texts, length, gram)
+        row = (name, shard.dump(), packed, ids, shard.most_touched())
+        return pa.RecordBatch.from_arrays([pa.array([c], out.field(k).type) for k, c in enumerate(row)], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -325,33 +471,9 @@ def shards(df: DataFrame, text_col: str, id_col: str, length: int, gram: int, sh
     return rows.mapInArrow(run, schema)
 
 
-ANSWER = "shard string, kind string, bucket int, answer binary"
-
-
-def add_up(asked: DataFrame) -> DataFrame:
-    """For each shard and bucket, in its order: twice the sum over all shards, and 1 where the shard is the first that has the key."""
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("shard")
-        parts = [unpack_sorted(p) for p in group.column("keys").to_pylist()]
-        found, first, at = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
-        sums = np.bincount(at, np.concatenate([unpack(c) for c in group.column("numbers").to_pylist()]).astype(float), len(found)).astype(np.uint64)
-        answer = 2 * sums[at]
-        answer[first] += np.uint64(1)
-        ends = np.cumsum([len(p) for p in parts])
-        packed = [pack(answer[e - len(p) : e]) for p, e in zip(parts, ends, strict=True)]
-        tidy()
-        return pa.table([group.column("shard"), group.column("kind"), group.column("bucket"), pa.array(packed, pa.binary())], names=["shard", "kind", "bucket", "answer"])
-
-    return asked.groupBy("kind", "bucket").applyInArrow(run, ANSWER)
-
-
-def known(table: pa.Table) -> dict[str, np.ndarray]:
-    """Answers by kind, buckets joined in order."""
-    out: dict[str, list] = {}
-    for r in sorted(table.select(["kind", "bucket", "answer"]).to_pylist(), key=lambda r: (r["kind"], r["bucket"])):
-        out.setdefault(r["kind"], []).append(unpack(r["answer"]).astype(np.int64))
-    return {k: np.concatenate(v) for k, v in out.items()}
+def known(table: pa.Table, kinds: list[str]) -> dict[str, np.ndarray]:
+    """Answers by kind; none of a kind that the shard had nothing to ask about."""
+    return {kind: joined(table.filter(pc.equal(table.column("kind"), kind))) for kind in kinds}
 
 
 def texts_of(packed: bytes, sizes: np.ndarray) -> list[bytes]:
@@ -360,85 +482,100 @@ def texts_of(packed: bytes, sizes: np.ndarray) -> list[bytes]:
     return [bytes(whole[e - n : e]) for e, n in zip(ends, sizes.tolist(), strict=True)]
 
 
-def ask(sent: DataFrame, answers: DataFrame, kinds: list[str], buckets: int, length: int, gram: int) -> DataFrame:
-    """Every shard's keys of these kinds, dealt to buckets by ranges of the keys."""
-    with_text = "w" in kinds
+def ask(sent: DataFrame, answers: DataFrame, kind: str, before: list[str], ranges: int, length: int, gram: int) -> DataFrame:
+    """Every shard's keys of a kind, dealt to ranges; before: the kinds answered."""
 
     def run(own: pa.Table, so_far: pa.Table) -> pa.Table:
-        shard, have = Shard.load(own.column("parse")[0].as_py(), length, gram), known(so_far)
-        texts = texts_of(own.column("texts")[0].as_py(), shard.sizes) if with_text else None
-        name, rows = own.column("shard")[0].as_py(), []
-        for kind in kinds:
-            keys, numbers = shard.sends(kind, have, texts)
-            edges = np.append(np.searchsorted(keys, bounds(buckets)), len(keys))
-            rows += [(name, kind, i, pack_sorted(keys[a:b]), pack(numbers[a:b])) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+        shard = Shard.load(own.column("parse")[0].as_py(), length, gram)
+        keys, checks, numbers = shard.sends(kind, known(so_far, before), lambda: texts_of(own.column("texts")[0].as_py(), shard.sizes))
         tidy()
-        fields = [("shard", pa.string()), ("kind", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary())]
-        return pa.table([pa.array(list(c), t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
+        return arrow(rows_of(own.column("shard")[0].as_py(), keys, checks, numbers, ranges), ASKED)
 
-    columns = ["shard", "parse", *["texts"] * with_text]
-    return sent.select(*columns).groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, "shard string, kind string, bucket int, keys binary, numbers binary")
+    columns = ["shard", "parse", *["texts"] * (kind == "w")]
+    return sent.select(*columns).groupBy("shard").cogroup(answers.groupBy("block")).applyInArrow(run, ASKED)
 
 
-def repeats(df: DataFrame, text_col: str, id_col: str, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """The shards and all answers of the merge and of the exact check."""
+def repeats(df: DataFrame, text_col: str, id_col: str, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The shards, all answers of the merge and about the windows' edges, and their kinds."""
     total = df.agg(F.sum(F.octet_length(F.col(text_col))).alias("bytes")).first()["bytes"] or 0
-    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
+    hops = fans(max(LEAST_RANGES, -(-total // RANGE_BYTES)))
     sent = materialize_by(shards(df, text_col, id_col, length, gram, shard_bytes), "suffix_shards", "shard", parts_for(df.sparkSession, total))
-    answers = df.sparkSession.createDataFrame([], ANSWER)
-    for kinds in (["s0", "x1"], *[[f"x{h}"] for h in range(2, LEVELS + 1)], ["u"], ["w"]):
-        answers = answers.union(materialize(add_up(ask(sent, answers, kinds, buckets, length, gram)), f"suffix-{kinds[-1]}"))
-    return sent, answers
+    size = sent.agg(F.max("most").alias("most"), F.count("*").alias("n")).first()
+    answers = df.sparkSession.createDataFrame([], f"{ANSWER}, kind string")
+    kinds, h = [], 1
+    while h <= (size["most"] or 0):
+        kinds.append(f"x{h}")
+        h *= STEP
+    kinds += ["c", "u", "w"]
+    for k, kind in enumerate(kinds):
+        got = totals(ask(sent, answers, kind, kinds[:k], hops[0], length, gram), hops, size["n"], ids=kind[0] == "x", tag="suffix")
+        got = materialize(got.withColumn("kind", F.lit(kind)), f"suffix-{kind}")
+        answers = answers.union(got)
+    return sent, answers, kinds
 
 
 def per_text(df: DataFrame, text_col: str, id_col: str, made: T.StructType, fn, length: int, gram: int, shard_bytes: int) -> DataFrame:
     """id_col and what fn(raw, removed or None) makes of each text."""
-    sent, answers = repeats(df, text_col, id_col, length, gram, shard_bytes)
-    schema = T.StructType([df.schema[id_col], *made.fields])
-    from pyspark.sql.pandas.types import to_arrow_schema
+    with scratch() as keep:
+        sent, answers, kinds = repeats(df, text_col, id_col, length, gram, shard_bytes)
+        schema = T.StructType([df.schema[id_col], *made.fields])
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(schema)
+        out = to_arrow_schema(schema)
 
-    def run(own: pa.Table, so_far: pa.Table) -> pa.Table:
-        shard = Shard.load(own.column("parse")[0].as_py(), length, gram)
-        texts = texts_of(own.column("texts")[0].as_py(), shard.sizes)
-        gone = shard.removed(known(so_far), texts)
-        rows = [fn(raw, gone.get(k)) for k, raw in enumerate(texts)]
-        tidy()
-        ids = own.column("ids").combine_chunks().flatten().cast(arrow.field(0).type)
-        return pa.table([ids, *[pa.array(list(c), arrow.field(k + 1).type) for k, c in enumerate(zip(*rows, strict=True))]], schema=arrow)
+        def run(own: pa.Table, so_far: pa.Table) -> pa.Table:
+            shard = Shard.load(own.column("parse")[0].as_py(), length, gram)
+            texts = texts_of(own.column("texts")[0].as_py(), shard.sizes)
+            gone = shard.removed(known(so_far, kinds), texts)
+            rows = [fn(raw, gone.get(k)) for k, raw in enumerate(texts)]
+            tidy()
+            ids = own.column("ids").combine_chunks().flatten().cast(out.field(0).type)
+            return pa.table([ids, *[pa.array(list(c), out.field(k + 1).type) for k, c in enumerate(zip(*rows, strict=True))]], schema=out)
 
-    return sent.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, schema)
+        own = sent.drop("most")
+        return keep(own.groupBy("shard").cogroup(answers.groupBy("block")).applyInArrow(run, schema), "suffix-result")
 
 
 def kept_bytes(raw: bytes, removed: np.ndarray | None) -> bytes:
     return raw if removed is None else np.frombuffer(raw, np.uint8)[~removed].tobytes()
 
 
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
+
+def spans_of(removed: np.ndarray | None) -> list[dict]:
+    if removed is None:
+        return []
+    edges = np.flatnonzero(np.diff(removed.astype(np.int8), prepend=0, append=0)).tolist()
+    return [{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+
 def dedup_digest(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Removes every byte covered by a string of length bytes that starts at two or more places of all texts.
 
     Texts are UTF-8 bytes (null: empty); strings never cross texts, may overlap, and are judged on
-    the input. Repeated rows are texts of their own, so all their strings of that length repeat.
-    Result, a row per row of df: id_col, n_bytes, n_removed, n_spans (long), kept_sha256.
+    the input. Repeated rows are texts of their own, so all their strings of that length repeat. An
+    empty table gives an empty result; other columns of df, whatever their names, take no part.
+    Result, a row per row of df: id_col, n_bytes, n_removed, n_spans (long), kept_sha256, clean_text
+    (what is left, without characters cut by a string's edge), spans (array of start, end in bytes).
     """
 
     def fn(raw: bytes, removed: np.ndarray | None) -> tuple:
-        gone, spans = (0, 0) if removed is None else (int(removed.sum()), int(np.count_nonzero(np.diff(removed.astype(np.int8), prepend=0) == 1)))
-        return len(raw), gone, spans, hashlib.sha256(kept_bytes(raw, removed)).hexdigest()
+        left, spans = kept_bytes(raw, removed), spans_of(removed)
+        return len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore"), spans
 
-    made = T.StructType([*[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())])
+    made = T.StructType([*[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("clean_text", T.StringType()), T.StructField("spans", SPANS)])
     return per_text(df, text_col, id_col, made, fn, length, gram, shard_bytes)
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """id_col, clean_text (what is left; a character cut by a string's edge is dropped) and spans (array of start, end in bytes)."""
+    """id_col, clean_text (what is left; a character cut by a string's edge is dropped) and spans (array of start, end in bytes).
+
+    Nulls, repeated rows and empty tables are taken as by dedup_digest.
+    """
 
     def fn(raw: bytes, removed: np.ndarray | None) -> tuple:
-        if removed is None:
-            return raw.decode(), []
-        edges = np.flatnonzero(np.diff(removed.astype(np.int8), prepend=0, append=0)).tolist()
-        return kept_bytes(raw, removed).decode("utf-8", "ignore"), [{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        return kept_bytes(raw, removed).decode("utf-8", "ignore"), spans_of(removed)
 
-    made = T.StructType([T.StructField("clean_text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+    made = T.StructType([T.StructField("clean_text", T.StringType()), T.StructField("spans", SPANS)])
     return per_text(df, text_col, id_col, made, fn, length, gram, shard_bytes)

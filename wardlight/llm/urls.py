@@ -1,13 +1,22 @@
-"""URL filters: a tree of path templates per host, merged where branches behave alike, judged by labelled purity."""
+"""URL filters: a tree of path templates per host, its like branches merged, judged by smoothed labelled purity.
+
+Templates. Segments of a path that vary by shape (numbers, long hexadecimal) become wildcards, then,
+from the host down, the rare children of nodes with many. Merging. Branches of a node that have labelled
+pages are put in order of their rate of blocked ones; neighbours that a test of two proportions can't
+tell apart are one branch, and share their counts. Purity. Each node's rate is smoothed towards what is
+above it: the mean of its parent's purity and of the purity of the same template over all hosts, which is
+smoothed towards its own parent template. So hosts without labels are judged by what their
+templates mean elsewhere. Paths of any depth are taken whole.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
 #: (verdict, host and path) of rules; a rule fits its host and all subdomains.
 Rule = tuple[str, str]
@@ -16,20 +25,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class TreeLimits:
-    #: Levels of segments that are nodes of their own; what follows is one last segment.
-    levels: int = 3
     #: A node with at least so many different children has its rare ones generalised ...
     fanout: int = 20
     #: ... which are those with less than one in so many of the node's pages.
     rare_share: int = 20
-    #: Weight of the level above in a node's purity, as a number of labelled pages.
+    #: Weight of the levels above in a node's purity, as a number of labelled pages.
     prior_weight: float = 4.0
-    #: Branches within so many standard errors of their siblings' rate are merged.
+    #: Branches whose rates differ by up to so many standard errors are merged.
     similar: float = 2.0
     #: Templates of at least this purity of blocked pages are rejected.
     reject: float = 0.6
-    #: Verdict tables up to so many templates are broadcast.
-    broadcast_templates: int = 50_000
+    #: Tables of verdicts and nodes are broadcast up to so many bytes of their text.
+    broadcast_bytes: int = 4 << 20
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -59,62 +66,84 @@ def general(segment: Column) -> Column:
     )
 
 
-def level(k: int, limits: TreeLimits) -> Column:
-    """Segment k (from 0) of segs; the one after the last level is all that follows. Empty where the path ended."""
-    if k < limits.levels:
-        return F.coalesce(F.get(F.col("segs"), F.lit(k)), F.lit(""))
-    return F.array_join(F.slice(F.col("segs"), limits.levels + 1, 1_000_000), "/")
+def segments(path: Column) -> Column:
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)
 
 
-def templates(pages: DataFrame, limits: TreeLimits) -> DataFrame:
-    """A row per (host, s0..sn): pages n, labelled lab, blocked blk; segments generalised by shape."""
-    segs = F.transform(F.filter(F.split(F.col("path"), "/"), lambda s: s != ""), general)
-    levels = [level(k, limits).alias(f"s{k}") for k in range(limits.levels + 1)]
-    rows = pages.select("host", segs.alias("segs"), "label").select("host", *levels, "label")
-    return rows.groupBy("host", *[f"s{k}" for k in range(limits.levels + 1)]).agg(
-        F.count("*").alias("n"), F.count("label").alias("lab"), F.sum(F.coalesce(F.col("label"), F.lit(0))).cast("bigint").alias("blk")
-    )
+def small(df: DataFrame, path: str, limits: TreeLimits) -> DataFrame:
+    """df, to be broadcast if its paths are known to be few and short; else joined by shuffles, whose hot keys are split at run time."""
+    size = df.agg(F.sum(F.lit(64) + F.octet_length(F.concat_ws("/", path)))).first()[0] or 0
+    return F.broadcast(df) if size <= limits.broadcast_bytes else df
+
+
+def starred(k: int) -> Column:
+    return F.transform("t", lambda x, i: F.when((i == k) & F.col("rare"), "*").otherwise(x))
 
 
 def generalise(found: DataFrame, limits: TreeLimits) -> DataFrame:
-    """Adds t0..tn: the segments with rare children of nodes with many children as *.
+    """Adds t to rows of (host, segs, n, ...): segs with the rare children of nodes with many as *.
 
-    Children are counted level by level along templates already generalised; all of it runs over
-    distinct templates, grouped by (host, node, child) before (host, node), so no host is one group.
+    Level by level along what is already generalised, as long as a node has enough templates below
+    it to have so many children; a lone path, however deep, takes no further level. Counts are by (host,
+    node, child) before (host, node), so no host is one group.
     """
-    for k in range(limits.levels):
-        node = ["host", *[f"t{j}" for j in range(k)]]
-        child = found.groupBy(*node, f"s{k}").agg(F.sum("n").alias("child_n"))
-        whole = child.groupBy(*node).agg(F.sum("child_n").alias("node_n"), F.count("*").alias("children")).where(F.col("children") >= limits.fanout)
-        rare = child.join(whole, node).where((F.col("child_n") * limits.rare_share < F.col("node_n")) & (F.col(f"s{k}") != "")).select(*node, f"s{k}", F.lit("*").alias(f"t{k}"))
-        found = found.join(rare, [*node, f"s{k}"], "left").withColumn(f"t{k}", F.coalesce(f"t{k}", f"s{k}"))
-    return materialize(found.withColumn(f"t{limits.levels}", F.col(f"s{limits.levels}")), "url-templates")
+    found, k = found.withColumn("t", F.col("segs")), 0
+    while True:
+        prefix, child = F.slice("t", 1, k).alias("prefix"), F.get("t", F.lit(k)).alias("child")
+        children = found.where(F.size("t") > k).groupBy("host", prefix, child).agg(F.sum("n").alias("child_n"), F.count("*").alias("below"))
+        nodes = children.groupBy("host", "prefix").agg(F.sum("child_n").alias("node_n"), F.count("*").alias("children"), F.sum("below").alias("below"))
+        most = nodes.agg(F.max("children").alias("children"), F.max("below").alias("below")).first()
+        if (most["below"] or 0) < limits.fanout:
+            return found
+        if most["children"] >= limits.fanout:
+            many = nodes.where(F.col("children") >= limits.fanout).select("host", "prefix", "node_n")
+            rare = children.join(many, ["host", "prefix"]).where(F.col("child_n") * limits.rare_share < F.col("node_n")).select("host", "prefix", "child", F.lit(True).alias("rare"))
+            at = found.select("*", prefix, child).join(rare, ["host", "prefix", "child"], "left")
+            found = materialize(at.withColumn("t", starred(k)).drop("prefix", "child", "rare"), "url-templates")
+        k += 1
+
+
+def branches(found: DataFrame, limits: TreeLimits) -> tuple[DataFrame, DataFrame]:
+    """Labelled nodes of the hosts' trees with the counts of the branch they are merged into (host, prefix, lab,
+    blk), and of the same templates over all hosts (prefix, all_lab, all_blk)."""
+    paths = found.where("lab > 0").groupBy("host", "t").agg(F.sum("lab").alias("lab"), F.sum("blk").alias("blk")).where(F.size("t") > 0)
+    depth = F.explode(F.sequence(F.lit(1), F.size("t"))).alias("d")
+    nodes = paths.select("host", "t", "lab", "blk", depth).groupBy("host", F.slice("t", F.lit(1), F.col("d")).alias("prefix")).agg(F.sum("lab").alias("lab"), F.sum("blk").alias("blk"))
+    nodes = materialize(nodes.withColumn("parent", F.slice("prefix", F.lit(1), F.size("prefix") - 1)), "url-nodes")
+    shared = nodes.groupBy("prefix").agg(F.sum("lab").alias("all_lab"), F.sum("blk").alias("all_blk"))
+    rate = F.col("blk").cast("double") / F.col("lab")
+    # after generalising, a node has few branches, so a window holds few rows
+    order = Window.partitionBy("host", "parent").orderBy("rate", "prefix")
+    near = nodes.withColumn("rate", rate).withColumn("lab_0", F.lag("lab").over(order)).withColumn("blk_0", F.lag("blk").over(order)).withColumn("rate_0", F.lag("rate").over(order))
+    pooled = (F.col("blk") + F.col("blk_0")).cast("double") / (F.col("lab") + F.col("lab_0"))
+    error = F.sqrt(pooled * (1 - pooled) * (F.lit(1.0) / F.col("lab") + F.lit(1.0) / F.col("lab_0")))
+    apart = F.when(F.coalesce(F.col("rate") - F.col("rate_0") > limits.similar * error, F.lit(False)), 1).otherwise(0)
+    near = near.withColumn("branch", F.sum(apart).over(order))
+    whole = Window.partitionBy("host", "parent", "branch")
+    return near.select("host", "prefix", F.sum("lab").over(whole).alias("lab"), F.sum("blk").over(whole).alias("blk")), shared
 
 
 def purities(found: DataFrame, limits: TreeLimits) -> DataFrame:
-    """Adds purity and template (written path of merged nodes) to each row of found.
-
-    From the host down: branches whose labelled rate lies within limits.similar standard errors
-    of their siblings' pooled rate (unlabelled ones always do) become one branch ~, whose counts
-    are pooled; a branch's purity is (blocked + w * purity above) / (labelled + w).
-    """
+    """(host, t, purity) of all templates of rows (host, t, lab, blk)."""
+    w = limits.prior_weight
     total = found.agg(F.sum("blk").alias("b"), F.sum("lab").alias("l")).first()
     overall = ((total["b"] or 0) + 0.5) / ((total["l"] or 0) + 1.0)
-    w = limits.prior_weight
-    hosts = found.groupBy("host").agg(F.sum("lab").alias("up_lab"), F.sum("blk").alias("up_blk"))
-    state = found.join(hosts, "host").withColumn("purity", (F.col("up_blk") + w * overall) / (F.col("up_lab") + w)).withColumn("node", F.lit(""))
-    for k in range(limits.levels + 1):
-        branch = state.groupBy("host", "node", f"t{k}").agg(F.sum("lab").alias("b_lab"), F.sum("blk").alias("b_blk"), F.first("up_lab").alias("up_lab"), F.first("up_blk").alias("up_blk"), F.first("purity").alias("purity"))
-        rate = F.try_divide(F.col("up_blk"), F.col("up_lab"))
-        away = F.abs(F.col("b_blk") - F.col("b_lab") * rate) > limits.similar * F.sqrt(F.col("b_lab") * rate * (1 - rate))
-        apart = (F.col("b_lab") > 0) & F.coalesce(away, F.lit(False))
-        branch = branch.withColumn("kind", F.when(apart, F.col(f"t{k}")).otherwise("~"))
-        pooled = branch.groupBy("host", "node", "kind").agg(F.sum("b_lab").alias("n_lab"), F.sum("b_blk").alias("n_blk"))
-        branch = branch.join(pooled, ["host", "node", "kind"]).select("host", "node", f"t{k}", "kind", "n_lab", "n_blk")
-        state = state.join(branch, ["host", "node", f"t{k}"]).withColumn("purity", (F.col("n_blk") + w * F.col("purity")) / (F.col("n_lab") + w))
-        state = state.withColumn("node", F.concat("node", F.lit("/"), "kind")).drop("kind", "up_lab", "up_blk").withColumnsRenamed({"n_lab": "up_lab", "n_blk": "up_blk"})
-        state = materialize(state, "url-level")
-    return state.withColumnRenamed("node", "template")
+    own, shared = branches(found, limits)
+    hosts = found.groupBy("host").agg(F.sum("lab").alias("host_lab"), F.sum("blk").alias("host_blk"))
+    templates = materialize(found.select("host", "t").distinct(), "url-distinct")
+    # depth 0, the host itself, is a step without counts, so that every template has a path
+    steps = templates.select("host", "t", F.explode(F.sequence(F.lit(0), F.size("t"))).alias("d")).withColumn("prefix", F.slice("t", F.lit(1), F.col("d")))
+    steps = steps.join(small(own, "prefix", limits), ["host", "prefix"], "left").join(small(shared, "prefix", limits), "prefix", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("lab", "blk", "all_lab", "all_blk")]
+    path = steps.groupBy("host", "t").agg(F.sort_array(F.collect_list(F.struct("d", *counts))).alias("path"))
+    path = path.withColumn("path", F.filter("path", lambda x: x["d"] > 0)).join(hosts, "host")
+    start = F.struct(F.lit(overall).alias("all"), ((F.col("host_blk") + w * overall) / (F.col("host_lab") + w)).alias("own"))
+
+    def step(above: Column, x: Column) -> Column:
+        everywhere = (x["all_blk"] + w * above["all"]) / (x["all_lab"] + w)
+        return F.struct(everywhere.alias("all"), ((x["blk"] + w * ((everywhere + above["own"]) / 2)) / (x["lab"] + w)).alias("own"))
+
+    return path.select("host", "t", F.aggregate("path", start, step)["own"].alias("purity"))
 
 
 def judge(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", limits: TreeLimits = TreeLimits(), label: Column | None = None) -> DataFrame:
@@ -123,7 +152,8 @@ def judge(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: st
     Pages that a rule decides are the labelled ones (label, 1 blocked and 0 allowed, replaces that).
     Result, a row per row of df: id_col, host, path, rule, verdict, template, purity. Urls that
     are null or have no :// have an empty host and path and form a template of their own. Repeated
-    rows count as often as they occur; an empty table gives an empty result.
+    rows count as often as they occur; an empty table gives an empty result; other columns of df, whatever
+    their names, take no part.
     """
     host, path = host_and_path(F.col("u_url"))
     verdict = F.lit(None).cast("string")
@@ -132,14 +162,13 @@ def judge(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: st
     rows = df.select(F.col(id_col).alias("u_id"), F.col(url_col).cast("string").alias("u_url"), (F.lit(None).cast("int") if label is None else label.cast("int")).alias("given"))
     rows = rows.select("u_id", host.alias("host"), path.alias("path"), "given").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("said", verdict)
     by_rule = F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0)
-    rows = rows.withColumn("label", F.col("given") if label is not None else by_rule).drop("given")
-    found = purities(generalise(templates(rows, limits), limits), limits)
-    keys = ["host", *[f"s{k}" for k in range(limits.levels + 1)]]
-    verdicts = found.select(*keys, "template", "purity")
-    if found.count() <= limits.broadcast_templates:
-        verdicts = F.broadcast(verdicts)
-    segs = F.transform(F.filter(F.split(F.col("path"), "/"), lambda s: s != ""), general)
-    placed = rows.withColumn("segs", segs).select("*", *[level(k, limits).alias(f"s{k}") for k in range(limits.levels + 1)])
-    judged = placed.join(verdicts, keys, "left")
-    tree = F.when(F.col("purity") >= limits.reject, F.lit("block")).otherwise("allow")
-    return judged.select(F.col("u_id").alias(id_col), "host", "path", "rule", F.coalesce("said", tree).alias("verdict"), "template", "purity")
+    rows = rows.withColumn("label", F.col("given") if label is not None else by_rule).drop("given").withColumn("segs", segments(F.col("path")))
+    with scratch() as keep:
+        counts = F.count("*").alias("n"), F.count("label").alias("lab"), F.sum(F.coalesce(F.col("label"), F.lit(0))).cast("bigint").alias("blk")
+        found = generalise(materialize(rows.groupBy("host", "segs").agg(*counts), "url-counts"), limits)
+        # the join of templates with their purity meets each row once; a hot host's templates are few after generalising
+        verdicts = materialize(found.select("host", "segs", "t").join(purities(found, limits), ["host", "t"]).select("host", "segs", "t", "purity"), "url-verdicts")
+        judged = rows.join(small(verdicts, "segs", limits), ["host", "segs"], "left")
+        tree = F.when(F.col("purity") >= limits.reject, F.lit("block")).otherwise("allow")
+        template = F.concat(F.lit("/"), F.array_join("t", "/")).alias("template")
+        return keep(judged.select(F.col("u_id").alias(id_col), "host", "path", "rule", F.coalesce("said", tree).alias("verdict"), template, "purity"), "url-judged")
