@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read
+
 #: Java and Python pattern of what separates words; words are `[^\x20\x09-\x0D]+`.
 BREAKS = r"[ \t-\r]+"
 #: The same for bytes of UTF-8.
@@ -29,7 +31,7 @@ ROWS_AT_ONCE = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read(spark, sf_dir, name)
 
 
 def tidy() -> None:
