@@ -15,6 +15,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.4
 #: Near duplicates share 80 % of their 5-word shingles.
 NEAR_PERCENT, NEAR_WORDS = 80, 5
+#: Bytes of a repeated string; passages of over 50 words have more, short set phrases have fewer.
+REPEAT_BYTES = 256
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +36,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur again anywhere; documents of nothing else go."""
+    """Texts without the strings of REPEAT_BYTES bytes that occur again anywhere; documents of nothing else go."""
     rows = docs.select(F.struct("doc_id", "lang", "source").alias("row"), "text")
-    left = suffixes.remove_repeats(rows, "text", "row")
+    left = suffixes.remove_repeats(rows, "text", "row", length=REPEAT_BYTES)
     left = left.select("row.doc_id", F.col("clean_text").alias("text"), "row.lang", "row.source", F.length("clean_text").cast("long").alias("n_chars"))
     return left.where(F.col("text").rlike(r"[^ \t-\r]"))
 
