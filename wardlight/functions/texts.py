@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import regex
 
@@ -218,33 +219,79 @@ class Words:
         for word, *made in zip(words, lines.split("\n"), single.split("\n"), sound.split("\n"), strict=True):
             self.kept[word] = (*made, self.note(made[0]))
 
-    def fold(self, base: str) -> tuple[str, str, str, int]:
-        """(latin, single, sound, union of the notes) of a base text."""
+    def fold(self, base: str) -> Folded:
+        return Folded(self, base)
+
+
+class Folded:
+    """latin, single, sound and the union of the notes of a base text, and for each fold the parts that it is
+    made of: (parts of the base text, what became of each)."""
+
+    def __init__(self, words: Words, base: str):
         parts = BLANK.split(base)
-        kept = self.kept
-        if len(kept) > self.most:
+        kept = words.kept
+        if len(kept) > words.most:
             kept.clear()
         if new := [w for w in dict.fromkeys(parts[::2]) if w not in kept]:
-            self.learn(new)
-        made = [kept[w] for w in parts[::2]]
-        notes = 0
+            words.learn(new)
+        self.parts = parts
+        self.made = made = [kept[w] for w in parts[::2]]
+        self.notes = 0
         for m in made:
-            notes |= m[3]
+            self.notes |= m[3]
         blanks = parts[1::2]
-        if max(map(len, blanks), default=0) < 2:
-            pairs = singles = blanks
-        else:
-            pairs, singles = [run(PAIRS, b) for b in blanks], [run(SINGLES, b) for b in blanks]
-        latin = [x for pair in zip([m[0] for m in made], [*pairs, ""], strict=True) for x in pair]
-        single = [x for pair in zip([m[1] for m in made], [*singles, ""], strict=True) for x in pair]
+        self.alike = max(map(len, blanks), default=0) < 2  # white space that no step shortens
+        self.pairs = blanks if self.alike else [run(PAIRS, b) for b in blanks]
+        self.singles = blanks if self.alike else [run(SINGLES, b) for b in blanks]
+        self.latin, self.single = "".join(self.latin_parts[1]), "".join(self.single_parts[1])
         sounds = [m[2] for m in made]
         said = " ".join(filter(None, sounds))
         if said and blanks:
-            first, last = not sounds[0], not sounds[-1]
-            said = " " * first + said + " " * last
+            said = " " * (not sounds[0]) + said + " " * (not sounds[-1])
         elif blanks:
             said = " "
-        return "".join(latin), "".join(single), said, notes
+        self.sound = said
+
+    def __iter__(self):
+        return iter((self.latin, self.single, self.sound, self.notes))
+
+    def woven(self, k: int, blanks: list[str]) -> tuple[list[str], list[str]]:
+        out = [""] * len(self.parts)
+        out[::2] = [m[k] for m in self.made]
+        out[1::2] = blanks
+        return self.parts, out
+
+    @property
+    def latin_parts(self) -> tuple[list[str], list[str]]:
+        return self.woven(0, self.pairs)
+
+    @property
+    def single_parts(self) -> tuple[list[str], list[str]]:
+        return self.woven(1, self.singles)
+
+    @property
+    def sound_parts(self) -> tuple[list[str], list[str]]:
+        """White space becomes one blank between words that sound; that blank is said to stem from the first of it."""
+        parts, out = self.woven(2, [""] * (len(self.parts) // 2))
+        said = [k for k in range(0, len(parts), 2) if out[k]]
+        gaps = {k + 1 for k in said[:-1]}
+        if len(parts) > 1 and (not said or said[0]):
+            gaps.add(1)
+        if said and said[-1] < len(parts) - 1:
+            gaps.add(said[-1] + 1)
+        for k in gaps:
+            out[k] = " "
+        return parts, out
+
+
+#: The folds of Words, by name.
+FOLDS = {"latin": LATIN, "single": [*LATIN, *SINGLES], "sound": [*LATIN, *SKELETON[:-1]]}
+
+
+@lru_cache(maxsize=50_000)
+def traced(fold: str, part: str) -> list[int]:
+    """Where each character of a folded part of a base text stems from in it."""
+    return trace(FOLDS[fold], part)[1]
 
 
 def forms(term: str) -> list[str]:

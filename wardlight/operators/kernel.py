@@ -7,9 +7,11 @@ how words sound. Passes are folded without offsets; offsets are made for passes
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property, lru_cache
+from itertools import accumulate
 
 import regex
 
@@ -86,10 +88,15 @@ class Finder:
 
 
 class Pass:
-    """A fold of the original: text at once, at (where each character stems from) when first asked for."""
+    """A fold of the original. origin(i) is where its character i stems from, made when first asked for.
 
-    def __init__(self, original: str, text: str, steps: list):
-        self.original, self.text, self.steps = original, text, steps
+    A fold of words (see texts.Words) is traced word by word, for those that a hit lies in; else the
+    whole text is.
+    """
+
+    def __init__(self, original: str, text: str, steps: list, base: Pass | None = None, fold: str = "", words: texts.Folded | None = None):
+        self.original, self.text, self.steps, self.base, self.fold, self.words = original, text, steps, base, fold, words
+        self.same = base is None and steps is texts.ASCII_LOWER
 
     @cached_property
     def at(self) -> list[int]:
@@ -97,12 +104,38 @@ class Pass:
         assert text == self.text
         return at
 
+    @cached_property
+    def parts(self) -> tuple[list[str], list[str]]:
+        return getattr(self.words, f"{self.fold}_parts")
+
+    @cached_property
+    def starts(self) -> tuple[list[int], list[int]]:
+        """Where each part starts, in the base text and in the fold."""
+        return [0, *accumulate(map(len, self.parts[0]))], [0, *accumulate(map(len, self.parts[1]))]
+
+    def origin(self, i: int) -> int:
+        if self.same:
+            return i
+        if self.base is None:
+            return self.at[i]
+        k = bisect_right(self.starts[1], i) - 1
+        before, after = self.parts[0][k], self.parts[1][k]
+        j = i - self.starts[1][k]
+        return self.base.origin(self.starts[0][k] + (j if before == after else texts.traced(self.fold, before)[j]))
+
     def span(self, start: int, end: int) -> tuple[int, int]:
-        return self.at[start], max(self.at[end - 1] + 1, self.at[start] + 1)
+        first = self.origin(start)
+        return first, max(self.origin(end - 1) + 1, first + 1)
 
     def open_at(self, i: int) -> bool:
         """Whether the character at i isn't part of a word, in the pass or in the original."""
-        return not 0 <= i < len(self.text) or not WORD.match(self.text[i]) or not WORD.match(self.original[self.at[i]])
+        if not 0 <= i < len(self.text):
+            return True
+        c = self.text[i]
+        if not c.isalnum() and not WORD.match(c):
+            return True
+        c = self.original[self.origin(i)]
+        return not c.isalnum() and not WORD.match(c)
 
     def open_around(self, start: int, end: int) -> bool:
         return self.open_at(start - 1) and self.open_at(end)
@@ -148,14 +181,14 @@ class Scanner:
     def passes(self, text: str) -> tuple[list[Pass], Pass | None, Pass | None, int]:
         """Uncollapsed passes, the collapsed one, the sounds; those equal to the pass before are left out. Then the words' notes."""
         steps = texts.base_steps(text)
-        plain = [Pass(text, texts.run(steps, text), steps)]
-        steps = [*steps, *texts.LATIN]
-        latin, single, sound, notes = self.words.fold(plain[0].text)
-        if latin != plain[0].text:
-            plain.append(Pass(text, latin, steps))
-        collapsed = Pass(text, single, [*steps, *texts.SINGLES]) if single != latin else None
-        sounds = Pass(text, sound, [*steps, *texts.SKELETON]) if self.options.skeleton and self.sounds else None
-        return plain, collapsed, sounds, notes
+        base = Pass(text, texts.run(steps, text), steps)
+        plain, words = [base], self.words.fold(base.text)
+        made = lambda fold: Pass(text, getattr(words, fold), [], base, fold, words)
+        if words.latin != base.text:
+            plain.append(made("latin"))
+        collapsed = made("single") if words.single != words.latin else None
+        sounds = made("sound") if self.options.skeleton and self.sounds else None
+        return plain, collapsed, sounds, words.notes
 
     def exact_hits(self, text: str, plain: list[Pass], collapsed: Pass | None) -> list[Found]:
         out: list[Found] = []

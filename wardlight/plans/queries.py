@@ -14,6 +14,7 @@ from ..functions import tables as t
 from ..operators import moderation
 from ..sources import lexicon
 from ..sources.lexicon import Options
+from ..sources.tables import read
 from ..streaming import messages
 from . import relational as r
 from . import reports
@@ -27,7 +28,7 @@ DIGIT_TOKEN = r"[\p{L}\p{M}\p{N}*#@$%]+"
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    return read(spark, sf, "documents").select("doc_id", "text", "lang", "source")
 
 
 def quoted(v) -> str:
@@ -258,7 +259,7 @@ def overlap_resolution(spark, sf):
 
 
 def resolved(spark, sf):
-    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    items = read(spark, sf, "lineitem")
     span = F.struct((F.col("l_partkey") % 40).cast("int").alias("s"), (F.col("l_partkey") % 40 + 1 + F.col("l_suppkey") % 9).cast("int").alias("e"), (F.col("l_linenumber") % 2 * 2).cast("int").alias("r"), (F.col("l_suppkey") % 5).cast("int").alias("v"), F.col("l_linenumber").cast("int").alias("o"))
     # an order has a handful of lines, as a text has of candidates
     made = items.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(span).alias("c"), F.count("*").alias("n"))
@@ -375,12 +376,12 @@ def censor_texts(spark, sf):
 @query(f"WITH {FORMS}, {TOKENS}, {HITS}, f AS (SELECT DISTINCT doc_id FROM hits) SELECT toxic, count(*) AS labelled, count(f.doc_id) AS flagged FROM labels l LEFT JOIN f USING (doc_id) GROUP BY toxic")
 def label_confusion(spark, sf):
     flagged = hits(spark, sf).select("doc_id").distinct().withColumn("flag", F.lit(1))
-    return spark.read.parquet(f"{sf}/labels.parquet").join(flagged, "doc_id", "left").groupBy("toxic").agg(F.count("*").alias("labelled"), F.count("flag").alias("flagged"))
+    return read(spark, sf, "labels").join(flagged, "doc_id", "left").groupBy("toxic").agg(F.count("*").alias("labelled"), F.count("flag").alias("flagged"))
 
 
 @query(f"WITH {FORMS}, words AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM conversations) SELECT conv_id, min(turn) AS first_turn, count(*) AS n FROM words JOIN forms ON form = token AND grams = 1 GROUP BY conv_id")
 def conversation_first_hit(spark, sf):
-    words = r.tokens(spark.read.parquet(f"{sf}/conversations.parquet"), keep=("conv_id", "turn"))
+    words = r.tokens(read(spark, sf, "conversations"), keep=("conv_id", "turn"))
     return r.token_hits(words, lexicon.form_table(spark)).groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n"))
 
 
@@ -448,7 +449,7 @@ def synthetic_corpus(spark, sf):
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, median(value) AS median_value, min(value) AS least, max(value) AS most FROM events GROUP BY ALL")
 def hourly_medians(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet")
+    e = read(spark, sf, "events")
     return e.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.median("value").alias("median_value"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
