@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, materialize_by, parts_for, scratch, tidy, training_rest
+from .common import materialize, materialize_by, parts_for, scratch, small_batches, tidy, training_rest
 from .exchange import ANSWER, ASKED, arrow, fans, joined, owner, rows_of, several, totals, value
 from .packing import mix, pack, pack_sorted, unpack, unpack_sorted
 
@@ -181,6 +181,7 @@ class Automaton:
 
 def blocks(df: DataFrame, text_col: str, id_col: str, held: F.Column, block_bytes: int) -> DataFrame:
     """A row per block: its name, ids, held and its texts as numbers. A block ends with the text that reaches block_bytes, so memory follows the longest text."""
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("t"))
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("texts", T.BinaryType()), T.StructField("ids", T.ArrayType(df.schema[id_col].dataType)), T.StructField("held", T.ArrayType(T.BooleanType()))])
     from pyspark.sql.pandas.types import to_arrow_schema

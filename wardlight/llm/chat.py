@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encode, encoder
+from .common import small_batches
 
 #: Reserved ids, counted from the size of the rank file, and their names.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -98,6 +99,7 @@ def format_turns(df: DataFrame, rank_file: str, pattern: str, conv_col: str = "c
     text, so repeated rows repeat). Null texts and roles count as empty; rows with a null
     conversation form one of their own. Turns are encoded where they lie, before any shuffle.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     out = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("tie", pa.string()), ("ids", pa.binary()), ("mask", pa.binary())])
 

@@ -43,6 +43,16 @@ def tidy() -> None:
         pass
 
 
+#: Rows of an Arrow batch, where the session leaves Spark's 10,000: a batch of texts is held several times over by a task.
+BATCH_ROWS = 256
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. Where none is named, a local one serves a local master; on a cluster that would lose data, so it is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -131,6 +141,7 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str, fn: Ca
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
+    small_batches(df.sparkSession)
     made = _parse_datatype_string(schema)
     keep = [c for c in keep if c not in made.names]
     rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast(kind).alias("t"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, materialize_by, parts_for, scratch, tidy
+from .common import materialize, materialize_by, parts_for, scratch, small_batches, tidy
 from .exchange import ASKED, arrow, fans, joined, rows_of, totals, value
 from .graph import components
 from .packing import mix, pack, pack_sorted, unpack, unpack_sorted
@@ -89,6 +89,7 @@ def choose_matches(frequency: np.ndarray, n: int, percent: int = PERCENT) -> int
 
 def blocks(df: DataFrame, text_col: str, id_col: str, size: int, block_bytes: int) -> DataFrame:
     """A row per block: its name, its documents (ids, digests, sizes of sets), their distinct keys and the sets by places in these."""
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("keys", T.BinaryType()), T.StructField("sets", T.BinaryType()), T.StructField("ids", T.ArrayType(df.schema[id_col].dataType)), T.StructField("digests", T.ArrayType(T.StringType())), T.StructField("sizes", T.ArrayType(T.LongType()))])
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy, training_rest
+from .common import small_batches, tidy, training_rest
 
 LETTER = regex.compile(r"\p{L}")
 
@@ -45,6 +45,10 @@ class Settings:
     seed: int = 5
 
 
+#: Pieces read side by side.
+LANES = 2048
+
+
 def hard_sigmoid(x):
     return np.clip(0.25 * x + 0.5, 0.0, 1.0)
 
@@ -212,8 +216,8 @@ def middles(net: Network, texts: list[bytes], settings: Settings) -> Iterator[tu
             a, b = max(0, at - settings.overlap), min(len(raw), at + settings.piece + settings.overlap)
             cuts.append((b - a, k, at, a, b))
     cuts.sort(key=lambda c: -c[0])
-    for i in range(0, len(cuts), 4096):
-        own = cuts[i : i + 4096]
+    for i in range(0, len(cuts), LANES):
+        own = cuts[i : i + LANES]
         lengths, owner, at, a = (np.array([c[j] for c in own]) for j in range(4))
         steps = int(lengths[0])
         data = np.frombuffer(b"".join([texts[k][x:y].ljust(steps, b"\0") for _, k, _, x, y in own]), np.uint8).reshape(len(own), steps)
@@ -257,6 +261,7 @@ def identify(df: DataFrame, net: Network | None, text_col: str = "text", keep: l
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow, model = to_arrow_schema(schema), pickle.dumps(net)
+    small_batches(df.sparkSession)
     rows = df.select(*keep, F.col(text_col).cast("string").alias("t_"))
     most = 1 << 19
 

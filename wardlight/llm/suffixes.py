@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, materialize_by, parts_for, scratch, tidy
+from .common import materialize, materialize_by, parts_for, scratch, small_batches, tidy
 from .exchange import ANSWER, ASKED, arrow, distinct, fans, joined, owner, rows_of, totals, value
 from .packing import mix, pack, unpack
 
@@ -439,6 +439,7 @@ def shards(df: DataFrame, text_col: str, id_col: str, length: int, gram: int, sh
 
     A shard ends with the text that reaches shard_bytes, so memory follows the longest text.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("t"))
     schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("parse", T.BinaryType()), T.StructField("texts", T.BinaryType()), T.StructField("ids", T.ArrayType(df.schema[id_col].dataType)), T.StructField("most", T.LongType())])
     from pyspark.sql.pandas.types import to_arrow_schema
