@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property, lru_cache
 from itertools import accumulate
@@ -329,21 +329,37 @@ class Scanner:
         stretched = [collapsed.span(a, b) for a, b, _ in self.find_allowed_collapsed(collapsed.text)] if collapsed else []
         return out + [(a, b) for a, b in stretched if STRETCH.search(text[a:b])]
 
-    def surviving(self, text: str) -> list[Found]:
-        """Candidates in the order of the tiers, without those that an allow phrase covers or a filter drops."""
+    def tiers(self, text: str) -> Iterator[tuple[list[Found], Callable[[], list[tuple[int, int]]]]]:
+        """Candidates tier by tier, made when asked for, each with a way to the spans of allow phrases."""
         plain, collapsed, sounds, notes = self.passes(text)
-        found = self.exact_hits(text, plain, collapsed) + self.tagged_hits(text)
+        spans: list[list[tuple[int, int]]] = []
+
+        def allowed() -> list[tuple[int, int]]:
+            if not spans:
+                spans.append(self.allow_spans(text, plain, collapsed))
+            return spans[0]
+
+        yield self.exact_hits(text, plain, collapsed), allowed
+        yield self.tagged_hits(text), allowed
         for p in plain if self.options.masked else ():
-            found += self.masked_hits(p)
-        found += [*self.spelled_hits(plain[-1])] if notes & SPELL else []
-        found += [*self.chunk_hits(plain[-1])] if notes & CHUNK else []
-        found += self.sound_hits(sounds)
-        if not found:
-            return []
-        allowed, o = self.allow_spans(text, plain, collapsed), self.options
+            yield [*self.masked_hits(p)], allowed
+        yield [*self.spelled_hits(plain[-1])] if notes & SPELL else [], allowed
+        yield [*self.chunk_hits(plain[-1])] if notes & CHUNK else [], allowed
+        yield [*self.sound_hits(sounds)], allowed
+
+    def kept(self, found: list[Found], allowed: list[tuple[int, int]]) -> list[Found]:
+        o = self.options
         found = [c for c in found if not any(a <= c.tested[0] and c.tested[1] <= b for a, b in allowed)]
         return [c for c in found if c.entry.severity >= o.min_severity and (o.categories is None or set(o.categories) & set(c.entry.categories))]
 
+    def surviving(self, text: str) -> list[Found]:
+        """Candidates in the order of the tiers, without those that an allow phrase covers or a filter drops."""
+        return [c for found, allowed in self.tiers(text) if found for c in self.kept(found, allowed())]
+
+    def any(self, text: str | None) -> bool:
+        """Whether anything survives; later tiers aren't tried once something has."""
+        return bool(text) and any(found and self.kept(found, allowed()) for found, allowed in self.tiers(text))
+
     def scan(self, text: str | None) -> list[Found]:
         """The matches of a text, none overlapping but where a replacement left it so; null has none."""
         return resolve(self.surviving(text)) if text else []

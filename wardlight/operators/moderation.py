@@ -65,9 +65,9 @@ def is_clean(col: Column | str, options: Options = Options()) -> Column:
 
     @F.pandas_udf("boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = scanner(options).surviving
+        found = scanner(options).any
         for batch in batches:
-            yield pd.Series([not (text and find(text)) for text in batch], dtype="bool")
+            yield pd.Series([not found(text) for text in batch], dtype="bool")
 
     return run(F.col(col) if isinstance(col, str) else col)
 
@@ -135,7 +135,7 @@ def register(spark: SparkSession, options: Options = Options()) -> None:
         return pd.DataFrame({"matches": found, "max_severity": pd.array([max((m["severity"] for m in ms), default=None) for ms in found], dtype="Int32")})
 
     spark.udf.register("scan", scan_sql)
-    spark.udf.register("is_clean", one(lambda x: not scanner(options).surviving(x), "boolean"))
+    spark.udf.register("is_clean", one(lambda x: not scanner(options).any(x), "boolean"))
     spark.udf.register("censor", one(lambda x: texts.censor_text(x, [(c.start, c.end) for c in scanner(options).scan(x)]), "string"))
     for name in ("skeleton_key", "base_fold", "latin_fold"):
         spark.udf.register(name, one(getattr(texts, name), "string"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +18,12 @@ from ..sources.lexicon import Options
 from ..sources.tables import read
 from ..streaming import messages
 from . import relational as r
-from . import reports
+from . import reports, scan_sql
+from .scan_sql import ACCENTS, LETTERS, W, doubled, sound_sql, values
 
 DEFAULT = Options()
 #: Words that get hidden in texts before they are looked for; all are terms of the default lexicon.
 WORD = "thing"
-W = r"[\p{L}\p{M}\p{N}]+"
 MASKED_TOKEN = r"[\p{L}\p{M}*#@$%]+"
 DIGIT_TOKEN = r"[\p{L}\p{M}\p{N}*#@$%]+"
 
@@ -31,20 +32,6 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", "text", "lang", "source")
 
 
-def quoted(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, (list, tuple)):
-        return "[" + ", ".join(map(quoted, v)) + "]"
-    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-
-
-def values(name: str, columns: str, rows: list[tuple]) -> str:
-    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(quoted, row)) + ")" for row in rows) + ")"
-
-
 def form_rows(options: Options = DEFAULT) -> list[tuple]:
     return [(f, len(f), f.count(" ") + 1, e.lemma, e.language, e.severity, e.categories, e.match_mode, e.casual_use, e.load_order) for f, entries in options.exact.items() for e in dict.fromkeys(entries)]
 
@@ -117,13 +104,16 @@ def prefix_hits(spark, sf):
 STRETCHED = "concat('thi', repeat('n', 2 + cast(doc_id % 4 as int)), 'g')"
 
 
+TRIPLE = "|".join(x * 3 for x in LETTERS)
+
+
 @query(rf"""WITH {FORMS}, stretched AS (SELECT doc_id, regexp_replace(text, '\b{WORD}\b', 'thi' || repeat('n', (2 + doc_id % 4)::INT) || 'g', 'g') AS text FROM documents),
-words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM stretched)
-SELECT doc_id, 'thing' AS lemma, count(*) AS n FROM words JOIN forms ON form = 'thing' WHERE regexp_full_match(token, 't+h+i+n+g+') AND (regexp_matches(token, '{"|".join(x * 3 for x in "thing")}') OR starts_with(token, 'tt')) GROUP BY doc_id""")
+words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM stretched),
+wide AS (SELECT doc_id, token, {doubled('token', 1)} AS single FROM words WHERE regexp_matches(token, '{TRIPLE}') OR substr(token, 1, 1) = substr(token, 2, 1))
+SELECT doc_id, lemma, count(*) AS n FROM wide JOIN forms ON form = single AND grams = 1 AND {doubled('form', 1)} = form GROUP BY ALL""")
 def collapsed_hits(spark, sf):
     put = docs(spark, sf).withColumn("text", F.regexp_replace("text", F.lit(rf"\b{WORD}\b"), F.expr(STRETCHED)))
-    found = r.collapsed_hits(r.tokens(put), lexicon.form_table(spark)).where(F.col("lemma") == WORD)
-    return found.groupBy("doc_id", "lemma").agg(F.count("*").alias("n"))
+    return r.collapsed_hits(r.tokens(put), lexicon.form_table(spark)).groupBy("doc_id", "lemma").agg(F.count("*").alias("n"))
 
 
 def masked_sql(pattern: str, put: str, test: str, marks: str) -> str:
@@ -153,59 +143,42 @@ def tagged_hits(spark, sf):
     return r.token_hits(r.tagged_parts(put), lexicon.form_table(spark)).groupBy("doc_id", "lemma", "language").agg(F.count("*").alias("n"))
 
 
-@query(rf"WITH {FORMS}, spelled AS (SELECT doc_id, len(regexp_extract_all(text, '\b{WORD}\b')) AS n FROM documents) SELECT doc_id, lemma, language, n FROM spelled JOIN forms ON form = '{WORD}' WHERE n > 0")
-def spelled_hits(spark, sf):
-    put = docs(spark, sf).withColumn("text", F.regexp_replace("text", rf"\b{WORD}\b", ", t.h.i.n.g ,"))
-    return r.token_hits(r.spelled_words(put), lexicon.form_table(spark)).where(F.col("token") == WORD).groupBy("doc_id", "lemma", "language").agg(F.count("*").alias("n"))
-
-
-@query(rf"WITH {FORMS}, cut AS (SELECT doc_id, len(regexp_extract_all(text, '\b{WORD}\b')) AS n FROM documents) SELECT doc_id, lemma, language, n FROM cut JOIN forms ON form = '{WORD}' WHERE n > 0")
-def chunked_hits(spark, sf):
-    put = docs(spark, sf).withColumn("text", F.regexp_replace("text", rf"\b{WORD}\b", ", th-ing ,"))
-    return r.token_hits(r.chunked_words(put), lexicon.form_table(spark)).where(F.col("token") == WORD).groupBy("doc_id", "lemma", "language").agg(F.count("*").alias("n"))
-
-
-@query()
-def collapsed_hits_all(spark, sf):
-    """As collapsed_hits, with those of every other term."""
-    put = docs(spark, sf).withColumn("text", F.regexp_replace("text", F.lit(rf"\b{WORD}\b"), F.expr(STRETCHED)))
-    return r.collapsed_hits(r.tokens(put), lexicon.form_table(spark)).groupBy("doc_id", "lemma").agg(F.count("*").alias("n"))
+def islands_sql(put: str, one: str, seam: str, fair: str) -> str:
+    """Runs of words with one separator between each two, as whole words; one: which words take part."""
+    return rf"""WITH {FORMS}, hidden AS (SELECT row_number() OVER () AS rid, doc_id, lower(regexp_replace(text, '\b{WORD}\b', '{put}', 'g')) AS l FROM documents),
+cut AS (SELECT rid, doc_id, regexp_extract_all(l, '{W}') AS ts, regexp_split_to_array(l, '{W}') AS gs FROM hidden),
+parted AS (SELECT rid, doc_id, i, ts[i] AS token, gs[i] AS gap FROM (SELECT *, unnest(generate_series(1, len(ts))) AS i FROM cut)),
+marked AS (SELECT *, {one} AS part, coalesce(lag(i) OVER o = i - 1 AND regexp_full_match(gap, '{seam}'), false) AS tied, lag({one}) OVER o AS before FROM parted WINDOW o AS (PARTITION BY rid ORDER BY i)),
+runs AS (SELECT *, sum(CASE WHEN tied AND part = before THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM marked),
+whole AS (SELECT rid, doc_id, run, string_agg(token, '' ORDER BY i) AS token, count(*) AS pieces, max(length(token)) AS longest, bool_and(part) AS part FROM runs GROUP BY rid, doc_id, run)
+SELECT doc_id, lemma, language, count(*) AS n FROM whole w JOIN forms f ON f.form = w.token AND f.grams = 1 WHERE w.part AND {fair} GROUP BY ALL"""
 
 
-@query()
-def spelled_hits_all(spark, sf):
-    """As spelled_hits, with those of every other term."""
+@query(islands_sql(", t.h.i.n.g ,", r"regexp_full_match(token, '\p{L}')", r"[ \t.\-_\n/]", "pieces >= 4"))
+def spelled_hits(spark, sf):
     put = docs(spark, sf).withColumn("text", F.regexp_replace("text", rf"\b{WORD}\b", ", t.h.i.n.g ,"))
     return r.token_hits(r.spelled_words(put), lexicon.form_table(spark)).groupBy("doc_id", "lemma", "language").agg(F.count("*").alias("n"))
 
 
-@query()
-def chunked_hits_all(spark, sf):
-    """As chunked_hits, with those of every other term."""
+# a run of words bound by dots or hyphens is taken whole, so its longer words take part too and rule it out
+@query(islands_sql(", th-ing ,", "true", r"[.\-]", r"pieces BETWEEN 2 AND 4 AND longest BETWEEN 2 AND 5 AND length(w.token) >= 4 AND regexp_full_match(w.token, '\p{L}+')"))
+def chunked_hits(spark, sf):
     put = docs(spark, sf).withColumn("text", F.regexp_replace("text", rf"\b{WORD}\b", ", th-ing ,"))
     return r.token_hits(r.chunked_words(put), lexicon.form_table(spark)).groupBy("doc_id", "lemma", "language").agg(F.count("*").alias("n"))
 
 
-def sound_sql(w: str) -> str:
-    """skeleton_key in SQL; RE2 has no backreferences, so doubles go letter by letter."""
-    for group, sound in t.SOUNDS.items():
-        w = f"replace({w}, '{group}', '{''.join(t.LETTERS.get(x, x) for x in sound).upper()}')"
-    w = f"lower(translate(replace({w}, 'x', 'ks'), 'zwqyc', 'jvkik'))"
-    w = f"regexp_replace(regexp_replace({w}, '([a-z])h+', '\\1', 'g'), '([a-z])[aeiou]+', '\\1', 'g')"
-    for x in "abcdefghijklmnopqrstuvwxyz":
-        w = f"regexp_replace({w}, '{x}{x}+', '{x}', 'g')"
-    return f"regexp_replace({w}, '[^a-z]', '', 'g')"
-
-
 @query(f"WITH {KEYS}, {TOKENS}, sounded AS (SELECT doc_id, token, {sound_sql('token')} AS sound FROM words) SELECT doc_id, token, lemma, count(*) AS n FROM sounded JOIN keys ON starts_with(sound, key) AND length(sound) - key_len <= 3 GROUP BY ALL")
 def sound_hits(spark, sf):
     return r.sound_hits(r.tokens(docs(spark, sf)), lexicon.key_table(spark)).groupBy("doc_id", "token", "lemma").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {KEYS} SELECT key, lemma, severity FROM keys")
+SPOKEN = [(w, e.lemma, e.severity, e.load_order) for e in DEFAULT.entries if e.skeleton_safe for w in e.romanizations if " " not in w]
+
+
+@query("WITH " + values("spoken", "word, lemma, severity, load_order", SPOKEN) + f", keyed AS (SELECT {sound_sql('word')} AS key, * FROM spoken) SELECT key, first(lemma ORDER BY severity DESC, load_order) AS lemma, max(severity) AS severity FROM keyed WHERE length(key) >= 4 GROUP BY key")
 def best_per_key(spark, sf):
-    rows = [(texts.skeleton_key(w), e.lemma, e.severity, e.load_order) for e in DEFAULT.entries if e.skeleton_safe for w in e.romanizations if " " not in w]
-    keys = spark.createDataFrame(rows, "key string, lemma string, severity int, load_order int").where("length(key) >= 4")
+    spoken = spark.createDataFrame(SPOKEN, "word string, lemma string, severity int, load_order int")
+    keys = spoken.withColumn("key", c.skeleton_key(F.col("word"))).where("length(key) >= 4")
     return keys.groupBy("key").agg(F.max(F.struct("severity", (-F.col("load_order")).alias("first"), "lemma")).alias("b")).select("key", "b.lemma", "b.severity")
 
 
@@ -219,8 +192,6 @@ def picture_hits(spark, sf):
 
 # --- vetoes, merging, overlaps, spans ---------------------------------------------------------
 
-ALLOW = "ering the"
-WHOLE_WORD = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_]){WORD}(?![\p{{L}}\p{{M}}\p{{N}}_])"
 #: The one-word forms as whole words.
 ONE_OF = r"(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(f for f in DEFAULT.exact if " " not in f) + r")(?![\p{L}\p{M}\p{N}])"
 SPANS_SQL = rf"""placed AS (SELECT doc_id, lower(text) AS l, regexp_extract_all(lower(text), '{W}') AS ts, regexp_split_to_array(lower(text), '{W}') AS gs FROM documents),
@@ -232,30 +203,33 @@ def span_offsets(spark, sf):
     return r.spans(docs(spark, sf), "text", ONE_OF).select("doc_id", "token", "start", "end")
 
 
-@query(f"WITH {SPANS_SQL}, s AS (SELECT * FROM spans WHERE token = 'ering') SELECT doc_id, start FROM s JOIN documents USING (doc_id) WHERE NOT (substr(lower(text), start + 1, {len(ALLOW)}) = '{ALLOW}')".replace(" WHERE length(l) < 20000", ""))
-def allow_veto(spark, sf):
-    found = r.spans(docs(spark, sf), "text", ONE_OF).where("token = 'ering'")
-    allowed = r.spans(docs(spark, sf), "text", ALLOW)
-    return r.veto(found, allowed, ["doc_id"]).select("doc_id", "start")
+ALLOWING = [f for f in DEFAULT.allowed if f.isascii()]
 
 
-@query(f"""WITH {FORMS}, {TOKENS}, {HITS} SELECT DISTINCT doc_id, lemma, first_value(language) OVER w AS language, max(severity) OVER (PARTITION BY doc_id, lemma) AS severity, bool_and(casual_use) OVER (PARTITION BY doc_id, lemma) AS casual_use
-FROM hits WINDOW w AS (PARTITION BY doc_id, lemma ORDER BY severity DESC, load_order)""")
-def merge_entries(spark, sf):
-    return r.merge_entries(hits(spark, sf), ["doc_id"]).drop("categories")
+@query(f"""WITH {FORMS}, {SPANS_SQL}, allowing(phrase) AS (VALUES {", ".join(f"('{x}')" for x in ALLOWING)}),
+gaps AS (SELECT doc_id, length(phrase) AS n, list_transform(string_split(lower(text), phrase), lambda p: length(p)) AS gaps FROM documents JOIN allowing ON contains(lower(text), phrase)),
+allowed AS (SELECT doc_id, (list_sum(gaps[1:k]) + (k - 1) * n)::INT AS a, (list_sum(gaps[1:k]) + k * n)::INT AS b FROM (SELECT *, unnest(generate_series(1, len(gaps) - 1)) AS k FROM gaps))
+SELECT doc_id, token, start FROM spans s WHERE token IN (SELECT form FROM forms WHERE grams = 1) AND NOT EXISTS (SELECT 1 FROM allowed x WHERE x.doc_id = s.doc_id AND a <= start AND start + length(token) <= b)""".replace(" WHERE length(l) < 20000", ""))
+def allow_veto(spark, sf):
+    found = r.spans(docs(spark, sf), "text", ONE_OF)
+    allowed = r.spans(docs(spark, sf), "text", "|".join(ALLOWING))
+    return r.veto(found, allowed, ["doc_id"]).select("doc_id", "token", "start")
 
 
-@query("""WITH c AS (SELECT l_orderkey AS k, (l_partkey % 40)::INT AS s, (l_partkey % 40 + 1 + l_suppkey % 9)::INT AS e, (l_linenumber % 2 * 2)::INT AS r, (l_suppkey % 5)::INT AS v, l_linenumber::INT AS o FROM lineitem),
-pairs AS (SELECT k FROM (SELECT a.k, count(*) AS n FROM c a JOIN c b ON a.k = b.k AND a.s < b.e AND b.s < a.e GROUP BY a.k) JOIN (SELECT k, count(*) AS m FROM c GROUP BY k) USING (k) WHERE n > m)
-SELECT c.k, list((s, e) ORDER BY s)::VARCHAR AS kept FROM c WHERE k NOT IN (SELECT k FROM pairs) GROUP BY c.k""")
-def overlap_free(spark, sf):
-    """Texts without overlaps keep all candidates, by start."""
-    return resolved(spark, sf).where("not clash").select("k", F.concat(F.lit("["), F.array_join(F.transform("kept", lambda x: F.concat(F.lit("("), x["s"], F.lit(", "), x["e"], F.lit(")"))), ", "), F.lit("]")).alias("kept"))
+@query(f"""WITH {FORMS}, {TOKENS}, {HITS}, rows AS (SELECT DISTINCT doc_id, lemma, language, severity, categories, casual_use, load_order FROM hits),
+merged AS (SELECT doc_id, lemma, first(language ORDER BY severity DESC, load_order) AS language, max(severity) AS severity, flatten(list(categories ORDER BY severity DESC, load_order)) AS all_categories, bool_and(casual_use) AS casual_use FROM rows GROUP BY doc_id, lemma)
+SELECT doc_id, lemma, language, severity, list_filter(all_categories, lambda c, i: list_position(all_categories, c) = i) AS categories, casual_use FROM merged""")
+def merge_entries(spark, sf):
+    return r.merge_entries(hits(spark, sf), ["doc_id"])
 
 
-@query()
+@query(f"""WITH c AS (SELECT l_orderkey AS k, (l_partkey % 40)::INT AS s, (l_partkey % 40 + 1 + l_suppkey % 9)::INT AS e, (l_linenumber % 2 * 2)::INT AS r, (l_suppkey % 5)::INT AS v, l_linenumber::INT AS o FROM lineitem),
+resolved AS (SELECT k, count(*) AS n, {scan_sql.resolve_sql("list([{'s': s, 'e': e, 'r': r, 'v': v}] ORDER BY s, e DESC, o)")} AS kept FROM c GROUP BY k)
+SELECT k, n, array_to_string(list_transform(list_sort(list_transform(kept, lambda x: {{'s': x.s, 'e': x.e}})), lambda x: x.s || '-' || x.e), ' ') AS kept FROM resolved""")
 def overlap_resolution(spark, sf):
-    return resolved(spark, sf).select("k", "n", F.transform("kept", lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end"))).alias("kept"))
+    """All groups, most of which overlap; kept spans by start, then end."""
+    spans = F.array_sort(F.transform("kept", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    return resolved(spark, sf).select("k", "n", F.array_join(F.transform(spans, lambda x: F.concat_ws("-", x["s"], x["e"])), " ").alias("kept"))
 
 
 def resolved(spark, sf):
@@ -263,72 +237,85 @@ def resolved(spark, sf):
     span = F.struct((F.col("l_partkey") % 40).cast("int").alias("s"), (F.col("l_partkey") % 40 + 1 + F.col("l_suppkey") % 9).cast("int").alias("e"), (F.col("l_linenumber") % 2 * 2).cast("int").alias("r"), (F.col("l_suppkey") % 5).cast("int").alias("v"), F.col("l_linenumber").cast("int").alias("o"))
     # an order has a handful of lines, as a text has of candidates
     made = items.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(span).alias("c"), F.count("*").alias("n"))
-    clash = F.exists("c", lambda a: F.size(F.filter("c", lambda b: (a["s"] < b["e"]) & (b["s"] < a["e"]))) > 1)
-    return made.select("k", "n", r.resolve(F.col("c")).alias("kept"), clash.alias("clash"))
+    return made.select("k", "n", r.resolve(F.col("c")).alias("kept"))
 
 
-@query(rf"SELECT doc_id, regexp_replace(text, '\b{WORD}\b', '*****', 'g') AS censored FROM documents WHERE regexp_matches(text, '\b{WORD}\b')")
-def censor_ascii(spark, sf):
-    return docs(spark, sf).where(F.col("text").rlike(rf"\b{WORD}\b")).select("doc_id", F.regexp_replace("text", rf"\b{WORD}\b", "*****").alias("censored"))
+def scanned_sql(options: Options, select: str, source: str = "SELECT doc_id, text FROM documents") -> str:
+    return f"WITH {scan_sql.ctes(options, source)}\n{select}"
 
 
-@query(rf"SELECT doc_id, regexp_replace(lower(text), '\bthing\b', 't****', 'g') AS censored FROM documents WHERE regexp_matches(lower(text), '\bthing\b') AND lang = 'en' AND NOT regexp_matches(lower(text), '[^\x00-\x7f]')")
-def censor_keep_first(spark, sf):
-    """Given spans masked by the kernel, which keeps clusters whole."""
-    found = docs(spark, sf).where("lang = 'en'").withColumn("text", F.lower("text")).where(~F.col("text").rlike(r"[^\x00-\x7f]"))
-    at = r.spans(found, "text", rf"\b{WORD}\b").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return found.join(at, "doc_id").select("doc_id", moderation.censor_spans("text", "spans", "*", True).alias("censored"))
+def censored_sql(options: Options, shown: str = "''", left: int = 0) -> str:
+    """All texts with their matches masked; shown: what is left of a match, of so many clusters."""
+    return scanned_sql(options, f"""SELECT doc_id, censored FROM (WITH cover AS (SELECT rid, s, e, max(e) OVER (PARTITION BY rid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM kept),
+islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR s >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY s, e) AS island FROM cover),
+spans AS (SELECT rid, min(s) AS s, max(e) AS e FROM islands GROUP BY rid, island),
+pieces AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS before FROM spans),
+masked AS (SELECT rid, string_agg(substr(text, before + 1, s - before) || {shown} || repeat('*', (length_grapheme(substr(text, s + 1, e - s)) - {left})::INT), '' ORDER BY s) AS head, max(e) AS stop FROM pieces JOIN t USING (rid) GROUP BY rid)
+SELECT doc_id, coalesce(head || substr(text, stop + 1), text) AS censored FROM t LEFT JOIN masked USING (rid))""")
 
 
-@query()
-def censor_keep_first_all(spark, sf):
-    """As censor_keep_first, over documents of every language and script."""
-    found = docs(spark, sf).withColumn("text", F.lower("text"))
-    at = r.spans(found, "text", WHOLE_WORD).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return found.join(at, "doc_id").select("doc_id", moderation.censor_spans("text", "spans", "*", True).alias("censored"))
+OWN = Options(packs=(), custom_words=("thing", "tion"), custom_allow=("thing of",))
+
+
+@query(censored_sql(OWN))
+def censor_custom(spark, sf):
+    """Words and an allow phrase given by the caller, masked in all documents."""
+    return docs(spark, sf).select("doc_id", moderation.censor("text", OWN).alias("censored"))
+
+
+@query(censored_sql(DEFAULT, "left_grapheme(substr(text, s + 1, e - s), 1)", 1))
+def censor_keep_first(spark, sf):
+    """All documents, the first cluster of each match left."""
+    return docs(spark, sf).select("doc_id", moderation.censor("text", keep_first=True).alias("censored"))
 
 
 # --- folds ------------------------------------------------------------------------------------
 
 
-def per_word(name: str, column: Callable, sql: str | None = None, where: str = "true") -> None:
-    """A query over the distinct tokens of all documents, with how often each occurs; where: the tokens that the SQL can fold."""
+def per_word(name: str, column: Callable, sql: str) -> None:
+    """A query over the distinct tokens of all documents, with how often each occurs."""
 
     def run(spark, sf):
         words = r.tokens(docs(spark, sf), pattern="[^ \t\n]+").groupBy("token").agg(F.count("*").alias("n"))
-        return words.where(where).select("token", column(F.col("token")).alias("folded"), "n")
+        return words.select("token", column(F.col("token")).alias("folded"), "n")
 
     run.__name__ = name
-    query(sql and f"WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[^ \\t\\n]+')) AS token FROM documents), words AS (SELECT token, count(*) AS n FROM w GROUP BY token) SELECT token, {sql} AS folded, n FROM words WHERE {where}")(run)
+    query(f"WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[^ \\t\\n]+')) AS token FROM documents), words AS (SELECT token, count(*) AS n FROM w GROUP BY token) SELECT token, {sql} AS folded, n FROM words")(run)
 
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
-ACCENTS = {a: b for a, b in t.confusables().items() if ord(a) < 0x250}
 CONFUSABLE_SQL = f"translate(token, '{''.join(ACCENTS)}', '{''.join(ACCENTS.values())}')"
 
 
-def doubled(w: str, k: int) -> str:
-    for x in LETTERS:
-        w = f"regexp_replace({w}, '{x}{{{k + 1},}}', '{x * k}', 'g')"
-    return w
-
-
 per_word("fold_upper", lambda w: c.ascii_lower(F.translate(w, LETTERS, LETTERS.upper())), f"translate(translate(token, '{LETTERS}', '{LETTERS.upper()}'), '{LETTERS.upper()}', '{LETTERS}')")
 per_word("fold_confusables", c.fold_confusables, CONFUSABLE_SQL)
-per_word("fold_pairs", c.collapse_pairs, doubled("token", 2), "regexp_like(token, '^[a-z]*$')")
-per_word("fold_singles", c.collapse_all, doubled("token", 1), "regexp_like(token, '^[a-z]*$')")
+def kept_chars(test: str) -> str:
+    """token without the characters that fail a test on c (its characters), x and i."""
+    return f"array_to_string(list_filter(string_split(token, ''), lambda x, i: {test}), '')"
+
+
+def leet_sql() -> str:
+    """fold_leet of a word in which e, i and o are written 3, 1 and 0, signs and digits as the letters they stand for."""
+    digits, letters = "".join(t.LEET_DIGITS), "".join(t.LEET_DIGITS.values())
+    put = "translate(token, 'eio', '310')"
+    run = "substr(x, 1, 1)"  # a run of a-z and digits, or of anything else
+    count = "length(regexp_replace(x, '[^a-z]', '', 'g'))"
+    whole = f"({count} >= 2 OR ({count} = 1 AND length(x) >= 4 AND NOT regexp_matches(x, '^[0-9]{{2}}')))"
+    beside = f"array_to_string(list_transform(string_split(x, ''), lambda y, j: CASE WHEN regexp_matches(y, '[0-9]') AND (regexp_matches(coalesce(string_split(x, '')[j + 1], ''), '[a-z]') OR (j > 1 AND regexp_matches(string_split(x, '')[j - 1], '[a-z]'))) THEN translate(y, '{digits}', '{letters}') ELSE y END), '')"
+    mapped = f"CASE WHEN NOT regexp_matches({run}, '[a-z0-9]') THEN x WHEN regexp_matches({run}, '[0-9]') THEN CASE WHEN {whole} THEN translate(x, '{digits}', '{letters}') ELSE x END ELSE {beside} END"
+    words = f"array_to_string(list_transform(regexp_extract_all({put}, '[a-z0-9]+|[^a-z0-9]+'), lambda x: {mapped}), '')"
+    # signs are judged on the input, and the folds above keep every character's place
+    seen = f"string_split({put}, '')"
+    signs = f"array_to_string(list_transform(string_split({words}, ''), lambda x, i: CASE WHEN x IN ('{"', '".join(t.LEET_SIGNS)}') AND (regexp_matches(coalesce({seen}[i + 1], ''), '[a-z]') OR (i > 1 AND regexp_matches({seen}[i - 1], '[a-z]'))) THEN translate(x, '{''.join(t.LEET_SIGNS)}', '{''.join(t.LEET_SIGNS.values())}') ELSE x END), '')"
+    return f"replace({signs}, 'ph', 'f')"
+
+
+per_word("fold_pairs", c.collapse_pairs, kept_chars("NOT (i > 2 AND x = string_split(token, '')[i - 1] AND x = string_split(token, '')[i - 2])"))
+per_word("fold_singles", c.collapse_all, kept_chars("NOT (i > 1 AND x = string_split(token, '')[i - 1])"))
 per_word("skeleton_keys", c.skeleton_key, sound_sql("token"))
 per_word("fold_width", lambda w: c.fold_width(F.translate(w, LETTERS, "".join(chr(ord(x) + t.WIDE_SHIFT) for x in LETTERS))), "token")
-per_word("fold_invisible", lambda w: c.strip_invisible(F.regexp_replace(w, "([aeiou])", "$1​")), "token")
-per_word("fold_marks", lambda w: c.strip_marks(F.regexp_replace(w, "([aeiou])", "$1̈")), "token", "regexp_like(token, '^[a-z]*$')")
-per_word("fold_leet", lambda w: c.fold_leet(F.translate(w, "eio", "310")), "replace(token, 'ph', 'f')", "regexp_like(token, '^[b-dfghj-np-tv-z][a-z]*[a-z][b-dfghj-np-tv-z]$') and not regexp_like(token, '[aeiou][eio]|[eio][aeiou]')")
-for _q in ("fold_pairs", "fold_singles", "fold_marks", "fold_leet"):
-    ORACLES[_q] = ORACLES[_q].replace("regexp_like", "regexp_matches")
-#: These four over every word: SQL cannot say the folds of the words that the queries above leave out.
-per_word("fold_pairs_all", c.collapse_pairs)
-per_word("fold_singles_all", c.collapse_all)
-per_word("fold_marks_all", lambda w: c.strip_marks(F.regexp_replace(w, "([aeiou])", "$1\u0308")))
-per_word("fold_leet_all", lambda w: c.fold_leet(F.translate(w, "eio", "310")))
+per_word("fold_invisible", lambda w: c.strip_invisible(F.regexp_replace(w, "([aeiou])", "$1\u200b")), f"translate(token, '{t.INVISIBLE}', '')")
+per_word("fold_marks", lambda w: c.strip_marks(F.regexp_replace(w, "([aeiou])", "$1\u0308")), r"regexp_replace(regexp_replace(token, '([aeiou])', '\1' || chr(776), 'g'), '([A-Za-z])[' || chr(768) || '-' || chr(879) || ']+', '\1', 'g')")
+per_word("fold_leet", lambda w: c.fold_leet(F.translate(w, "eio", "310")), leet_sql())
 
 
 @query("SELECT doc_id, nfc_normalize(text) = text AS same, length(nfc_normalize(text)) AS n FROM documents")
@@ -345,9 +332,18 @@ def nfc_fold(spark, sf):
     return made.select("doc_id", (F.col("composed") == F.col("text")).alias("same"), F.length("composed").cast("long").alias("n"))
 
 
-@query(r"SELECT doc_id, NOT regexp_matches(text, '[^\x00-\x7f]') AS all_ascii, regexp_matches(text, '[A-Z]') AS has_upper, regexp_matches(text, '[0-9]') AS has_digit, regexp_matches(text, '[*#@$%]') AS has_mask, regexp_matches(text, '[#@]') AS has_tag FROM documents")
+PROFILE = {
+    "all_ascii": r"NOT regexp_matches(text, '[^\x00-\x7f]')", "has_upper": "regexp_matches(text, '[A-Z]')", "has_digit": "regexp_matches(text, '[0-9]')", "has_mask": "regexp_matches(text, '[*#@$%]')",
+    "has_tag": "regexp_matches(text, '[#@]')", "has_leet": "regexp_matches(text, 'ph|[@431!|0$57269]')",
+    "has_mark": "regexp_matches(text, '[' || chr(768) || '-' || chr(879) || ']')", "has_spelled": r"regexp_matches(text, '(?s)\p{L}[ \t.\-_\n/].[ \t.\-_\n/].[ \t.\-_\n/]')", "has_bound": r"regexp_matches(text, '[\p{L}\p{M}\p{N}][.\-][\p{L}\p{M}\p{N}]')",
+}
+RUN = f"""list_reduce(list_transform(string_split(text, ''), lambda x: {{'c': x, 'n': 1, 'most': 1}}), lambda a, x: {{'c': x.c, 'n': CASE WHEN a.c = x.c THEN a.n + 1 ELSE 1 END, 'most': greatest(a.most, CASE WHEN a.c = x.c THEN a.n + 1 ELSE 1 END)}}).most"""
+PROFILE |= {"has_stretch": "coalesce(run, 0) >= 3", "has_repeat": "coalesce(run, 0) >= 2"}
+
+
+@query(f"WITH d AS (SELECT doc_id, text, CASE WHEN text <> '' THEN {RUN} END AS run FROM documents) SELECT doc_id, " + ", ".join(f"{sql} AS {k}" for k, sql in PROFILE.items()) + " FROM d")
 def profile_flags(spark, sf):
-    return docs(spark, sf).select("doc_id", c.profile(F.col("text")).alias("p")).select("doc_id", *[f"p.{k}" for k in ("all_ascii", "has_upper", "has_digit", "has_mask", "has_tag")])
+    return docs(spark, sf).select("doc_id", c.profile(F.col("text")).alias("p")).select("doc_id", *[f"p.{k}" for k in PROFILE])
 
 
 # --- catalogue, kernel, reports, streams ------------------------------------------------------
@@ -358,17 +354,23 @@ def list_languages(spark, sf):
     return lexicon.list_languages(lexicon.to_frame(spark))
 
 
-@query()
+UNITS = r"length(regexp_replace(substr(text, 1, {at}), '[^\x{10000}-\x{10ffff}]', '', 'g'))"
+MATCHES = f"""SELECT doc_id, lemma, substr(text, s + 1, e - s) AS surface, tier, language, severity, categories, casual_use, (s + {UNITS.replace('{at}', 's')})::INT AS start, (e + {UNITS.replace('{at}', 'e')})::INT AS "end", s::INT AS char_start, e::INT AS char_end FROM kept"""
+CHECKED = "SELECT doc_id, any_value(t.text) AS text, count(lemma)::INT AS match_count, max(severity) AS max_severity FROM t LEFT JOIN (SELECT rid, lemma, severity FROM kept) k USING (rid) GROUP BY rid, doc_id"
+BARE = Options(packs=tuple(replace(p, allowlist=(), entries=tuple(replace(e, allowlist=()) for e in p.entries)) for p in DEFAULT.packs))
+
+
+@query(scanned_sql(DEFAULT, MATCHES))
 def scan_matches(spark, sf):
     return moderation.scan_rows(docs(spark, sf).select("doc_id", "text"))
 
 
-@query()
+@query(scanned_sql(DEFAULT, f"SELECT doc_id, match_count = 0 AS clean, match_count, max_severity, {scan_sql.quoted([p.language for p in DEFAULT.packs])} AS languages FROM ({CHECKED})"))
 def check_texts(spark, sf):
     return moderation.check(docs(spark, sf).select("doc_id", "text")).drop("text")
 
 
-@query()
+@query(censored_sql(DEFAULT))
 def censor_texts(spark, sf):
     return docs(spark, sf).select("doc_id", moderation.censor("text").alias("censored"))
 
@@ -407,7 +409,7 @@ def misses_by_axis(spark, sf):
     return reports.misses(reports.flagged(reports.cases(hits(spark, sf).select(F.col("token").alias("w")).distinct()), "all", DEFAULT))
 
 
-@query()
+@query(scanned_sql(DEFAULT, "SELECT tier, count(DISTINCT doc_id) AS cases FROM kept GROUP BY tier"))
 def tier_counts(spark, sf):
     return reports.tiers(moderation.scan_rows(docs(spark, sf).select("doc_id", "text")), "doc_id")
 
@@ -436,7 +438,8 @@ def pack_isolation(spark, sf):
     return reports.isolation(cases, DEFAULT)
 
 
-@query()
+@query(f"""SELECT clean, clean_bare, count(*) AS texts FROM (SELECT rid, doc_id, match_count = 0 AS clean FROM ({scanned_sql(DEFAULT, CHECKED.replace("SELECT doc_id", "SELECT rid, doc_id"))})) a
+JOIN (SELECT rid, match_count = 0 AS clean_bare FROM ({scanned_sql(BARE, CHECKED.replace("SELECT doc_id", "SELECT rid, doc_id"))})) b USING (rid) GROUP BY clean, clean_bare""")
 def allow_dependence(spark, sf):
     return reports.allow_dependence(docs(spark, sf).select("doc_id", "text"), DEFAULT)
 
@@ -453,7 +456,10 @@ def hourly_medians(spark, sf):
     return e.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.median("value").alias("median_value"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
-@query()
+ANSWERS = f"""SELECT doc_id AS id, 'check_text' AS method, CASE WHEN text IS NOT NULL THEN '{{"clean":' || (match_count = 0) || ',"matchCount":' || match_count || coalesce(',"maxSeverity":' || max_severity, '') || '}}' END AS result, CASE WHEN text IS NULL THEN -32602 END AS error FROM ({CHECKED})"""
+
+
+@query(scanned_sql(DEFAULT, ANSWERS))
 def message_stream(spark, sf):
     """Requests as lines of JSON, answered by the file stream's batch twin."""
     lines = docs(spark, sf).select(F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("doc_id").alias("id"), F.lit("check_text").alias("method"), F.struct("text").alias("params"))).alias("value"))

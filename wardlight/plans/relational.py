@@ -6,7 +6,7 @@ side is always a table made from a compiled lexicon, which the readers bound, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
@@ -34,12 +34,16 @@ def phrase_hits(df: DataFrame, forms: DataFrame, grams: int, text_col: str = "te
     return run.select(*keep, F.explode(pairs).alias("form")).join(F.broadcast(forms.where(F.col("grams") == grams)), "form")
 
 
+def lengths(table: DataFrame, column: str) -> Column:
+    """The distinct lengths of a lexicon table as an array literal; the readers bound the table."""
+    return F.array(*[F.lit(r[0]) for r in table.select(column).distinct().orderBy(column).collect()]).cast("array<int>")
+
+
 def prefix_hits(words: DataFrame, forms: DataFrame) -> DataFrame:
     """Tokens that start with a form of prefix mode; joined on the form's length of first characters."""
     stems = forms.where("match_mode = 'prefix' and grams = 1")
-    lengths = F.broadcast(stems.select("form_len").distinct())
-    cut = words.join(lengths, F.length("token") >= F.col("form_len")).withColumn("form", F.substr("token", F.lit(1), F.col("form_len")))
-    return cut.join(F.broadcast(stems), ["form", "form_len"])
+    cut = words.withColumn("form_len", F.explode(F.filter(lengths(stems, "form_len"), lambda n: n <= F.length("token"))))
+    return cut.withColumn("form", F.substr("token", F.lit(1), F.col("form_len"))).join(F.broadcast(stems), ["form", "form_len"])
 
 
 def collapsed_hits(words: DataFrame, forms: DataFrame) -> DataFrame:
@@ -95,11 +99,12 @@ def chunked_words(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
 
 
 def sound_hits(words: DataFrame, keys: DataFrame) -> DataFrame:
-    """Tokens whose sound begins with a key and has at most three letters after it."""
-    sounded = words.withColumn("sound", c.skeleton_key(F.col("token")))
-    lengths = F.broadcast(keys.select("key_len").distinct())
-    cut = sounded.join(lengths, (F.length("sound") >= F.col("key_len")) & (F.length("sound") - F.col("key_len") <= 3)).withColumn("key", F.substr("sound", F.lit(1), F.col("key_len")))
-    return cut.join(F.broadcast(keys), ["key", "key_len"])
+    """Tokens whose sound begins with a key and has at most three letters after it. Each distinct token sounds once."""
+    sounded = words.select("token").distinct().withColumn("sound", c.skeleton_key(F.col("token")))
+    over = F.length("sound")
+    fits = F.filter(lengths(keys, "key_len"), lambda n: (n <= over) & (over - n <= 3))
+    cut = sounded.withColumn("key_len", F.explode(fits)).withColumn("key", F.substr("sound", F.lit(1), F.col("key_len")))
+    return words.join(cut.join(F.broadcast(keys), ["key", "key_len"]), "token")
 
 
 def spans(df: DataFrame, text_col: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -107,10 +112,17 @@ def spans(df: DataFrame, text_col: str, pattern: str, keep: tuple[str, ...] = ("
     lower = F.lower(F.col(text_col))
     found, between = F.regexp_extract_all(lower, F.lit(pattern), F.lit(0)), F.split(lower, pattern)
     # the match after gap i starts where all gaps and matches before it end: a running sum over the row's own pieces
-    pieces = df.select(*keep, found.alias("found"), between.alias("between")).where(F.size("found") > 0).select(*keep, F.posexplode(F.arrays_zip("between", "found")).alias("pos", "p"))
-    pieces = pieces.select(*keep, "pos", F.length("p.between").alias("gap"), F.coalesce(F.length("p.found"), F.lit(0)).alias("own"), F.col("p.found").alias("token"))
-    placed = pieces.withColumn("end", F.sum(F.col("gap") + F.col("own")).over(Window.partitionBy(*keep).orderBy("pos")).cast("int"))
-    return placed.where("token is not null").select(*keep, "token", (F.col("end") - F.col("own")).alias("start"), "end")
+    # a running sum over the row's own pieces, within the row
+    rows = df.select(*keep, found.alias("found"), between.alias("between")).where(F.size("found") > 0)
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<token:string,start:int,end:int>>").alias("out"))
+
+    def step(state: Column, p: Column) -> Column:
+        at = state["end"] + F.length(p["between"])
+        end = at + F.length(p["found"])
+        return F.struct(end.alias("end"), F.concat(state["out"], F.array(F.struct(p["found"].alias("token"), at.alias("start"), end.alias("end")))).alias("out"))
+
+    pairs = F.arrays_zip(F.slice("between", F.lit(1), F.size("found")).alias("between"), F.col("found"))
+    return rows.select(*keep, F.inline(F.aggregate(pairs, start, step)["out"]))
 
 
 def veto(found: DataFrame, allowed: DataFrame, by: list[str]) -> DataFrame:
