@@ -62,12 +62,56 @@ def test_resolve_agrees_with_the_kernel(spark):
 def test_hidden_words_are_found(spark):
     words = spark.createDataFrame([("thing",), ("erble",)], "w string")
     results = reports.flagged(reports.cases(words), "all", Options()).collect()
-    assert len(results) == 2 * len(evade.AXES)
-    assert {r.axis for r in results if not r.hit} <= {"chunks"}
+    assert len(evade.LATIN) == 61 and {r.axis for r in results} == set(evade.LATIN) - {"repeat.twin", "split.short", "split.three_chunks"}
+    missed = {r.axis for r in results if not r.hit}
+    assert not missed & {"look.digit_first", "look.cyrillic_all", "look.wide", "insert.zero_width", "insert.picture", "repeat.vowel", "mask.one", "split.spaces", "split.lines", "case.alternating", "context.longer"}
     unique = reports.unique_cases(reports.cases(words))
     assert unique.groupBy("hidden").count().where("count > 1").count() == 0
 
 
+def plain_ways(w):
+    """Some of the ways, written out."""
+    first = next((k for k, c in enumerate(w) if c in "aeiou"), None)
+    return {
+        "mask.two": f"{w[0]}**{w[3:]}" if len(w) >= 4 else None,
+        "insert.two_dots": f"{w[0]}.{w[1:3]}.{w[3:]}" if len(w) >= 5 else None,
+        "repeat.vowel": None if first is None else w[:first] + 5 * w[first] + w[first + 1 :],
+        "repeat.twin": next((w[:k] + 4 * w[k] + w[k + 1 :] for k in range(1, len(w)) if w[k] == w[k - 1]), None),
+        "split.three_chunks": f"{w[:2]} {w[2:4]} {w[4:]}" if len(w) >= 6 else None,
+        "case.alternating": "".join(c.upper() if k % 2 else c for k, c in enumerate(w)),
+        "sound.no_vowels": (lambda x: x if 3 <= len(x) < len(w) else None)("".join(c for c in w if c not in "aeiou")),
+        "look.cyrillic_vowel": next((w[:k] + dict(zip(*evade.CYRILLIC))[c] + w[k + 1 :] for k, c in enumerate(w) if c in "aeiou" and c in evade.CYRILLIC[0]), None),
+        "context.longer": f"#{w[0].upper()}{w[1:]}This",
+    }
+
+
+def test_ways_of_hiding(spark):
+    words = ["thing", "bookkeeper", "rhythm", "ab", "glass", "cyclic", "xyz", "uiui", "pffft"]
+    made = reports.cases(spark.createDataFrame([(w,) for w in words], "w string")).collect()
+    got = {(r.w, r.axis): r.hidden for r in made}
+    for w in words:
+        for way, want in plain_ways(w).items():
+            assert got.get((w, way)) == want, (w, way)
+
+
+def test_expansion_counts(spark):
+    words = spark.createDataFrame([("en", 1, "ab"), ("en", 2, "abcdef"), ("de", 1, "xyz")], "suite string, place int, w string")
+    cases = reports.expand(words).collect()
+    assert len({(r.suite, r.hidden) for r in cases}) == len(cases)
+    by = {(r.suite, r.axis): r.w for r in cases if r.kind == "generated"}
+    assert by["en", "mask.one"] == "abcdef" and by["en", "case.upper"] == "ab" and ("de", "mask.one") not in by
+    counts = {r.suite: r for r in reports.composition(words).collect()}
+    assert counts["en"].control == 2 and counts["en"].total == sum(r.suite == "en" for r in cases) and "mask.one" in counts["de"].inapplicable and "repeat.twin" in counts["en"].inapplicable
+
+
+def test_origins_and_repeats(spark):
+    heads = spark.createDataFrame([("try",), ("tries",), ("make",), ("box",), ("go",)], "w string")
+    made = {r.w for r in reports.inflections(heads).collect()}
+    assert {"trying", "tried", "maker", "making", "boxes", "boxed"} <= made and "tries" not in made and "gos" not in made
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("a", "x")], "text string, source string")
+    assert [(r.text, r.times, r.places) for r in reports.repeated(df).collect()] == [("a", 3, ["x", "y"])]
+
+
 def test_dictionary_side_is_broadcast(spark):
     for name in ("token_hits", "prefix_hits", "collapsed_hits", "masked_hits"):
         plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
@@ -79,9 +123,11 @@ def test_scan_reads_the_columns_it_needs(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
-def test_evenly_spaced_sample(spark):
-    got = [r.id for r in reports.sample_evenly(spark.range(1000), "id", 4).orderBy("id").collect()]
-    assert len(got) == 4 and all(abs(g - w) < 30 for g, w in zip(got, (125, 375, 625, 875)))
+@pytest.mark.parametrize("n, k", [(1000, 4), (7, 3), (3, 10), (0, 2)])
+def test_evenly_spaced_sample(spark, n, k):
+    df = spark.range(n).union(spark.range(n)).repartition(5)
+    got = sorted(r.id for r in reports.sample_evenly(df, "id", k).collect())
+    assert got == (list(range(n)) if n <= k else [i * n // k for i in range(k)])
 
 
 def test_languages(spark):

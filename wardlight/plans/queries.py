@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
@@ -365,6 +365,26 @@ def scan_matches(spark, sf):
     return moderation.scan_rows(docs(spark, sf).select("doc_id", "text"))
 
 
+FR, BOTH = ("fr", 2, ("gendered",), False), ("fr", 2, ("gendered", "general"), False)
+#: Words hidden in each way that the SQL of whole scans can't say, with what the rules of the tiers make of them:
+#: (hidden, lemma, language, severity, categories, casual use, tier, where the match starts in it and how long it is).
+PLANTED = [
+    ("th*ng", "thing", *FR, "masked", 0, 5), ("e@ble", "erble", "en", 4, ("violence",), False, "masked", 0, 5), ("th8ng", "thing", *FR, "masked", 0, 5), ("th\U0001f525ing", "thing", *FR, "masked", 0, 6),
+    ("fr0bnicate", "frobnicate", "en", 3, ("general", "gendered"), False, "exact", 0, 10), ("t.h.i.n.g", "thing", *FR, "separated", 0, 9), ("fro-bni-cate", "frobnicate", "en", 3, ("general", "gendered"), False, "separated", 0, 12),
+    ("#SoThing", "thing", *FR, "exact", 3, 5), ("\uff34\uff28\uff29\uff2e\uff27", "thing", *BOTH, "exact", 0, 5), ("th\u200bing", "thing", *BOTH, "exact", 0, 6), ("thi\u0301ng", "thing", *BOTH, "exact", 0, 6), ("\u0442hing", "thing", *BOTH, "exact", 0, 5),
+]
+
+
+@query("WITH " + values("planted", "k, hidden, lemma, language, severity, categories, casual_use, tier, from_, n", [(k, *p) for k, p in enumerate(PLANTED)]) + ", " + scan_sql.ctes(DEFAULT, "SELECT doc_id, text || ' ;; ' AS text FROM documents") + ", " + f"""
+whole AS (SELECT doc_id, text || hidden || ' .' AS text, lemma, language, severity, categories, casual_use, tier, length(text) + from_ AS s, length(text) + from_ + n AS e FROM t JOIN planted ON k = doc_id % {len(PLANTED)}
+  UNION ALL SELECT doc_id, text, lemma, language, severity, categories, casual_use, tier, s, e FROM kept) {MATCHES.replace('FROM kept', 'FROM whole')}""")
+def scan_planted(spark, sf):
+    """All documents with one hidden word at the end, by turns."""
+    hidden = F.array(*[F.lit(p[0]) for p in PLANTED])
+    put = F.concat("text", F.lit(" ;; "), F.get(hidden, (F.col("doc_id") % len(PLANTED)).cast("int")), F.lit(" ."))
+    return moderation.scan_rows(docs(spark, sf).select("doc_id", put.alias("text")))
+
+
 @query(scanned_sql(DEFAULT, f"SELECT doc_id, match_count = 0 AS clean, match_count, max_severity, {scan_sql.quoted([p.language for p in DEFAULT.packs])} AS languages FROM ({CHECKED})"))
 def check_texts(spark, sf):
     return moderation.check(docs(spark, sf).select("doc_id", "text")).drop("text")
@@ -394,7 +414,7 @@ def vocabulary_sweep(spark, sf):
     return r.token_hits(v, lexicon.form_table(spark)).select("token", "lemma", "n", "documents")
 
 
-@query(f"WITH {FORMS}, {TOKENS}, v AS (SELECT DISTINCT token AS w FROM words WHERE token IN (SELECT form FROM forms)) " + " UNION ALL ".join(f"SELECT w, '{axis}' AS axis, {sql} AS hidden FROM v" for axis, (_, sql) in evade.AXES.items()))
+@query(f"WITH {FORMS}, {TOKENS}, v AS (SELECT DISTINCT token AS w FROM words WHERE token IN (SELECT form FROM forms)) " + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT w, '{way}' AS axis, {evade.duck('w', way)} AS hidden FROM v" for way in evade.LATIN) + ") WHERE hidden IS NOT NULL")
 def battery_cases(spark, sf):
     return reports.cases(hits(spark, sf).select(F.col("token").alias("w")).distinct())
 
@@ -464,3 +484,75 @@ def message_stream(spark, sf):
     """Requests as lines of JSON, answered by the file stream's batch twin."""
     lines = docs(spark, sf).select(F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("doc_id").alias("id"), F.lit("check_text").alias("method"), F.struct("text").alias("params"))).alias("value"))
     return messages.answer(lines, DEFAULT)
+
+
+SUITES = "suites AS (SELECT language AS suite, form AS w, row_number() OVER (PARTITION BY language ORDER BY form) AS place FROM (SELECT DISTINCT language, form FROM forms WHERE regexp_full_match(form, '[a-z]+')))"
+MADE = " UNION ALL ".join(f"SELECT suite, place, w, '{way}' AS axis, {evade.duck('w', way)} AS hidden, {1_000_000 + k} AS turn FROM suites" for k, way in enumerate(evade.LATIN))
+EXPANDED = f"""{SUITES}, made AS (SELECT * FROM ({MADE}) WHERE hidden IS NOT NULL), firsts AS (SELECT *, row_number() OVER (PARTITION BY suite, axis ORDER BY place) AS f FROM made),
+candidates AS (SELECT suite, 'control' AS kind, 'plain' AS axis, w, w AS hidden, place AS turn FROM suites UNION ALL SELECT suite, 'generated', axis, w, hidden, turn FROM firsts WHERE f = 1),
+kept AS (SELECT *, row_number() OVER (PARTITION BY suite, hidden ORDER BY turn) AS f FROM candidates), expanded AS (SELECT suite, kind, axis, w, hidden FROM kept WHERE f = 1)"""
+
+
+def suites(spark) -> DataFrame:
+    forms = lexicon.form_table(spark).where(F.col("form").rlike("^[a-z]+$")).select(F.col("language").alias("suite"), F.col("form").alias("w")).distinct()
+    return forms.withColumn("place", F.row_number().over(Window.partitionBy("suite").orderBy("w")))
+
+
+@query(f"WITH {FORMS}, {EXPANDED} SELECT * FROM expanded")
+def case_expansion(spark, sf):
+    """Each language's words hidden in every way, the first word that a way applies to, equal texts once."""
+    return reports.expand(suites(spark))
+
+
+@query(f"""WITH {FORMS}, {EXPANDED}, axes(axis) AS (VALUES {", ".join(f"('{way}')" for way in sorted(evade.LATIN))}),
+missing AS (SELECT suite, list(axis ORDER BY axis) AS inapplicable FROM (SELECT DISTINCT suite FROM suites), axes WHERE (suite, axis) NOT IN (SELECT (suite, axis) FROM candidates) GROUP BY suite)
+SELECT suite, (SELECT count(*) FROM expanded x WHERE x.suite = s.suite AND kind = 'control') AS control, (SELECT count(*) FROM expanded x WHERE x.suite = s.suite AND kind = 'generated') AS generated, (SELECT count(*) FROM expanded x WHERE x.suite = s.suite) AS total,
+(SELECT count(*) FROM candidates c WHERE c.suite = s.suite) - (SELECT count(*) FROM expanded x WHERE x.suite = s.suite) AS collapsed, coalesce(inapplicable, []) AS inapplicable FROM (SELECT DISTINCT suite FROM suites) s LEFT JOIN missing USING (suite)""")
+def battery_composition(spark, sf):
+    return reports.composition(suites(spark))
+
+
+ORIGINS = rf"""heads AS (SELECT DISTINCT token AS w FROM words), fair AS (SELECT w FROM heads WHERE regexp_full_match(w, '[a-z]{{3,}}')),
+made AS ({" UNION ".join(f"SELECT {form} AS w FROM fair WHERE {test.replace('w rlike ', 'regexp_matches(w, ') + (')' if 'rlike' in test else '')}" for test, form in reports.ENDINGS)}),
+listed AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}') AS ts FROM documents), pairs AS (SELECT DISTINCT ts[i] || ' ' || ts[i + 1] AS w FROM (SELECT ts, unnest(generate_series(1, len(ts) - 1)) AS i FROM listed WHERE len(ts) > 1)),
+origins AS (SELECT w, 'headword' AS origin FROM heads UNION ALL SELECT w, 'compound' FROM pairs UNION ALL SELECT w, 'inflection' FROM made WHERE w NOT IN (SELECT w FROM heads)),
+claims AS (SELECT DISTINCT w, language AS library FROM (SELECT w, unnest(string_split(w, ' ')) AS part FROM origins) JOIN forms ON form = part AND grams = 1)"""
+
+
+@query(f"WITH {FORMS}, {TOKENS}, {ORIGINS} SELECT library, count(*) FILTER (origin = 'headword') AS headword, count(*) FILTER (origin = 'compound') AS compound, count(*) FILTER (origin = 'inflection') AS inflection FROM claims JOIN origins USING (w) GROUP BY library")
+def origin_split(spark, sf):
+    """Words of the corpus, pairs of neighbours and regular inflections that each language's dictionary flags."""
+    heads = r.tokens(docs(spark, sf)).select(F.col("token").alias("w")).distinct()
+    listed = docs(spark, sf).select(F.regexp_extract_all(F.lower("text"), F.lit(W), F.lit(0)).alias("ts"))
+    near = F.transform(F.sequence(F.lit(1), F.size("ts") - 1), lambda i: F.concat_ws(" ", F.get("ts", i - 1), F.get("ts", i)))
+    pairs = listed.where(F.size("ts") > 1).select(F.explode(near).alias("w")).distinct()
+    words = reports.origins(heads, pairs)
+    parts = words.select("w", F.explode(F.split("w", " ")).alias("token"))
+    return reports.origin_split(words, r.token_hits(parts, lexicon.form_table(spark)).select("w", F.col("language").alias("library")))
+
+
+@query("SELECT md5(text) AS text_md5, count(*) AS times, list(source ORDER BY source) AS places FROM (SELECT DISTINCT text, source FROM documents) JOIN (SELECT text, count(*) AS n FROM documents GROUP BY text) USING (text) WHERE n > 1 GROUP BY text".replace("count(*) AS times", "any_value(n) AS times"))
+def repeated_texts(spark, sf):
+    """Texts that are counted more than once, and the sources that have them."""
+    return reports.repeated(docs(spark, sf)).select(F.md5(F.encode("text", "UTF-8")).alias("text_md5"), "times", "places")
+
+
+@query(f"WITH {TOKENS}, listed AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT token FROM words)) SELECT token FROM listed WHERE i IN (SELECT k * n // 40 FROM range(40) t(k))")
+def even_sample(spark, sf):
+    """40 words at even distances in the order of the corpus's vocabulary."""
+    return reports.sample_evenly(r.tokens(docs(spark, sf)), "token", 40)
+
+
+@query("WITH " + values("corpora", "corpus, list", list(reports.CORPORA.items())) + f""", made AS (SELECT corpus, words, every, list_transform(range(words), lambda i: CASE WHEN every > 0 AND i % greatest(every, 1) = 0 THEN '{WORD}' ELSE list[i % len(list) + 1] END) AS ws
+FROM corpora, (VALUES (100), (1000)) a(words), (VALUES (0), (10)) b(every)) SELECT corpus, words, every, array_to_string(ws, ' ') AS text FROM made""")
+def synthetic_corpora(spark, sf):
+    return reports.synthetic_corpora(spark, (100, 1000), WORD)
+
+
+OTHER_SCRIPTS = "v AS (SELECT DISTINCT form AS w FROM forms WHERE NOT regexp_matches(form, '[a-z ]'))"
+
+
+@query(f"WITH {FORMS}, {OTHER_SCRIPTS} SELECT * FROM (" + " UNION ALL ".join(f"SELECT w, '{way}' AS axis, {sql} AS hidden FROM v" for way, sql in evade.duck_native("w").items()) + ") WHERE hidden IS NOT NULL")
+def native_cases(spark, sf):
+    """Words of other scripts hidden between their grapheme clusters."""
+    return reports.native_cases(lexicon.form_table(spark).where(~F.col("form").rlike("[a-z ]")).select(F.col("form").alias("w")).distinct())

@@ -13,9 +13,40 @@ from ..sources.lexicon import Options
 
 
 def cases(words: DataFrame, col: str = "w") -> DataFrame:
-    """Each word hidden in every way: w, axis, hidden. Made within the row."""
-    made = F.array(*[F.struct(F.lit(axis).alias("axis"), fn(F.col(col)).alias("hidden")) for axis, (fn, _) in evade.AXES.items()])
-    return words.select(col, F.explode(made).alias("m")).select(col, "m.*")
+    """Each word hidden in every way that applies to it: w, axis, hidden. Made within the row."""
+    made = F.array(*[F.struct(F.lit(way).alias("axis"), evade.evade(col, way).alias("hidden")) for way in evade.LATIN])
+    return words.select(col, F.explode(F.filter(made, lambda m: m["hidden"].isNotNull())).alias("m")).select(col, "m.*")
+
+
+def native_cases(words: DataFrame, col: str = "w") -> DataFrame:
+    """The same for words of other scripts, between their grapheme clusters."""
+    return words.select(col, F.explode(evade.evade_native(col)).alias("m")).select(col, F.col("m.way").alias("axis"), F.col("m.hidden").alias("hidden"))
+
+
+def candidates(words: DataFrame) -> DataFrame:
+    """What a suite (suite, place, w) is expanded to: its words as controls, and for each way the first word that it applies to."""
+    order = {way: k for k, way in enumerate(evade.LATIN)}
+    rank = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
+    made = F.array(*[F.struct(F.lit(way).alias("axis"), evade.evade("w", way).alias("hidden")) for way in order])
+    rows = words.select("suite", "place", "w", F.explode(F.filter(made, lambda m: m["hidden"].isNotNull())).alias("m")).select("suite", "place", "w", "m.*")
+    first = rows.groupBy("suite", "axis").agg(F.min(F.struct("place", "w", "hidden")).alias("f"))
+    generated = first.select("suite", F.lit("generated").alias("kind"), "axis", "f.w", "f.hidden", (F.lit(1_000_000) + rank[F.col("axis")]).cast("long").alias("turn"))
+    control = words.select("suite", F.lit("control").alias("kind"), F.lit("plain").alias("axis"), "w", F.col("w").alias("hidden"), F.col("place").cast("long").alias("turn"))
+    return control.unionByName(generated)
+
+
+def expand(words: DataFrame) -> DataFrame:
+    """The cases of each suite, one for each hidden text, the earliest of equal ones: suite, kind, axis, w, hidden."""
+    kept = candidates(words).groupBy("suite", "hidden").agg(F.min(F.struct("turn", "kind", "axis", "w")).alias("m"))
+    return kept.select("suite", "m.kind", "m.axis", "m.w", "hidden")
+
+
+def composition(words: DataFrame) -> DataFrame:
+    """For each suite its cases by kind and in all, how many collapsed into an equal one, and the ways that apply to none of its words."""
+    every = candidates(words).groupBy("suite").agg(F.count("*").alias("made"), F.collect_set("axis").alias("axes"))
+    counts = expand(words).groupBy("suite").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("control", "generated")], F.count("*").alias("total"))
+    ways = F.array(*map(F.lit, sorted(evade.LATIN)))
+    return counts.join(every, "suite").select("suite", "control", "generated", "total", (F.col("made") - F.col("total")).alias("collapsed"), F.array_except(ways, "axes").alias("inapplicable"))
 
 
 def unique_cases(made: DataFrame) -> DataFrame:
@@ -55,12 +86,45 @@ def vote_summary(claims: DataFrame) -> DataFrame:
 
 
 def isolation(made: DataFrame, options: Options) -> DataFrame:
-    """Cases that each pack catches alone, and that all catch together."""
-    together = flagged(made, "all", options)
-    parts = together
-    for p in options.packs:
-        parts = parts.unionByName(flagged(made, p.language, replace(options, packs=(p,))))
-    return scorecard(parts).groupBy("library").agg(F.sum("caught").alias("caught"), F.sum("cases").alias("cases"))
+    """Cases that each pack catches alone, and that all catch together; the cases are read once."""
+    by = {"all": options} | {p.language: replace(options, packs=(p,)) for p in options.packs}
+    hit = made.select(*[(~moderation.is_clean("hidden", o)).cast("long").alias(f"hit_{k}") for k, o in by.items()])
+    sums = hit.agg(*[F.sum(f"hit_{k}").alias(k) for k in by], F.count("*").alias("cases"))
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("library"), F.col(k).alias("caught")) for k in by])).alias("m"), "cases").select("m.*", "cases")
+
+
+#: Regular English endings: (whether they apply to the word w, what is made of it); more than the language has does no harm.
+ENDINGS = (
+    ("true", "concat(w, 's')"), ("true", "concat(w, 'ly')"), ("w rlike '(s|x|z|ch|sh)$'", "concat(w, 'es')"), ("w rlike '(s|x|z|ch|sh)$'", "concat(w, 'ed')"),
+    ("w rlike '[^aeiou]y$'", "concat(substr(w, 1, length(w) - 1), 'ies')"), ("w rlike '[^aeiou]y$'", "concat(substr(w, 1, length(w) - 1), 'ied')"),
+    *[("w rlike 'e$'", f"concat(w, '{x}')") for x in ("d", "r", "st")], ("w rlike 'e$'", "concat(substr(w, 1, length(w) - 1), 'ing')"),
+    *[("w rlike '[^e]$'", f"concat(w, '{x}')") for x in ("ed", "ing", "er", "est")],
+)
+
+
+def inflections(words: DataFrame) -> DataFrame:
+    """w: the distinct regular inflections of words of a-z of three letters or more, those words left out."""
+    fair = words.where(F.col("w").rlike("^[a-z]{3,}$"))
+    made = F.array(*[F.expr(f"CASE WHEN {test} THEN {form} END") for test, form in ENDINGS])
+    return fair.select(F.explode(F.filter(made, lambda x: x.isNotNull())).alias("w")).distinct().join(words, "w", "left_anti")
+
+
+def origins(headwords: DataFrame, compounds: DataFrame) -> DataFrame:
+    """w, origin: headword, compound, or inflection of a headword."""
+    parts = headwords.select("w", F.lit("headword").alias("origin")).unionByName(compounds.select("w", F.lit("compound").alias("origin")))
+    return parts.unionByName(inflections(headwords).select("w", F.lit("inflection").alias("origin")))
+
+
+def origin_split(words: DataFrame, claims: DataFrame) -> DataFrame:
+    """Flagged words of each library by origin; words: (w, origin), claims: (w, library)."""
+    found = claims.distinct().join(words, "w")
+    return found.groupBy("library").agg(*[F.count(F.when(F.col("origin") == k, 1)).alias(k) for k in ("headword", "compound", "inflection")])
+
+
+def repeated(df: DataFrame, text_col: str = "text", by: str = "source") -> DataFrame:
+    """Texts that occur more than once, with how often and in what; empty where every text is its own."""
+    counts = df.groupBy(text_col, by).agg(F.count("*").alias("n"))
+    return counts.groupBy(text_col).agg(F.sum("n").alias("times"), F.sort_array(F.collect_list(by)).alias("places")).where("times > 1")
 
 
 def allow_dependence(df: DataFrame, options: Options, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,8 +142,39 @@ def synthetic(spark: SparkSession, n: int, words: tuple[str, ...], profane: str,
     return spark.range(n).select(F.col("id").alias("doc_id"), F.array_join(made, " ").alias("text"))
 
 
+#: Plain sentences in six alphabets or styles, for texts of any length.
+CORPORA = {
+    "ascii": "a small boat drifts past the old stone bridge at noon".split(),
+    "prose": "Meanwhile, 17 Tall Ships (built in 1904) sail; the EU says \"fine\" — why not?".split(),
+    "devanagari": "आज मौसम अच्छा है और नदी के किनारे बहुत लोग घूम रहे हैं".split(),
+    "tamil": "இன்று வானம் தெளிவாக உள்ளது ஆற்றின் கரையில் பலர் நடக்கிறார்கள்".split(),
+    "bengali": "আজ আকাশ পরিষ্কার এবং নদীর ধারে অনেক মানুষ হাঁটছে".split(),
+    "gurmukhi": "ਅੱਜ ਮੌਸਮ ਚੰਗਾ ਹੈ ਅਤੇ ਦਰਿਆ ਦੇ ਕੰਢੇ ਬਹੁਤ ਲੋਕ ਘੁੰਮ ਰਹੇ ਹਨ".split(),
+}
+
+
+def synthetic_corpora(spark: SparkSession, sizes: tuple[int, ...], profane: str, every: tuple[int, ...] = (0, 10)) -> DataFrame:
+    """corpus, words, every, text: each sentence repeated to so many words, every so many-th (from the first) the profane one; 0: none."""
+    rows = spark.createDataFrame([(k, v, n, e) for k, v in CORPORA.items() for n in sizes for e in every], "corpus string, list array<string>, words int, every int")
+    word = lambda i: F.when((F.col("every") > 0) & (i % F.greatest("every", F.lit(1)) == 0), F.lit(profane)).otherwise(F.get("list", (i % F.size("list")).cast("int")))
+    return rows.select("corpus", "words", "every", F.array_join(F.transform(F.sequence(F.lit(0), F.col("words") - 1), word), " ").alias("text"))
+
 
 def sample_evenly(df: DataFrame, order: str, k: int) -> DataFrame:
-    """About k values of a column at even distances in its order, by approximate quantiles (partial sums, no global sort)."""
-    shares = [(i + 0.5) / k for i in range(k)]
-    return df.agg(F.percentile_approx(order, shares, 10_000).alias("q")).select(F.explode("q").alias(order)).distinct()
+    """k distinct values of a column at even distances in its order (all if there are no more), exactly.
+
+    The values are sorted over all partitions; the driver receives a count for each partition and
+    nothing of the values.
+    """
+    listed = df.select(order).where(F.col(order).isNotNull()).distinct().orderBy(order).withColumn("id_", F.monotonically_increasing_id())
+    part, row = F.shiftright("id_", 33), F.col("id_").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["part"]: r["count"] for r in listed.groupBy(part.alias("part")).count().collect()}
+    total, before, starts = sum(counts.values()), 0, []
+    for p in sorted(counts):
+        starts += [F.lit(p), F.lit(before)]
+        before += counts[p]
+    if not total:
+        return df.select(order).limit(0)
+    wanted = range(total) if total <= k else [i * total // k for i in range(k)]
+    place = F.create_map(*starts)[part] + row
+    return listed.withColumn("place_", place.cast("long")).where(F.col("place_").isin(*wanted)).select(order)
