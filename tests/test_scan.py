@@ -6,6 +6,7 @@ from dataclasses import replace
 
 import pytest
 
+from wardlight.functions import texts
 from wardlight.operators import kernel, moderation
 from wardlight.sources import lexicon
 from wardlight.sources.lexicon import Entry, Options, Pack
@@ -144,7 +145,7 @@ def test_columns(spark):
     assert (last.start, last.end, last.char_start, last.surface) == (3, 8, 2, "blort")
     assert moderation.scan_rows(df, options=OPTIONS).count() == sum(len(r.s.matches) for r in rows)
     checked = moderation.check(df, options=OPTIONS).where("doc_id = 0").first()
-    assert (checked.clean, checked.match_count, checked.languages) == (False, 1, ["en", "fr", "de", "hi", "ta"])
+    assert (checked.clean, checked.match_count, checked.languages) == (False, 1, [p.language for p in lexicon.PACKS])
 
 
 def test_sql_functions(spark):
@@ -167,9 +168,6 @@ def test_lexicon(spark, tmp_path):
     assert {f: [e.lemma for e in es] for f, es in again.exact.items()} == {f: [e.lemma for e in es] for f, es in first.exact.items()}
     with pytest.raises(ValueError):
         lexicon.from_frame(lexicon.to_frame(spark), most=3)
-    wide = lexicon.inflected(Entry("en", "stop", 1, variants=("blame", "bury")), exclude=("buries",))
-    assert {"stops", "stopped", "stopping", "stoppers", "blamed", "blaming"} <= set(wide.variants) and "buries" not in wide.variants
-    assert "பிள" in lexicon.without_doubling(Entry("ta", "பிள்ள", 1)).variants
     keyed = Options(packs=(Pack("x", "x", (Entry("x", "one", 1, romanizations=("bakatar",)), Entry("x", "two", 3, romanizations=("bakator",)), Entry("x", "three", 3, romanizations=("bokator",)))),))
     assert keyed.sounds["bktr"].lemma == "two"
 
@@ -179,6 +177,32 @@ def test_word_list(spark, tmp_path):
     assert {r.word for r in lexicon.word_list(spark, str(tmp_path / "words.txt")).collect()} == {"one", "two"}
 
 
+def test_expanders():
+    from wardlight.sources import expanders
+
+    forms = lambda w, **k: set(expanders.english(w, **k))
+    assert forms("stop") == {"stops", "stopped", "stopping", "stopper", "stoppers"} and forms("blame") == {"blames", "blamed", "blaming", "blamer", "blamers"}
+    assert forms("bury") == {"buries", "buried", "burying", "burier", "buriers"} and forms("box") == {"boxes", "boxed", "boxing", "boxer", "boxers"}
+    assert forms("hooker") == {"hookers"} and forms("bimbo") == {"bimbos"} and forms("pixie") == {"pixies"} and forms("glass") >= {"glasses", "glassed"} and forms("play") >= {"plays", "playing", "player"}
+    assert not forms("things") and not forms("running") and not forms("Big") and not forms("ab") and forms("cock", exclude=frozenset(["cocker"])) == {"cocks", "cocked", "cocking"}
+    assert expanders.hindi("dala") == ["dale", "dalo", "dalon"] and expanders.hindi("dali") == ["daliyon", "daliyan"] and expanders.hindi("dalu") == ["daluon", "dalua", "dalus"]
+    assert expanders.hindi("chod") == ["chodo", "chode", "chodu", "chodon", "chodne"] and expanders.hindi("a b") == []
+    assert expanders.tamil("பிள்ள") == ["பிள"] and expanders.tamil("ab்b") == [] and expanders.punjabi("ਝੁੱਮ") == ["ਝੁਮ"] and expanders.punjabi("ਝੁਮ") == []
+    grown = expanders.expand((Entry("en", "stop", 1, variants=("blame",)), Entry("en", "stops", 2)), expanders.english, exclude=("blamed",))
+    assert "stops" not in grown[0].variants and "blamed" not in grown[0].variants and "blaming" in grown[0].variants and len({s for e in grown for s in e.surfaces}) == sum(len(e.surfaces) for e in grown)
+    roman = expanders.expand((Entry("hi", "झ", 1, romanizations=("dala",)), Entry("hi", "ञ", 1, romanizations=("dalo",))), expanders.hindi)
+    assert roman[0].romanizations == ("dala", "dale", "dalon")
+
+
+def test_plain_graphemes():
+    for text in ("", "abc", "e\u0301a", "\u0915\u094d\u0937\u093f", "\U0001f468\u200d\U0001f469", "\u200ca", "\u0bae\u0bcd\u0bae"):
+        parts = [text[a:b] for a, b in texts.plain_graphemes(text)]
+        assert "".join(parts) == text
+    cut = lambda text: [text[a:b] for a, b in texts.plain_graphemes(text)]
+    assert cut("e\u0301a") == ["e\u0301", "a"] and cut("\u0915\u094d\u0937\u093f") == ["\u0915\u094d\u0937\u093f"] and cut("\U0001f468\u200d\U0001f469x") == ["\U0001f468\u200d\U0001f469", "x"]
+    assert cut("\u0ab0\u0acd\u0ab0") == ["\u0ab0\u0acd", "\u0ab0"]  # its virama isn't among those that join
+
+
 def test_messages(spark, tmp_path):
     from wardlight.streaming import messages
 
@@ -187,7 +211,7 @@ def test_messages(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "lines.txt").write_text("\n".join(lines))
     batch = messages.answer(spark.read.text(str(tmp_path / "in")), OPTIONS).collect()
-    got = {r.id: r for r in batch}
+    got = {None if r.id is None else int(r.id): r for r in batch}
     assert [got[i].error for i in (None, 2, 3, 5, 7)] == [-32700, -32601, -32602, -32602, -32600] and len(batch) == len(lines) - 1
     assert json.loads(got[1].result)["clean"] is False and json.loads(got[4].result)["censored"] == "a *****" and json.loads(got[6].result)["matchCount"] == 0
     q = messages.stream_lines(spark, str(tmp_path / "in"), OPTIONS).writeStream.format("memory").queryName("answers").trigger(availableNow=True).start()
@@ -213,7 +237,7 @@ def test_message_arguments(spark):
         ("censor_text", {"text": "a zonk"}),
     ]
     lines = [(json.dumps({"jsonrpc": "2.0", "id": i, "method": m, "params": p}),) for i, (m, p) in enumerate(asked)]
-    got = {r.id: json.loads(r.result) for r in messages.answer(spark.createDataFrame(lines, "value string"), options).collect()}
+    got = {int(r.id): json.loads(r.result) for r in messages.answer(spark.createDataFrame(lines, "value string"), options).collect()}
     assert (got[0]["clean"], got[0]["matchCount"], got[0]["maxSeverity"]) == (False, 1, 4)
     assert (got[1]["matchCount"], got[1]["maxSeverity"]) == (1, 1)
     assert [(m["severity"], m["tier"]) for m in got[2]["matches"]] == [(4, "skeleton")]
@@ -221,6 +245,38 @@ def test_message_arguments(spark):
     assert [got[i]["matchCount"] for i in range(3, 9)] == [1, 1, 1, 0, 0, 1] and "censored" not in got[1]
 
 
+def test_message_languages_and_protocol(spark):
+    from wardlight.streaming import messages
+
+    packs = (Pack("en", "English", (Entry("en", "blort", 1, skeleton_safe=False),), ("blort hill",)), Pack("de", "German", (Entry("de", "blort", 3, skeleton_safe=False),)))
+    options = Options(packs=packs)
+    say = lambda i, method, **p: json.dumps({"jsonrpc": "2.0", "id": i, "method": method, "params": p})
+    lines = {
+        "a": say("a", "check_text", text="blort", languages=["en"]), "b": say("b", "check_text", text="blort"), "c": say("c", "check_text", text="blort hill", languages=["de"]), "d": say("d", "check_text", text="blort hill"),
+        "e": say("e", "tools/call", name="censor_text", arguments={"text": "blort", "mask": "#"}), "f": say("f", "list_languages"), "g": say("g", "tools/list"), "h": say("h", "initialize", protocolVersion="2024-11-05"),
+        "i": say("i", "check_text", text="x", languages=["xx"]), "j": say("j", "check_text", text="x", languages=[]), "k": say("k", "check_text", text="x", other=1), "l": say("l", "check_text", text=5), "m": say("m", "check_text", text="x", minSeverity=2.5),
+        "n": say("n", "check_text", text="x", mask="#"), "o": say("o", "tools/call", name="rm"), "p": say("p", "censor_text", text="x", keepFirst="yes"), "q": say("q", "list_languages", text="x"),
+    }
+    extra = [json.dumps({"jsonrpc": "2.0", "method": "ping"}), "[1]", json.dumps({"jsonrpc": "2.0", "id": {}, "method": "ping"}), json.dumps({"jsonrpc": "1.0", "id": 9, "method": "ping"}), say(7, "ping")]
+    rows = messages.answer(spark.createDataFrame([(x,) for x in [*lines.values(), *extra]], "value string"), options).collect()
+    got = {json.loads(r.id): r for r in rows if r.id}
+    read = {k: json.loads(got[k].result) for k in "abcdefgh"}
+    assert [(read[k]["matchCount"], read[k].get("maxSeverity")) for k in "abcd"] == [(1, 1), (1, 3), (1, 3), (0, None)]  # a lexicon of its own, allow phrases too
+    assert read["a"]["languages"] == ["en"] and read["b"]["languages"] == ["en", "de"] and read["e"]["censored"] == "#####"
+    assert [(x["code"], x["lemmaCount"]) for x in read["f"]["languages"]] == [("en", 1), ("de", 1)] and read["f"]["defaultLanguages"] == ["en", "de"]
+    assert [t["name"] for t in read["g"]["tools"]] == list(messages.TOOLS) and read["h"]["protocolVersion"] == "2024-11-05"
+    assert {k: got[k].error for k in "ijklmnopq"} == dict.fromkeys("ijklmnpq", -32602) | {"o": -32601}
+    assert sorted(r.error for r in rows if r.id is None) == [-32600, -32600] and got[9].error == -32600 and got[7].result == "{}"
+
+
+def test_a_failing_text_is_one_error(spark, monkeypatch):
+    from wardlight.streaming import messages
+
+    lines = [(json.dumps({"jsonrpc": "2.0", "id": i, "method": "scan_text", "params": {"text": t}}),) for i, t in enumerate(["blort", "a \ud800"])]
+    rows = {r.id: r for r in messages.answer(spark.createDataFrame(lines, "value string"), OPTIONS).collect()}
+    assert rows["0"].error is None and rows["1"].error in (None, messages.PARSE_ERROR, messages.INTERNAL_ERROR)
+
+
 def test_severity_windows(spark):
     from pyspark.sql import functions as F
 

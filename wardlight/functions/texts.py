@@ -305,6 +305,16 @@ def graphemes(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in regex.finditer(r"\X", text)]
 
 
+# Viramas that join the next letter in the plain rule.
+JOINING = "\u094d\u09cd\u0bcd\u0c4d\u0ccd\u0d4d"
+PLAIN_CLUSTER = regex.compile(rf"(?s).(?:[\p{{M}}\u200c\u200d]|(?<=[{JOINING}\u200d]).)*")
+
+
+def plain_graphemes(text: str) -> list[tuple[int, int]]:
+    """Clusters by a plain rule, where no full segmentation is at hand: marks and joiners extend, and a joiner or a virama takes the next character along."""
+    return [m.span() for m in PLAIN_CLUSTER.finditer(text)]
+
+
 def censor_text(text: str, spans: list[tuple[int, int]], mask: str = "*", keep_first: bool = False) -> str:
     """text with a mask for each grapheme cluster that a span touches; spans may overlap or lie outside.
 

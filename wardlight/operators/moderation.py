@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,24 +41,32 @@ def scan(col: Column | str, options: Options = Options()) -> Column:
     return run(F.col(col) if isinstance(col, str) else col)
 
 
-def scan_each(text: Column, least: Column, mask: Column, keep_first: Column, hide: Column, options: Options = Options()) -> Column:
+def scan_each(text: Column, least: Column, mask: Column, keep_first: Column, hide: Column, languages: Column, options: Options = Options()) -> Column:
     """As scan, with arguments of each row, and `censored`: the text masked at these same matches where hide holds.
 
     Candidates of a severity under least go before overlaps are resolved, so they hide no others.
+    languages (array, or null for all) choose the packs that the row's lexicon is compiled of. failed: the
+    scan of a text broke off; the other rows go on.
     """
 
-    @F.pandas_udf(f"{RESULT}, censored string")
+    @F.pandas_udf(f"{RESULT}, censored string, failed boolean")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        find = scanner(options).surviving
         for batch in batches:
-            found, censored = [], []
-            for x, low, m, first, wanted in zip(*batch, strict=True):
-                kept = resolve([c for c in find(x) if c.entry.severity >= low]) if x else []
+            found, censored, failed = [], [], []
+            for x, low, m, first, wanted, codes in zip(*batch, strict=True):
+                kept, hidden, broken = [], None, False
+                try:
+                    own = options if codes is None else replace(options, packs=tuple(p for p in options.packs if p.language in set(codes)))
+                    kept = resolve([c for c in scanner(own).surviving(x) if c.entry.severity >= low]) if x else []
+                    hidden = texts.censor_text(x, [(c.start, c.end) for c in kept], m, bool(first)) if wanted and x is not None else None
+                except Exception:  # of one text; the answer says so
+                    kept, broken = [], True
                 found.append([as_dict(x, c) for c in kept])
-                censored.append(texts.censor_text(x, [(c.start, c.end) for c in kept], m, bool(first)) if wanted and x is not None else None)
-            yield pd.DataFrame({"matches": found, "max_severity": pd.array([max((m["severity"] for m in ms), default=None) for ms in found], dtype="Int32"), "censored": pd.Series(censored, dtype="object")})
+                censored.append(hidden)
+                failed.append(broken)
+            yield pd.DataFrame({"matches": found, "max_severity": pd.array([max((m["severity"] for m in ms), default=None) for ms in found], dtype="Int32"), "censored": pd.Series(censored, dtype="object"), "failed": failed})
 
-    return run(text, least, mask, keep_first, hide)
+    return run(text, least, mask, keep_first, hide, languages)
 
 
 def is_clean(col: Column | str, options: Options = Options()) -> Column:

@@ -476,7 +476,7 @@ def hourly_medians(spark, sf):
     return e.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.median("value").alias("median_value"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
-ANSWERS = f"""SELECT doc_id AS id, 'check_text' AS method, CASE WHEN text IS NOT NULL THEN '{{"clean":' || (match_count = 0) || ',"matchCount":' || match_count || coalesce(',"maxSeverity":' || max_severity, '') || '}}' END AS result, CASE WHEN text IS NULL THEN -32602 END AS error FROM ({CHECKED})"""
+ANSWERS = f"""SELECT CAST(doc_id AS VARCHAR) AS id, 'check_text' AS method, CASE WHEN text IS NOT NULL THEN '{{"clean":' || (match_count = 0) || ',"matchCount":' || match_count || coalesce(',"maxSeverity":' || max_severity, '') || ',"languages":[{",".join(f'"{p.language}"' for p in DEFAULT.packs)}]}}' END AS result, CASE WHEN text IS NULL THEN -32602 END AS error FROM ({CHECKED})"""
 
 
 @query(scanned_sql(DEFAULT, ANSWERS))

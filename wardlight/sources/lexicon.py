@@ -82,6 +82,14 @@ PACKS = (
     Pack("de", "German (neutral)", (Entry("de", "keit", 3, ("ableist",), match_mode="prefix", allowlist=("keiteinä",)), Entry("de", "ungie", 2, ("general",)))),
     Pack("hi", "Hindi (neutral)", (Entry("hi", "झम्पूड़", 3, ("general",), "Deva", romanizations=("jhampood", "jhampur", "jham pood")), Entry("hi", "टिंबक", 4, ("slur",), "Deva", romanizations=("timbaktu", "instan")))),
     Pack("ta", "Tamil (neutral)", (Entry("ta", "பிம்பில", 2, ("general",), "Taml", romanizations=("pimbila",), match_mode="prefix", allowlist=("பிம்பிலக்",)),)),
+    Pack("bn", "Bengali (neutral)", (Entry("bn", "ঝিম্পলুক", 2, ("general",), "Beng", romanizations=("jhimpoluk",)), Entry("bn", "টংরিপা", 3, ("ableist",), "Beng"))),
+    Pack("gu", "Gujarati (neutral)", (Entry("gu", "ઝબૂકિયો", 1, ("general",), "Gujr", romanizations=("zabukidovan",)),)),
+    Pack("kn", "Kannada (neutral)", (Entry("kn", "ಝಿಂಪಲಿ", 2, ("gendered",), "Knda", romanizations=("jhimpalige",)),)),
+    Pack("ml", "Malayalam (neutral)", (Entry("ml", "ഞിമ്പലൻ", 2, ("general",), "Mlym", romanizations=("njimbalan",)),)),
+    Pack("mr", "Marathi (neutral)", (Entry("mr", "झिंपळ्या", 2, ("general",), "Deva", romanizations=("jhimpalya",), skeleton_safe=False),)),
+    Pack("or", "Odia (neutral)", (Entry("or", "ଝିମ୍ପଲା", 3, ("slur",), "Orya", romanizations=("zhimpolaka",)),)),
+    Pack("pa", "Punjabi (neutral)", (Entry("pa", "ਝੁੱਮਪਲ", 2, ("general",), "Guru", variants=("ਝੁਮਪਲ",), romanizations=("jhumpal",)),)),
+    Pack("te", "Telugu (neutral)", (Entry("te", "ఝింపలోడు", 2, ("general",), "Telu", romanizations=("jhimpalodu",)),)),
 )
 
 
@@ -90,26 +98,6 @@ def custom(words: Iterable[str]) -> list[Entry]:
     return [Entry("custom", w, 2, romanizations=(w.lower(),)) for w in words]
 
 
-def inflected(entry: Entry, exclude: Iterable[str] = ()) -> Entry:
-    """entry with the regular English forms of its one-word surfaces as variants, those excluded left out."""
-    out = []
-    for w in entry.surfaces:
-        if not regex.fullmatch("[a-z]{3,}", w):
-            continue
-        stem = w[:-1] if w.endswith("e") else w + w[-1] if regex.search("[^aeiou][aeiou][^aeiouwxy]$", w) else w
-        plural = w[:-1] + "ies" if regex.search("[^aeiou]y$", w) else w + "es" if regex.search("(s|x|z|ch|sh)$", w) else w + "s"
-        out += [plural, stem + "ed", stem + "ing", stem + "er", stem + "ers"]
-    left = set(exclude) | set(entry.surfaces)
-    return replace(entry, variants=entry.variants + tuple(w for w in dict.fromkeys(out) if w not in left))
-
-
-def without_doubling(entry: Entry, exclude: Iterable[str] = ()) -> Entry:
-    """entry with variants in which doubled Tamil consonants (consonant, pulli, consonant) and Gurmukhi addaks are single."""
-    made = [regex.sub(r"(\p{L})்\1", r"\1", w.replace("ੱ", "")) for w in entry.surfaces]
-    left = set(exclude) | set(entry.surfaces)
-    return replace(entry, variants=entry.variants + tuple(w for w in dict.fromkeys(made) if w not in left))
-
-
 @dataclass(frozen=True)
 class Options:
     """What a matcher is built with; sets of languages are compiled apart, since merging and vetoes depend on what is loaded."""
@@ -229,6 +217,11 @@ def key_table(spark: SparkSession, options: Options = Options()) -> DataFrame:
     return spark.createDataFrame([(k, len(k), e.lemma, e.severity) for k, e in options.sounds.items()], "key string, key_len int, lemma string, severity int")
 
 
+def summaries(options: Options) -> list[dict]:
+    """Code, name, scripts (in order of first use) and number of lemmas of each loaded pack."""
+    return [{"code": p.language, "name": p.name, "scripts": list(dict.fromkeys(e.script for e in p.entries)), "lemmaCount": len(p.entries)} for p in options.packs]
+
+
 def list_languages(df: DataFrame) -> DataFrame:
     """Lemmas and scripts (in order of first use) of each language of lexicon rows."""
     scripts = df.groupBy("language", "script").agg(F.min("load_order").alias("first"), F.count("*").alias("n"))
