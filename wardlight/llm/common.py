@@ -103,12 +103,22 @@ def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends, ids given stay as they are."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    written(df.sparkSession, path)
+#: Rows of a file where a table's size is known; files are costly to open, and some file systems start a process for each.
+FILE_ROWS = 50_000
+
+
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends, ids given stay as they are.
+
+    rows: about how many rows df has at most; few of them are written as a few files instead of one per partition.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    written(spark, path)
+    if rows is not None and (parts := max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(parts)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialize_by(df: DataFrame, tag: str, key: str, parts: int) -> DataFrame:

@@ -39,7 +39,7 @@ from .packing import mix, pack, pack_sorted, unpack, unpack_sorted
 
 #: Two sets link when PERCENT * union <= 100 * intersection.
 PERCENT, SHINGLE = 90, 3
-BLOCK_BYTES, RANGE_BYTES, LEAST_RANGES = 4 << 20, 8 << 20, 8
+BLOCK_BYTES, RANGE_BYTES, LEAST_RANGES = 1 << 20, 8 << 20, 8
 #: Cost of verifying a candidate, against reading one entry of a list; the most matches that are asked for.
 VERIFY_COST, MOST_MATCHES = 8.0, 8
 #: Rounds of comparing each list's first node with the others before the remaining pairs are made.
@@ -223,9 +223,9 @@ def fetch(sent: DataFrame, wanted: DataFrame) -> DataFrame:
     return own.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, "digest string, keys binary")
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, sent: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets reach the threshold."""
-    pairs = materialize(pairs, "join-pairs")
+def verify(pairs: DataFrame, nodes: DataFrame, sent: DataFrame, percent: int, entries: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets reach the threshold, written; entries: of all lists."""
+    pairs = materialize(pairs, "join-pairs", entries)
     named = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
     sets = materialize(fetch(sent, nodes.select("digest", "block").join(named, "digest")), "join-sets")
     both = pairs.join(sets.withColumnsRenamed({"digest": "a", "keys": "ka"}), "a").join(sets.withColumnsRenamed({"digest": "b", "keys": "kb"}), "b").select("a", "b", "ka", "kb")
@@ -241,7 +241,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, sent: DataFrame, percent: int) ->
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
         tidy()
 
-    return both.mapInArrow(run, "a string, b string")
+    return materialize(both.mapInArrow(run, "a string, b string"), "join-links", pairs.count())
 
 
 def cells(left: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -257,6 +257,7 @@ def link(nodes: DataFrame, sent: DataFrame, percent: int = PERCENT) -> DataFrame
     """Class of each node that has a link: node, label (see graph.components)."""
     spark = nodes.sparkSession
     lists = materialize(nodes.select("digest", "n", "matches", "odd", F.explode(F.arrays_zip("tokens", "spots")).alias("z")).select("digest", "n", "matches", "odd", F.col("z.tokens").alias("token"), F.col("z.spots").alias("spot")), "join-lists")
+    entries = lists.count()
     links = spark.createDataFrame([], "a string, b string")
     labels = spark.createDataFrame([], "node string, label string")
     fits = may_link(percent)
@@ -266,7 +267,7 @@ def link(nodes: DataFrame, sent: DataFrame, percent: int = PERCENT) -> DataFrame
         # first the nodes with the fewest keys of their own, which copies of a text have in common; then others by chance
         order = F.struct((F.col("odd") if not turn else F.xxhash64("digest", "token", F.lit(turn))).alias("by"), *seen)
         open_lists = now.groupBy("token").agg(F.min(order).alias("first"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high")
-        open_lists = materialize(open_lists.drop("low", "high"), "join-open")
+        open_lists = materialize(open_lists.drop("low", "high"), "join-open", entries)
         if not open_lists.limit(1).count():
             break
         if turn == STAR_ROUNDS:  # whatever is left between different classes
@@ -277,7 +278,7 @@ def link(nodes: DataFrame, sent: DataFrame, percent: int = PERCENT) -> DataFrame
             heads = open_lists.select("token", *[F.col(f"first.{c}").alias("other" if c == "digest" else f"other_{c}") for c in seen])
             pairs = now.join(heads, "token").where((F.col("label") != F.col("other_label")) & fits)
         found = pairs.groupBy(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("matches", "other_matches")).alias("least")).where("shared >= least").select("a", "b")
-        new = materialize(verify(found, nodes, sent, percent), "join-links")
+        new = verify(found, nodes, sent, percent, entries)
         if new.limit(1).count():
             links = links.union(new)
             labels = components(links)
