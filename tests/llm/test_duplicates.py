@@ -213,5 +213,23 @@ def test_pipeline_stages(spark, tmp_path):
     left = {r.doc_id: np.frombuffer(b, np.uint8)[~m].tobytes().decode("utf-8", "ignore") for r, b, m in zip(near, raw, plain_removed(raw, corpus_pipeline.REPEAT_BYTES))}
     assert {r.doc_id: r.text for r in cut} == {d: t for d, t in left.items() if t.split()}
     assert set(mixed) <= set(cut) and len(ids) == len(mixed) and all(len(r.ids) == r.n_tokens for r in ids)
-    empty = corpus_pipeline.language(spark, df.limit(0), "")
-    assert empty.count() == 0
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert Counter((r.doc_id, r.decoded_sha256) for r in ids) == Counter((r.doc_id, digest(r.text)) for r in mixed)
+    copies, weights = Counter((r.doc_id, r.text) for r in mixed), Counter()
+    for r in mixed:
+        weights[r.source] += len(r.text)
+    assert set(weights) == {r.source for r in cut} and len(copies) < len(mixed)
+    empty = df.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name
+
+
+def test_pipeline_near_duplicates_of_equal_ids(spark):
+    """Ids that repeat with different texts are different documents; one row of each component stays."""
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (2, c), (None, b), (None, c), (3, a + " end"), (4, None), (4, None), (5, "")]
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert got == Counter([(1, a), (1, b), (2, c), (4, None), (5, "")])

@@ -78,17 +78,34 @@ def test_mixing_counts(spark, few):
         sizes[source or ""] += len(text or "")
     share = sum(weights.get(s, 1.0) for s in sizes)
     counts = Counter(r.doc_id for r in found)
-    for doc, _, source in set(rows):
+    for doc, text, source in set(rows):
         if doc == 7:
             continue
+        digest = hashlib.md5((text or "").encode()).hexdigest()
         rate = weights.get(source or "", 1.0) / share * sum(sizes.values()) / sizes[source or ""]
         draws = max(1, math.ceil(rate / mixing.MEAN_AT_ONCE))
-        want = sum(poisson(rate / draws, int(hashlib.md5(f"3|{doc}|{j}".encode()).hexdigest()[:13], 16) / 2**52) for j in range(1, draws + 1))
+        want = sum(poisson(rate / draws, int(hashlib.md5(f"3|{doc}|{digest}|{j}".encode()).hexdigest()[:13], 16) / 2**52) for j in range(1, draws + 1))
         assert counts[doc] == want
     assert {r.copy_no for r in found if r.doc_id == max(counts, key=counts.get)} >= {1, 2}
     assert len({r.shuffle_key for r in found}) > 0.9 * len(found)
 
 
+def test_mixing_draws_by_text_too(spark):
+    rows = [(None, f"text {i} " * 30, "a" if i % 2 else "b") for i in range(300)] + [(7, f"words {i}" * 90, "a") for i in range(100)] + [(8, "x" * 900_000, "b")]
+    found = mixing.poisson_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {}).collect()
+    copies = Counter(r.text for r in found)
+    assert 2 < len({copies[t] for _, t, _ in rows[:300]}) and 1 < len({copies[t] for _, t, _ in rows[300:400]})
+
+
+def test_clean_lines_replaces_columns_of_its_names(spark):
+    df = spark.createDataFrame([(1, "Fine line here.\n| » | » |\nMore text.", 5, "x", True)], "k int, text string, lost_words int, line_stats_ string, passed_ boolean")
+    row = quality.clean_lines(df).first()
+    assert (row.k, row.line_stats_, row.passed_, row.clean_text) == (1, "x", True, "Fine line here.\nMore text.") and row.lost_words == 5 and row.line_words == 10
+    long = spark.createDataFrame([(1, "word " * 300_000), (2, "Impressum\n" * 50_000)], "doc_id int, text string")
+    found = {r.doc_id: r for r in quality.quality_report(long).collect()}
+    assert found[1].n_words == 300_000 and not found[1].kept and not found[2].kept and found[2].clean_text == "\n" * 0
+
+
 def test_mixing_empty_and_blank(spark):
     df = spark.createDataFrame([(1, "", "a"), (None, None, None)], "doc_id long, text string, source string")
     assert mixing.poisson_mix(df, {}).count() == 0 and mixing.poisson_mix(df.limit(0), {}).count() == 0

@@ -68,14 +68,18 @@ def decode(ids: list[int], rank_file: str, pattern: str) -> bytes:
 
 
 def encode_column(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df's columns `keep` (default: all but the text) and `ids` array<int>, `n_tokens` long."""
+    """df's columns `keep` (default: all but the text), `ids` array<int>, `n_tokens` long, and `decoded_sha256` of the bytes
+    that the ids decode to. Columns of those names are replaced.
+
+    Null and empty texts have no ids. Rows are independent, so repeated rows repeat; an empty table gives an empty one.
+    """
     kept = [c for c in df.columns if c != text_col] if keep is None else keep
 
     def fn(text: str | None) -> tuple:
         ids = encode(text, rank_file, pattern)
-        return ids, len(ids)
+        return ids, len(ids), hashlib.sha256(decode(ids, rank_file, pattern)).hexdigest()
 
-    return map_texts(df, text_col, kept, "ids array<int>, n_tokens long", fn)
+    return map_texts(df, text_col, kept, "ids array<int>, n_tokens long, decoded_sha256 string", fn)
 
 
 def round_trip(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

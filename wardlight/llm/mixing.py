@@ -75,9 +75,8 @@ def poisson_mix(
     A source of weight w (default_weight where weights has none; null counts as the source "")
     is to hold the share w / sum of weights of the characters, of which there are as many as
     before: its mean rate is share * all characters / own characters. The count of a document
-    inverts the cumulated Poisson distribution of that rate at a number hashed from seed and id,
-    so it is the same in every run and needs no state. Rows of equal ids (null ids: all of them)
-    draw equal counts. A source without characters has rate 0. Empty tables give empty results.
+    inverts the cumulated Poisson distribution of that rate at a number hashed from seed, id and text,
+    so it is the same in every run and needs no state. Only rows of equal ids and texts draw equal counts. A source without characters has rate 0. Empty tables give empty results.
 
     Result: df's columns and copy_no (int, from 1), shuffle_key (string); a column of these names
     in df is replaced. Copies are dealt by the hash of shuffle_key and sorted by it within
@@ -85,7 +84,7 @@ def poisson_mix(
     """
     columns = [c for c in df.columns if c not in ("copy_no", "shuffle_key")]
     rates, sources = source_rates(df, weights, default_weight, source_col, text_col)
-    rows = df.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("mix_id"))
+    rows = df.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source"), F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))).alias("mix_id"))
     if sources <= broadcast_sources:
         joined = rows.join(F.broadcast(rates), "mix_source")
     else:
@@ -105,7 +104,7 @@ def oracle(weights: dict[str, float], default_weight: float, seed: int, docs: st
     cases = "".join(f"WHEN src = '{name}' THEN CAST({value!r} AS DOUBLE) " for name, value in sorted(weights.items()))
     weight = f"CASE {cases}ELSE CAST({float(default_weight)!r} AS DOUBLE) END"
     return f"""
-WITH rows_in AS (SELECT *, coalesce(source, '') AS src, coalesce(CAST(doc_id AS VARCHAR), '') AS mid FROM {docs}),
+WITH rows_in AS (SELECT *, coalesce(source, '') AS src, coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) AS mid FROM {docs}),
 sizes AS (SELECT src, sum(coalesce(length(text), 0))::BIGINT AS chars FROM rows_in GROUP BY src),
 weighed AS (SELECT *, {weight} AS w FROM sizes),
 rates AS (SELECT src, CASE WHEN chars > 0 THEN w / (SELECT sum(w) FROM weighed) * (SELECT sum(chars) FROM weighed)::DOUBLE / chars ELSE 0.0 END AS rate FROM weighed),

@@ -11,28 +11,14 @@ from .common import BREAKS
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Phrases of page furniture and notices, matched in lower case.
+#: Phrases of page furniture and notices in four languages, matched in lower case.
 BOILERPLATE = (
-    "all rights reserved",
-    "accept cookies",
-    "cookie policy",
-    "click here",
-    "copyright ©",
-    "enable javascript",
-    "licensed under",
-    "log in",
-    "newsletter",
-    "privacy policy",
-    "read more",
-    "released under the",
-    "share this",
-    "sign in",
-    "sign up",
-    "skip to content",
-    "subscribe now",
-    "terms of service",
-    "terms of use",
-)
+    "accept cookies", "all rights reserved", "click here", "cookie policy", "copyright ©", "enable javascript", "licensed under", "log in", "newsletter", "privacy policy", "read more", "released under the",
+    "share this", "sign in", "sign up", "skip to content", "subscribe now", "terms of service", "terms of use",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "hier klicken", "impressum", "jetzt abonnieren", "nutzungsbedingungen", "weiterlesen",
+    "accepter les cookies", "cliquez ici", "conditions générales", "lire la suite", "mentions légales", "politique de confidentialité", "tous droits réservés",
+    "aceptar cookies", "aviso legal", "haga clic aquí", "iniciar sesión", "leer más", "política de privacidad", "todos los derechos reservados",
+)
 
 
 @dataclass(frozen=True)
@@ -58,39 +44,35 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def line_stats(line: Column) -> Column:
-    """Of one line: words, lone separators, marked words, sentence ends, boilerplate phrases."""
-    return F.struct(
-        line.alias("line"),
-        count_of(line, r"[^ \t-\r]+").alias("words"),
-        count_of(line, r"(?<![^ \t-\r])[|»>•·](?![^ \t-\r])").alias("bars"),
-        count_of(line, r"(?:[!?#*$%&]{2,}|[#*$%&<>])(?=[ \t-\r]|$)").alias("marks"),
-        F.when(line.rlike(r"[.!?…。！？:;][\"'”’»)\]]*(?:[ \t-\r]|$)"), 1).otherwise(0).alias("ends"),
-        F.when(F.lower(line).rlike("|".join(BOILERPLATE)), 1).otherwise(0).alias("boiler"),
-    )
+def line_stats(lines: Column, rules: LineRules) -> Column:
+    """Of each line: the line, its words, and whether it fails. A rule looks at lines of its length only."""
+    counted = F.transform(lines, lambda x: F.struct(x.alias("line"), count_of(x, r"[^ \t-\r]+").alias("words")))
 
+    def fails(s: Column) -> Column:
+        line, words = s["line"], s["words"]
+        bars, marks = count_of(line, r"(?<![^ \t-\r])[|»>•·](?![^ \t-\r])"), count_of(line, r"(?:[!?#*$%&]{2,}|[#*$%&<>])(?=[ \t-\r]|$)")
+        nav = line.rlike("[|»>•·]") & (bars >= rules.nav_least) & (bars * 100 >= words * rules.nav_percent)
+        noisy = line.rlike("[!?#*$%&<>]") & (marks >= rules.marks_least) & (marks * 100 >= words * rules.marks_percent)
+        bare = (words > rules.unpunctuated_words) & ~line.rlike(r"[.!?…。！？:;][\"'”’»)\]]*(?:[ \t-\r]|$)")
+        boiler = (words <= rules.boilerplate_words) & F.lower(line).rlike("|".join(BOILERPLATE))
+        return nav | noisy | bare | boiler
 
-def line_fails(s: Column, rules: LineRules) -> Column:
-    nav = (s["bars"] >= rules.nav_least) & (s["bars"] * 100 >= s["words"] * rules.nav_percent)
-    marks = (s["marks"] >= rules.marks_least) & (s["marks"] * 100 >= s["words"] * rules.marks_percent)
-    bare = (s["ends"] == 0) & (s["words"] > rules.unpunctuated_words)
-    boiler = (s["boiler"] == 1) & (s["words"] <= rules.boilerplate_words)
-    return nav | marks | bare | boiler
+    return F.transform(counted, lambda s: F.struct(s["line"].alias("line"), s["words"].alias("words"), fails(s).alias("fails")))
 
 
 def clean_lines(df: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """Adds clean_text (the lines that pass, joined by \\n), lost_words and line_words (long).
+    """Adds clean_text (the lines that pass, joined by \\n), lost_words and line_words (long), which replace columns of those names.
 
     Lines without words pass. Null text: null clean_text, 0 words. Every line of the whole text
-    is judged; rows are independent of each other.
+    is judged; rows are independent of each other, an empty table gives an empty one.
     """
-    stats = F.transform(F.split(F.col(text_col), "\n"), line_stats)
-    judged = df.withColumn("line_stats_", stats)
-    judged = judged.withColumn("passed_", F.filter("line_stats_", lambda s: ~line_fails(s, rules)))
-    words = lambda c: F.coalesce(F.aggregate(F.col(c), F.lit(0).cast("bigint"), lambda t, s: t + s["words"]), F.lit(0).cast("bigint"))
-    judged = judged.withColumn("line_words", words("line_stats_"))
-    judged = judged.withColumn("lost_words", F.col("line_words") - words("passed_"))
-    return judged.withColumn("clean_text", F.array_join(F.transform("passed_", lambda s: s["line"]), "\n")).drop("line_stats_", "passed_")
+    made = ("clean_text", "lost_words", "line_words")
+    kept = [c for c in df.columns if c not in made]
+    # all of df's columns in one, so that no name of theirs can clash
+    rows = df.select(F.struct(*[F.col(c) for c in kept]).alias("row"), line_stats(F.split(F.col(text_col), "\n"), rules).alias("lines"))
+    words = lambda test: F.coalesce(F.aggregate("lines", F.lit(0).cast("bigint"), lambda t, s: t + F.when(test(s), s["words"]).otherwise(0)), F.lit(0).cast("bigint"))
+    clean = F.array_join(F.transform(F.filter("lines", lambda s: ~s["fails"]), lambda s: s["line"]), "\n")
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in kept], clean.alias("clean_text"), words(lambda s: s["fails"]).alias("lost_words"), words(lambda s: F.lit(True)).alias("line_words"))
 
 
 def repeated_words(df: DataFrame, words_col: str, out: str) -> DataFrame:
@@ -98,7 +80,7 @@ def repeated_words(df: DataFrame, words_col: str, out: str) -> DataFrame:
 
     Windows become numbers of a hash above and the position below, in as many bits as the row
     needs, so that one sort of longs brings equal windows together; neighbours of equal hash are
-    compared word by word.
+    compared word by word, and where those differ, all windows of that hash are.
     """
     w = F.col(words_col)
     bits = F.length(F.bin(F.size(w)))
@@ -110,7 +92,10 @@ def repeated_words(df: DataFrame, words_col: str, out: str) -> DataFrame:
     near = "(shiftright(get(coded_, {j}), bits_) = shiftright(x, bits_) and {same})"
     same = " and ".join(f"get({words_col}, cast(get(coded_, {{j}}) & mask_ as int) + {d}) = get({words_col}, cast(x & mask_ as int) + {d})" for d in range(3))
     either = " or ".join(f"coalesce({near.format(j=j, same=same.format(j=j))}, false)" for j in ("i - 1", "i + 1"))
-    made = made.withColumn("at_", F.expr(f"filter(coded_, (x, i) -> {either})"))
+    alike = " and ".join(f"get({words_col}, cast(y & mask_ as int) + {d}) = get({words_col}, cast(x & mask_ as int) + {d})" for d in range(3))
+    beside = " or ".join(f"coalesce(shiftright(get(coded_, {j}), bits_) = shiftright(x, bits_), false)" for j in ("i - 1", "i + 1"))
+    any_ = f"({beside}) and exists(coded_, y -> y <> x and shiftright(y, bits_) = shiftright(x, bits_) and {alike})"
+    made = made.withColumn("at_", F.expr(f"filter(coded_, (x, i) -> {either} or ({any_}))"))
     made = made.withColumn("at_", F.sort_array(F.expr("transform(at_, x -> x & mask_)")))
     covered = F.expr("aggregate(transform(at_, (x, i) -> least(3L, coalesce(get(at_, i + 1) - x, 3L))), 0L, (t, x) -> t + x)")
     return made.withColumn(out, covered).drop("bits_", "coded_", "mask_", "at_")
@@ -122,7 +107,7 @@ def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Result, a row per row of df: id_col, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words (long), base_failed (fewer than 50 words, or over half of them in repeated
     3-word windows), kept (false if base_failed; else whether the failing lines hold at most
-    rules.lost_percent of the words), lost_words (long). Null texts have no words and fail.
+    rules.lost_percent of the words), lost_words (long), clean_text (the lines that pass). Null texts have no words and fail.
     Rows are independent: repeated rows give repeated results, an empty table an empty one.
     """
     text = F.coalesce(F.col("q_text"), F.lit(""))
@@ -141,31 +126,31 @@ def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = judged.withColumn("base_failed", failed)
     judged = judged.withColumn("kept", ~failed & (100 * F.col("lost_words") <= rules.lost_percent * F.col("line_words")))
-    return judged.select(F.col("q_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
+    return judged.select(F.col("q_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words", "clean_text")
 
 
 def oracle(rules: LineRules = LineRules(), docs: str = "documents") -> str:
     """DuckDB SQL of quality_report over documents."""
     phrases = "|".join(BOILERPLATE)
     return rf"""
-WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM {docs}),
-w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^ \t-\r]+') AS ws, string_split(text, chr(10)) AS ls FROM t),
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, text IS NOT NULL AS known FROM {docs}),
+w AS (SELECT rid, doc_id, text, known, regexp_extract_all(text, '[^ \t-\r]+') AS ws, string_split(text, chr(10)) AS ls FROM t),
 g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS tri FROM (SELECT rid, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) > 2)),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, tri) AS n FROM g) WHERE n > 1),
 cov AS (SELECT rid, count(DISTINCT i + d)::BIGINT AS n FROM rep, generate_series(0, 2) x(d) GROUP BY rid),
-l AS (SELECT rid, unnest(ls) AS line FROM w),
+l AS (SELECT rid, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS li FROM w),
 dup AS (SELECT rid, (count(*) - count(DISTINCT line))::BIGINT AS n FROM l WHERE regexp_matches(line, '[^ \t-\r]') GROUP BY rid),
-s AS (SELECT rid, line, len(regexp_extract_all(line, '[^ \t-\r]+')) AS words,
+s AS (SELECT rid, line, li, len(regexp_extract_all(line, '[^ \t-\r]+')) AS words,
   len(list_filter(regexp_extract_all(line, '[^ \t-\r]+'), lambda x: regexp_full_match(x, '[|»>•·]'))) AS bars,
   len(list_filter(regexp_extract_all(line, '[^ \t-\r]+'), lambda x: regexp_matches(x, '[!?#*$%&]{{2,}}$|[#*$%&<>]$'))) AS marks,
   regexp_matches(line, '[.!?…。！？:;]["''”’»)\]]*([ \t-\r]|$)') AS ends,
   regexp_matches(lower(line), '{phrases}') AS boiler FROM l),
-v AS (SELECT rid, words, (bars >= {rules.nav_least} AND bars * 100 >= words * {rules.nav_percent}) OR (marks >= {rules.marks_least} AND marks * 100 >= words * {rules.marks_percent})
+v AS (SELECT rid, line, li, words, (bars >= {rules.nav_least} AND bars * 100 >= words * {rules.nav_percent}) OR (marks >= {rules.marks_least} AND marks * 100 >= words * {rules.marks_percent})
   OR (NOT ends AND words > {rules.unpunctuated_words}) OR (boiler AND words <= {rules.boilerplate_words}) AS bad FROM s),
-lost AS (SELECT rid, sum(words)::BIGINT AS line_words, coalesce(sum(words) FILTER (bad), 0)::BIGINT AS lost_words FROM v GROUP BY rid),
+lost AS (SELECT rid, sum(words)::BIGINT AS line_words, coalesce(sum(words) FILTER (bad), 0)::BIGINT AS lost_words, coalesce(string_agg(line, chr(10) ORDER BY li) FILTER (NOT bad), '') AS clean_text FROM v GROUP BY rid),
 r AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
-  coalesce(cov.n, 0)::BIGINT AS n_repeat_words, line_words, lost_words FROM w LEFT JOIN cov USING (rid) LEFT JOIN dup USING (rid) JOIN lost USING (rid))
+  coalesce(cov.n, 0)::BIGINT AS n_repeat_words, line_words, lost_words, CASE WHEN known THEN clean_text END AS clean_text FROM w LEFT JOIN cov USING (rid) LEFT JOIN dup USING (rid) JOIN lost USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_words <= {rules.lost_percent} * line_words AS kept, lost_words FROM r
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_words <= {rules.lost_percent} * line_words AS kept, lost_words, clean_text FROM r
 """
