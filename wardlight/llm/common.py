@@ -53,6 +53,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
+def give_back(spark: SparkSession) -> None:
+    """Lets executors collect their heaps and give free memory back to the system, as tidy() does for Python workers.
+
+    A heap otherwise stays as large as it once was, beside the workers that need the room next.
+    """
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.expr("reflect('java.lang.System', 'gc')").alias("none")).where("none is not null").count()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. Where none is named, a local one serves a local master; on a cluster that would lose data, so it is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -96,6 +105,8 @@ def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
         SCRATCH.pop()
         if SCRATCH:
             SCRATCH[-1].extend(held)
+        if own:
+            give_back(own[0][0])
         for spark, path, name in own:
             if name:
                 spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -122,13 +133,13 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
 
 
 def materialize_by(df: DataFrame, tag: str, key: str, parts: int) -> DataFrame:
-    """As materialize, but bucketed by key into `parts`: what is grouped or joined by key later isn't shuffled again."""
+    """As materialize, but bucketed by key into `parts`: what is grouped or joined by key later isn't shuffled again. For rows that are packed already."""
     spark = df.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
     name = f"{tag}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     written(spark, path, f"{DATABASE}.{name}")
-    df.write.bucketBy(parts, key).option("path", path).format("parquet").saveAsTable(f"{DATABASE}.{name}")
+    df.write.bucketBy(parts, key).option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(f"{DATABASE}.{name}")
     return spark.table(f"{DATABASE}.{name}")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, materialize_by, parts_for, scratch, small_batches, tidy
+from .common import give_back, materialize, materialize_by, parts_for, scratch, small_batches, tidy
 from .exchange import ASKED, arrow, fans, joined, rows_of, totals, value
 from .graph import components
 from .packing import mix, pack, pack_sorted, unpack, unpack_sorted
@@ -282,6 +282,7 @@ def link(nodes: DataFrame, sent: DataFrame, percent: int = PERCENT) -> DataFrame
         if new.limit(1).count():
             links = links.union(new)
             labels = components(links)
+            give_back(spark)
     return labels
 
 
