@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from wardlight.llm import exchange, graph, jaccard, suffixes
+from wardlight.llm import exchange, graph, jaccard, packing, suffixes
 
 
 def shingles(text, size=3):
@@ -57,13 +57,54 @@ def family_rows(seed):
 def test_jaccard(spark, seed, monkeypatch):
     size, percent = (5, 80) if seed == 3 else (3, 90)
     if seed == 2:
-        monkeypatch.setattr(jaccard, "STAR_ROUNDS", 0)  # all by the last, exhaustive round
+        monkeypatch.setattr(jaccard, "STAR_ROUNDS", 0)  # all by the last, exhaustive round, in many cells
+        monkeypatch.setattr(jaccard, "CELL", 3)
+        monkeypatch.setattr(jaccard, "LEAST_RANGES", 30)
+        monkeypatch.setattr(exchange, "FAN", 4)
     rows = family_rows(seed)
     df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, digest string").repartition(3)
     found = jaccard.near_duplicates(df, percent=percent, size=size, block_bytes=4000).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == plain_components(rows, size, percent)
 
 
+def test_rows_of_an_exchange_follow_the_blocks():
+    """However many ranges there are, a block sends at most FAN rows at a hop, and hops grow with their logarithm."""
+    rng = np.random.default_rng(2)
+    for ranges in (1, 7, 100, 1000, 10**6, 10**9):
+        hops = exchange.fans(ranges, 16)
+        assert np.prod([float(h) for h in hops]) >= ranges and max(hops) <= 16 and len(hops) <= 1 + np.log(ranges) / np.log(16)
+        keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+        rows = exchange.rows_of("b", keys, None, np.ones(len(keys), np.uint64), hops[0])
+        assert len(rows) <= hops[0] and sum(len(packing.unpack_sorted(r[2])) for r in rows) == len(keys)
+
+
+@pytest.mark.parametrize("fan, ranges", [(128, 1), (128, 9), (3, 20), (2, 30)])
+def test_totals_of_blocks(spark, monkeypatch, fan, ranges):
+    """Sums, shared keys and owners are right whatever the number of hops, checks told apart."""
+    monkeypatch.setattr(exchange, "FAN", fan)
+    rng, hops = random.Random(fan + ranges), exchange.fans(ranges)
+    pool = [(rng.randrange(1 << 64), check) for _ in range(60) for check in (1, 2)]
+    blocks, rows = {}, []
+    for b in range(9):
+        own = sorted(rng.sample(pool, 40))
+        blocks[str(b)] = {k: rng.randrange(1, 9) for k in own}
+        keys, checks = (np.array([k[i] for k in own], np.uint64) for i in range(2))
+        rows += exchange.rows_of(str(b), keys, checks, np.array([blocks[str(b)][k] for k in own], np.uint64), hops[0])
+    asked = spark.createDataFrame(rows, exchange.ASKED).repartition(3)
+    got = exchange.totals(asked, hops, len(blocks)).toPandas()
+    sums, having, owners = Counter(), Counter(), Counter()
+    for own in blocks.values():
+        sums.update(own)
+        having.update(own.keys())
+    for b, own in blocks.items():
+        part = got[got.block == b].sort_values("part")
+        answer = np.concatenate([packing.unpack(a) for a in part.answer])
+        for key, a in zip(sorted(own), answer):
+            assert int(exchange.value(a)) == sums[key] and bool(exchange.several(a)) == (having[key] > 1)
+            owners[key] += bool(exchange.owner(a))
+    assert set(owners.values()) == {1}
+
+
 def test_jaccard_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_duplicates(df).count() == 0
