@@ -36,6 +36,7 @@ WORD_END = regex.compile(PIECE)
 TAGGED = regex.compile(r"(?<![\p{L}\p{M}\p{N}])[#@][\p{L}\p{N}_]+")
 SEAM = regex.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 SPELLED = regex.compile(r"(?s)(?=\p{L}[ \t.\-_\n/].[ \t.\-_\n/].[ \t.\-_\n/])")
+SPELLED_ASCII = re.compile(r"[a-z](?:[ \t.\-_\n/][a-z]){3}")
 # Ranks of the tiers where spans overlap; letters that may stand before a spelled-out word.
 RANK = {"exact": 2, "masked": 2, "separated": 2, "skeleton": 0}
 ARTICLES = "aio"
@@ -165,6 +166,7 @@ class Scanner:
         self.find_allowed = Finder(options.allowed)
         self.find_allowed_collapsed = Finder(list(dict.fromkeys(texts.run(texts.SINGLES, f) for f in options.allowed)))
         self.heads = {f[:n] for f in self.exact for n in range(1, 6)}
+        self.beginnings = {f[:n] for f in self.exact for n in range(2, len(f) + 1)}
         self.words = texts.Words(self.note)
         self.by_length: dict[int, list[tuple[str, list[Entry]]]] = {}
         for form, entries in self.exact.items():
@@ -264,7 +266,7 @@ class Scanner:
             return i < len(p.text) and p.text[i] <= "￿" and bool(LETTER.match(p.text[i]))
 
         after = 0
-        for m in SPELLED.finditer(p.text):
+        for m in SPELLED.finditer(p.text) if not p.text.isascii() or SPELLED_ASCII.search(p.text) else ():
             i = m.start()
             if i < after or not alone(i) or not p.open_around(i, i + 1):
                 continue
@@ -289,8 +291,9 @@ class Scanner:
         found: list[tuple[int, Found]] = []
         for m in (ASCII_CHUNKS if p.text.isascii() else CHUNKS).finditer(p.text):
             a, b = m.span()
-            if not self.heads.intersection(FIRST_PIECES.findall(m[0])):
-                continue
+            pieces = FIRST_PIECES.findall(m[0])
+            if not any(x in self.heads and x + y in self.beginnings for x, y in zip(pieces, pieces[1:], strict=False)):
+                continue  # no two pieces begin a form
             words = [w.span() for w in WORDS.finditer(p.text, a, b)]
             # what joins the run's ends to a word before or after, which is longer
             before = p.text[a - 1] if a > 1 and WORD_END.match(p.text, a - 2) else ""
