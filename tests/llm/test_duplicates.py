@@ -274,3 +274,25 @@ def test_pipeline_near_duplicates_of_equal_ids(spark):
     df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
     assert got == Counter([(1, a), (1, b), (2, c), (4, None), (5, "")])
+
+
+def test_intermediate_tables_go_and_a_cluster_needs_a_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from wardlight.llm import common
+
+    unset = SimpleNamespace(get=lambda k, d=None: None, set=lambda k, v: None)
+    for master, fine in (("local[4]", True), ("local", True), ("yarn", False), ("spark://x:7077", False), ("local-cluster[2,1,1024]", False)):
+        session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, getConf=lambda: unset))
+        if fine:
+            assert common.shared_dir(session).startswith("file:")
+        else:
+            with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+                common.shared_dir(session)
+    import os
+
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    found = suffixes.dedup_digest(spark.createDataFrame([(1, "x" * 900), (2, "y")], "doc_id long, text string"))
+    assert found.count() == 2 and len(set(os.listdir(folder)) - before) == 1  # the result
+    assert not spark.sql(f"SHOW TABLES IN {common.DATABASE}").collect()
