@@ -186,3 +186,12 @@ def test_hidden_hits_of_every_term(spark, tmp_path):
             for e in dict.fromkeys(exact[f]):
                 want[(k, e.lemma, e.language)[: len(by)]] += 2
         assert {tuple(r[c] for c in by): r.n for r in got} == want, name
+
+
+def test_small_files_are_dealt_to_all_cores(spark):
+    from wardlight.sources import tables
+
+    found = tables.read(spark, SF, "documents")
+    sizes = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= spark.sparkContext.defaultParallelism > 1 and found.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert tables.spread(found).rdd.getNumPartitions() == found.rdd.getNumPartitions()
