@@ -123,8 +123,6 @@ def profile(col: Column) -> Column:
 
 
 def escaped(col: Column) -> Column:
-    """For reports: invisible characters as \\uXXXX."""
-    out = col
-    for c in t.INVISIBLE:
-        out = F.replace(out, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
-    return out
+    """For reports: characters that can't be seen or that look like others, as \\uXXXX; native scripts stay as they are."""
+    shown = F.transform(F.split(col, ""), lambda c: F.when(c.rlike(f"[{t.ESCAPED}]"), F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(c)), 4, "0"))).otherwise(c))
+    return F.array_join(shown, "")

@@ -6,6 +6,8 @@ import unicodedata
 
 # Characters that are deleted wherever they stand.
 INVISIBLE = "​‌‍­﻿⁠᠎"
+# What reports show as escapes: control, accented and Latin look-alike letters, marks, Greek, Cyrillic, invisibles, selectors.
+ESCAPED = "\x01-\x1f\xad\u00c0-\u024f\u0300-\u036f\u0370-\u03ff\u0400-\u04ff\u200b-\u200f\u2060\ufeff\ufe00-\ufe0f"
 # Full-width forms stand this far above their ASCII characters.
 WIDE_FIRST, WIDE_LAST, WIDE_SHIFT = 0xFF01, 0xFF5E, 0xFEE0
 # White space of the skeleton fold.

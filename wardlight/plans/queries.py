@@ -288,6 +288,10 @@ CONFUSABLE_SQL = f"translate(token, '{''.join(ACCENTS)}', '{''.join(ACCENTS.valu
 
 per_word("fold_upper", lambda w: c.ascii_lower(F.translate(w, LETTERS, LETTERS.upper())), f"translate(translate(token, '{LETTERS}', '{LETTERS.upper()}'), '{LETTERS.upper()}', '{LETTERS}')")
 per_word("fold_confusables", c.fold_confusables, CONFUSABLE_SQL)
+#: Ranges of code points that reports escape.
+SHOWN = ((1, 31), (0xAD, 0xAD), (0xC0, 0x24F), (0x300, 0x4FF), (0x200B, 0x200F), (0x2060, 0x2060), (0xFEFF, 0xFEFF), (0xFE00, 0xFE0F))
+
+
 def kept_chars(test: str) -> str:
     """token without the characters that fail a test on c (its characters), x and i."""
     return f"array_to_string(list_filter(string_split(token, ''), lambda x, i: {test}), '')"
@@ -315,6 +319,7 @@ per_word("skeleton_keys", c.skeleton_key, sound_sql("token"))
 per_word("fold_width", lambda w: c.fold_width(F.translate(w, LETTERS, "".join(chr(ord(x) + t.WIDE_SHIFT) for x in LETTERS))), "token")
 per_word("fold_invisible", lambda w: c.strip_invisible(F.regexp_replace(w, "([aeiou])", "$1\u200b")), f"translate(token, '{t.INVISIBLE}', '')")
 per_word("fold_marks", lambda w: c.strip_marks(F.regexp_replace(w, "([aeiou])", "$1\u0308")), r"regexp_replace(regexp_replace(token, '([aeiou])', '\1' || chr(776), 'g'), '([A-Za-z])[' || chr(768) || '-' || chr(879) || ']+', '\1', 'g')")
+per_word("show_hidden", lambda w: c.escaped(F.concat(F.translate(w, "aeo", "аео"), F.lit("\u200b"))), f"array_to_string(list_transform(string_split(translate(token, 'aeo', 'аео') || chr(8203), ''), lambda x: CASE WHEN {' OR '.join(f'ord(x) BETWEEN {a} AND {b}' for a, b in SHOWN)} THEN '\\u' || lpad(upper(printf('%x', ord(x))), 4, '0') ELSE x END), '')")
 per_word("fold_leet", lambda w: c.fold_leet(F.translate(w, "eio", "310")), leet_sql())
 
 
