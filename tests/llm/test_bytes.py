@@ -225,3 +225,15 @@ def test_long_texts(spark):
         raw = text.encode()
         assert media[k].payload_sha256 == hashlib.sha256(raw + bytes(-len(raw) % 64)).hexdigest()
         assert ids[k].decoded_sha256 == hashlib.sha256(raw).hexdigest()
+
+
+def test_features_by_plain_arithmetic(spark):
+    found = {r.doc_id: r for r in matroska.media_digest(rows_of(spark, TEXTS)).collect()}
+    for k, text in enumerate(TEXTS):
+        raw = (text or "").encode()
+        data = raw + bytes(-len(raw) % 64 if raw else 64)
+        n, packets = len(data), -(-len(data) // 2048)
+        clusters = -(-packets // 120)
+        squares = sum(b * b for b in data) * n - sum(data) ** 2
+        turns = sum((a >= 128) != (b >= 128) for a, b in zip(data, data[1:]))
+        assert found[k].feature == f"{packets}:{clusters}:{clusters}:{(packets - 1) * 256}:{1000 * sum(data) // n}:{1000 * squares // (n * n)}:{turns}"
