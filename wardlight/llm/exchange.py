@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, tidy
-from .packing import bounds, pack, pack_sorted, unpack, unpack_sorted
+from .packing import pack, pack_sorted, unpack, unpack_sorted
 
 #: Most ranges, and about as many blocks, of one hop.
 FAN = 128

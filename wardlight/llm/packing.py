@@ -39,8 +39,3 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
-
-
-def bounds(n: int) -> np.ndarray:
-    """First key of each of n equal ranges of the 64-bit keys."""
-    return np.array([(i << 64) // n for i in range(n)], dtype=np.uint64)
