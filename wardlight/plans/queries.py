@@ -195,10 +195,10 @@ def picture_hits(spark, sf):
 #: The one-word forms as whole words.
 ONE_OF = r"(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(f for f in DEFAULT.exact if " " not in f) + r")(?![\p{L}\p{M}\p{N}])"
 SPANS_SQL = rf"""placed AS (SELECT doc_id, lower(text) AS l, regexp_extract_all(lower(text), '{W}') AS ts, regexp_split_to_array(lower(text), '{W}') AS gs FROM documents),
-spans AS (SELECT doc_id, ts[i] AS token, (list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ts[1:i - 1], lambda x: length(x))), 0))::INT AS start FROM (SELECT *, unnest(generate_series(1, len(ts))) AS i FROM placed WHERE length(l) < 20000))"""
+spans AS (SELECT doc_id, ts[i] AS token, (list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ts[1:i - 1], lambda x: length(x))), 0))::INT AS start FROM (SELECT *, unnest(generate_series(1, len(ts))) AS i FROM placed))"""
 
 
-@query(f"WITH {FORMS}, {SPANS_SQL} SELECT doc_id, token, start, (start + length(token))::INT AS \"end\" FROM spans WHERE token IN (SELECT form FROM forms WHERE grams = 1)".replace(" WHERE length(l) < 20000", ""))
+@query(f"WITH {FORMS}, {SPANS_SQL} SELECT doc_id, token, start, (start + length(token))::INT AS \"end\" FROM spans WHERE token IN (SELECT form FROM forms WHERE grams = 1)")
 def span_offsets(spark, sf):
     return r.spans(docs(spark, sf), "text", ONE_OF).select("doc_id", "token", "start", "end")
 
@@ -209,7 +209,7 @@ ALLOWING = [f for f in DEFAULT.allowed if f.isascii()]
 @query(f"""WITH {FORMS}, {SPANS_SQL}, allowing(phrase) AS (VALUES {", ".join(f"('{x}')" for x in ALLOWING)}),
 gaps AS (SELECT doc_id, length(phrase) AS n, list_transform(string_split(lower(text), phrase), lambda p: length(p)) AS gaps FROM documents JOIN allowing ON contains(lower(text), phrase)),
 allowed AS (SELECT doc_id, (list_sum(gaps[1:k]) + (k - 1) * n)::INT AS a, (list_sum(gaps[1:k]) + k * n)::INT AS b FROM (SELECT *, unnest(generate_series(1, len(gaps) - 1)) AS k FROM gaps))
-SELECT doc_id, token, start FROM spans s WHERE token IN (SELECT form FROM forms WHERE grams = 1) AND NOT EXISTS (SELECT 1 FROM allowed x WHERE x.doc_id = s.doc_id AND a <= start AND start + length(token) <= b)""".replace(" WHERE length(l) < 20000", ""))
+SELECT doc_id, token, start FROM spans s WHERE token IN (SELECT form FROM forms WHERE grams = 1) AND NOT EXISTS (SELECT 1 FROM allowed x WHERE x.doc_id = s.doc_id AND a <= start AND start + length(token) <= b)""")
 def allow_veto(spark, sf):
     found = r.spans(docs(spark, sf), "text", ONE_OF)
     allowed = r.spans(docs(spark, sf), "text", "|".join(ALLOWING))
@@ -536,7 +536,7 @@ def origin_split(spark, sf):
     return reports.origin_split(words, r.token_hits(parts, lexicon.form_table(spark)).select("w", F.col("language").alias("library")))
 
 
-@query("SELECT md5(text) AS text_md5, count(*) AS times, list(source ORDER BY source) AS places FROM (SELECT DISTINCT text, source FROM documents) JOIN (SELECT text, count(*) AS n FROM documents GROUP BY text) USING (text) WHERE n > 1 GROUP BY text".replace("count(*) AS times", "any_value(n) AS times"))
+@query("SELECT md5(text) AS text_md5, any_value(n) AS times, list(source ORDER BY source) AS places FROM (SELECT DISTINCT text, source FROM documents) JOIN (SELECT text, count(*) AS n FROM documents GROUP BY text) USING (text) WHERE n > 1 GROUP BY text")
 def repeated_texts(spark, sf):
     """Texts that are counted more than once, and the sources that have them."""
     return reports.repeated(docs(spark, sf)).select(F.md5(F.encode("text", "UTF-8")).alias("text_md5"), "times", "places")
