@@ -58,7 +58,8 @@ def give_back(spark: SparkSession) -> None:
 
     A heap otherwise stays as large as it once was, beside the workers that need the room next.
     """
-    tasks = 2 * spark.sparkContext.defaultParallelism
+    executors = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1  # without the driver
+    tasks = max(1, 2 * executors)
     spark.range(0, tasks, 1, tasks).select(F.expr("reflect('java.lang.System', 'gc')").alias("none")).where("none is not null").count()
 
 
