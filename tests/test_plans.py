@@ -195,3 +195,23 @@ def test_small_files_are_dealt_to_all_cores(spark):
     sizes = found.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= spark.sparkContext.defaultParallelism > 1 and found.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert tables.spread(found).rdd.getNumPartitions() == found.rdd.getNumPartitions()
+
+
+def test_reports_equal_the_kernel(spark):
+    """Scorecard, misses and isolation, counted text by text with the scanner."""
+    options = Options()
+    words = ["thing", "erble", "frobnicate", "keit", "tion"]
+    made = reports.cases(spark.createDataFrame([(w,) for w in words], "w string"))
+    rows = made.collect()
+    hit = {r.hidden: kernel.scanner(options).any(r.hidden) for r in rows}
+    card = {r.axis: (r.caught, r.cases) for r in reports.scorecard(reports.flagged(made, "all", options)).collect()}
+    want = {}
+    for r in rows:
+        caught, cases = want.get(r.axis, (0, 0))
+        want[r.axis] = caught + hit[r.hidden], cases + 1
+    assert card == want
+    missed = {r.axis: (r.missed, r.words, r.cases) for r in reports.misses(reports.flagged(made, "all", options)).collect()}
+    assert missed == {a: (n - c, sorted(x.w for x in rows if x.axis == a and not hit[x.hidden]), n) for a, (c, n) in want.items() if c < n}
+    alone = {r.library: (r.caught, r.cases) for r in reports.isolation(made, options).collect()}
+    packs = {"all": options} | {p.language: Options(packs=(p,)) for p in options.packs}
+    assert alone == {k: (sum(kernel.scanner(o).any(r.hidden) for r in rows), len(rows)) for k, o in packs.items()}
