@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,16 +54,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
-def give_back(spark: SparkSession) -> None:
-    """Lets executors collect their heaps and give free memory back to the system, as tidy() does for Python workers.
-
-    A heap otherwise stays as large as it once was, beside the workers that need the room next.
-    """
-    executors = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1  # without the driver
-    tasks = max(1, 2 * executors)
-    spark.range(0, tasks, 1, tasks).select(F.expr("reflect('java.lang.System', 'gc')").alias("none")).where("none is not null").count()
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. Where none is named, a local one serves a local master; on a cluster that would lose data, so it is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -77,13 +68,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Catalog database of the bucketed tables.
 DATABASE = "wardlight_work"
-#: What each open scratch() has written: (session, path, table or None).
-SCRATCH: list[list[tuple[SparkSession, str, str | None]]] = []
+#: What the innermost open scratch() of this thread or task has written: (session, path, table or None).
+SCRATCH: ContextVar[list[tuple[SparkSession, str, str | None]] | None] = ContextVar("scratch", default=None)
 
 
 def written(spark: SparkSession, path: str, name: str | None = None) -> None:
-    if SCRATCH:
-        SCRATCH[-1].append((spark, path, name))
+    if (own := SCRATCH.get()) is not None:
+        own.append((spark, path, name))
+
+
+def remove(held: list[tuple[SparkSession, str, str | None]]) -> None:
+    for spark, path, name in held:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def results() -> Iterator[None]:
+    """Operators' results that are written inside are removed at its end; without it they stay until the caller's folder goes."""
+    token = SCRATCH.set(own := [])
+    try:
+        yield
+    finally:
+        SCRATCH.reset(token)
+        remove(own)
 
 
 @contextlib.contextmanager
@@ -92,7 +102,8 @@ def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
 
     Yields keep(df, tag), which writes df so that it outlives this scratch; an outer one removes it.
     """
-    SCRATCH.append(own := [])
+    outer, own = SCRATCH.get(), []
+    token = SCRATCH.set(own)
     held: list[tuple[SparkSession, str, str | None]] = []
 
     def keep(df: DataFrame, tag: str) -> DataFrame:
@@ -103,16 +114,10 @@ def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     try:
         yield keep
     finally:
-        SCRATCH.pop()
-        if SCRATCH:
-            SCRATCH[-1].extend(held)
-        if own:
-            give_back(own[0][0])
-        for spark, path, name in own:
-            if name:
-                spark.sql(f"DROP TABLE IF EXISTS {name}")
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        SCRATCH.reset(token)
+        if outer is not None:
+            outer.extend(held)
+        remove(own)
 
 
 #: Rows of a file where a table's size is known; files are costly to open, and some file systems start a process for each.

@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, bpe, chat, jaccard, jaccard_sql, langid, matroska, mixing, quality, suffixes, urls, urls_sql
+from . import backoff, binpack, bpe, chat, jaccard, jaccard_sql, langid, matroska, mixing, quality, suffixes, trie, trie_sql, urls, urls_sql, whitening
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORDS = "word_bpe_49k.json"
 #: Production weights of the mixture; every other source weighs 1.
 WEIGHTS = {"src0": 4.0}
 SEED = 17
@@ -59,5 +60,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_matroska, op3_suffix_dedup, op4_byte_bpe, op5_source_mixing, op6_language_id, op7_chat_format, op8_jaccard_join, op9_backoff_score, op10_url_filter)}
-ORACLES = {"op1_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle(WEIGHTS, 1.0, SEED), "op8_jaccard_join": jaccard_sql.oracle(), "op9_backoff_score": backoff.oracle(), "op10_url_filter": urls_sql.oracle(RULES)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_matroska, op3_suffix_dedup, op4_byte_bpe, op5_source_mixing, op6_language_id, op7_chat_format, op8_jaccard_join, op9_backoff_score, op10_url_filter, op11_embedding_whitening, op12_best_fit_packing, op13_prefix_trie)}
+ORACLES = {"op1_quality_rules": quality.oracle(), "op5_source_mixing": mixing.oracle(WEIGHTS, 1.0, SEED), "op8_jaccard_join": jaccard_sql.oracle(), "op9_backoff_score": backoff.oracle(), "op10_url_filter": urls_sql.oracle(RULES), "op13_prefix_trie": trie_sql.oracle()}
