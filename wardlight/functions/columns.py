@@ -68,8 +68,8 @@ def collapse_all(col: Column) -> Column:
     return F.regexp_replace(col, r"(?s)(.)\1+", "$1")
 
 
-def fold_leet(token: Column) -> Column:
-    """As the leet step, for one token at a time (signs and digits look at most one character away)."""
+def leet_letters(token: Column) -> Column:
+    """Signs and digits that stand for letters, one for one, for one token at a time (they look at most one character away)."""
     digits, letters = "".join(t.LEET_DIGITS), "".join(t.LEET_DIGITS.values())
 
     def word(w: Column) -> Column:
@@ -80,8 +80,12 @@ def fold_leet(token: Column) -> Column:
         return F.when(~w.rlike("^[a-z0-9]"), w).when(w.rlike("^[0-9]"), F.when(whole, swapped).otherwise(w)).otherwise(beside)
 
     joined = F.array_join(F.transform(F.regexp_extract_all(token, F.lit("[a-z0-9]+|[^a-z0-9]+"), F.lit(0)), word), "")
-    signs = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1))), lambda i: F.when(F.substring(token, i, F.lit(1)).isin(*t.LEET_SIGNS) & (F.substring(token, i + 1, F.lit(1)).rlike("[a-z]") | ((i > 1) & F.substring(token, i - 1, F.lit(1)).rlike("[a-z]"))), F.translate(F.substring(token, i, F.lit(1)), "".join(t.LEET_SIGNS), "".join(t.LEET_SIGNS.values()))).otherwise(F.substring(joined, i, F.lit(1)))), "")
-    return F.replace(signs, F.lit("ph"), F.lit("f"))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1))), lambda i: F.when(F.substring(token, i, F.lit(1)).isin(*t.LEET_SIGNS) & (F.substring(token, i + 1, F.lit(1)).rlike("[a-z]") | ((i > 1) & F.substring(token, i - 1, F.lit(1)).rlike("[a-z]"))), F.translate(F.substring(token, i, F.lit(1)), "".join(t.LEET_SIGNS), "".join(t.LEET_SIGNS.values()))).otherwise(F.substring(joined, i, F.lit(1)))), "")
+
+
+def fold_leet(token: Column) -> Column:
+    """As the leet step: `ph` becomes f too."""
+    return F.replace(leet_letters(token), F.lit("ph"), F.lit("f"))
 
 
 def latin_fold(token: Column) -> Column:
