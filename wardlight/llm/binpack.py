@@ -30,11 +30,13 @@ CAPACITY = 2048
 GROUPS, LARGE = 256, 3
 #: Share of the sequences by which the fractions may exceed the least number.
 NEAR = 1e-4
-#: Words whose ids a worker keeps, about as many as 100 MB hold; characters of a text that are split at once; words encoded in one call.
-KEPT_WORDS, SLICE, AT_ONCE = 400_000, 1 << 20, 2000
+#: Words whose ids a worker keeps, in about 200 MB; characters of a text that are split at once; words encoded in one call.
+KEPT_WORDS, SLICE, AT_ONCE = 800_000, 1 << 20, 2000
 END = np.zeros(1, "<u4").tobytes()
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 BETWEEN = "\x01"
+#: Signs behind a word; behind a letter or digit the tokenizer always parts them from it.
+BEHIND = ",.;:!?)"
 GAPS = (" ", "\n", "\t", "\r")
 
 
@@ -68,11 +70,7 @@ class Words:
             yield [w for gap in part.split("\n") for w in gap.replace("\t", " ").replace("\r", " ").split(" ") if w]
             at = cut
 
-    def ids(self, words: list[str]) -> bytes:
-        """Little-endian ids of four bytes."""
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        missing = list(set(words).difference(self.known))
+    def learn(self, missing: list[str]) -> None:
         for k in range(0, len(missing), AT_ONCE):
             part = missing[k : k + AT_ONCE]
             alone = [w for w in part if BETWEEN in w]
@@ -83,6 +81,19 @@ class Words:
             ids = np.array(self.encode(f" {BETWEEN} ".join(part)), "<u4")
             cuts, raw, n = np.flatnonzero(ids == self.mark[0]).tolist(), ids.tobytes(), len(self.mark)
             self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, [0, *(c + n for c in cuts)], [*cuts, len(ids)], strict=True))
+
+    def ids(self, words: list[str]) -> bytes:
+        """Little-endian ids of four bytes."""
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        missing = set(words).difference(self.known)
+        parted = {}
+        for word in missing:
+            bare = word.rstrip(BEHIND)
+            if bare and len(bare) < len(word) and bare[-1].isalnum() and bare[-1] < "\u0250":
+                parted[word] = (bare, word[len(bare) :])
+        self.learn([w for w in {*missing.difference(parted), *(p for own in parted.values() for p in own)} if w not in self.known])
+        self.known.update((w, self.known[bare] + self.known[signs]) for w, (bare, signs) in parted.items())
         return b"".join(map(self.known.__getitem__, words))
 
 
