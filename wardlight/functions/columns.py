@@ -80,7 +80,11 @@ def leet_letters(token: Column) -> Column:
         return F.when(~w.rlike("^[a-z0-9]"), w).when(w.rlike("^[0-9]"), F.when(whole, swapped).otherwise(w)).otherwise(beside)
 
     joined = F.array_join(F.transform(F.regexp_extract_all(token, F.lit("[a-z0-9]+|[^a-z0-9]+"), F.lit(0)), word), "")
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1))), lambda i: F.when(F.substring(token, i, F.lit(1)).isin(*t.LEET_SIGNS) & (F.substring(token, i + 1, F.lit(1)).rlike("[a-z]") | ((i > 1) & F.substring(token, i - 1, F.lit(1)).rlike("[a-z]"))), F.translate(F.substring(token, i, F.lit(1)), "".join(t.LEET_SIGNS), "".join(t.LEET_SIGNS.values()))).otherwise(F.substring(joined, i, F.lit(1)))), "")
+    # arrays side by side: a lambda that named one itself would make it again for each character
+    chars = F.split(token, "")
+    beside = F.arrays_zip(chars.alias("c"), F.concat(F.array(F.lit("")), chars).alias("before"), F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))).alias("after"), F.split(joined, "").alias("made"))
+    signs = F.transform(beside, lambda z: F.when(z["c"].isin(*t.LEET_SIGNS) & (F.coalesce(z["after"].rlike("[a-z]"), F.lit(False)) | z["before"].rlike("[a-z]")), F.translate(z["c"], "".join(t.LEET_SIGNS), "".join(t.LEET_SIGNS.values()))).otherwise(z["made"]))
+    return F.when(token.rlike("[0-9" + "".join(t.LEET_SIGNS) + "]"), F.array_join(signs, "")).otherwise(token)
 
 
 def fold_leet(token: Column) -> Column:

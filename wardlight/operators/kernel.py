@@ -142,6 +142,26 @@ class Pass:
         return self.open_at(start - 1) and self.open_at(end)
 
 
+def word_before(text: str, end: int) -> str:
+    """The word that ends at `end`, found by walking back from there."""
+    start = end
+    while start > 0 and WORD.match(text[start - 1]):
+        start -= 1
+    return text[start:end]
+
+
+class Cover:
+    """Whether any of given spans covers one: those that start no later, by the furthest of their ends."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts, self.reach = [a for a, _ in spans], [*accumulate((b for _, b in spans), max)]
+
+    def __call__(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start) - 1
+        return k >= 0 and self.reach[k] >= end
+
+
 def severest(entries: list[Entry]) -> Entry:
     """The first of the highest severity."""
     return max(entries, key=lambda e: e.severity)
@@ -168,10 +188,12 @@ class Scanner:
         self.heads = {f[:n] for f in self.exact for n in range(1, 6)}
         self.beginnings = {f[:n] for f in self.exact for n in range(2, len(f) + 1)}
         self.words = texts.Words(self.note)
-        self.by_length: dict[int, list[tuple[str, list[Entry]]]] = {}
-        for form, entries in self.exact.items():
+        #: Forms of one word by their length and each letter with its place.
+        self.by_letter: dict[tuple[int, int, str], list[str]] = {}
+        for form in self.exact:
             if " " not in form:
-                self.by_length.setdefault(len(form), []).append((form, entries))
+                for i, c in enumerate(form):
+                    self.by_letter.setdefault((len(form), i, c), []).append(form)
 
     def note(self, word: str) -> int:
         """CHUNK if a piece of a latin word begins a form, SPELL if single letters and separators alternate in it or at its ends."""
@@ -236,7 +258,11 @@ class Scanner:
 
     def fitting(self, token: str, hidden: str) -> Entry | None:
         """The severest entry with a form that equals token where no character is hidden."""
-        fits = [e for form, entries in self.by_length.get(len(token), ()) if all(a in hidden or a == b for a, b in zip(token, form, strict=True)) for e in entries]
+        seen = [(i, c) for i, c in enumerate(token) if c not in hidden]
+        if not seen:
+            return None
+        forms = min((self.by_letter.get((len(token), i, c), ()) for i, c in seen), key=len)  # those of the rarest letter that is seen
+        fits = [e for form in forms if all(form[i] == c for i, c in seen) for e in self.exact[form]]
         return severest(fits) if fits else None
 
     def masked_hits(self, p: Pass) -> Iterator[Found]:
@@ -278,7 +304,7 @@ class Scanner:
                 word, start = run[skip:], i + 2 * skip
                 if len(word) < SPELLED_LEAST:
                     break
-                before = regex.search(r"[\p{L}\p{M}\p{N}]*$", p.text[: start - 1])[0] if start and p.text[start - 1] in t.SEPARATORS else ""
+                before = word_before(p.text, start - 1) if start and p.text[start - 1] in t.SEPARATORS else ""
                 follows = WORDS.match(p.text, end + 1) if end < len(p.text) and p.text[end] in t.SEPARATORS else None
                 if self.allowed.intersection((word, f"{before} {word}", f"{word} {follows[0] if follows else ''}")):
                     break
@@ -352,7 +378,8 @@ class Scanner:
 
     def kept(self, found: list[Found], allowed: list[tuple[int, int]]) -> list[Found]:
         o = self.options
-        found = [c for c in found if not any(a <= c.tested[0] and c.tested[1] <= b for a, b in allowed)]
+        covered = Cover(allowed)
+        found = [c for c in found if not covered(*c.tested)]
         return [c for c in found if c.entry.severity >= o.min_severity and (o.categories is None or set(o.categories) & set(c.entry.categories))]
 
     def surviving(self, text: str) -> list[Found]:
@@ -369,16 +396,18 @@ class Scanner:
 
 
 def resolve(found: list[Found]) -> list[Found]:
-    """Overlaps, first come first kept, unless a later one has the higher (rank, severity, length) than the first it meets."""
+    """Overlaps, first come first kept, unless a later one has the higher (rank, severity, length) than the one it meets.
+
+    Candidates come by start, so all kept before the last one end where it starts or before: only the last can be met.
+    """
     kept: list[Found] = []
     weigh = lambda c: (RANK[c.tier], c.entry.severity, c.end - c.start)
     for c in sorted(found, key=lambda c: (c.start, -c.end)):
-        at = next((i for i, k in enumerate(kept) if c.start < k.end and k.start < c.end), None)
-        if at is None:
+        if not kept or kept[-1].end <= c.start:
             kept.append(c)
-        elif weigh(c) > weigh(kept[at]):
-            kept[at] = c
-    return sorted(kept, key=lambda c: c.start)
+        elif weigh(c) > weigh(kept[-1]):
+            kept[-1] = c
+    return kept
 
 
 @lru_cache(maxsize=16)
