@@ -28,13 +28,33 @@ def as_dict(text: str, c: Found) -> dict:
     return {"lemma": e.lemma, "surface": text[c.start : c.end], "tier": c.tier, "language": e.language, "severity": e.severity, "categories": list(e.categories), "casual_use": e.casual_use, "start": units(text, c.start), "end": units(text, c.end), "char_start": c.start, "char_end": c.end}
 
 
+#: Texts whose results are built at once; a batch of Arrow may hold thousands.
+AT_ONCE = 256
+
+
+def slices(batches: Iterator) -> Iterator:
+    """Batches of series, or of tuples of them, in parts of at most AT_ONCE rows."""
+    for batch in batches:
+        size = len(batch[0] if isinstance(batch, tuple) else batch)
+        for at in range(0, max(size, 1), AT_ONCE):
+            part = lambda x, at=at: x.iloc[at : at + AT_ONCE]
+            yield tuple(map(part, batch)) if isinstance(batch, tuple) else part(batch)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def scan(col: Column | str, options: Options = Options()) -> Column:
     """struct<matches, max_severity> of a text column; one compiled lexicon per Python worker. Null: no matches."""
 
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scan_one = scanner(options).scan
-        for batch in batches:
+        for batch in slices(batches):
             found = [[as_dict(text, c) for c in scan_one(text)] for text in batch]
             yield pd.DataFrame({"matches": found, "max_severity": pd.array([max((m["severity"] for m in ms), default=None) for ms in found], dtype="Int32")})
 
@@ -51,7 +71,7 @@ def scan_each(text: Column, least: Column, mask: Column, keep_first: Column, hid
 
     @F.pandas_udf(f"{RESULT}, censored string, failed boolean")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             found, censored, failed = [], [], []
             for x, low, m, first, wanted, codes in zip(*batch, strict=True):
                 kept, hidden, broken = [], None, False
@@ -89,7 +109,7 @@ def censor(col: Column | str, options: Options = Options(), mask: str = "*", kee
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scan_one = scanner(options).scan
-        for batch in batches:
+        for batch in slices(batches):
             yield pd.Series([None if text is None else texts.censor_text(text, [(c.start, c.end) for c in scan_one(text)], mask, keep_first) for text in batch], dtype="object")
 
     return run(F.col(col) if isinstance(col, str) else col)
@@ -106,18 +126,28 @@ def censor_spans(text: Column | str, spans: Column | str, mask: str = "*", keep_
 
 
 def check(df: DataFrame, col: str = "text", options: Options = Options()) -> DataFrame:
-    """df with clean, match_count, max_severity and the languages used."""
+    """df with clean, match_count, max_severity and the languages used; columns of df of these names are replaced.
+
+    Null and empty texts are clean; repeated rows are checked each; an empty table gives an empty result.
+    """
     if options.min_severity not in range(5):
         raise ValueError(f"min_severity {options.min_severity}")
-    found = df.withColumn("scan_", scan(col, options))
+    held = free(df, "scan_")
+    found = df.withColumn(held, scan(col, options))
     languages = F.array(*[F.lit(p.language) for p in options.packs]).cast("array<string>")
-    return found.select(*df.columns, (F.size("scan_.matches") == 0).alias("clean"), F.size("scan_.matches").alias("match_count"), F.col("scan_.max_severity").alias("max_severity"), languages.alias("languages"))
+    made = {"clean": F.size(f"{held}.matches") == 0, "match_count": F.size(f"{held}.matches"), "max_severity": F.col(f"{held}.max_severity"), "languages": languages}
+    return found.select(*[c for c in df.columns if c not in made], *[v.alias(k) for k, v in made.items()])
 
 
 def scan_rows(df: DataFrame, col: str = "text", options: Options = Options()) -> DataFrame:
-    """A row per match: df's columns but the text, then the match's."""
-    rest = [c for c in df.columns if c != col]
-    return df.select(*rest, F.explode(scan(col, options)["matches"]).alias("m_")).select(*rest, "m_.*")
+    """A row per match: df's columns but the text, then the match's, which replace columns of df of the same names.
+
+    Null and empty texts have no match; repeated rows repeat theirs; an empty table gives an empty result.
+    """
+    held = free(df, "m_")
+    rows = df.withColumn(held, F.explode(scan(col, options)["matches"]))
+    fields = rows.schema[held].dataType.names
+    return rows.select(*[c for c in df.columns if c != col and c not in fields], f"{held}.*")
 
 
 def for_languages(codes: list[str] | None, packs=PACKS, **more) -> Options:

@@ -190,9 +190,9 @@ def scan_rows(df: DataFrame, text_col: str = "text", options: Options = Options(
     aren't hidden by masks, pictures, tags or separators. Text is taken to be in NFC.
 
     Null and empty texts have no match; repeated rows repeat theirs; an empty table gives an empty result. Where
-    df has columns of the match's names, both stay, df's first.
+    df has columns of the match's names, the match's replace them.
     """
-    keep = [c for c in df.columns if c != text_col]
+    keep = [c for c in df.columns if c != text_col and c not in MATCH]
     v = folded(df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(f"[^{t.SPACES}]+"), F.lit(0)))).alias("piece")).distinct(), "piece")
     names = ["row_", *[f"k{i}" for i in range(len(keep))]]
     found = phrased(pieces(df, text_col, keep).join(piece_hits(v, probes(df.sparkSession, options), options), "piece"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..functions import evade, texts
 from ..functions import tables as t
-from ..operators import moderation
+from ..operators import moderation, native
 from ..sources import lexicon
 from ..sources.lexicon import Options
 from ..sources.tables import read
@@ -370,6 +370,12 @@ def scan_matches(spark, sf):
     return moderation.scan_rows(docs(spark, sf).select("doc_id", "text"))
 
 
+@query(scanned_sql(DEFAULT, MATCHES))
+def scan_native(spark, sf):
+    """As scan_matches, all inside the JVM: folds and their offsets as columns."""
+    return native.scan_rows(docs(spark, sf).select("doc_id", "text"))
+
+
 FR, BOTH = ("fr", 2, ("gendered",), False), ("fr", 2, ("gendered", "general"), False)
 #: Words hidden in each way that the SQL of whole scans can't say, with what the rules of the tiers make of them:
 #: (hidden, lemma, language, severity, categories, casual use, tier, where the match starts in it and how long it is).

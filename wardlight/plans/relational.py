@@ -23,8 +23,9 @@ def tokens(df: DataFrame, text_col: str = "text", pattern: str = c.WORD, keep: t
 
 
 def token_hits(words: DataFrame, forms: DataFrame) -> DataFrame:
-    """Tokens equal to a one-word form: words' columns and the entry's."""
-    return words.join(forms.where("grams = 1").withColumnRenamed("form", "token"), "token")
+    """Tokens equal to a one-word form: words' columns and the entry's, which replace columns of words of the same names."""
+    entries = forms.where("grams = 1").withColumnRenamed("form", "token")
+    return words.drop(*[c for c in entries.columns if c != "token"]).join(entries, "token")
 
 
 def phrase_hits(df: DataFrame, forms: DataFrame, grams: int, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -31,6 +31,8 @@ ENTRY_SCHEMA = T.StructType(
         T.StructField("skeleton_safe", T.BooleanType(), False),
         T.StructField("casual_use", T.BooleanType(), False),
         T.StructField("load_order", T.IntegerType(), False),
+        T.StructField("pack_name", T.StringType()),
+        T.StructField("pack_allowlist", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -174,24 +176,33 @@ def problems(entries: Iterable[Entry]) -> list[str]:
     return out
 
 
-def to_rows(entries: Iterable[Entry]) -> list[tuple]:
-    return [(e.language, e.lemma, e.script, e.severity, list(e.categories), list(e.romanizations), list(e.variants), list(e.allowlist), e.match_mode, e.skeleton_safe, e.casual_use, e.load_order) for e in entries]
+def to_rows(entries: Iterable[Entry], packs: Iterable[Pack] = ()) -> list[tuple]:
+    of = {p.language: (p.name, list(p.allowlist)) for p in packs}
+    return [(e.language, e.lemma, e.script, e.severity, list(e.categories), list(e.romanizations), list(e.variants), list(e.allowlist), e.match_mode, e.skeleton_safe, e.casual_use, e.load_order, *of.get(e.language, (None, None))) for e in entries]
 
 
 def to_frame(spark: SparkSession, options: Options = Options()) -> DataFrame:
-    return spark.createDataFrame(to_rows(options.entries), ENTRY_SCHEMA)
+    return spark.createDataFrame(to_rows(options.entries, options.packs), ENTRY_SCHEMA)
 
 
 def from_frame(df: DataFrame, most: int = 200_000) -> tuple[Pack, ...]:
-    """Packs of lexicon rows (from spark.read.json or parquet with ENTRY_SCHEMA); a lexicon of more than `most` rows is refused."""
+    """Packs of lexicon rows (from spark.read.json or parquet with ENTRY_SCHEMA); a lexicon of more than `most` rows is refused.
+
+    A pack's name is its language where its rows give none; its allow phrases are those of all its rows, in their order.
+    """
     rows = df.orderBy("load_order").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} lexicon rows")
     packs: dict[str, list[Entry]] = {}
-    for r in rows:
+    names: dict[str, str] = {}
+    allowed: dict[str, dict[str, None]] = {}
+    for row in rows:
+        r = row.asDict()
         entry = Entry(r["language"], r["lemma"], r["severity"], tuple(r["categories"]), r["script"], tuple(r["romanizations"] or ()), tuple(r["variants"] or ()), tuple(r["allowlist"] or ()), r["match_mode"], r["skeleton_safe"], r["casual_use"], r["load_order"])
         packs.setdefault(r["language"], []).append(entry)
-    return tuple(Pack(k, k, tuple(v)) for k, v in packs.items())
+        names.setdefault(r["language"], r.get("pack_name") or r["language"])
+        allowed.setdefault(r["language"], {}).update(dict.fromkeys(r.get("pack_allowlist") or ()))
+    return tuple(Pack(k, names[k], tuple(v), tuple(allowed[k])) for k, v in packs.items())
 
 
 def read(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
