@@ -57,6 +57,8 @@ def test_language_id(spark):
     assert langid.fit(df.where("lang is null")) is None
     assert {r.lang_pred for r in langid.identify(df.drop("lang"), None).collect()} == {"und"}
     assert langid.identify(df.limit(0), net).count() == 0
+    clash = langid.identify(df.selectExpr("doc_id as t_", "text", "lang as k0", "1.0 as t"), net)
+    assert clash.columns == ["t_", "text", "k0", "t", "lang_pred", "score"] and {r.t_: r.lang_pred for r in clash.collect()} == {r.doc_id: r.lang_pred for r in langid.identify(df, net).collect()}
 
 
 def test_positions_and_documents_agree():

@@ -257,3 +257,14 @@ def test_results_can_be_removed(spark):
 
 def test_registered():
     assert {"op11_embedding_whitening", "op12_best_fit_packing", "op13_prefix_trie"} <= set(queries.QUERIES) and "op13_prefix_trie" in queries.ORACLES
+
+
+def test_url_rules_of_equal_length(spark):
+    """The first given wins, whatever the order."""
+    from pyspark.sql import functions as F
+
+    from wardlight.llm import urls
+
+    df = spark.createDataFrame([("x.org", "/abc")], "host string, path string")
+    for rules in ([("block", "org/ab"), ("allow", "x.org/")], [("allow", "x.org/"), ("block", "org/ab")]):
+        assert df.select(urls.rule_of(F.col("host"), F.col("path"), rules)).first()[0] == rules[0][1]

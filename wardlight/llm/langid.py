@@ -257,12 +257,12 @@ def identify(df: DataFrame, net: Network | None, text_col: str = "text", keep: l
     independent. Columns of those names in df are replaced.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow, model = to_arrow_schema(schema), pickle.dumps(net)
     small_batches(df.sparkSession)
-    rows = df.select(*keep, F.col(text_col).cast("string").alias("t_"))
+    rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("t"))
     most = 1 << 19
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +285,7 @@ def identify(df: DataFrame, net: Network | None, text_col: str = "text", keep: l
                 at = stop
         tidy()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*keep, "lang_pred", "score")
 
 
 def identify_documents(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id") -> DataFrame:

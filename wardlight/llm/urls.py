@@ -49,7 +49,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     """The longest fitting rule as written, or null; of equal lengths the first given."""
     found = F.lit(None).cast("string")
-    for _, written in sorted(rules, key=lambda r: len(r[1])):
+    for _, written in sorted(reversed(rules), key=lambda r: len(r[1])):  # what comes later goes before
         rule_host, slash, rest = written.partition("/")
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(slash + rest)
         found = F.when(fits, F.lit(written)).otherwise(found)
