@@ -10,6 +10,7 @@ pieces that are left, the longest first, go where they fit best.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -38,6 +39,8 @@ BETWEEN = "\x01"
 #: Signs behind a word; behind a letter or digit the tokenizer always parts them from it.
 BEHIND = ",.;:!?)"
 GAPS = (" ", "\n", "\t", "\r")
+#: What str.split takes for white space, other than the tokenizer.
+ODD = re.compile("[\x1c-\x1f]")
 
 
 class Words:
@@ -67,7 +70,10 @@ class Words:
             if "Σ" not in part and (part.isascii() or is_normalized("NFC", part)):
                 low = part.lower()
                 part = low if part.isascii() or is_normalized("NFC", low) else part
-            yield [w for gap in part.split("\n") for w in gap.replace("\t", " ").replace("\r", " ").split(" ") if w]
+            if ODD.search(part):
+                yield [w for gap in part.split("\n") for w in gap.replace("\t", " ").replace("\r", " ").split(" ") if w]
+            else:
+                yield part.split()
             at = cut
 
     def learn(self, missing: list[str]) -> None:
@@ -86,7 +92,10 @@ class Words:
         """Little-endian ids of four bytes."""
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        missing = set(words).difference(self.known)
+        found = list(map(self.known.get, words))  # one look at a large table for each word
+        if None not in found:
+            return b"".join(found)
+        missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
         parted = {}
         for word in missing:
             bare = word.rstrip(BEHIND)
@@ -94,7 +103,7 @@ class Words:
                 parted[word] = (bare, word[len(bare) :])
         self.learn([w for w in {*missing.difference(parted), *(p for own in parted.values() for p in own)} if w not in self.known])
         self.known.update((w, self.known[bare] + self.known[signs]) for w, (bare, signs) in parted.items())
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(self.known[w] if ids is None else ids for w, ids in zip(words, found, strict=True))
 
 
 @lru_cache(maxsize=4)
