@@ -175,11 +175,13 @@ def sound_hits(spark, sf):
 SPOKEN = [(w, e.lemma, e.severity, e.load_order) for e in DEFAULT.entries if e.skeleton_safe for w in e.romanizations if " " not in w]
 
 
-@query("WITH " + values("spoken", "word, lemma, severity, load_order", SPOKEN) + f", keyed AS (SELECT {sound_sql('word')} AS key, * FROM spoken) SELECT key, first(lemma ORDER BY severity DESC, load_order) AS lemma, max(severity) AS severity FROM keyed WHERE length(key) >= 4 GROUP BY key")
+@query("WITH " + values("spoken", "word, lemma, severity, load_order", SPOKEN) + f", keyed AS (SELECT {sound_sql('word')} AS key, * FROM spoken), best AS (SELECT key, first(lemma ORDER BY severity DESC, load_order) AS lemma, max(severity) AS severity FROM keyed WHERE length(key) >= 4 GROUP BY key)" + f", {TOKENS}, said AS (SELECT {sound_sql('token')} AS key, count(*) AS n FROM (SELECT DISTINCT token FROM words) GROUP BY 1) SELECT key, lemma, severity, coalesce(n, 0) AS words FROM best LEFT JOIN said USING (key)")
 def best_per_key(spark, sf):
+    """The severest entry of each sound, and how many distinct words of the documents sound just so."""
     spoken = spark.createDataFrame(SPOKEN, "word string, lemma string, severity int, load_order int")
     keys = spoken.withColumn("key", c.skeleton_key(F.col("word"))).where("length(key) >= 4")
-    return keys.groupBy("key").agg(F.max(F.struct("severity", (-F.col("load_order")).alias("first"), "lemma")).alias("b")).select("key", "b.lemma", "b.severity")
+    said = r.tokens(docs(spark, sf)).select("token").distinct().groupBy(c.skeleton_key(F.col("token")).alias("key")).agg(F.count("*").alias("words"))
+    return keys.groupBy("key").agg(F.max(F.struct("severity", (-F.col("load_order")).alias("first"), "lemma")).alias("b")).select("key", "b.lemma", "b.severity").join(said, "key", "left").withColumn("words", F.coalesce("words", F.lit(0)))
 
 
 @query(rf"WITH {FORMS}, shown AS (SELECT doc_id, len(regexp_extract_all(text, '\b{WORD}\b')) AS n FROM documents) SELECT doc_id, '{WORD}' AS surface, n FROM shown WHERE n > 0")
@@ -354,9 +356,11 @@ def profile_flags(spark, sf):
 # --- catalogue, kernel, reports, streams ------------------------------------------------------
 
 
-@query("WITH " + values("e", "language, script, i", [(e.language, e.script, e.load_order) for e in DEFAULT.entries]) + " SELECT language, count(*) AS lemma_count, list(DISTINCT script) AS scripts, min(i) AS load_order FROM e GROUP BY language")
+@query("WITH " + values("e", "language, script, i", [(e.language, e.script, e.load_order) for e in DEFAULT.entries]) + f", {FORMS}, {TOKENS}, {HITS}, h AS (SELECT language, count(*) AS n FROM hits GROUP BY language) SELECT language, count(*) AS lemma_count, list(DISTINCT script) AS scripts, min(i) AS load_order, coalesce(any_value(n), 0) AS hits FROM e LEFT JOIN h USING (language) GROUP BY language")
 def list_languages(spark, sf):
-    return lexicon.list_languages(lexicon.to_frame(spark))
+    """Every language of the lexicon, and how many words of the documents are its terms."""
+    found = hits(spark, sf).groupBy("language").agg(F.count("*").alias("n"))
+    return lexicon.list_languages(lexicon.to_frame(spark)).join(found, "language", "left").withColumn("hits", F.coalesce("n", F.lit(0))).drop("n")
 
 
 UNITS = r"length(regexp_replace(substr(text, 1, {at}), '[^\x{10000}-\x{10ffff}]', '', 'g'))"
@@ -475,10 +479,22 @@ def allow_dependence(spark, sf):
     return reports.allow_dependence(docs(spark, sf).select("doc_id", "text"), DEFAULT)
 
 
-@query("WITH g AS (SELECT range AS i FROM range(0, 600)) SELECT i AS doc_id, (i % 3 + 1) * 10 AS words, i % 3 = 0 AS profane FROM g")
+#: The 20 most frequent words of each language of the documents, as one list.
+COMMON = rf"""counted AS (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM documents WHERE lang IS NOT NULL) GROUP BY lang, token),
+common AS (SELECT lang, list(token ORDER BY n DESC, token) AS list FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS k FROM counted) WHERE k <= 20 GROUP BY lang)"""
+
+
+def common_words(spark, sf) -> DataFrame:
+    """lang, list: its 20 most frequent words in documents, the most frequent first."""
+    counted = r.tokens(docs(spark, sf).where("lang is not null"), keep=("lang",)).groupBy("lang", "token").agg(F.count("*").alias("n"))
+    ranked = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "token"))).where("k <= 20")
+    return ranked.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "token"))), lambda x: x["token"]).alias("list"))
+
+
+@query(f"WITH {COMMON} SELECT lang, i AS place, list[i % len(list) + 1] AS word, i % 3 = 0 AS profane, array_to_string(list_transform(range((i % 3 + 1) * 10), lambda j: CASE WHEN j = 4 AND i % 3 = 0 THEN '{WORD}' ELSE list[(i + j) % len(list) + 1] END), ' ') AS text FROM (SELECT *, unnest(range(60)) AS i FROM common)")
 def synthetic_corpus(spark, sf):
-    made = reports.synthetic(spark, 600, ("alpha", "beta", "gamma"), WORD)
-    return made.select("doc_id", F.size(F.split("text", " ")).cast("long").alias("words"), F.array_contains(F.split("text", " "), WORD).alias("profane"))
+    """Test texts of 10, 20 and 30 words made of each language's most frequent words; each third has a term of the lexicon."""
+    return reports.synthetic(common_words(spark, sf), 60, WORD).select("lang", "place", F.get("list", (F.col("place") % F.size("list")).cast("int")).alias("word"), (F.col("place") % 3 == 0).alias("profane"), "text")
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, median(value) AS median_value, min(value) AS least, max(value) AS most FROM events GROUP BY ALL")
@@ -497,30 +513,31 @@ def message_stream(spark, sf):
     return messages.answer(lines, DEFAULT)
 
 
-SUITES = "suites AS (SELECT language AS suite, form AS w, row_number() OVER (PARTITION BY language ORDER BY form) AS place FROM (SELECT DISTINCT language, form FROM forms WHERE regexp_full_match(form, '[a-z]+')))"
+SUITES = "suites AS (SELECT language AS suite, form AS w, row_number() OVER (PARTITION BY language ORDER BY form) AS place FROM (SELECT DISTINCT language, form FROM forms JOIN (SELECT DISTINCT token FROM words) ON token = form WHERE grams = 1 AND regexp_full_match(form, '[a-z]+')))"
 MADE = " UNION ALL ".join(f"SELECT suite, place, w, '{way}' AS axis, {evade.duck('w', way)} AS hidden, {1_000_000 + k} AS turn FROM suites" for k, way in enumerate(evade.LATIN))
 EXPANDED = f"""{SUITES}, made AS (SELECT * FROM ({MADE}) WHERE hidden IS NOT NULL), firsts AS (SELECT *, row_number() OVER (PARTITION BY suite, axis ORDER BY place) AS f FROM made),
 candidates AS (SELECT suite, 'control' AS kind, 'plain' AS axis, w, w AS hidden, place AS turn FROM suites UNION ALL SELECT suite, 'generated', axis, w, hidden, turn FROM firsts WHERE f = 1),
 kept AS (SELECT *, row_number() OVER (PARTITION BY suite, hidden ORDER BY turn) AS f FROM candidates), expanded AS (SELECT suite, kind, axis, w, hidden FROM kept WHERE f = 1)"""
 
 
-def suites(spark) -> DataFrame:
-    forms = lexicon.form_table(spark).where(F.col("form").rlike("^[a-z]+$")).select(F.col("language").alias("suite"), F.col("form").alias("w")).distinct()
+def suites(spark, sf) -> DataFrame:
+    """The terms of each language that documents hold."""
+    forms = hits(spark, sf).where(F.col("token").rlike("^[a-z]+$")).select(F.col("language").alias("suite"), F.col("token").alias("w")).distinct()
     return forms.withColumn("place", F.row_number().over(Window.partitionBy("suite").orderBy("w")))
 
 
-@query(f"WITH {FORMS}, {EXPANDED} SELECT * FROM expanded")
+@query(f"WITH {FORMS}, {TOKENS}, {EXPANDED} SELECT * FROM expanded")
 def case_expansion(spark, sf):
     """Each language's words hidden in every way, the first word that a way applies to, equal texts once."""
-    return reports.expand(suites(spark))
+    return reports.expand(suites(spark, sf))
 
 
-@query(f"""WITH {FORMS}, {EXPANDED}, axes(axis) AS (VALUES {", ".join(f"('{way}')" for way in sorted(evade.LATIN))}),
+@query(f"""WITH {FORMS}, {TOKENS}, {EXPANDED}, axes(axis) AS (VALUES {", ".join(f"('{way}')" for way in sorted(evade.LATIN))}),
 missing AS (SELECT suite, list(axis ORDER BY axis) AS inapplicable FROM (SELECT DISTINCT suite FROM suites), axes WHERE (suite, axis) NOT IN (SELECT (suite, axis) FROM candidates) GROUP BY suite)
 SELECT suite, (SELECT count(*) FROM expanded x WHERE x.suite = s.suite AND kind = 'control') AS control, (SELECT count(*) FROM expanded x WHERE x.suite = s.suite AND kind = 'generated') AS generated, (SELECT count(*) FROM expanded x WHERE x.suite = s.suite) AS total,
 (SELECT count(*) FROM candidates c WHERE c.suite = s.suite) - (SELECT count(*) FROM expanded x WHERE x.suite = s.suite) AS collapsed, coalesce(inapplicable, []) AS inapplicable FROM (SELECT DISTINCT suite FROM suites) s LEFT JOIN missing USING (suite)""")
 def battery_composition(spark, sf):
-    return reports.composition(suites(spark))
+    return reports.composition(suites(spark, sf))
 
 
 ORIGINS = rf"""heads AS (SELECT DISTINCT token AS w FROM words), fair AS (SELECT w FROM heads WHERE regexp_full_match(w, '[a-z]{{3,}}')),
@@ -554,16 +571,17 @@ def even_sample(spark, sf):
     return reports.sample_evenly(r.tokens(docs(spark, sf)), "token", 40)
 
 
-@query("WITH " + values("corpora", "corpus, list", list(reports.CORPORA.items())) + f""", made AS (SELECT corpus, words, every, list_transform(range(words), lambda i: CASE WHEN every > 0 AND i % greatest(every, 1) = 0 THEN '{WORD}' ELSE list[i % len(list) + 1] END) AS ws
-FROM corpora, (VALUES (100), (1000)) a(words), (VALUES (0), (10)) b(every)) SELECT corpus, words, every, array_to_string(ws, ' ') AS text FROM made""")
+@query(f"""WITH {COMMON}, made AS (SELECT lang AS corpus, words, every, list_transform(range(words), lambda i: CASE WHEN every > 0 AND i % greatest(every, 1) = 0 THEN '{WORD}' ELSE list[i % len(list) + 1] END) AS ws
+FROM common, (VALUES (100), (1000)) a(words), (VALUES (0), (10)) b(every)) SELECT corpus, words, every, array_to_string(ws, ' ') AS text FROM made""")
 def synthetic_corpora(spark, sf):
-    return reports.synthetic_corpora(spark, (100, 1000), WORD)
+    """Texts of each language's most frequent words, in two lengths, with and without a term of the lexicon."""
+    return reports.synthetic_corpora(common_words(spark, sf), (100, 1000), WORD)
 
 
-OTHER_SCRIPTS = "v AS (SELECT DISTINCT form AS w FROM forms WHERE NOT regexp_matches(form, '[a-z ]'))"
+OTHER_SCRIPTS = "v AS (SELECT DISTINCT token AS w FROM words WHERE regexp_matches(token, '[^\\x00-\\x7f]'))"
 
 
-@query(f"WITH {FORMS}, {OTHER_SCRIPTS} SELECT * FROM (" + " UNION ALL ".join(f"SELECT w, '{way}' AS axis, {sql} AS hidden FROM v" for way, sql in evade.duck_native("w").items()) + ") WHERE hidden IS NOT NULL")
+@query(f"WITH {TOKENS}, {OTHER_SCRIPTS} SELECT * FROM (" + " UNION ALL ".join(f"SELECT w, '{way}' AS axis, {sql} AS hidden FROM v" for way, sql in evade.duck_native("w").items()) + ") WHERE hidden IS NOT NULL")
 def native_cases(spark, sf):
-    """Words of other scripts hidden between their grapheme clusters."""
-    return reports.native_cases(lexicon.form_table(spark).where(~F.col("form").rlike("[a-z ]")).select(F.col("form").alias("w")).distinct())
+    """Words of documents with letters beyond ASCII, hidden between their grapheme clusters."""
+    return reports.native_cases(r.tokens(docs(spark, sf)).where(F.col("token").rlike(r"[^\x00-\x7f]")).select(F.col("token").alias("w")).distinct())

@@ -134,18 +134,19 @@ def allow_dependence(df: DataFrame, options: Options, id_col: str = "doc_id", te
     return both.groupBy("clean", "clean_bare").agg(F.count("*").alias("texts"))
 
 
-def synthetic(spark: SparkSession, n: int, words: tuple[str, ...], profane: str, every: int = 3) -> DataFrame:
-    """Deterministic documents of 10, 20 and 30 words; each `every`-th one has the profane word once."""
-    word = lambda i: F.element_at(F.array(*map(F.lit, words)), ((F.col("id") + i) % len(words) + 1).cast("int"))
-    length = ((F.col("id") % 3 + 1) * 10).cast("int")
-    made = F.transform(F.sequence(F.lit(1), length), lambda i: F.when((i == 5) & (F.col("id") % every == 0), F.lit(profane)).otherwise(word(i)))
-    return spark.range(n).select(F.col("id").alias("doc_id"), F.array_join(made, " ").alias("text"))
+def synthetic(lists: DataFrame, n: int, profane: str, every: int = 3) -> DataFrame:
+    """lists (with a column list of words), and place, text: n texts of 10, 20 and 30 of its words; each `every`-th has the profane word once."""
+    rows = lists.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    length = ((F.col("place") % 3 + 1) * 10).cast("int")
+    word = lambda j: F.get("list", ((F.col("place") + j) % F.size("list")).cast("int"))
+    made = F.transform(F.sequence(F.lit(0), length - 1), lambda j: F.when((j == 4) & (F.col("place") % every == 0), F.lit(profane)).otherwise(word(j)))
+    return rows.withColumn("text", F.array_join(made, " "))
 
 
 #: Plain sentences in six alphabets or styles, for texts of any length.
 CORPORA = {
     "ascii": "a small boat drifts past the old stone bridge at noon".split(),
-    "prose": "Meanwhile, 17 Tall Ships (built in 1904) sail; the EU says \"fine\" — why not?".split(),
+    "prose": "Meanwhile, 17 Tall Ships (built in 1904) sail; the EU says \"fine\" \u2014 why not?".split(),
     "devanagari": "आज मौसम अच्छा है और नदी के किनारे बहुत लोग घूम रहे हैं".split(),
     "tamil": "இன்று வானம் தெளிவாக உள்ளது ஆற்றின் கரையில் பலர் நடக்கிறார்கள்".split(),
     "bengali": "আজ আকাশ পরিষ্কার এবং নদীর ধারে অনেক মানুষ হাঁটছে".split(),
@@ -153,9 +154,14 @@ CORPORA = {
 }
 
 
-def synthetic_corpora(spark: SparkSession, sizes: tuple[int, ...], profane: str, every: tuple[int, ...] = (0, 10)) -> DataFrame:
-    """corpus, words, every, text: each sentence repeated to so many words, every so many-th (from the first) the profane one; 0: none."""
-    rows = spark.createDataFrame([(k, v, n, e) for k, v in CORPORA.items() for n in sizes for e in every], "corpus string, list array<string>, words int, every int")
+def sentences(spark: SparkSession) -> DataFrame:
+    """CORPORA as lists of words (lang, list)."""
+    return spark.createDataFrame(list(CORPORA.items()), "lang string, list array<string>")
+
+
+def synthetic_corpora(lists: DataFrame, sizes: tuple[int, ...], profane: str, every: tuple[int, ...] = (0, 10)) -> DataFrame:
+    """corpus (lang of lists), words, every, text: each list repeated to so many words, every so many-th (from the first) the profane one; 0: none."""
+    rows = lists.select(F.col("lang").alias("corpus"), "list", F.explode(F.array(*map(F.lit, sizes))).alias("words")).withColumn("every", F.explode(F.array(*map(F.lit, every))))
     word = lambda i: F.when((F.col("every") > 0) & (i % F.greatest("every", F.lit(1)) == 0), F.lit(profane)).otherwise(F.get("list", (i % F.size("list")).cast("int")))
     return rows.select("corpus", "words", "every", F.array_join(F.transform(F.sequence(F.lit(0), F.col("words") - 1), word), " ").alias("text"))
 
