@@ -1,3 +1,15 @@
 """Text-moderation analytics on Spark: lexicon scans, folds, vetoes and reports as DataFrames."""
 
 __version__ = "0.1.0"
+
+
+def ship(spark):
+    """Sends this package to the executors, for sessions whose workers can't import it from where they run."""
+    import pathlib
+    import shutil
+    import tempfile
+
+    home = pathlib.Path(__file__).parent
+    archive = shutil.make_archive(tempfile.mkdtemp() + "/wardlight", "zip", home.parent, home.name)
+    spark.sparkContext.addPyFile(archive)
+    return spark

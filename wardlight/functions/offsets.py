@@ -88,19 +88,19 @@ def base(x: Traced) -> Traced:
     single = {a: b for a, b in points.items() if len(b) == 1}
     made = F.translate(x.text, gone + "".join(map(chr, wide)) + "".join(single), GONE * len(gone) + "".join(chr(w - t.WIDE_SHIFT) for w in wide) + "".join(single.values()))
     x = x.marked(F.lower(made))
-    marked = x.text
+    indic, marked = x.text.rlike("[\u0900-\u0dff]"), x.text
     for rules in t.SCRIPTS.values():
         v = rules["virama"]
         if rules["nasals"]:
             again = r"|(?<!^)\G" if rules["runs"] else ""
             marked = F.regexp_replace(marked, f"(?:(?<=[{rules['nasals']}]){again}){v}", GONE)
             marked = F.regexp_replace(marked, f"[{rules['nasals']}](?={GONE})", rules["anusvara"])
-    x = x.marked(marked)
+    x = x.marked(F.when(indic, marked).otherwise(x.text))
     marked = x.text
     for rules in t.SCRIPTS.values():
         if rules["runs"]:
             marked = F.regexp_replace(marked, f"(?<={rules['virama']}){rules['virama']}", GONE)
-    return x.marked(marked)
+    return x.marked(F.when(indic, marked).otherwise(x.text))
 
 
 def latin(x: Traced) -> Traced:

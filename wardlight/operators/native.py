@@ -18,7 +18,20 @@ from ..sources.lexicon import Options
 
 W = r"[\p{L}\p{M}\p{N}]"
 MARK = ""
-SIGNS = "".join(t.LEET_SIGNS)
+
+
+def as_ranges(chars: str) -> str:
+    """Characters as the inside of a character class, neighbours as ranges: each range costs a test for every character."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, set(chars))):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in out)
+
+
+SPACE = as_ranges(t.SPACES)
 TAIL_MOST = 3
 MATCH = ("lemma", "surface", "tier", "language", "severity", "categories", "casual_use", "start", "end", "char_start", "char_end")
 
@@ -53,7 +66,7 @@ def starts_of(text: Column, one: str) -> Column:
 def pieces(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """A row per piece of each text: row_ (names the text), k0, k1 ... (the columns kept), start, piece, before and after
     (the neighbour one blank away, else null), wide (places of characters of two units)."""
-    some, blank = f"[^{t.SPACES}]", f"[{t.SPACES}]"
+    some, blank = f"[^{SPACE}]", f"[{SPACE}]"
     text = F.col("t_")
     rows = df.select(F.monotonically_increasing_id().alias("row_"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keep)], F.col(text_col).alias("t_"))
     names = ["row_", *[f"k{i}" for i in range(len(keep))]]
@@ -193,7 +206,7 @@ def scan_rows(df: DataFrame, text_col: str = "text", options: Options = Options(
     df has columns of the match's names, the match's replace them.
     """
     keep = [c for c in df.columns if c != text_col and c not in MATCH]
-    v = folded(df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(f"[^{t.SPACES}]+"), F.lit(0)))).alias("piece")).distinct(), "piece")
+    v = folded(df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(f"[^{SPACE}]+"), F.lit(0)))).alias("piece")).distinct(), "piece")
     names = ["row_", *[f"k{i}" for i in range(len(keep))]]
     found = phrased(pieces(df, text_col, keep).join(piece_hits(v, probes(df.sparkSession, options), options), "piece"))
     shift = F.coalesce(F.length("before") + 1, F.lit(0))
