@@ -258,7 +258,6 @@ def link(nodes: DataFrame, sent: DataFrame, percent: int = PERCENT) -> DataFrame
     spark = nodes.sparkSession
     lists = materialize(nodes.select("digest", "n", "matches", "odd", F.explode(F.arrays_zip("tokens", "spots")).alias("z")).select("digest", "n", "matches", "odd", F.col("z.tokens").alias("token"), F.col("z.spots").alias("spot")), "join-lists")
     entries = lists.count()
-    links = spark.createDataFrame([], "a string, b string")
     labels = spark.createDataFrame([], "node string, label string")
     fits = may_link(percent)
     seen = ["digest", "label", "n", "odd", "spot", "matches"]
@@ -280,11 +279,20 @@ def link(nodes: DataFrame, sent: DataFrame, percent: int = PERCENT) -> DataFrame
         found = pairs.groupBy(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("matches", "other_matches")).alias("least")).where("shared >= least").select("a", "b")
         new = verify(found, nodes, sent, percent, entries)
         if new.limit(1).count():
-            links = links.union(new)
-            labels = components(links)
+            labels = relabelled(labels, new, entries)
     return labels
 
 
+def relabelled(labels: DataFrame, new: DataFrame, entries: int) -> DataFrame:
+    """labels (node, label) after new links (a, b): only classes are joined, by their labels, so earlier links aren't looked at again."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    ends = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b"))
+    ends = materialize(ends, "join-ends", entries)
+    over = components(ends, "label_a", "label_b").select(F.col("node").alias("label"), F.col("label").alias("least"))
+    nodes = labels.union(ends.select("a", "label_a")).union(ends.select("b", "label_b")).distinct()
+    return materialize(nodes.join(over, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "join-labels", entries)
+
+
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT, size: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Component of each document under links of Jaccard similarity of percent / 100 or more.
 
