@@ -1,5 +1,6 @@
 """Relational plans: agreement with the kernel, overlaps against the kernel's, plan shapes, oracle queries at the smallest scale."""
 
+import hashlib
 import random
 import re
 import unicodedata
@@ -215,3 +216,11 @@ def test_reports_equal_the_kernel(spark):
     alone = {r.library: (r.caught, r.cases) for r in reports.isolation(made, options).collect()}
     packs = {"all": options} | {p.language: Options(packs=(p,)) for p in options.packs}
     assert alone == {k: (sum(kernel.scanner(o).any(r.hidden) for r in rows), len(rows)) for k, o in packs.items()}
+
+
+def test_even_sample_of_more_values_than_a_sample_of_the_order_sees(spark):
+    # ranges that are drawn anew for each reading of the values would move the places
+    words = spark.range(60_000).select(F.md5(F.col("id").cast("string")).alias("w")).unionByName(spark.range(5).select(F.lit(None).cast("string").alias("w"))).repartition(6)
+    want = sorted(hashlib.md5(str(i).encode()).hexdigest() for i in range(60_000))
+    for k in (7, 40):
+        assert sorted(r.w for r in reports.sample_evenly(words, "w", k).collect()) == [want[i * 60_000 // k] for i in range(k)]

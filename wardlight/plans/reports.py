@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import evade
@@ -166,21 +166,33 @@ def synthetic_corpora(lists: DataFrame, sizes: tuple[int, ...], profane: str, ev
     return rows.select("corpus", "words", "every", F.array_join(F.transform(F.sequence(F.lit(0), F.col("words") - 1), word), " ").alias("text"))
 
 
+#: Values whose order gives the ranges of sample_evenly, and how many of them lie in a range.
+DRAWN, DRAWN_EACH = 2048, 16
+
+
 def sample_evenly(df: DataFrame, order: str, k: int) -> DataFrame:
     """k distinct values of a column at even distances in its order (all if there are no more), exactly.
 
-    The values are sorted over all partitions; the driver receives a count for each partition and
-    nothing of the values.
+    Values are counted in ranges between fixed bounds, so every reading of df gives the same places. The bounds are
+    among DRAWN values of the least hashes (strings by their first 64 characters), which reach the driver with a
+    count for each range; the ranges that hold a place are sorted.
     """
-    listed = df.select(order).where(F.col(order).isNotNull()).distinct().orderBy(order).withColumn("id_", F.monotonically_increasing_id())
-    part, row = F.shiftright("id_", 33), F.col("id_").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r["part"]: r["count"] for r in listed.groupBy(part.alias("part")).count().collect()}
-    total, before, starts = sum(counts.values()), 0, []
-    for p in sorted(counts):
-        starts += [F.lit(p), F.lit(before)]
-        before += counts[p]
+    values = df.select(order).where(F.col(order).isNotNull()).distinct()
+    short = F.substring(order, 1, 64) if dict(values.dtypes)[order] == "string" else F.col(order)
+    drawn = values.orderBy(F.xxhash64(order), order).limit(DRAWN).select(short.alias("v")).distinct().orderBy("v").collect()
+    bounds = F.array(*[F.lit(r["v"]) for r in drawn[DRAWN_EACH::DRAWN_EACH]])
+    dealt = values.withColumn("range_", F.size(F.filter(bounds, lambda b: b <= F.col(order))) if len(drawn) > DRAWN_EACH else F.lit(0))
+    counts = {r["range_"]: r["count"] for r in dealt.groupBy("range_").count().collect()}
+    total, before, places = sum(counts.values()), 0, []
+    wanted = range(total) if total <= k else [i * total // k for i in range(k)]
+    for part in sorted(counts):
+        places += [(part, i - before + 1) for i in wanted if before <= i < before + counts[part]]
+        before += counts[part]
     if not total:
         return df.select(order).limit(0)
-    wanted = range(total) if total <= k else [i * total // k for i in range(k)]
-    place = F.create_map(*starts)[part] + row
-    return listed.withColumn("place_", place.cast("long")).where(F.col("place_").isin(*wanted)).select(order)
+    rows = dealt.where(F.col("range_").isin(sorted({p for p, _ in places}))).withColumn("row_", F.row_number().over(Window.partitionBy("range_").orderBy(order)))
+    held = {p: [i for q, i in places if q == p] for p, _ in places}
+    fits = F.lit(False)
+    for part, own in held.items():
+        fits = fits | ((F.col("range_") == part) & F.col("row_").isin(own))
+    return rows.where(fits).select(order)
