@@ -214,10 +214,21 @@ def word_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(F.trim("value")).alias("word")).where("word <> ''").distinct()
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows as a relation whose size the engine knows: from Arrow. Of plain tuples it would make an RDD of unknown size and shuffle all that is joined to it."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema=_parse_datatype_string(schema))
+
+
 def form_table(spark: SparkSession, options: Options = Options()) -> DataFrame:
     """One row per (form, entry): the exact patterns for relational plans, small enough to broadcast."""
     rows = [(f, len(f), f.count(" ") + 1, e.lemma, e.language, e.severity, list(e.categories), e.match_mode, e.casual_use, e.load_order) for f, entries in options.exact.items() for e in dict.fromkeys(entries)]
-    return spark.createDataFrame(rows, "form string, form_len int, grams int, lemma string, language string, severity int, categories array<string>, match_mode string, casual_use boolean, load_order int")
+    return local(spark, rows, "form string, form_len int, grams int, lemma string, language string, severity int, categories array<string>, match_mode string, casual_use boolean, load_order int")
 
 
 def allow_table(spark: SparkSession, options: Options = Options()) -> DataFrame:
@@ -225,7 +236,7 @@ def allow_table(spark: SparkSession, options: Options = Options()) -> DataFrame:
 
 
 def key_table(spark: SparkSession, options: Options = Options()) -> DataFrame:
-    return spark.createDataFrame([(k, len(k), e.lemma, e.severity) for k, e in options.sounds.items()], "key string, key_len int, lemma string, severity int")
+    return local(spark, [(k, len(k), e.lemma, e.severity) for k, e in options.sounds.items()], "key string, key_len int, lemma string, severity int")
 
 
 def summaries(options: Options) -> list[dict]:
