@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from wardlight.plans import queries, reports
 from wardlight.operators import kernel, moderation
 from wardlight.plans import relational as r
 from wardlight.sources import lexicon
@@ -118,3 +119,22 @@ def test_batches_are_taken_apart(spark, monkeypatch):
     monkeypatch.setattr(moderation, "AT_ONCE", 3)
     df = spark.createDataFrame([(i, "thing" if i % 2 else "none") for i in range(20)], "doc_id int, text string").coalesce(1)
     assert moderation.check(df).where("not clean").count() == 10 and moderation.scan_rows(df.limit(0)).count() == 0
+
+
+def test_the_lexicon_has_a_known_size(spark):
+    words = spark.range(10).select(F.col("id").cast("string").alias("token"))
+    assert "BroadcastHashJoin" in r.token_hits(words, lexicon.form_table(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in r.sound_hits(words, lexicon.key_table(spark))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_without_a_term_are_not_collected(spark):
+    plan = queries.QUERIES["origin_split"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 3  # headwords, inflections and the words that pairs are made of
+
+
+def test_one_python_worker_for_all_packs(spark):
+    cases = spark.createDataFrame([("thing",), ("zorp",), ("none",), (None,)], "hidden string")
+    assert reports.isolation(cases, Options())._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    each = [Options(), Options(packs=Options().packs[:1])]
+    got = cases.select(moderation.is_clean_each("hidden", each).alias("a"), *[moderation.is_clean("hidden", o).alias(f"c{i}") for i, o in enumerate(each)]).collect()
+    assert all(x.a == [x.c0, x.c1] for x in got) and {x.a[0] for x in got} == {True, False}

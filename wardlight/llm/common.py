@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import read
+from ..sources.tables import read, small_batches
 
 #: Java and Python pattern of what separates words; words are `[^\x20\x09-\x0D]+`.
 BREAKS = r"[ \t-\r]+"
@@ -44,16 +44,6 @@ def tidy() -> None:
         pass
 
 
-#: Rows of an Arrow batch, where the session leaves Spark's 10,000: a batch of texts is held several times over by a task.
-BATCH_ROWS = 256
-BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    if spark.conf.get(BATCH_SETTING) == "10000":
-        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. Where none is named, a local one serves a local master; on a cluster that would lose data, so it is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..sources.lexicon import PACKS, Options
+from ..sources.tables import small_batches
 from .kernel import Found, resolve, scanner
 
 # Offsets count UTF-16 units (start, end); char_start and char_end count characters, as SQL's substring does.
@@ -41,6 +42,12 @@ def slices(batches: Iterator) -> Iterator:
             yield tuple(map(part, batch)) if isinstance(batch, tuple) else part(batch)
 
 
+def in_parts() -> None:
+    """Lets the active session hand texts to Python in small batches."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        small_batches(spark)
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name.lower() in {c.lower() for c in df.columns}:
@@ -50,6 +57,7 @@ def free(df: DataFrame, name: str) -> str:
 
 def scan(col: Column | str, options: Options = Options()) -> Column:
     """struct<matches, max_severity> of a text column; one compiled lexicon per Python worker. Null: no matches."""
+    in_parts()
 
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -68,6 +76,7 @@ def scan_each(text: Column, least: Column, mask: Column, keep_first: Column, hid
     languages (array, or null for all) choose the packs that the row's lexicon is compiled of. failed: the
     scan of a text broke off; the other rows go on.
     """
+    in_parts()
 
     @F.pandas_udf(f"{RESULT}, censored string, failed boolean")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
@@ -91,6 +100,7 @@ def scan_each(text: Column, least: Column, mask: Column, keep_first: Column, hid
 
 def is_clean(col: Column | str, options: Options = Options()) -> Column:
     """Whether scan finds nothing; null texts are clean."""
+    in_parts()
 
     @F.pandas_udf("boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -101,10 +111,47 @@ def is_clean(col: Column | str, options: Options = Options()) -> Column:
     return run(F.col(col) if isinstance(col, str) else col)
 
 
+def is_clean_each(col: Column | str, each: list[Options], narrowing: bool = False) -> Column:
+    """is_clean for several options as one array, by one Python worker for all of them: columns of their own would have a worker each.
+
+    narrowing: what one of the options finds, all before it find, so a text that is clean for one is clean for all after it.
+    """
+    in_parts()
+
+    @F.pandas_udf("array<boolean>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        founds = [scanner(options).any for options in each]
+        for batch in batches:
+            rows = []
+            for text in batch:
+                row: list[bool] = []
+                for found in founds:
+                    row.append(bool(narrowing and row and row[-1]) or not found(text))
+                rows.append(row)
+            yield pd.Series(rows, dtype="object")
+
+    return run(F.col(col) if isinstance(col, str) else col)
+
+
+def counted(col: Column | str, options: Options = Options()) -> Column:
+    """struct<n, most>: how many matches scan finds and the highest severity, without the matches."""
+    in_parts()
+
+    @F.pandas_udf("n int, most int")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scan_one = scanner(options).scan
+        for batch in batches:
+            found = [[c.entry.severity for c in scan_one(text)] for text in batch]
+            yield pd.DataFrame({"n": pd.array([*map(len, found)], dtype="int32"), "most": pd.array([max(x, default=None) for x in found], dtype="Int32")})
+
+    return run(F.col(col) if isinstance(col, str) else col)
+
+
 def censor(col: Column | str, options: Options = Options(), mask: str = "*", keep_first: bool = False) -> Column:
     """The text with its matches masked, a mask for each grapheme cluster; null stays null."""
     if not mask:
         raise ValueError("mask is empty")
+    in_parts()
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -133,9 +180,9 @@ def check(df: DataFrame, col: str = "text", options: Options = Options()) -> Dat
     if options.min_severity not in range(5):
         raise ValueError(f"min_severity {options.min_severity}")
     held = free(df, "scan_")
-    found = df.withColumn(held, scan(col, options))
+    found = df.withColumn(held, counted(col, options))
     languages = F.array(*[F.lit(p.language) for p in options.packs]).cast("array<string>")
-    made = {"clean": F.size(f"{held}.matches") == 0, "match_count": F.size(f"{held}.matches"), "max_severity": F.col(f"{held}.max_severity"), "languages": languages}
+    made = {"clean": F.col(f"{held}.n") == 0, "match_count": F.col(f"{held}.n"), "max_severity": F.col(f"{held}.most"), "languages": languages}
     return found.select(*[c for c in df.columns if c not in made], *[v.alias(k) for k, v in made.items()])
 
 

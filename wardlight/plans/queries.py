@@ -15,7 +15,7 @@ from ..functions import tables as t
 from ..operators import moderation, native
 from ..sources import lexicon
 from ..sources.lexicon import Options
-from ..sources.tables import read
+from ..sources.tables import dealt, read, small_batches
 from ..streaming import messages
 from . import relational as r
 from . import reports, scan_sql
@@ -32,6 +32,11 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", "text", "lang", "source")
 
 
+def whole_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the kernel reads: ids and texts, in parts whose size doesn't grow with the table."""
+    return dealt(spark, sf, "documents", ["doc_id", "text"])
+
+
 def form_rows(options: Options = DEFAULT) -> list[tuple]:
     return [(f, len(f), f.count(" ") + 1, e.lemma, e.language, e.severity, e.categories, e.match_mode, e.casual_use, e.load_order) for f, entries in options.exact.items() for e in dict.fromkeys(entries)]
 
@@ -187,8 +192,8 @@ def best_per_key(spark, sf):
 @query(rf"WITH {FORMS}, shown AS (SELECT doc_id, len(regexp_extract_all(text, '\b{WORD}\b')) AS n FROM documents) SELECT doc_id, '{WORD}' AS surface, n FROM shown WHERE n > 0")
 def picture_hits(spark, sf):
     """Emoji inside a word, by the kernel."""
-    put = docs(spark, sf).withColumn("text", F.regexp_replace("text", rf"\b{WORD}\b", ", th\U0001f525ing ,"))
-    found = moderation.scan_rows(put.select("doc_id", "text"), options=Options(custom_words=())).where("tier = 'masked' and surface like '%\U0001f525%'")
+    put = whole_texts(spark, sf).withColumn("text", F.regexp_replace("text", rf"\b{WORD}\b", ", th\U0001f525ing ,"))
+    found = moderation.scan_rows(put, options=Options(custom_words=())).where("tier = 'masked' and surface like '%\U0001f525%'")
     return found.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(WORD).alias("surface"), "n")
 
 
@@ -262,13 +267,13 @@ OWN = Options(packs=(), custom_words=("thing", "tion"), custom_allow=("thing of"
 @query(censored_sql(OWN))
 def censor_custom(spark, sf):
     """Words and an allow phrase given by the caller, masked in all documents."""
-    return docs(spark, sf).select("doc_id", moderation.censor("text", OWN).alias("censored"))
+    return whole_texts(spark, sf).select("doc_id", moderation.censor("text", OWN).alias("censored"))
 
 
 @query(censored_sql(DEFAULT, "left_grapheme(substr(text, s + 1, e - s), 1)", 1))
 def censor_keep_first(spark, sf):
     """All documents, the first cluster of each match left."""
-    return docs(spark, sf).select("doc_id", moderation.censor("text", keep_first=True).alias("censored"))
+    return whole_texts(spark, sf).select("doc_id", moderation.censor("text", keep_first=True).alias("censored"))
 
 
 # --- folds ------------------------------------------------------------------------------------
@@ -329,13 +334,15 @@ per_word("fold_leet", lambda w: c.fold_leet(F.translate(w, "eio", "310")), leet_
 def nfc_fold(spark, sf):
     """Decomposes each text and composes it again, by the kernel's NFC step."""
 
+    small_batches(spark)
+
     @F.pandas_udf("string")
     def compose(batch: pd.Series) -> pd.Series:
         import unicodedata
 
         return batch.map(lambda x: texts.run(texts.LOOSE_NFC, unicodedata.normalize("NFD", x)), na_action="ignore")
 
-    made = docs(spark, sf).select("doc_id", "text", compose("text").alias("composed"))
+    made = whole_texts(spark, sf).select("doc_id", "text", compose("text").alias("composed"))
     return made.select("doc_id", (F.col("composed") == F.col("text")).alias("same"), F.length("composed").cast("long").alias("n"))
 
 
@@ -371,7 +378,7 @@ BARE = Options(packs=tuple(replace(p, allowlist=(), entries=tuple(replace(e, all
 
 @query(scanned_sql(DEFAULT, MATCHES))
 def scan_matches(spark, sf):
-    return moderation.scan_rows(docs(spark, sf).select("doc_id", "text"))
+    return moderation.scan_rows(whole_texts(spark, sf))
 
 
 @query(scanned_sql(DEFAULT, MATCHES))
@@ -397,17 +404,17 @@ def scan_planted(spark, sf):
     """All documents with one hidden word at the end, by turns."""
     hidden = F.array(*[F.lit(p[0]) for p in PLANTED])
     put = F.concat("text", F.lit(" ;; "), F.get(hidden, (F.col("doc_id") % len(PLANTED)).cast("int")), F.lit(" ."))
-    return moderation.scan_rows(docs(spark, sf).select("doc_id", put.alias("text")))
+    return moderation.scan_rows(whole_texts(spark, sf).select("doc_id", put.alias("text")))
 
 
 @query(scanned_sql(DEFAULT, f"SELECT doc_id, match_count = 0 AS clean, match_count, max_severity, {scan_sql.quoted([p.language for p in DEFAULT.packs])} AS languages FROM ({CHECKED})"))
 def check_texts(spark, sf):
-    return moderation.check(docs(spark, sf).select("doc_id", "text")).drop("text")
+    return moderation.check(whole_texts(spark, sf)).drop("text")
 
 
 @query(censored_sql(DEFAULT))
 def censor_texts(spark, sf):
-    return docs(spark, sf).select("doc_id", moderation.censor("text").alias("censored"))
+    return whole_texts(spark, sf).select("doc_id", moderation.censor("text").alias("censored"))
 
 
 @query(f"WITH {FORMS}, {TOKENS}, {HITS}, f AS (SELECT DISTINCT doc_id FROM hits) SELECT toxic, count(*) AS labelled, count(f.doc_id) AS flagged FROM labels l LEFT JOIN f USING (doc_id) GROUP BY toxic")
@@ -446,7 +453,7 @@ def misses_by_axis(spark, sf):
 
 @query(scanned_sql(DEFAULT, "SELECT tier, count(DISTINCT doc_id) AS cases FROM kept GROUP BY tier"))
 def tier_counts(spark, sf):
-    return reports.tiers(moderation.scan_rows(docs(spark, sf).select("doc_id", "text")), "doc_id")
+    return reports.tiers(moderation.scan_rows(whole_texts(spark, sf)), "doc_id")
 
 
 def readers(spark, sf):
@@ -476,7 +483,7 @@ def pack_isolation(spark, sf):
 @query(f"""SELECT clean, clean_bare, count(*) AS texts FROM (SELECT rid, doc_id, match_count = 0 AS clean FROM ({scanned_sql(DEFAULT, CHECKED.replace("SELECT doc_id", "SELECT rid, doc_id"))})) a
 JOIN (SELECT rid, match_count = 0 AS clean_bare FROM ({scanned_sql(BARE, CHECKED.replace("SELECT doc_id", "SELECT rid, doc_id"))})) b USING (rid) GROUP BY clean, clean_bare""")
 def allow_dependence(spark, sf):
-    return reports.allow_dependence(docs(spark, sf).select("doc_id", "text"), DEFAULT)
+    return reports.allow_dependence(whole_texts(spark, sf), DEFAULT)
 
 
 #: The 20 most frequent words of each language of the documents, as one list.
@@ -509,7 +516,7 @@ ANSWERS = f"""SELECT CAST(doc_id AS VARCHAR) AS id, 'check_text' AS method, CASE
 @query(scanned_sql(DEFAULT, ANSWERS))
 def message_stream(spark, sf):
     """Requests as lines of JSON, answered by the file stream's batch twin."""
-    lines = docs(spark, sf).select(F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("doc_id").alias("id"), F.lit("check_text").alias("method"), F.struct("text").alias("params"))).alias("value"))
+    lines = whole_texts(spark, sf).select(F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("doc_id").alias("id"), F.lit("check_text").alias("method"), F.struct("text").alias("params"))).alias("value"))
     return messages.answer(lines, DEFAULT)
 
 
@@ -551,10 +558,14 @@ claims AS (SELECT DISTINCT w, language AS library FROM (SELECT w, unnest(string_
 def origin_split(spark, sf):
     """Words of the corpus, pairs of neighbours and regular inflections that each language's dictionary flags."""
     heads = r.tokens(docs(spark, sf)).select(F.col("token").alias("w")).distinct()
-    listed = docs(spark, sf).select(F.regexp_extract_all(F.lower("text"), F.lit(W), F.lit(0)).alias("ts"))
-    near = F.transform(F.sequence(F.lit(1), F.size("ts") - 1), lambda i: F.concat_ws(" ", F.get("ts", i - 1), F.get("ts", i)))
-    pairs = listed.where(F.size("ts") > 1).select(F.explode(near).alias("w")).distinct()
-    words = reports.origins(heads, pairs)
+    terms = lexicon.form_table(spark).where("grams = 1").select(F.col("form").alias("w")).distinct()
+    listed = docs(spark, sf).select(F.regexp_extract_all(F.lower("text"), F.lit(W), F.lit(0)).alias("ts")).where(F.size("ts") > 1)
+    # pairs without a term count for no dictionary, so each term is put together with its two neighbours
+    near = F.transform("ts", lambda x, i: F.struct(x.alias("w"), F.when(i > 0, F.get("ts", i - 1)).alias("before"), F.get("ts", i + 1).alias("after")))
+    termed = listed.select(F.inline(near)).join(terms, "w", "left_semi")
+    both = F.array(F.when(F.col("before").isNotNull(), F.concat_ws(" ", "before", "w")), F.when(F.col("after").isNotNull(), F.concat_ws(" ", "w", "after")))
+    pairs = termed.select(F.explode(F.filter(both, lambda x: x.isNotNull())).alias("w")).distinct()
+    words = reports.origins(heads, pairs, terms)
     parts = words.select("w", F.explode(F.split("w", " ")).alias("token"))
     return reports.origin_split(words, r.token_hits(parts, lexicon.form_table(spark)).select("w", F.col("language").alias("library")))
 

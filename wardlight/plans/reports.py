@@ -88,7 +88,8 @@ def vote_summary(claims: DataFrame) -> DataFrame:
 def isolation(made: DataFrame, options: Options) -> DataFrame:
     """Cases that each pack catches alone, and that all catch together; the cases are read once."""
     by = {"all": options} | {p.language: replace(options, packs=(p,)) for p in options.packs}
-    hit = made.select(*[(~moderation.is_clean("hidden", o)).cast("long").alias(f"hit_{k}") for k, o in by.items()])
+    clean = made.select(moderation.is_clean_each("hidden", list(by.values())).alias("clean_"))
+    hit = clean.select(*[(~F.col("clean_")[i]).cast("long").alias(f"hit_{k}") for i, k in enumerate(by)])
     sums = hit.agg(*[F.sum(f"hit_{k}").alias(k) for k in by], F.count("*").alias("cases"))
     return sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("library"), F.col(k).alias("caught")) for k in by])).alias("m"), "cases").select("m.*", "cases")
 
@@ -102,17 +103,24 @@ ENDINGS = (
 )
 
 
-def inflections(words: DataFrame) -> DataFrame:
-    """w: the distinct regular inflections of words of a-z of three letters or more, those words left out."""
+def inflections(words: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """w: the distinct regular inflections of words of a-z of three letters or more, those words left out; only those in among (w), if given."""
     fair = words.where(F.col("w").rlike("^[a-z]{3,}$"))
     made = F.array(*[F.expr(f"CASE WHEN {test} THEN {form} END") for test, form in ENDINGS])
-    return fair.select(F.explode(F.filter(made, lambda x: x.isNotNull())).alias("w")).distinct().join(words, "w", "left_anti")
+    rows = fair.select(F.explode(F.filter(made, lambda x: x.isNotNull())).alias("w"))
+    return (rows if among is None else rows.join(among, "w", "left_semi")).distinct().join(words, "w", "left_anti")
 
 
-def origins(headwords: DataFrame, compounds: DataFrame) -> DataFrame:
-    """w, origin: headword, compound, or inflection of a headword."""
+def origins(headwords: DataFrame, compounds: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """w, origin: headword, compound, or inflection of a headword.
+
+    among (w): only these words as headwords and inflections, if given.
+    """
+    made = inflections(headwords)
+    if among is not None:
+        headwords, made = headwords.join(among, "w", "left_semi"), inflections(headwords, among)
     parts = headwords.select("w", F.lit("headword").alias("origin")).unionByName(compounds.select("w", F.lit("compound").alias("origin")))
-    return parts.unionByName(inflections(headwords).select("w", F.lit("inflection").alias("origin")))
+    return parts.unionByName(made.select("w", F.lit("inflection").alias("origin")))
 
 
 def origin_split(words: DataFrame, claims: DataFrame) -> DataFrame:
@@ -130,7 +138,9 @@ def repeated(df: DataFrame, text_col: str = "text", by: str = "source") -> DataF
 def allow_dependence(df: DataFrame, options: Options, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts that are clean thanks to allow phrases alone: clean as compiled, not clean without the phrases."""
     bare = tuple(replace(p, allowlist=(), entries=tuple(replace(e, allowlist=()) for e in p.entries)) for p in options.packs)
-    both = df.select(id_col, moderation.is_clean(text_col, options).alias("clean"), moderation.is_clean(text_col, replace(options, packs=bare, custom_allow=())).alias("clean_bare"))
+    # phrases only ever take matches away
+    each = moderation.is_clean_each(text_col, [replace(options, packs=bare, custom_allow=()), options], narrowing=True)
+    both = df.select(each.alias("clean_")).select(F.col("clean_")[1].alias("clean"), F.col("clean_")[0].alias("clean_bare"))
     return both.groupBy("clean", "clean_bare").agg(F.count("*").alias("texts"))
 
 
