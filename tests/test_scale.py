@@ -138,3 +138,19 @@ def test_one_python_worker_for_all_packs(spark):
     each = [Options(), Options(packs=Options().packs[:1])]
     got = cases.select(moderation.is_clean_each("hidden", each).alias("a"), *[moderation.is_clean("hidden", o).alias(f"c{i}") for i, o in enumerate(each)]).collect()
     assert all(x.a == [x.c0, x.c1] for x in got) and {x.a[0] for x in got} == {True, False}
+
+
+def test_stretches_around_what_can_hit_hold_all_matches():
+    rng = random.Random(8)
+    words = "a o t h n g th ing fro bni cate thing things thinggg Thing, (thing) something zorp gardens frobnicate county ering the er nation erble of jham pood jhampudam keiteinä temboktoo e.g. x/y t.h i.n.g (t h.i.n g) category-th th- -ing th1ng t#ng #SoThing a$ b@ th\u200bing \u200b \u0301 th\ufeffing ൻ झंपूड टंरिपा instanzi phrobnicate".split(" ")
+    dull = "house elephant keyboard wonderful gardening mountains".split()
+    scan = kernel.Scanner(Options())
+    key = lambda found: [(c.start, c.end, c.tier, c.entry, c.core) for c in kernel.resolve(found)]
+    for k in range(1500):
+        pool = words if k % 3 else [*rng.sample(words, 5), *dull * 6]
+        text = "".join(rng.choice(pool) + rng.choice([" "] * 12 + ["\n", "  ", "\t", "-", ".", "\xa0", "\x1c"]) for _ in range(rng.randrange(1, 60)))
+        assert key(scan.surviving(text)) == key(scan.surviving_in(text)), text
+        assert scan.any(text) == bool(scan.surviving_in(text)), text
+    # the rest isn't read at all
+    quiet = " ".join(rng.choice(dull) for _ in range(5000))
+    assert scan.narrowed(quiet)[0] == "" and len(scan.narrowed(f"{quiet} thing {quiet}")[0]) < 200
