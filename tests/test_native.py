@@ -32,3 +32,11 @@ def test_filters_and_empty_tables(spark):
     empty = native.scan_rows(spark.createDataFrame([], "text string, lemma string, row_ int"))
     assert empty.count() == 0 and empty.columns == ["row_", *native.MATCH]
     assert "Python" not in native.scan_rows(spark.createDataFrame([("a",)], "text string"))._jdf.queryExecution().toString()
+
+
+def test_pieces_that_cannot_hit_stay_in_their_row(spark):
+    quiet = "the house, 1999 (well-known) don't größe été THE!! keyboard\n" * 40
+    df = spark.createDataFrame([(quiet + "a thing here  and zorp\tgardens\n",), (quiet,), (None,)], "text string")
+    got = native.pieces(df, "text", [], Options()).select("piece", "start", "before", "after").collect()
+    start = len(quiet) + 2
+    assert sorted(map(tuple, got)) == [("thing", start, "a", "here"), ("zorp", start + 16, "and", None)]
