@@ -174,6 +174,46 @@ def test_merge_of_shards(seed, monkeypatch):
     assert all((a == b).all() for a, b in zip(got, plain_removed(texts, length)))
 
 
+def several_lengths(groups, lengths, gram):
+    made = [suffixes.Shard.of(g, lengths[0], gram, lengths[1:]) for g in groups]
+    shards = [suffixes.Shard.load(s.dump(), lengths[0], gram, lengths[1:]) for s in made]
+    answers, most, kinds = [{} for _ in shards], max(s.most_touched() for s in made), []
+    while suffixes.STEP ** len(kinds) <= most:
+        kinds.append(f"x{suffixes.STEP ** len(kinds)}")
+    for kind in [*kinds, "c", "u", "w"]:
+        sent = [s.sends(kind, a, lambda g=g: g) for s, a, g in zip(shards, answers, groups)]
+        first, at, _, _, sums = exchange.distinct(*map(np.concatenate, zip(*sent)))
+        if kind[0] == "x":
+            sums = np.where(sums > 1, np.arange(1, len(sums) + 1, dtype=np.uint64), np.uint64(0))
+        answer = np.split((sums[at] << np.uint64(2)) | exchange.flags(first, at), np.cumsum([len(keys) for keys, _, _ in sent])[:-1])
+        for a, own in zip(answers, answer):
+            a[kind] = own
+    return [s.spans(a, g) for s, a, g in zip(shards, answers, groups)]
+
+
+def runs(mark):
+    edges = np.flatnonzero(np.diff(mark.astype(int), prepend=0, append=0)).tolist()
+    return list(zip(edges[::2], edges[1::2]))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_several_lengths_in_one_merge(seed, monkeypatch):
+    rng = random.Random(1000 + seed)
+    monkeypatch.setattr(suffixes, "CHUNK", rng.choice([1 << 19, 50, 97]))
+    gram, lengths = rng.choice([4, 8]), rng.choice([(24, 40), (24, 25), (24, 24), (32, 60, 200)])
+    alphabet = rng.choice([b"ab", b"abcdefgh", bytes(range(65, 90))])
+    noise = lambda n: bytes(rng.choice(alphabet) for _ in range(n))
+    base = [noise(rng.randrange(10, 250)) for _ in range(4)]
+    part = lambda b: b[rng.randrange(len(b)) :][: rng.randrange(80)]
+    texts = [b"".join(rng.choice([rng.choice(base), noise(rng.randrange(60)), part(rng.choice(base)), b"xy" * rng.randrange(40)]) for _ in range(rng.randrange(6))) for _ in range(12)]
+    texts += texts[:2] + [b""]
+    groups = [texts[:5], texts[5:9], texts[9:]]
+    found = several_lengths(groups, lengths, gram)
+    for k, length in enumerate(lengths):
+        got = [spans[k].get(i, []) for spans, g in zip(found, groups) for i in range(len(g))]
+        assert got == [runs(mark) for mark in plain_removed(texts, length)]
+
+
 def test_transform_and_order():
     """The shard's order is that of its whole suffixes, common their common prefixes, and back steps to the symbol before."""
     shard = suffixes.Shard.of([b"abcabcabdabc" * 30, b"xyzabcabcabd" * 30, b"abcabcabdabc" * 30], 24, 4)
@@ -224,6 +264,29 @@ def test_dedup_digest(spark, monkeypatch, fan):
     assert clean[4].clean_text == "" and [(s.start, s.end) for s in clean[4].spans] == [(0, 401)] and clean[1].clean_text == ""
 
 
+def test_passages_of_over_50_words(spark):
+    """A passage of 51 words and 300 bytes in two documents is shown, and stays, as no 400 bytes repeat; as brute force at both lengths."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    words = lambda n: " ".join(word(rng.randrange(2, 9)) for _ in range(n))
+    passage, long = " ".join([word(5) for _ in range(50)] + [""]) + "x", words(120)
+    assert len(passage.split()) == 51 and len(passage) == 301
+    texts = [f"{words(80)} {passage} {words(80)}", f"{passage} {words(200)}", words(300), f"{words(30)} {long}", f"{long} {words(9)} {passage[:255]}", "x" * 256, "y" * 257, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in suffixes.dedup_digest(df, shard_bytes=2000).collect()}
+    raw = [(t or "").encode() for t in texts]
+    for d, mark, passages in zip(range(len(raw)), plain_removed(raw, 400), plain_removed(raw, 256)):
+        r = found[d]
+        assert (r.n_removed, [(x.start, x.end) for x in r.spans]) == (mark.sum(), runs(mark))
+        assert (r.n_passage_bytes, [(x.start, x.end) for x in r.passages]) == (passages.sum(), runs(passages))
+        assert r.clean_text.encode() == np.frombuffer(raw[d], np.uint8)[~mark].tobytes()
+    assert [found[d].n_removed > 0 for d in range(8)] == [False, False, False, True, True, False, False, False]
+    assert [found[d].n_passage_bytes >= 300 for d in range(5)] == [True, True, False, True, True]
+    with pytest.raises(ValueError, match="passages"):
+        suffixes.dedup_digest(df, length=200, passage=256)
+    assert {r.doc_id: r.n_passage_bytes for r in suffixes.dedup_digest(df, length=200).collect()} == {d: m.sum() for d, m in enumerate(plain_removed(raw, 200))}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

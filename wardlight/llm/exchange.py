@@ -60,15 +60,19 @@ def distinct(keys: np.ndarray, checks: np.ndarray | None, counts: np.ndarray) ->
         sums = np.zeros(len(found), np.uint64)
         np.add.at(sums, at, counts)
         return first, at, found, None, sums
-    order = np.lexsort((checks, keys))
+    order = np.argsort(keys)  # keys of different checks hardly ever meet
     k, c = keys[order], checks[order]
     new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    new[1:] = k[1:] != k[:-1]
+    if (~new[1:] & (c[1:] != c[:-1])).any():
+        order = np.lexsort((checks, keys))
+        k, c = keys[order], checks[order]
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
     starts = np.flatnonzero(new)
     at = np.empty(len(k), np.int64)
     at[order] = np.cumsum(new) - 1
     sums = np.add.reduceat(counts[order].astype(np.uint64), starts) if len(starts) else np.zeros(0, np.uint64)
-    return order[starts], at, k[starts], c[starts], sums
+    return np.minimum.reduceat(order, starts) if len(starts) else order, at, k[starts], c[starts], sums
 
 
 def group_of(group: pa.Table) -> tuple[pa.Table, list[int], tuple]:

@@ -20,6 +20,8 @@ Repeats. A window (the bytes of one string looked for) is covered by the symbols
 are a block of the merged transform, it repeats. Else its edges stick out of its repeated block: windows
 are equal that have the same block, by its number, and the same bytes before and behind it. So
 edges are asked about only where the merge has a block, and without its blocks no window is found.
+Windows of several lengths are told by the same blocks: the parse is made for the shortest, and the
+lengths share every question but the one about edges.
 
 Keys are 128 bits, so that among 10^14 strings two that differ meet with a chance below 10^-10.
 """
@@ -43,6 +45,8 @@ from .packing import mix, pack, unpack
 
 #: A repeat is a string of LENGTH bytes; anchors are strings of GRAM bytes.
 LENGTH, GRAM = 400, 32
+#: Passages of over 50 words have more bytes than this, short set phrases have fewer.
+PASSAGE = 256
 #: A level's blocks are told by STEP blocks of the level before.
 STEP = 4
 #: Text of a shard, and of a range of keys.
@@ -86,9 +90,11 @@ class Hashes:
         return mix((s[b] - s[a]) * Hashes.back[a], (b - a).astype(np.uint64))
 
     def grams(self, a: int, b: int, size: int) -> np.ndarray:
-        """Hashes of the strings of `size` bytes that start at a to b."""
+        """Hashes of the strings of `size` bytes that start at a to b, which tell anchors by their high bits."""
         s = self.sums[0]
-        return mix((s[a + size : b + size] - s[a:b]) * Hashes.back[a:b], u64(size))
+        found = s[a + size : b + size] - s[a:b]
+        found *= Hashes.back[a:b]
+        return found
 
 
 def smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -141,9 +147,11 @@ class Shard:
 
     Texts lie one after the other. counts: anchors of each text (0: too short, no symbols). Of the
     order: suffix (the symbol that begins it) and common (symbols that it shares with the one before).
+    lengths: of the windows, the shortest first, for which the texts are parsed.
     """
 
-    def __init__(self, length: int, gram: int, sizes: np.ndarray, counts: np.ndarray, places: np.ndarray, firsts: np.ndarray, keys: list[np.ndarray], order: np.ndarray, common: np.ndarray):
+    def __init__(self, length: int, gram: int, sizes: np.ndarray, counts: np.ndarray, places: np.ndarray, firsts: np.ndarray, keys: list[np.ndarray], order: np.ndarray, common: np.ndarray, longer: tuple[int, ...] = ()):
+        self.lengths = (length, *longer)
         self.length, self.gram, self.sizes, self.counts, self.places, self.firsts, self.keys, self.order, self.common = length, gram, sizes, counts, places, firsts, keys, order, common
         self.starts = np.cumsum(sizes) - sizes
         self.begin, self.end, self.last, self.of_anchor = self.symbols(sizes, counts, places, gram)
@@ -173,7 +181,7 @@ class Shard:
         return begin, end, np.repeat(heads + strings - 1, strings), of_anchor
 
     @classmethod
-    def of(cls, texts: list[bytes], length: int, gram: int) -> Shard:
+    def of(cls, texts: list[bytes], length: int, gram: int, longer: tuple[int, ...] = ()) -> Shard:
         sizes = np.array([len(t) for t in texts], np.int64)
         starts = np.cumsum(sizes) - sizes
         hashes = Hashes(np.frombuffer(b"".join(texts), np.uint8))
@@ -184,7 +192,7 @@ class Shard:
         kind[last], kind[0:1] = 2, 1
         kind[np.unique(last)[:-1] + 1 if len(last) else []] = 1
         keys = [mix(hashes.of(w, begin, end), kind) for w in (0, 1)]
-        return cls(length, gram, sizes, counts, places, firsts, keys, *cls.sort(keys, last))
+        return cls(length, gram, sizes, counts, places, firsts, keys, *cls.sort(keys, last), longer)
 
     @staticmethod
     def sort(keys: list[np.ndarray], last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,34 +200,45 @@ class Shard:
         n, at = len(last), np.arange(len(last))
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ranks, longest = [distinct(*keys, np.zeros(n, np.uint64))[1] + 1], int((last - at).max()) + 1
-        while (step := 1 << len(ranks) - 1) < longest and int(ranks[-1].max()) < n:
-            ahead = np.where(at + step <= last, ranks[-1][np.minimum(at + step, n - 1)], 0)
-            ranks.append(np.unique(ranks[-1] * (n + 2) + ahead, return_inverse=True)[1] + 1)
+        number, longest = distinct(*keys, np.zeros(n, np.uint64))[1], int((last - at).max()) + 1
+        sizes = np.bincount(number)
+        # a suffix's rank is the first place of those that agree with it; only these are ranked anew
+        ranks, alike = [(np.cumsum(sizes) - sizes + 1)[number]], np.flatnonzero(sizes[number] > 1)
+        while (step := 1 << len(ranks) - 1) < longest and len(alike):
+            rank = ranks[-1].copy()
+            ahead = np.where(alike + step <= last[alike], rank[np.minimum(alike + step, n - 1)], 0)
+            found, number, sizes = np.unique(rank[alike] * (n + 2) + ahead, return_inverse=True, return_counts=True)
+            before, base = np.cumsum(sizes) - sizes, found // (n + 2)
+            rank[alike] = (base + before - before[np.searchsorted(base, base)])[number]
+            ranks.append(rank)
+            alike = alike[sizes[number] > 1]
         order = np.argsort(ranks[-1], kind="stable")
-        a, b = order[:-1], order[1:]
-        same = np.zeros(n - 1, np.int64)
+        common = np.zeros(n, np.int64)
+        own = np.flatnonzero(ranks[0][order[:-1]] == ranks[0][order[1:]])
+        a, b = order[own], order[own + 1]
+        same = np.zeros(len(own), np.int64)
         for k in range(len(ranks) - 1, -1, -1):
             x, y = a + same, b + same
             agree = (x <= last[a]) & (y <= last[b])
             agree[agree] = ranks[k][x[agree]] == ranks[k][y[agree]]
             same[agree] += 1 << k
         same[(a + same > last[a]) & (b + same > last[b])] = WHOLE
-        return order, np.concatenate([[0], same])
+        common[own + 1] = same
+        return order, common
 
     def dump(self) -> bytes:
         parts = [pack(self.sizes), pack(self.counts), pack(self.places), pack(self.firsts), *map(pack, self.keys), pack(self.order), pack(self.common)]
         return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
     @classmethod
-    def load(cls, data: bytes, length: int, gram: int) -> Shard:
+    def load(cls, data: bytes, length: int, gram: int, longer: tuple[int, ...] = ()) -> Shard:
         parts, at = [], 0
         while at < len(data):
             n = int.from_bytes(data[at : at + 8], "little")
             parts.append(unpack(data[at + 8 : at + 8 + n]))
             at += 8 + n
         ints = [p.astype(np.int64) for p in (*parts[:4], *parts[6:])]
-        return cls(length, gram, *ints[:4], parts[4:6], *ints[4:])
+        return cls(length, gram, *ints[:4], parts[4:6], *ints[4:], longer)
 
     # The merge
 
@@ -245,27 +264,30 @@ class Shard:
         n = len(self.order)
         if block is None:
             carried, asked = np.zeros(n, np.uint64), np.ones(n, bool)
-            parts = [self.keys[0][self.order], self.keys[1][self.order]]
+            parts = [key[self.order] for key in self.keys]
         else:
-            ahead, at = self.ahead(back), np.arange(n)
-            pieces = [block]
-            ended, alive = np.zeros(n, bool), block > 0
-            for k in range(1, STEP):
-                at = np.where(at >= 0, ahead[at], -1)
-                ended = at < 0
-                piece = np.where(ended, END, block[at])
-                alive &= piece > 0
-                pieces.append(piece)
+            ahead = self.ahead(back)
             over = ahead < 0  # the level before reaches END
-            carried, asked = np.where(over, block, u64(0)), alive & ~over
+            carried, asked = np.where(over, block, u64(0)), np.zeros(n, bool)
+            at = own = np.flatnonzero((block > 0) & ~over)
+            alive, pieces = np.ones(len(own), bool), [block[own]]
+            for _ in range(1, STEP):
+                at = np.where(at >= 0, ahead[at], -1)
+                pieces.append(np.where(at < 0, END, block[at]))
+                alive &= pieces[-1] > 0
+            asked[own[alive]] = True
+        heads, number = self.intervals(h, asked)
+        if block is not None:
+            pieces = [piece[np.searchsorted(own, heads)] for piece in pieces]
             parts = [pieces[0], pieces[-1]]
             for piece in pieces[1:]:
                 parts[0] = mix(parts[0], piece)
             for piece in pieces[-2::-1]:
                 parts[1] = mix(parts[1] ^ u64(0x5DEECE66D), piece)
-        heads, number = self.intervals(h, asked)
+        else:
+            parts = [part[heads] for part in parts]
         sizes = np.bincount(number[number >= 0], minlength=len(heads)).astype(np.uint64)
-        return carried, heads, number, (parts[0][heads], parts[1][heads], sizes)
+        return carried, heads, number, (*parts, sizes)
 
     def merge(self, answers: dict[str, np.ndarray]) -> tuple[int, tuple | None, dict[int, np.ndarray]]:
         """(the level to ask about, what to ask, blocks of each suffix by level): as far as answers go."""
@@ -307,12 +329,12 @@ class Shard:
 
     # Windows
 
-    def segments(self, alive: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Runs of window starts alike in the symbols they touch and in their own first and last anchor:
+    def segments(self, alive: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+        """Runs of starts of windows of a length alike in the symbols they touch and in their own first and last anchor:
         (start, stop, first symbol, symbols, first anchor, last anchor). Only windows that hold two
         whole symbols, one after the other, that are alive; no other can repeat."""
-        length, texts = self.length, np.flatnonzero(self.counts)
-        shift = length - self.gram - width_of(length, self.gram) + 1
+        texts = np.flatnonzero(self.counts)
+        shift = length - self.gram - width_of(self.length, self.gram) + 1
         two = np.flatnonzero(alive[:-1] & alive[1:] & (self.last[:-1] > np.arange(len(alive) - 1))) if len(alive) else np.zeros(0, np.int64)
         lo, hi = self.starts[texts], (self.starts + self.sizes - length + 1)[texts]
         if not len(two):
@@ -341,36 +363,42 @@ class Shard:
     def most_touched(self) -> int:
         """Most symbols that a window touches."""
         at = np.flatnonzero(self.last > np.arange(len(self.last)))
-        ends = np.minimum(self.begin[at + 1] - 1 + self.length, self.end[self.last[at]])
+        ends = np.minimum(self.begin[at + 1] - 1 + self.lengths[-1], self.end[self.last[at]])
         return int((np.searchsorted(self.end, ends, "left") - at + 1).max(initial=0))
 
-    def covers(self, blocks: dict[int, np.ndarray], symbol: np.ndarray, touched: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """Strings of symbols that windows touch and that may repeat: (each segment's string or -1, first segment of each, what to ask)."""
-        pair = symbol * (1 << 20) + touched  # rises with the window's start
-        new = np.diff(pair, prepend=-1) != 0
-        one, at = np.flatnonzero(new), np.cumsum(new) - 1
-        alive, k1, k2 = self.told(blocks, symbol[one], touched[one])
-        number = np.where(alive, np.cumsum(alive) - 1, -1)[at]
-        return number, one[alive], (k1[alive], k2[alive], np.ones(int(alive.sum()), np.uint64))
+    def covers(self, blocks: dict[int, np.ndarray], touched: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], tuple]:
+        """Strings of symbols that windows touch and that may repeat, each place's once for all lengths: (of each length its segments' strings or -1, what to ask)."""
+        pairs = [symbol * (1 << 20) + symbols for symbol, symbols in touched]  # rise with the window's start
+        new = [np.diff(pair, prepend=-1) != 0 for pair in pairs]
+        one, at = np.unique(np.concatenate([pair[n] for pair, n in zip(pairs, new, strict=True)]), return_inverse=True)
+        alive, k1, k2 = self.told(blocks, one >> 20, one & ((1 << 20) - 1))
+        number = np.split(np.where(alive, np.cumsum(alive) - 1, -1)[at], np.cumsum([int(n.sum()) for n in new])[:-1])
+        number = [own[np.cumsum(n) - 1] for own, n in zip(number, new, strict=True)]
+        return number, (k1[alive], k2[alive], np.ones(int(alive.sum()), np.uint64))
 
     def state(self, answers: dict[str, np.ndarray]) -> dict:
-        """Everything known of the segments, as far as answers go."""
+        """Everything known of the segments of each length, as far as answers go."""
         _, _, blocks = self.merge(answers)
-        start, stop, symbol, touched, first, final = self.segments(blocks[1] > 0)
-        s = {"blocks": blocks, "start": start, "stop": stop, "first": first, "final": final}
-        number, _, s["asks"] = self.covers(blocks, symbol, touched)
+        found = [self.segments(blocks[1] > 0, length) for length in self.lengths]
+        s = {"blocks": blocks, "lengths": [{"length": n, "start": f[0], "stop": f[1], "first": f[4], "final": f[5]} for n, f in zip(self.lengths, found, strict=True)]}
+        numbers, s["asks"] = self.covers(blocks, [f[2:4] for f in found])
         if "c" not in answers:
             return s
         one, at, _, _, _ = distinct(*s["asks"])
         answer, own = answers["c"][at], np.zeros(len(at), bool)
         own[one] = True
-        fill = lambda x: np.where(number >= 0, np.append(x, False)[number], False).astype(bool)
-        s["decided"] = fill(value(answer) > 1)
-        owned = fill(own & owner(answer)) & s["decided"]
-        head, tail = self.of_anchor[first], self.of_anchor[final]
-        alive, s["mid1"], s["mid2"] = self.told(blocks, head, tail - head)
-        undecided = alive & ~s["decided"]
-        open_, closed = np.unique(head[undecided]), np.unique(head[owned & alive])
+        repeated, own = value(answer) > 1, own & owner(answer)
+        for w, number in zip(s["lengths"], numbers, strict=True):
+            fill = lambda x: np.where(number >= 0, np.append(x, False)[number], False).astype(bool)  # noqa: B023, E731
+            w["decided"] = fill(repeated)
+            w["head"] = self.of_anchor[w["first"]]
+            # a repeated string's windows are asked about by one of its places alone
+            asked = np.flatnonzero(~w["decided"] | fill(own))
+            alive, w["mid1"], w["mid2"] = self.told(blocks, w["head"][asked], self.of_anchor[w["final"][asked]] - w["head"][asked])
+            w["asked"], w["mid1"], w["mid2"] = asked[alive], w["mid1"][alive], w["mid2"][alive]
+            w["open"] = ~w["decided"][w["asked"]]
+        heads = [(w["head"][w["asked"][w["open"]]], w["head"][w["asked"][~w["open"]]]) for w in s["lengths"]]
+        open_, closed = (np.unique(np.concatenate(h)) for h in zip(*heads, strict=True))
         ask, places = np.unique(np.concatenate([open_, closed]), return_index=True)
         one_block = blocks[1]
         after = one_block[ask + 1]
@@ -380,26 +408,37 @@ class Shard:
         _, at, _, _, _ = distinct(*s["asks"])
         found = np.zeros(len(self.begin) + 1, np.uint64)
         found[ask] = value(answers["u"])[at]
-        found = found[head]
         several = (found & u64((1 << 31) - 1)) + (found >> u64(31)) > 1
-        s["part"] = (undecided & several) | (owned & alive & ((found & u64((1 << 31) - 1)) > 0))
+        others = (found & u64((1 << 31) - 1)) > 0
+        for w in s["lengths"]:
+            head = w["head"][w["asked"]]
+            part = np.where(w["open"], several[head], others[head])
+            w["part"], w["mid1"], w["mid2"] = w["asked"][part], w["mid1"][part], w["mid2"][part]
         return s
 
-    def edges(self, s: dict, texts: list[bytes]) -> tuple[np.ndarray, tuple]:
-        """Window starts of the segments that take part, and what to ask about them. Only the texts that they lie in are hashed."""
-        part = np.flatnonzero(s["part"])
-        which = np.searchsorted(self.starts + self.sizes, s["start"][part], "right")
-        used = np.unique(which)
+    def edges(self, s: dict, texts: list[bytes]) -> tuple[list[np.ndarray], tuple]:
+        """Of each length the window starts of the segments that take part, and what to ask about them all. Only the texts that they lie in are hashed."""
+        which = [np.searchsorted(self.starts + self.sizes, w["start"][w["part"]], "right") for w in s["lengths"]]
+        used = np.unique(np.concatenate(which))
         hashes = Hashes(np.frombuffer(b"".join([texts[k] for k in used.tolist()]), np.uint8))
         moved = np.zeros(len(self.sizes), np.int64)
         moved[used] = self.starts[used] - (np.cumsum(self.sizes[used]) - self.sizes[used])
-        sizes = (s["stop"] - s["start"])[part]
-        seg, off = np.repeat(part, sizes), np.repeat(moved[which], sizes)
-        p = np.arange(len(seg)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + s["start"][seg]
-        a, b, c, d = p - off, self.places[s["first"][seg]] - off, self.places[s["final"][seg]] - off, p + self.length - off
-        k1 = mix(mix(s["mid1"][seg], hashes.of(0, a, b)), hashes.of(0, c, d))
-        k2 = mix(mix(s["mid2"][seg], hashes.of(1, c, d)), hashes.of(1, a, b))
-        return p, (k1, k2, np.ones(len(p), np.uint64))
+        starts, keys = [], ([], [])
+        for k, (w, own) in enumerate(zip(s["lengths"], which, strict=True)):
+            part = w["part"]
+            sizes = (w["stop"] - w["start"])[part]
+            each = lambda x: np.repeat(x, sizes)  # noqa: B023, E731
+            off = each(moved[own])
+            p = np.arange(len(off)) - each(np.cumsum(sizes) - sizes) + each(w["start"][part])
+            a, b, c, d = p - off, each(self.places[w["first"][part]]) - off, each(self.places[w["final"][part]]) - off, p + w["length"] - off
+            mid1, mid2 = w["mid1"], w["mid2"]
+            if k:  # no window is taken for one of another length
+                mid1, mid2 = mix(mid1, u64(k)), mix(mid2, u64(k))
+            keys[0].append(mix(mix(each(mid1), hashes.of(0, a, b)), hashes.of(0, c, d)))
+            keys[1].append(mix(mix(each(mid2), hashes.of(1, c, d)), hashes.of(1, a, b)))
+            starts.append(p)
+        k1, k2 = map(np.concatenate, keys)
+        return starts, (k1, k2, np.ones(len(k1), np.uint64))
 
     def sends(self, kind: str, answers: dict[str, np.ndarray], texts: Callable[[], list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys in order, with checks and numbers, that the shard asks about: blocks x1 ..., covers c, open places u, edges w."""
@@ -410,31 +449,48 @@ class Shard:
             asks = s["asks"]
             if kind == "w":
                 none = np.zeros(0, np.uint64)
-                asks = self.edges(s, texts())[1] if s["part"].any() else (none, none, none)
+                asks = self.edges(s, texts())[1] if any(len(w["part"]) for w in s["lengths"]) else (none, none, none)
         return distinct(*asks)[2:]
 
     def removed(self, answers: dict[str, np.ndarray], texts: list[bytes]) -> dict[int, np.ndarray]:
-        """For each text with repeats, 1 for every byte that a repeated window covers."""
+        """For each text with repeats of the shortest length, 1 for every byte that a repeated window covers."""
+        out = {}
+        for k, spans in self.spans(answers, texts)[0].items():
+            out[k] = np.zeros(int(self.sizes[k]), bool)
+            for a, b in spans:
+                out[k][a:b] = True
+        return out
+
+    def spans(self, answers: dict[str, np.ndarray], texts: list[bytes]) -> list[dict[int, list[tuple[int, int]]]]:
+        """For each length and text with repeats of it, the runs of bytes that repeated windows cover, as (start, end)."""
         if not len(self.begin):
-            return {}
+            return [{} for _ in self.lengths]
         s = self.state(answers)
-        if not (s["decided"].any() or s["part"].any()):
+        starts, repeated = [np.zeros(0, np.int64)] * len(self.lengths), np.zeros(0, bool)
+        if any(len(w["part"]) for w in s["lengths"]):
+            starts, asks = self.edges(s, texts)
+            repeated = (value(answers["w"]) > 1)[distinct(*asks)[1]]
+        repeated = np.split(repeated, np.cumsum([len(p) for p in starts])[:-1])
+        return [self.joined(w, p[r]) for w, p, r in zip(s["lengths"], starts, repeated, strict=True)]
+
+    def joined(self, w: dict, p: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Spans by text of the decided segments of a length and its windows at p."""
+        seg = np.flatnonzero(w["decided"])
+        from_, to = np.concatenate([w["start"][seg], p]), np.concatenate([w["stop"][seg] - 1, p]) + w["length"]
+        if not len(from_):
             return {}
-        edges = np.zeros(int(self.sizes.sum()) + 1, np.int32)
-        seg = np.flatnonzero(s["decided"])
-        np.add.at(edges, s["start"][seg], 1)
-        np.add.at(edges, s["stop"][seg] - 1 + self.length, -1)
-        if s["part"].any():
-            p, asks = self.edges(s, texts)
-            p = p[(value(answers["w"]) > 1)[distinct(*asks)[1]]]
-            np.add.at(edges, p, 1)
-            np.add.at(edges, p + self.length, -1)
-        mask = np.cumsum(edges[:-1], dtype=np.int32) > 0
-        touched = np.add.reduceat(np.append(mask, False), self.starts) > 0 if len(self.starts) else []
-        return {k: mask[self.starts[k] : self.starts[k] + self.sizes[k]] for k in np.flatnonzero(touched & (self.sizes > 0)).tolist()}
-
-
-def shards(df: DataFrame, text_col: str, id_col: str, length: int, gram: int, shard_bytes: int) -> DataFrame:
+        order = np.argsort(from_)
+        from_, to = from_[order], to[order]  # both rise, since window starts of segments are apart
+        own = np.searchsorted(self.starts + self.sizes, from_, "right")
+        new = np.flatnonzero(np.append(True, (from_[1:] > to[:-1]) | (own[1:] != own[:-1])))
+        own, from_, to = own[new], from_[new], to[np.append(new[1:] - 1, len(to) - 1)]
+        first, out = self.starts[own], {}
+        for k, a, b in zip(own.tolist(), (from_ - first).tolist(), (to - first).tolist(), strict=True):
+            out.setdefault(k, []).append((a, b))
+        return out
+
+
+def shards(df: DataFrame, text_col: str, id_col: str, lengths: tuple[int, ...], gram: int, shard_bytes: int) -> DataFrame:
     """A row per shard: parse, ids, texts (compressed, with their sizes in parse), most symbols that a window touches.
 
     A shard ends with the text that reaches shard_bytes, so memory follows the longest text.
@@ -448,7 +504,7 @@ def shards(df: DataFrame, text_col: str, id_col: str, length: int, gram: int, sh
 
     def flush(name: str, ids: list, texts: list[bytes]) -> pa.RecordBatch:
         packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-        shard = Shard.of(texts, length, gram)
+        shard = Shard.of(texts, lengths[0], gram, lengths[1:])
         row = (name, shard.dump(), packed, ids, shard.most_touched())
         return pa.RecordBatch.from_arrays([pa.array([c], out.field(k).type) for k, c in enumerate(row)], schema=out)
 
@@ -483,11 +539,11 @@ def texts_of(packed: bytes, sizes: np.ndarray) -> list[bytes]:
     return [bytes(whole[e - n : e]) for e, n in zip(ends, sizes.tolist(), strict=True)]
 
 
-def ask(sent: DataFrame, answers: DataFrame, kind: str, before: list[str], ranges: int, length: int, gram: int) -> DataFrame:
+def ask(sent: DataFrame, answers: DataFrame, kind: str, before: list[str], ranges: int, lengths: tuple[int, ...], gram: int) -> DataFrame:
     """Every shard's keys of a kind, dealt to ranges; before: the kinds answered."""
 
     def run(own: pa.Table, so_far: pa.Table) -> pa.Table:
-        shard = Shard.load(own.column("parse")[0].as_py(), length, gram)
+        shard = Shard.load(own.column("parse")[0].as_py(), lengths[0], gram, lengths[1:])
         keys, checks, numbers = shard.sends(kind, known(so_far, before), lambda: texts_of(own.column("texts")[0].as_py(), shard.sizes))
         tidy()
         return arrow(rows_of(own.column("shard")[0].as_py(), keys, checks, numbers, ranges), ASKED)
@@ -496,11 +552,11 @@ def ask(sent: DataFrame, answers: DataFrame, kind: str, before: list[str], range
     return sent.select(*columns).groupBy("shard").cogroup(answers.groupBy("block")).applyInArrow(run, ASKED)
 
 
-def repeats(df: DataFrame, text_col: str, id_col: str, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, list[str]]:
+def repeats(df: DataFrame, text_col: str, id_col: str, lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, list[str]]:
     """The shards, all answers of the merge and about the windows' edges, and their kinds."""
     total = df.agg(F.sum(F.octet_length(F.col(text_col))).alias("bytes")).first()["bytes"] or 0
     hops = fans(max(LEAST_RANGES, -(-total // RANGE_BYTES)))
-    sent = materialize_by(shards(df, text_col, id_col, length, gram, shard_bytes), "suffix_shards", "shard", parts_for(df.sparkSession, total))
+    sent = materialize_by(shards(df, text_col, id_col, lengths, gram, shard_bytes), "suffix_shards", "shard", parts_for(df.sparkSession, total))
     size = sent.agg(F.max("most").alias("most"), F.count("*").alias("n")).first()
     answers = df.sparkSession.createDataFrame([], f"{ANSWER}, kind string")
     kinds, h = [], 1
@@ -509,26 +565,26 @@ def repeats(df: DataFrame, text_col: str, id_col: str, length: int = LENGTH, gra
         h *= STEP
     kinds += ["c", "u", "w"]
     for k, kind in enumerate(kinds):
-        got = totals(ask(sent, answers, kind, kinds[:k], hops[0], length, gram), hops, size["n"], ids=kind[0] == "x", tag="suffix")
+        got = totals(ask(sent, answers, kind, kinds[:k], hops[0], lengths, gram), hops, size["n"], ids=kind[0] == "x", tag="suffix")
         got = materialize(got.withColumn("kind", F.lit(kind)), f"suffix-{kind}")
         answers = answers.union(got)
     return sent, answers, kinds
 
 
-def per_text(df: DataFrame, text_col: str, id_col: str, made: T.StructType, fn, length: int, gram: int, shard_bytes: int) -> DataFrame:
-    """id_col and what fn(raw, removed or None) makes of each text."""
+def per_text(df: DataFrame, text_col: str, id_col: str, made: T.StructType, fn, lengths: tuple[int, ...], gram: int, shard_bytes: int) -> DataFrame:
+    """id_col and what fn(raw, spans of each length) makes of each text; lengths: the shortest first."""
     with scratch() as keep:
-        sent, answers, kinds = repeats(df, text_col, id_col, length, gram, shard_bytes)
+        sent, answers, kinds = repeats(df, text_col, id_col, lengths, gram, shard_bytes)
         schema = T.StructType([df.schema[id_col], *made.fields])
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(schema)
 
         def run(own: pa.Table, so_far: pa.Table) -> pa.Table:
-            shard = Shard.load(own.column("parse")[0].as_py(), length, gram)
+            shard = Shard.load(own.column("parse")[0].as_py(), lengths[0], gram, lengths[1:])
             texts = texts_of(own.column("texts")[0].as_py(), shard.sizes)
-            gone = shard.removed(known(so_far, kinds), texts)
-            rows = [fn(raw, gone.get(k)) for k, raw in enumerate(texts)]
+            found = shard.spans(known(so_far, kinds), texts)
+            rows = [fn(raw, *[spans.get(k, []) for spans in found]) for k, raw in enumerate(texts)]
             tidy()
             ids = own.column("ids").combine_chunks().flatten().cast(out.field(0).type)
             return pa.table([ids, *[pa.array(list(c), out.field(k + 1).type) for k, c in enumerate(zip(*rows, strict=True))]], schema=out)
@@ -537,36 +593,41 @@ def per_text(df: DataFrame, text_col: str, id_col: str, made: T.StructType, fn,
         return keep(own.groupBy("shard").cogroup(answers.groupBy("block")).applyInArrow(run, schema), "suffix-result")
 
 
-def kept_bytes(raw: bytes, removed: np.ndarray | None) -> bytes:
-    return raw if removed is None else np.frombuffer(raw, np.uint8)[~removed].tobytes()
+def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    if not spans:
+        return raw
+    edges = [0, *[edge for span in spans for edge in span], len(raw)]
+    return b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def spans_of(removed: np.ndarray | None) -> list[dict]:
-    if removed is None:
-        return []
-    edges = np.flatnonzero(np.diff(removed.astype(np.int8), prepend=0, append=0)).tolist()
-    return [{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+def spans_of(spans: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": a, "end": b} for a, b in spans]
 
 
-def dedup_digest(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Removes every byte covered by a string of length bytes that starts at two or more places of all texts.
+def dedup_digest(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, passage: int | None = None) -> DataFrame:
+    """Removes every byte covered by a string of length bytes that starts at two or more places of all texts, and shows shorter passages.
 
     Texts are UTF-8 bytes (null: empty); strings never cross texts, may overlap, and are judged on
     the input. Repeated rows are texts of their own, so all their strings of that length repeat. An
     empty table gives an empty result; other columns of df, whatever their names, take no part.
     Result, a row per row of df: id_col, n_bytes, n_removed, n_spans (long), kept_sha256, clean_text
-    (what is left, without characters cut by a string's edge), spans (array of start, end in bytes).
+    (what is left, without characters cut by a string's edge), spans (array of start, end in bytes),
+    n_passage_bytes (long) and passages (as spans): what strings of `passage` bytes (PASSAGE, or length
+    if that is less) cover that start at two or more places. These are told in the same merge and not removed.
     """
+    passage = min(PASSAGE, length) if passage is None else passage
+    if passage > length:
+        raise ValueError("passages are no longer than the strings removed")
 
-    def fn(raw: bytes, removed: np.ndarray | None) -> tuple:
-        left, spans = kept_bytes(raw, removed), spans_of(removed)
-        return len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore"), spans
+    def fn(raw: bytes, passages: list[tuple[int, int]], spans: list[tuple[int, int]]) -> tuple:
+        left = kept_bytes(raw, spans)
+        return len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore"), spans_of(spans), sum(b - a for a, b in passages), spans_of(passages)
 
-    made = T.StructType([*[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("clean_text", T.StringType()), T.StructField("spans", SPANS)])
-    return per_text(df, text_col, id_col, made, fn, length, gram, shard_bytes)
+    made = T.StructType([*[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("clean_text", T.StringType()), T.StructField("spans", SPANS), T.StructField("n_passage_bytes", T.LongType()), T.StructField("passages", SPANS)])
+    return per_text(df, text_col, id_col, made, fn, (passage, length), gram, shard_bytes)
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -575,8 +636,8 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     Nulls, repeated rows and empty tables are taken as by dedup_digest.
     """
 
-    def fn(raw: bytes, removed: np.ndarray | None) -> tuple:
-        return kept_bytes(raw, removed).decode("utf-8", "ignore"), spans_of(removed)
+    def fn(raw: bytes, spans: list[tuple[int, int]]) -> tuple:
+        return kept_bytes(raw, spans).decode("utf-8", "ignore"), spans_of(spans)
 
     made = T.StructType([T.StructField("clean_text", T.StringType()), T.StructField("spans", SPANS)])
-    return per_text(df, text_col, id_col, made, fn, length, gram, shard_bytes)
+    return per_text(df, text_col, id_col, made, fn, (length,), gram, shard_bytes)
