@@ -75,8 +75,9 @@ class Hashes:
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
         if len(Hashes.power) < n:
+            room = -(-n // CHUNK) * CHUNK  # so that texts hardly longer don't need new ones
             for name, by in (("power", BASE), ("back", pow(BASE, -1, 1 << 64))):
-                steps = np.full(n, by, np.uint64)
+                steps = np.full(room, by, np.uint64)
                 steps[0] = 1
                 setattr(Hashes, name, np.cumprod(steps, dtype=np.uint64))
         self.sums = []
@@ -320,6 +321,7 @@ class Shard:
             own = np.flatnonzero((count >= h) & ((count < h * STEP) | (k == len(levels) - 1)))
             for step in range(STEP):
                 # parts side by side, the last one moved back so that it ends with the string
+                own = own[count[own] > step * h]
                 offset = np.minimum(step * h, count[own] - h)
                 piece = blocks[h][first[own] + offset]
                 alive[own] &= piece > 0
@@ -394,7 +396,9 @@ class Shard:
             w["head"] = self.of_anchor[w["first"]]
             # a repeated string's windows are asked about by one of its places alone
             asked = np.flatnonzero(~w["decided"] | fill(own))
-            alive, w["mid1"], w["mid2"] = self.told(blocks, w["head"][asked], self.of_anchor[w["final"][asked]] - w["head"][asked])
+            head, tail = w["head"][asked], self.of_anchor[w["final"][asked]]
+            new = (np.diff(head, prepend=-1) != 0) | (np.diff(tail, prepend=-1) != 0)  # segments side by side share them
+            alive, w["mid1"], w["mid2"] = (x[np.cumsum(new) - 1] for x in self.told(blocks, head[new], (tail - head)[new]))
             w["asked"], w["mid1"], w["mid2"] = asked[alive], w["mid1"][alive], w["mid2"][alive]
             w["open"] = ~w["decided"][w["asked"]]
         heads = [(w["head"][w["asked"][w["open"]]], w["head"][w["asked"][~w["open"]]]) for w in s["lengths"]]
